@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, near_dedup
 from .common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -16,9 +20,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_benchmark_decontamination, op10_exact_dedup)}
 
 ORACLES = {
+    "op1_minhash_near_dedup": """
+with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[p:p+3], ' ') g from d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) u(p) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+i as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select x, y from i join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+both_ways as (select x, y from e union all select y, x from e),
+reach(x, y) as (select doc_id, doc_id from d union select r.x, b.y from reach r join both_ways b on r.y = b.x)
+select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, c.component_id, d.doc_id = c.component_id kept
+from d left join n using (doc_id) join (select x, min(y) component_id from reach group by x) c on c.x = d.doc_id""",
     "op4_benchmark_decontamination": """
 with dw as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
 bw as (select item_id, w, least(10, len(w)) m from (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark) where len(w) > 0),
