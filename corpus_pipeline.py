@@ -1,12 +1,59 @@
-"""Training-data pipeline; stages follow as their operators arrive."""
+"""Training-data pipeline: each stage reads what its predecessor kept, from Parquet.
+
+All stages but the last return the columns of ``documents``; the last returns the
+token ids of the documents that are left. SQL can express neither the language
+model nor the tokenizer, so ORACLE_SQL is None and the tests hold the pipeline
+against a brute-force version.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cueloom.llm import decontaminate, exact_dedup, language_id, near_dedup, pieces
+from cueloom.llm.common import shared_table, table
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and those whose language is a guess."""
+    return language_id.drop_unidentified(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one of each group of texts that are equal without white space."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one of each component linked by five-word shingles at a similarity of 0.8."""
+    return near_dedup.drop_near_copies(docs, k=5, percent=80)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a ten-word window of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document that is left: doc_id, n_pieces, ids, lossless."""
+    return pieces.encoded(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("decontamination", benchmark_leaks),
+    ("sentencepiece", token_ids),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = shared_table(docs)
+    return docs

@@ -34,6 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == sign or not seen[0]:
             break
         sign = tuple(seen)
-        now = shared_table(_contract(shared_table(_contract(now, True)), False))
+        now = shared_table(_contract(_contract(now, True), False))
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v"), F.col("v")).distinct())

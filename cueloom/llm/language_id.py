@@ -89,7 +89,7 @@ class Segmenter:
     def _powers() -> np.ndarray:
         out = np.ones(LONGEST + 2, np.uint64)
         for i in range(1, len(out)):
-            out[i] = out[i - 1] * BASE
+            out[i] = int(out[i - 1]) * int(BASE) & 2**64 - 1
         return out
 
     def _key(self, piece: str) -> int:
@@ -103,68 +103,82 @@ class Segmenter:
         return (mix64(keys + np.uint64(probe)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), self.size, np.int32)
-        for probe in range(self.probes):
-            at = self._slot(keys, probe)
-            same = self.slot_key[at] == keys
-            out[same] = self.slot_piece[at[same]]
+        """Piece numbers of keys; ``size`` for those of no piece. Only keys at a slot of another's are tried again."""
+        at = self._slot(keys, 0)
+        out = self.slot_piece[at]
+        wrong = np.flatnonzero((out < self.size) & (self.slot_key[at] != keys))
+        for probe in range(1, self.probes + 1):
+            if not len(wrong):
+                break
+            at = self._slot(keys[wrong], probe)
+            out[wrong] = self.slot_piece[at]
+            wrong = wrong[(out[wrong] < self.size) & (self.slot_key[at] != keys[wrong])]
         return out
 
-    def spans(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, np.ndarray]]]]:
-        """For the words of each length: (their numbers, length with mark, [(start, end, pieces)])."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for size in np.unique(sizes):
-            which = np.flatnonzero(sizes == size)
-            codes = np.frombuffer("".join(MARK + words[i] for i in which).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(which), size + 1)
-            prefix = np.zeros((size + 2, len(which)), np.uint64)
-            for j in range(size + 1):
-                prefix[j + 1] = prefix[j] * BASE + codes[:, j]
-            pairs = []
-            for j in range(1, size + 2):
-                for i in range(max(0, j - self.longest), j):
-                    pairs.append((i, j, self.find(prefix[j] - prefix[i] * self.powers[j - i])))
-            yield which, int(size) + 1, pairs
-
-    def forward(self, table: np.ndarray, length: int, pairs, count: int) -> np.ndarray:
-        """(length + 1, count, languages) sums over the segmentations of each prefix."""
-        alpha = np.zeros((length + 1, count, table.shape[1]))
-        alpha[0] = 1.0
-        for i, j, found in pairs:
-            p = table[found]
-            if j - i == 1:
-                p = np.where((found == self.size)[:, None], FLOOR, p)
-            alpha[j] += alpha[i] * p
-        return alpha
+    def spans(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
+        """(order: word numbers, longest first; their lengths with the mark; [(start, end, pieces)]).
+
+        The pieces of (start, end) are those of the first words of the order, as far as they reach to end.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        most = int(sizes[0])
+        codes = np.zeros((len(words), most), np.uint32)
+        codes[np.arange(most) < sizes[:, None]] = np.frombuffer("".join([MARK + words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        prefix = np.zeros((most + 1, len(words)), np.uint64)
+        pairs = []
+        for j in range(1, most + 1):
+            n = int(np.searchsorted(-sizes, -j, "right"))
+            prefix[j, :n] = prefix[j - 1, :n] * BASE + codes[:n, j - 1]
+            for i in range(max(0, j - self.longest), j):
+                pairs.append((i, j, self.find(prefix[j, :n] - prefix[i, :n] * self.powers[j - i])))
+        return order, sizes, pairs
 
     def scores(self, table: np.ndarray, words: list[str]) -> np.ndarray:
         """(words, languages) log probabilities; table has a last row of zeros."""
         out = np.empty((len(words), table.shape[1]))
-        for which, length, pairs in self.spans(words):
-            out[which] = np.log(np.maximum(self.forward(table, length, pairs, len(which))[length], 1e-300))
+        if not len(words):
+            return out
+        order, sizes, pairs = self.spans(words)
+        alpha = np.zeros((int(sizes[0]) + 1, len(words), table.shape[1]))
+        alpha[0] = 1.0
+        for i, j, found in pairs:
+            p = table[found]
+            if j - i == 1:
+                p[found == self.size] = FLOOR
+            alpha[j, : len(found)] += alpha[i, : len(found)] * p
+        out[order] = np.log(np.maximum(alpha[sizes, np.arange(len(words))], 1e-300))
         return out
 
     def expected(self, table: np.ndarray, words: list[str], counts: np.ndarray, langs: np.ndarray) -> np.ndarray:
         """(pieces, languages) expected piece counts over all segmentations; word w is langs[w]'s, counts[w] times."""
-        total = np.zeros((self.size + 1, table.shape[1]))
-        for which, length, pairs in self.spans(words):
-            lang, n = langs[which], len(which)
-            alpha = np.zeros((length + 1, n))
-            beta = np.zeros((length + 1, n))
-            alpha[0] = beta[length] = 1.0
-            chances = []
-            for i, j, found in pairs:
-                p = table[found, lang]
-                if j - i == 1:
-                    p = np.where(found == self.size, FLOOR, p)
-                chances.append(p)
-                alpha[j] += alpha[i] * p
-            for (i, j, _), p in zip(reversed(pairs), reversed(chances)):
-                beta[i] += p * beta[j]
-            scale = counts[which] / np.maximum(alpha[length], 1e-300)
-            for (i, j, found), p in zip(pairs, chances):
-                there = found < self.size
-                np.add.at(total, (found[there], lang[there]), (alpha[i] * p * beta[j] * scale)[there])
-        return total[: self.size]
+        width = table.shape[1]
+        if not len(words):
+            return np.zeros((self.size, width))
+        order, sizes, pairs = self.spans(words)
+        lang, every = langs[order], np.arange(len(words))
+        alpha = np.zeros((int(sizes[0]) + 1, len(words)))
+        beta = np.zeros_like(alpha)
+        alpha[0] = beta[sizes, every] = 1.0
+        chances = []
+        for i, j, found in pairs:
+            p = table[found, lang[: len(found)]]
+            if j - i == 1:
+                p[found == self.size] = FLOOR
+            chances.append(p)
+            alpha[j, : len(found)] += alpha[i, : len(found)] * p
+        for (i, j, found), p in zip(reversed(pairs), reversed(chances)):
+            beta[i, : len(found)] += p * beta[j, : len(found)]
+        scale = counts[order] / np.maximum(alpha[sizes, every], 1e-300)
+        cells, weights = [], []
+        for (i, j, found), p in zip(pairs, chances):
+            n = len(found)
+            there = np.flatnonzero(found < self.size)
+            cells.append(found[there].astype(np.int64) * width + lang[there])
+            weights.append((alpha[i, :n] * p * beta[j, :n] * scale[:n])[there])
+        total = np.bincount(np.concatenate(cells), np.concatenate(weights), (self.size + 1) * width)
+        return total.reshape(-1, width)[: self.size]
 
 
 def parts(word: str) -> list[str]:

@@ -42,8 +42,9 @@ from .graph import components
 
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
-#: Pivot rounds before all remaining pairs are compared; a round is made while more than REST pairs a node remain.
-PIVOT_ROUNDS, REST = 6, 4
+#: Pivot rounds before all remaining pairs are compared. One is made while more than REST pairs a node remain, if the last left at most SHRINKS of them.
+PIVOT_ROUNDS, REST, SHRINKS = 6, 8, 0.7
+CELL = 256
 CHUNK = 64
 
 
@@ -155,6 +156,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return rows.mapInArrow(_verifier(k, percent), "u long, v long")
 
 
+def _cross_pairs(live: DataFrame, fits) -> DataFrame:
+    """Pairs of a bucket's nodes in different components. Large buckets are cut into cells; two cells meet in one group of a join."""
+    cut = live.withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("size") / CELL)).cast("int")).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    grid = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("x"), F.greatest("cell", o).alias("y")))
+    dealt = cut.withColumn("at", F.explode(grid)).select("band", "at", "node", "n", "component", "cell")
+    return (
+        dealt.alias("a")
+        .join(dealt.alias("b"), ["band", "at"])
+        .where("a.node < b.node and a.component <> b.component and (a.cell <> b.cell or at.x = at.y)")
+        .where(fits("a.n", "b.n"))
+        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        .distinct()
+    )
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs``; linked from ``percent`` per cent of similarity."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -181,10 +197,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         pairs = pairs.join(sizes.withColumnRenamed("u", "pivot"), "pivot").where(fits("n", "nu"))
         return pairs.select(F.col("pivot").alias("u"), F.col("node").alias("v"))
 
-    links = shared_table(_verified(with_pivot(rows), texts, k, percent))
-    labels = shared_table(components(links))
+    every = rows.select("node").distinct()
+    found = components(shared_table(_verified(with_pivot(rows), texts, k, percent)))
+    labels = shared_table(every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    budget, before = REST * nodes.count(), None
     for turn in range(PIVOT_ROUNDS + 1):
-        named = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("band", "node", "n", "component")
+        named = rows.drop("pivot").join(labels, "node")
         parts = named.groupBy("band", "component").agg(F.count("*").alias("c"))
         mixed = shared_table(
             parts.groupBy("band")
@@ -192,33 +210,25 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             .where("parts > 1")
             .select("band", "size", ((F.col("size") * F.col("size") - F.col("inner")) / 2).alias("rest"))
         )
-        left = mixed.agg(F.sum("rest"), F.sum("size")).first()
-        if not left[0]:
+        rest = mixed.agg(F.sum("rest")).first()[0]
+        if not rest:
             break
         live = shared_table(named.join(mixed.select("band", "size"), "band"))
-        if turn < PIVOT_ROUNDS and left[0] > REST * left[1]:
-            # The next pivot of a bucket is another at random; the smaller components' nodes meet it.
-            pivots = shared_table(live.groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot")))
-            other = pivots.join(labels, pivots["pivot"] == labels["node"], "left").select("band", "pivot", F.coalesce("component", "pivot").alias("own"))
-            met = live.join(shared_table(other), "band").where("component <> own")
-            pairs = with_pivot(met)
-            last = False
+        last = turn == PIVOT_ROUNDS or rest <= budget or (before is not None and rest > SHRINKS * before)
+        before = rest
+        if last:
+            pairs = _cross_pairs(live, fits)
         else:
-            cells = F.greatest(F.lit(1), F.ceil(F.col("size") / 256)).cast("int")
-            cut = live.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-            grid = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("x"), F.greatest("cell", o).alias("y")))
-            dealt = cut.withColumn("at", F.explode(grid)).select("band", "at", "node", "n", "component", "cell")
-            a, b = dealt.alias("a"), dealt.alias("b")
-            pairs = (
-                a.join(b, ["band", "at"])
-                .where("a.node < b.node and a.component <> b.component and (a.cell <> b.cell or at.x = at.y)")
-                .where(fits("a.n", "b.n"))
-                .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-                .distinct()
-            )
-            last = True
-        links = shared_table(links.union(_verified(pairs, texts, k, percent)))
-        labels = shared_table(components(links))
+            # The next pivot of a bucket is another at random; nodes of other components meet it.
+            pivots = live.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
+            other = shared_table(pivots.select("band", F.col("p.node").alias("pivot"), F.col("p.component").alias("own")))
+            pairs = with_pivot(live.join(other, "band").where("component <> own"))
+        new = _verified(pairs, texts, k, percent)
+        ends = labels.toDF("u", "cu"), labels.toDF("v", "cv")
+        joined = shared_table(new.join(ends[0], "u").join(ends[1], "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).where("u <> v").distinct())
+        if joined.take(1):
+            merged = shared_table(components(joined).toDF("component", "merged"))
+            labels = shared_table(labels.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")))
         if last:
             break
     named = shared_table(nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id")))

@@ -2,25 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, near_dedup
+from . import chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, near_dedup, pieces, token_files, url_filter
 from .common import table
 
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\\### Assistant: </turn> ok"
+    extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.format_report(rows.unionByName(extra))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    return url_filter.judged(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored_report(table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_benchmark_decontamination, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_chat_formatting,
+        op3_line_dedup,
+        op4_benchmark_decontamination,
+        op5_url_filter,
+        op6_token_files,
+        op7_html_extraction,
+        op8_language_id,
+        op9_sentencepiece,
+        op10_exact_dedup,
+    )
+}
 
 ORACLES = {
     "op1_minhash_near_dedup": """
@@ -33,6 +82,26 @@ both_ways as (select x, y from e union all select y, x from e),
 reach(x, y) as (select doc_id, doc_id from d union select r.x, b.y from reach r join both_ways b on r.y = b.x)
 select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, c.component_id, d.doc_id = c.component_id kept
 from d left join n using (doc_id) join (select x, min(y) component_id from reach group by x) c on c.x = d.doc_id""",
+    "op2_chat_formatting": """
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+o as (select *, row_number() over w rn, lag(role) over w before from c window w as (partition by conv_id order by turn, role, text)),
+e as (select *, length(text) + length(text) - length(translate(text, '\\<#', '')) n,
+  length(role) + length(role) - length(translate(role, '\\<#:', '')) + 6 h from o)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by rn)) turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
+  sha256(coalesce(string_agg(text, '' order by rn) filter (role = 'assistant'), '')) loss_sha256,
+  cast(sum(n + case when before is null then h when before = role then 5 else h + 9 end) + 9 as bigint) formatted_chars
+from e group by conv_id""",
+    "op3_line_dedup": """
+with d as (select doc_id, string_split(text, chr(10)) l from documents),
+w as (select doc_id, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] g from d, unnest(range(1, len(l) - 1)) u(p)),
+later as (select doc_id, p from (select doc_id, p, row_number() over (partition by g order by doc_id, p) rn from w) where rn > 1),
+c as (select doc_id, list_sort(list(distinct x)) r from later, unnest(range(p, p + 3)) u(x) group by doc_id)
+select doc_id, cast(coalesce(len(l), 0) as bigint) n_lines, cast(coalesce(len(r), 0) as bigint) n_removed,
+  coalesce(array_to_string([x - 1 for x in r], ','), '') removed,
+  sha256(coalesce(array_to_string([x for x, i in l if r is null or not list_contains(r, i)], chr(10)), '')) text_sha256
+from d left join c using (doc_id)""",
     "op4_benchmark_decontamination": """
 with dw as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
 bw as (select item_id, w, least(10, len(w)) m from (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark) where len(w) > 0),
