@@ -6,7 +6,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types
 
 # Character sets, languages and words that results depend on.
 TRAILING = ",.;:!?，。；：！？、)]}）】」』"
@@ -67,7 +67,7 @@ def content_only(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, f"[^0-9A-Za-z{IDEOGRAPHS}]", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(types.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Spark has no normal forms; this is the one Python function of this module, on Arrow batches."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -98,11 +98,13 @@ def needs_space(left: Column, right: Column) -> Column:
 def join_parts(parts: Column) -> Column:
     """One text of an array of parts: stripped, empty ones skipped, spaces where needs_space says so."""
     kept = F.filter(F.transform(parts, strip), lambda p: p != "")
-    glue = F.transform(
-        kept,
-        lambda p, i: F.when(i == 0, p).when(needs_space(F.right(F.get(kept, i - 1), F.lit(1)), F.left(p, F.lit(1))), F.concat(F.lit(" "), p)).otherwise(p),
-    )
-    return F.array_join(glue, "")
+
+    def joined(k: Column) -> Column:
+        tight = lambda p, i: (i == 0) | ~needs_space(F.right(F.get(k, i - 1), F.lit(1)), F.left(p, F.lit(1)))
+        return F.array_join(F.transform(k, lambda p, i: F.when(tight(p, i), p).otherwise(F.concat(F.lit(" "), p))), "")
+
+    # The list is bound to a lambda's variable, or it would be made again for each of its elements.
+    return F.get(F.transform(F.array(kept), joined), 0)
 
 
 def append_missing(text: Column, trailing: Column) -> Column:

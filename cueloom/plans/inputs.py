@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-EPOCH_MS = 1_704_067_200_000
+EPOCH_US = 1_704_067_200_000_000
 DURATION = 4400.0
 TOKEN_KEYS = ["media_id", "window_index"]
 
@@ -20,12 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "cast(conv_id as string) media_id", "cast(turn + 1 as int) id", "(turn * 4250 + conv_id % 7 * 100) / 1000.0D start", "(turn * 4250 + conv_id % 7 * 100 + 3000 + turn % 3 * 700) / 1000.0D end",
-        "text", "case turn % 4 when 0 then upper(text) when 1 then '' end proofread", "case turn % 2 when 0 then concat('T: ', text) end translation",
+        "text", "case turn % 4 when 0 then concat('P: ', text) when 1 then '' end proofread", "case turn % 2 when 0 then concat('T: ', text) end translation",
     )
 
 
 CUES = """cues as (select cast(conv_id as varchar) media_id, cast(turn + 1 as int) id, (turn * 4250 + conv_id % 7 * 100) / 1000.0::double as start, (turn * 4250 + conv_id % 7 * 100 + 3000 + turn % 3 * 700) / 1000.0::double as "end",
-  text, case turn % 4 when 0 then upper(text) when 1 then '' end proofread, case turn % 2 when 0 then concat('T: ', text) end translation from conversations)"""
+  text, case turn % 4 when 0 then concat('P: ', text) when 1 then '' end proofread, case turn % 2 when 0 then concat('T: ', text) end translation from conversations)"""
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +40,11 @@ tokens as (select cast(conv_id as varchar) media_id, cast(turn as int) window_in
 
 
 def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"(unix_millis(cast(ts as timestamp)) - {EPOCH_MS}) div 600 / 1000.0D"
+    at = f"(unix_micros(cast(ts as timestamp)) - {EPOCH_US}) div 600000 / 1000.0D"
     return table(spark, sf_dir, "events").selectExpr("cast(user_id as string) media_id", f"{at} start", f"{at} + 1.0D + value end")
 
 
-SPEECH = f"""speech as (select cast(user_id as varchar) media_id, (epoch_ms(ts) - {EPOCH_MS}) // 600 / 1000.0::double as start, (epoch_ms(ts) - {EPOCH_MS}) // 600 / 1000.0::double + 1.0::double + value as "end" from events),
+SPEECH = f"""speech as (select cast(user_id as varchar) media_id, (epoch_us(ts) - {EPOCH_US}) // 600000 / 1000.0::double as start, (epoch_us(ts) - {EPOCH_US}) // 600000 / 1000.0::double + 1.0::double + value as "end" from events),
 media as (select distinct media_id, {DURATION}::double duration from speech)"""
 
 

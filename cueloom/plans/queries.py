@@ -153,22 +153,22 @@ def fn_boundaries(spark, sf):
     "fn_penalties",
     """@m as (select media_id, id, ("end" - start) / 4 d, length(text) n from cues)
 select media_id, id, case when d < 0.833::double then (0.833::double - d) / 0.833::double * 35 else 0 end short,
-  case when d > 7 then d / 7 - 1 else 0 end + case when n > 84 then n / 84.0::double - 1 else 0 end + case when n / d > 20 then n / d / 20 - 1 else 0 end over from m""",
+  case when d > 7 then d / 7 - 1 else 0 end + case when n > 84 then n / 84.0::double - 1 else 0 end + case when n / d > 20 then n / d / 20 - 1 else 0 end excess from m""",
     I.CUES,
 )
 def fn_penalties(spark, sf):
     rows = I.cues(spark, sf).select("media_id", "id", ((F.col("end") - F.col("start")) / 4).alias("d"), F.length("text").alias("n"))
-    return rows.select("media_id", "id", T.short_penalty(F.col("d")).alias("short"), T.overflow(F.col("d"), F.col("n"), F.col("n") / F.col("d"), F.lit("en")).alias("over"))
+    return rows.select("media_id", "id", T.short_penalty(F.col("d")).alias("short"), T.overflow(F.col("d"), F.col("n"), F.col("n") / F.col("d"), F.lit("en")).alias("excess"))
 
 
 @query(
     "fn_reply_json",
-    """select conv_id, turn, case when turn % 4 < 3 then '{"n":' || turn || '}' end body, case when turn % 4 < 3 then turn end as n from conversations""",
+    """select conv_id, turn, case when turn % 4 < 3 then '{"n":' || turn || '}' end body, case when turn % 4 < 3 then turn else -1 end as n from conversations""",
 )
 def fn_reply_json(spark, sf):
     reply = F.expr("""case turn % 4 when 0 then concat('{"n":', turn, '}') when 1 then concat('```json\n{"n":', turn, '}\n```') when 2 then concat('Sure: {"n":', turn, '} as asked') else 'no JSON [here' end""")
     rows = I.table(spark, sf, "conversations").select("conv_id", "turn", T.json_part(reply).alias("body"))
-    return rows.withColumn("n", F.get_json_object("body", "$.n").cast("long"))
+    return rows.withColumn("n", F.coalesce(F.get_json_object("body", "$.n").cast("long"), F.lit(-1).cast("long")))
 
 
 @query(
@@ -477,7 +477,7 @@ def win_event_sessions(spark, sf):
 
 
 ENDS = """sized as (select *, length(text) n, sum(length(text)) over (partition by media_id, window_index order by pos) upto from tokens),
-asked as (select distinct media_id, window_index, upto - upto % 13 + 5 as at from sized where upto - upto % 13 + 5 < 100000)"""
+asked as (select distinct media_id, window_index, upto - upto % 13 + 5 as "at" from sized where upto - upto % 13 + 5 < 100000)"""
 
 
 def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -487,8 +487,8 @@ def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "win_nearest_boundaries",
-    """@r as (select media_id, window_index, a.at, pos, row_number() over (partition by media_id, window_index, a.at order by abs(upto - a.at), upto) k from asked a join sized using (media_id, window_index))
-select media_id, window_index, pos as position, cast(min(at) as bigint) as at from r where k = 1 group by all""",
+    """@r as (select media_id, window_index, a."at", pos, row_number() over (partition by media_id, window_index, a."at" order by abs(upto - a."at"), upto) k from asked a join sized using (media_id, window_index))
+select media_id, window_index, pos as position, cast(min("at") as bigint) as "at" from r where k = 1 group by all""",
     I.TOKENS, ENDS,
 )
 def win_nearest_boundaries(spark, sf):
@@ -498,8 +498,8 @@ def win_nearest_boundaries(spark, sf):
 
 @query(
     "win_proportional_times",
-    """@r as (select media_id, window_index, a.at, start + (a.at - (upto - n)) / n::double * ("end" - start) as t, row_number() over (partition by media_id, window_index, a.at order by pos) k from asked a join sized using (media_id, window_index) where upto >= a.at)
-select media_id, window_index, cast(at as bigint) as at, round(t, 9) as time from r where k = 1""",
+    """@r as (select media_id, window_index, a."at", start + (a."at" - (upto - n)) / n::double * ("end" - start) as t, row_number() over (partition by media_id, window_index, a."at" order by pos) k from asked a join sized using (media_id, window_index) where upto >= a."at")
+select media_id, window_index, cast("at" as bigint) as "at", round(t, 9) as time from r where k = 1""",
     I.TOKENS, ENDS,
 )
 def win_proportional_times(spark, sf):
@@ -521,10 +521,10 @@ def win_boundary_times(spark, sf):
 # --- joins, aggregates, spans ------------------------------------------------
 
 
-@query("jn_patched_cues", "select media_id, id, text, case when id % 2 = 0 then upper(text) end proofread from cues", I.CUES)
+@query("jn_patched_cues", "select media_id, id, text, case when id % 2 = 0 then 'P: ' || text end proofread from cues", I.CUES)
 def jn_patched_cues(spark, sf):
     cues = I.cues(spark, sf)
-    return K.patched(cues, cues.where("id % 2 = 0").select("media_id", "id", F.upper("text").alias("text")), "proofread").select("media_id", "id", "text", "proofread")
+    return K.patched(cues, cues.where("id % 2 = 0").select("media_id", "id", F.concat(F.lit("P: "), "text").alias("text")), "proofread").select("media_id", "id", "text", "proofread")
 
 
 MADE = """glued as (select *, lag(text) over (partition by media_id, window_index, group_id order by atom_id) q from grouped),
@@ -651,7 +651,7 @@ def seg_parsed_replies(spark, sf):
     return S.parsed_replies(replies, atoms, I.TOKEN_KEYS).select(*I.TOKEN_KEYS, "error", "ends")
 
 
-@query("seg_context_punctuation", "select media_id, window_index, cast(atom_id as int) atom_id, text from atoms", I.TOKENS, GROUPED)
+@query("seg_context_punctuation")
 def seg_context_punctuation(spark, sf):
     """Words without their punctuation get it back from the turn's text."""
     bare = I.tokens(spark, sf).withColumn("text", F.expr("case when text rlike '^[0-9A-Za-z]+[,.]+$' then regexp_replace(text, '[,.]+$', '') else text end"))
