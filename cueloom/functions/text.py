@@ -21,6 +21,7 @@ IDEOGRAPHS = "㐀-鿿぀-ヿ가-힯"
 BREAK_BEFORE = "and as because but for if in nor of on or so that to when while with yet".split()
 JA, ZH, EN = ("ja", "japanese", "日本"), ("zh", "chinese", "mandarin", "中文", "汉", "漢"), ("en", "english")
 SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,8 @@ def char_class(chars: str) -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^(?:{SPACE})+|(?:{SPACE})+$", "")
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
@@ -88,11 +90,18 @@ def for_alignment(text: Column, language: Column | None = None) -> Column:
     return F.when(F.lower(F.coalesce(language, F.lit(""))).rlike("^j[ap]"), F.translate(plain, KATAKANA, hiragana)).otherwise(plain)
 
 
+def _ideograph(char: Column) -> Column:
+    return char.between("㐀", "鿿") | char.between("぀", "ヿ") | char.between("가", "힯")
+
+
+def _digit(char: Column) -> Column:
+    return F.when(char < "\x80", F.contains(F.lit("0123456789"), char)).otherwise(char.rlike(r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]$"))
+
+
 def needs_space(left: Column, right: Column) -> Column:
-    """Whether a space stands between two neighbouring characters of joined parts."""
-    tight = left.rlike(f"^({char_class(LEADING + WIDE_STOPS)}|'|[{IDEOGRAPHS}])$") | right.rlike(f"^({char_class(TRAILING)}|'|[{IDEOGRAPHS}])$")
-    digit = r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]$"
-    return ~(tight | (left.rlike(digit) & right.rlike(digit)))
+    """Whether a space stands between two neighbouring characters of joined parts. Each is one character."""
+    tight = F.contains(F.lit(LEADING + WIDE_STOPS + "'"), left) | F.contains(F.lit(TRAILING + "'"), right) | _ideograph(left) | _ideograph(right)
+    return ~(tight | (_digit(left) & _digit(right)))
 
 
 def join_parts(parts: Column) -> Column:
