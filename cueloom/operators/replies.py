@@ -29,25 +29,36 @@ def _well_typed(items: Column) -> Column:
     return F.forall(each, good)
 
 
-def corrections(replies: DataFrame) -> DataFrame:
-    """Valid proofreading replies, exploded: keys of the batch, id, text. A batch is rejected as a whole.
+def checked(replies: DataFrame, kind: str) -> DataFrame:
+    """media_id, batch_id, got (the items) and valid, per batch; a batch is rejected as a whole.
 
-    ``replies`` has media_id, batch_id, reply and ids (those of the batch). Ids must be of the batch and unique.
+    ``replies`` has media_id, batch_id, reply and ids (those of the batch). For ``proofread`` the ids must be of the
+    batch and unique, for ``translate`` they must be the batch's in its order.
     """
-    return _valid(replies, lambda got, ids: (F.size(F.array_except(got, ids)) == 0) & (F.size(F.array_distinct(got)) == F.size(got)))
+    ids, got = F.col("ids").cast("array<long>"), F.transform("got", lambda x: x["i"])
+    rules = {"translate": got == ids, "proofread": (F.size(F.array_except(got, ids)) == 0) & (F.size(F.array_distinct(got)) == F.size(got))}
+    if kind not in rules:
+        raise ValueError(f"unknown kind: {kind}")
+    rows = replies.withColumn("items", _items(F.col("reply")))
+    typed = F.col("items").isNotNull() & F.coalesce(_well_typed(F.col("items")), F.lit(False))
+    rows = rows.withColumn("got", F.when(typed, F.from_json("items", ITEM)))
+    return rows.select("media_id", "batch_id", "got", F.coalesce(F.col("got").isNotNull() & rules[kind], F.lit(False)).alias("valid"))
 
 
-def translations(replies: DataFrame) -> DataFrame:
-    """Valid translation replies, exploded: the ids must be the batch's, in its order."""
-    return _valid(replies, lambda got, ids: got == ids)
+def accepted(rows: DataFrame) -> DataFrame:
+    """media_id, batch_id, id and text of the valid batches of ``checked``."""
+    items = rows.where("valid").select("media_id", "batch_id", F.inline("got"))
+    return items.select("media_id", "batch_id", F.col("i").alias("id"), T.strip(F.col("t")).alias("text"))
+
+
+def corrections(replies: DataFrame) -> DataFrame:
+    """Valid proofreading replies: media_id, batch_id, id, text."""
+    return accepted(checked(replies, "proofread"))
 
 
-def _valid(replies: DataFrame, rule) -> DataFrame:
-    rows = replies.withColumn("items", _items(F.col("reply"))).where(F.col("items").isNotNull())
-    rows = rows.where(_well_typed(F.col("items"))).withColumn("got", F.from_json("items", ITEM))
-    ids = F.col("ids").cast("array<long>")
-    kept = rows.where(rule(F.transform("got", lambda x: x["i"]), ids))
-    return kept.select("media_id", "batch_id", F.inline("got")).select("media_id", "batch_id", F.col("i").alias("id"), T.strip(F.col("t")).alias("text"))
+def translations(replies: DataFrame) -> DataFrame:
+    """Valid translation replies: media_id, batch_id, id, text."""
+    return accepted(checked(replies, "translate"))
 
 
 def timed_items(items: DataFrame) -> DataFrame:

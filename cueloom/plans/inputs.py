@@ -74,18 +74,18 @@ LINE_MEDIA = "line_media as (select cast(conv_id as varchar) media_id, max(turn)
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two artifacts per labelled document: its transcript, and for odd ids the alignment of it; media are sources."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    """Artifacts of labelled documents: the transcript, and of those that are not toxic the alignment too; media are sources."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
     asr = docs.selectExpr(*_COMMON, "'asr' kind", "lang language", "cast(null as string) transcript_sha1", "concat('said ', doc_id) payload")
-    placed = docs.where("doc_id % 2 = 1").selectExpr(*_COMMON, "'alignment' kind", "lang language", "sha1(text) transcript_sha1", "concat('placed ', doc_id) payload")
+    placed = docs.where("toxic = 0").selectExpr(*_COMMON, "'alignment' kind", "lang language", "sha1(text) transcript_sha1", "concat('placed ', doc_id) payload")
     return asr.unionByName(placed)
 
 
 _COMMON = ["source media_id", "cast(doc_id as int) window_index", "doc_id * 1.5D start", "doc_id * 1.5D + 2.25D end", "1 version", "case when quality = 1 then 'large' else 'small' end model_id", "1700000000 + doc_id * 17 % 100000 mtime"]
-ARTIFACTS = """docs as (select * from documents join (select doc_id, quality from labels) using (doc_id)),
+ARTIFACTS = """docs as (select * from documents join (select doc_id, quality, toxic from labels) using (doc_id)),
 artifacts as (select source media_id, cast(doc_id as int) window_index, doc_id * 1.5::double as start, doc_id * 1.5::double + 2.25::double as "end", 1 as version, case when quality = 1 then 'large' else 'small' end model_id,
   1700000000 + doc_id * 17 % 100000 mtime, 'asr' kind, lang as language, null::varchar transcript_sha1, concat('said ', doc_id) payload from docs
-  union all select source, cast(doc_id as int), doc_id * 1.5::double, doc_id * 1.5::double + 2.25::double, 1, case when quality = 1 then 'large' else 'small' end, 1700000000 + doc_id * 17 % 100000, 'alignment', lang, sha1(text), concat('placed ', doc_id) from docs where doc_id % 2 = 1)"""
+  union all select source, cast(doc_id as int), doc_id * 1.5::double, doc_id * 1.5::double + 2.25::double, 1, case when quality = 1 then 'large' else 'small' end, 1700000000 + doc_id * 17 % 100000, 'alignment', lang, sha1(text), concat('placed ', doc_id) from docs where toxic = 0)"""
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:

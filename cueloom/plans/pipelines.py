@@ -52,9 +52,8 @@ def edited(cues: DataFrame, ask: Callable, kind: str, size: int = 40) -> DataFra
     asked = batches.groupBy("media_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("i"), F.col("text").alias("t")))).alias("items"))
     prompts = asked.select("media_id", "batch_id", F.transform("items", lambda x: x["i"]).alias("ids"), F.concat(F.lit(f"{kind} as JSON, keeping every i: "), F.to_json("items")).alias("prompt"))
     said = shared_table(providers.replied(prompts, ask))
-    valid = replies.translations(said) if kind == "translate" else replies.corrections(said)
-    patches = shared_table(valid)
-    lost = said.join(patches.select("media_id", "batch_id").distinct(), ["media_id", "batch_id"], "left_anti") if kind == "translate" else said.where("reply is null")
-    if lost.take(1):
+    rows = shared_table(replies.checked(said, kind))
+    if rows.where("not valid").take(1):
         raise ValueError(f"{kind}: a batch of replies is not valid")
+    patches = replies.accepted(rows)
     return tok.patched(cues, patches, "translation" if kind == "translate" else "proofread")

@@ -279,11 +279,11 @@ def snk_output_matrix(spark, sf):
     return render.output_matrix(spark, I.cues(spark, sf).select("media_id").distinct(), ["srt", ".JSON", "srt"], translation=True, bilingual=True)
 
 
-NEW = "fresh as (select media_id, window_index, start, \"end\", version, model_id, mtime + 500000 as mtime, kind, language, transcript_sha1, case when window_index % 4 = 0 then payload else payload || ' again' end payload from artifacts where kind = 'asr' and window_index % 2 = 0)"
+NEW = "fresh as (select media_id, window_index, start, \"end\", version, model_id, mtime + 500000 as mtime, kind, language, transcript_sha1, case when window_index % 4 = 0 then payload else payload || ' again' end payload from artifacts where kind = 'asr' and language <> 'en')"
 
 
 def _fresh(held: DataFrame) -> DataFrame:
-    return held.where("kind = 'asr' and window_index % 2 = 0").withColumn("mtime", F.col("mtime") + 500000).withColumn("payload", F.expr("case when window_index % 4 = 0 then payload else concat(payload, ' again') end"))
+    return held.where("kind = 'asr' and language <> 'en'").withColumn("mtime", F.col("mtime") + 500000).withColumn("payload", F.expr("case when window_index % 4 = 0 then payload else concat(payload, ' again') end"))
 
 
 @query(
@@ -313,13 +313,13 @@ def snk_retained_artifacts(spark, sf):
 
 @query(
     "jn_active_artifacts",
-    """select media_id, window_index, kind from artifacts a where not exists (from windows w where w.media_id = a.media_id and w.window_index % 2 = 0)
-  or exists (from windows w where w.window_index % 2 = 0 and w.media_id = a.media_id and w.window_index = a.window_index and w.start = a.start and w."end" = a."end")""",
+    """select media_id, window_index, kind from artifacts a where not exists (from windows w where w.media_id = a.media_id and w.hint <> 'en')
+  or exists (from windows w where w.hint <> 'en' and w.media_id = a.media_id and w.window_index = a.window_index and w.start = a.start and w."end" = a."end")""",
     I.ARTIFACTS,
     I.WINDOWS,
 )
 def jn_active_artifacts(spark, sf):
-    return A.active_only(I.artifacts(spark, sf), I.windows(spark, sf).where("window_index % 2 = 0")).select("media_id", "window_index", "kind")
+    return A.active_only(I.artifacts(spark, sf), I.windows(spark, sf).where("hint <> 'en'")).select("media_id", "window_index", "kind")
 
 
 @query("agg_latest_artifacts", "select media_id, kind, arg_max(payload, mtime) payload, max(mtime) mtime from (select *, row_number() over (partition by media_id, window_index, kind order by mtime desc, payload) n from (from artifacts union all by name from fresh)) where n = 1 group by all", I.ARTIFACTS, NEW)
@@ -359,9 +359,16 @@ def flt_connected_tokens(spark, sf):
     return K.connected_tokens(_gappy(I.tokens(spark, sf))).select("media_id", "window_index", "pos")
 
 
-@query("flt_connected_or_all", "select media_id, window_index, pos from near where ok or media_id not in (select media_id from near where ok)", I.TOKENS, GAPPY.replace("from tokens", "from tokens where cast(media_id as int) % 3 > 0 or pos < 1"), NEAR)
+SPREAD = """gappy as (select media_id, window_index, pos, start + k * 100.0::double as start, "end" + k * 100.0::double as "end" from (select *, case when cast(media_id as int) % 3 = 0 then row_number() over (partition by media_id order by start, "end", window_index, pos) else 0 end k from close))"""
+
+
+@query("flt_connected_or_all", "select media_id, window_index, pos from near where ok or media_id not in (select media_id from near where ok)", I.TOKENS, GAPPY.replace("gappy as", "close as"), SPREAD, NEAR)
 def flt_connected_or_all(spark, sf):
-    return K.connected_or_all(_gappy(I.tokens(spark, sf).where("cast(media_id as int) % 3 > 0 or pos < 1"))).select("media_id", "window_index", "pos")
+    """The tokens of every third media are so far apart that none has a neighbour."""
+    order = Window.partitionBy("media_id").orderBy("start", "end", "window_index", "pos")
+    rows = _gappy(I.tokens(spark, sf)).withColumn("k", F.when(F.col("media_id").cast("int") % 3 == 0, F.row_number().over(order)).otherwise(0) * 100.0)
+    spread = rows.withColumn("start", F.col("start") + F.col("k")).withColumn("end", F.col("end") + F.col("k"))
+    return K.connected_or_all(spread).select("media_id", "window_index", "pos")
 
 
 @query("flt_refinable_tokens", "select media_id, window_index, count(*) n from gappy where trim(text) <> '' and \"end\" > start group by all", I.TOKENS, GAPPY)
@@ -509,22 +516,22 @@ def win_proportional_times(spark, sf):
 
 @query(
     "win_boundary_times",
-    """@t as (select *, case when id % 3 = 1 then "end" + 0.125::double end time from cues)
+    """@t as (select *, case when translation is not null then "end" + 0.125::double end time from cues)
 select media_id, id, text, coalesce(lag(time) over w, start) as start, case when lead(id) over w is null then "end" else coalesce(time, "end") end as "end" from t window w as (partition by media_id order by id)""",
     I.CUES,
 )
 def win_boundary_times(spark, sf):
     cues = I.cues(spark, sf)
-    return W.apply_boundary_times(cues, cues.where("id % 3 = 1").select("media_id", "id", (F.col("end") + 0.125).alias("time")))
+    return W.apply_boundary_times(cues, cues.where("translation is not null").select("media_id", "id", (F.col("end") + 0.125).alias("time")))
 
 
 # --- joins, aggregates, spans ------------------------------------------------
 
 
-@query("jn_patched_cues", "select media_id, id, text, case when id % 2 = 0 then 'P: ' || text end proofread from cues", I.CUES)
+@query("jn_patched_cues", "select media_id, id, text, case when translation is not null then 'P: ' || text end proofread from cues", I.CUES)
 def jn_patched_cues(spark, sf):
     cues = I.cues(spark, sf)
-    return K.patched(cues, cues.where("id % 2 = 0").select("media_id", "id", F.concat(F.lit("P: "), "text").alias("text")), "proofread").select("media_id", "id", "text", "proofread")
+    return K.patched(cues, cues.where("translation is not null").select("media_id", "id", F.concat(F.lit("P: "), "text").alias("text")), "proofread").select("media_id", "id", "text", "proofread")
 
 
 MADE = """glued as (select *, lag(text) over (partition by media_id, window_index, group_id order by atom_id) q from grouped),
@@ -661,7 +668,7 @@ def seg_context_punctuation(spark, sf):
 
 @query("seg_hybrid_cues")
 def seg_hybrid_cues(spark, sf):
-    """Sentences; overlong ones by a stand-in model for every second window, by hard splits elsewhere."""
+    """Sentences; overlong ones by a stand-in model if they last over nine seconds, by hard splits else."""
     words = I.tokens(spark, sf).withColumn("language", F.lit("en"))
     grouped = shared_table(S.sentence_groups(words, I.TOKEN_KEYS))
     metrics = shared_table(K.group_metrics(grouped, I.TOKEN_KEYS, F.lit("en")).withColumn("overlong", T.overlong(F.col("duration"), F.col("length"), F.lit("en"))))
@@ -669,7 +676,7 @@ def seg_hybrid_cues(spark, sf):
     keys = [*I.TOKEN_KEYS, "group_id"]
     long = grouped.join(metrics.where("overlong").select(*keys), keys, "left_semi").drop("opens", "atom_id")
     hard = S.segmented(long.select(*keys, "pos", "text", "start", "end", "language").withColumnRenamed("group_id", "part"), [*I.TOKEN_KEYS, "part"], "hard").withColumnRenamed("part", "group_id")
-    model = K.cues_of_groups(long.where("window_index % 2 = 0").withColumnRenamed("group_id", "part").withColumn("group_id", F.floor(F.col("pos") / 8)), [*I.TOKEN_KEYS, "part"]).drop("group_id").withColumnRenamed("part", "group_id")
+    model = K.cues_of_groups(long.join(metrics.where("duration > 9").select(*keys), keys, "left_semi").withColumnRenamed("group_id", "part").withColumn("group_id", F.floor(F.col("pos") / 8)), [*I.TOKEN_KEYS, "part"]).drop("group_id").withColumnRenamed("part", "group_id")
     return S.chosen_cues(cues, model, hard, I.TOKEN_KEYS)
 
 
