@@ -248,8 +248,8 @@ _WORKER: dict = {}
 def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        if _WORKER.get("model") != id(m):
-            _WORKER.update(model=id(m), segmenter=Segmenter(m.pieces), known={}, held=np.empty((CACHE + 1, len(m.langs))))
+        if _WORKER.get("model") is not m:
+            _WORKER.update(model=m, segmenter=Segmenter(m.pieces), known={}, held=np.empty((CACHE + 1, len(m.langs))))
         segmenter, known, held = _WORKER["segmenter"], _WORKER["known"], _WORKER["held"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
