@@ -38,6 +38,8 @@ LONGEST = 40
 SMOOTHING = 0.1
 FLOOR = 1e-7
 CACHE = 300_000
+#: More labels than this are no languages; the model's size is bounded by them.
+MOST_LANGUAGES = 1000
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 18
@@ -205,7 +207,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUND
     """Fit on (doc_id, text, lang); all languages of the table are learned, from ``sample_rows`` rows in expectation."""
     spark = labelled.sparkSession
     rows = labelled.where("doc_id is not null and text is not null and lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(r[0] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     total = rows.count()
     pieces = public_pieces(vocabulary)
     if not total:
