@@ -32,7 +32,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
-    return url_filter.judged(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return url_filter.judged(table(spark, sf_dir, "pages"), labels, URL_RULES).withColumn("bad_share", F.round("bad_share", 9))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,33 @@ QUERIES = {
     )
 }
 
+def _url_sql() -> str:
+    """The rules and the path-template tree, level by level, as SQL."""
+    levels = "".join(
+        f"""
+b{k} as (select host, t, segs[{k + 1}] seg, sum(n) n, sum(l) l, sum(b) b from t{k} where len(segs) > {k} group by all),
+n{k} as (select host, t, count(*) w, sum(n) wn, sum(l) wl, sum(b) wb from b{k} group by all),
+z{k} as (select host, t, seg, w, wn, abs(b / nullif(l, 0) - (wb - b) / nullif(wl - l, 0)) / nullif(sqrt(wb / nullif(wl, 0) * (1 - wb / nullif(wl, 0)) * (1 / nullif(l, 0) + 1 / nullif(wl - l, 0))), 0) z from b{k} join n{k} using (host, t)),
+m{k} as (select host, t, seg, case when (w >= {url_filter.WIDE} and wn < {url_filter.RECUR} * w) or coalesce(z, 0) < {url_filter.Z} then '*' else seg end as name from z{k}),
+t{k + 1} as (select x.host, path, segs, n, l, b, case when len(segs) > {k} then x.t || '/' || m.name else x.t end t from t{k} x left join m{k} m on m.host = x.host and m.t = x.t and m.seg = x.segs[{k + 1}]),"""
+        for k in range(url_filter.DEPTH)
+    )
+    rules = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES.items())
+    return f"""
+with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end u from pages),
+p as (select page_id, translate(regexp_extract(u, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) path from a),
+bad as (select doc_id, max(case when toxic = 1 or quality = 0 then 1 else 0 end) bad from labels group by doc_id),
+d as (select host, path, count(*) n, try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1), '') as bigint) number from p group by host, path),
+t0 as (select host, path, list_filter(string_split(path, '/'), lambda s: s <> '') segs, n, case when bad is null then 0 else 1 end l, coalesce(bad, 0) b, '' t from d left join bad on doc_id = number),{levels}
+f as (select host, path, l, b, case when len(segs) > {url_filter.DEPTH} then t || '/**' else t end as template from t{url_filter.DEPTH}),
+g as (select sum(b) / sum(l) share from f),
+s as (select host, template, round((sum(b) + {url_filter.PRIOR} * any_value(share)) / (sum(l) + {url_filter.PRIOR}), 9) bad_share from f, g group by host, template),
+r(rule, rhost, rpath, said) as (values {rules}),
+w as (select page_id, arg_max(rule, length(rule)) as rule from (select distinct page_id, host, path from p) q join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id)
+select p.page_id, p.host, p.path, w.rule, coalesce(said, case when bad_share >= {url_filter.REJECT} then 'block' else 'allow' end) verdict, f.template, bad_share
+from p join f on f.host = p.host and f.path = p.path join s on s.host = f.host and s.template = f.template left join w on w.page_id = p.page_id left join r on r.rule = w.rule"""
+
+
 ORACLES = {
     "op1_minhash_near_dedup": """
 with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
@@ -113,6 +140,11 @@ items as (select doc_id, count(distinct item_id) n_items, array_to_string(list_s
 select doc_id, cast(coalesce(len(w), 0) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from dw left join words using (doc_id) left join items using (doc_id)""",
+    "op5_url_filter": _url_sql(),
+    "op7_html_extraction": """
+with b as (select page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1|div)>') parts from pages),
+t as (select page_id, url, array_to_string(list_filter([trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) for x in parts], lambda x: x <> ''), chr(10)) as text from b)
+select page_id, url, text, cast(length(text) as bigint) n_chars from t""",
     "op10_exact_dedup": """
 with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') n from documents),
 g as (select doc_id, n, first_value(doc_id) over (partition by n order by length(t) desc, doc_id) keep_id, count(*) over (partition by n) group_size from d)
