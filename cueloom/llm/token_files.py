@@ -7,8 +7,8 @@ parallel and skip by id. Each row also has its range's number and its offset in
 it, so the global offset of a document needs no more than the ranges' totals.
 
 Texts get the ids that the tokenizers library gives them. Its pre-tokenisation
-cuts them into pieces that are merged alone, so each distinct piece is encoded
-once, by the library, and remembered. Texts with a string of the vocabulary's
+never goes over a single space, nor from a word over a stop, so each distinct
+word with the space before it is encoded once, by the library, and remembered. Texts with a string of the vocabulary's
 special tokens, or with characters that Python's classes see in another way
 than the library's pattern, go to the library whole.
 
@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import shared_dir
-from .pools import Pool
+from .common import mix64, odd_constants, shared_dir
+from .pools import HashedPool, Pool, gather
 
 END_ID = 0
 SLICE = 128
-CACHE = 800_000
+CACHE, PIECES = 800_000, 100_000
 VOCABULARY = "byte_bpe_50k.json"
 STORED = "doc_id long, ids array<int>, range_id int, range_start long"
 
@@ -44,6 +44,15 @@ STORED = "doc_id long, ids array<int>, range_id int, range_start long"
 PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+#: Bytes as kinds: a word's, a stop, white space, other. Two bytes of these kinds in a row let no cut at a stop be seen.
+KINDS = bytes(0x2E if c in b".," else 0x20 if c == 0x20 or 9 <= c <= 13 or 28 <= c <= 31 else 0x61 if c >= 0x80 or chr(c).isalnum() else 0x21 for c in range(256))
+UNCLEAR = (b"  ", b" .", b"..", b"!.")
+CUTS = np.array([k in (0x20, 0x2E) for k in KINDS])
+#: Bytes of a unit that is looked up by its hash; texts with longer ones are cut into pieces.
+LONGEST = 64
+FACTORS = odd_constants(7, LONGEST + 1)
+
+
 def odd_characters() -> frozenset[str]:
     """Numbers that are no decimal digits, and separators that only Python takes for white space."""
     every = map(chr, range(sys.maxunicode + 1))
@@ -57,45 +66,118 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = odd_characters()
-        self.pool = Pool(np.int32, CACHE)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each unit comes once
+        self.odd, self.letters = odd_characters(), set()
+        self.pool, self.hashed = Pool(np.int32, PIECES), HashedPool(np.int32, CACHE)
         # Bytes that each id stands for: its characters, one a byte.
         self.width = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
 
-    def learn(self, new: list[str]) -> None:
-        """Encode distinct pieces: those of one space and more as one text, cut where their bytes end; the others alone."""
-        joined = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+    def encode_units(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, sizes, ids) of distinct units: most go as one text, cut where their bytes end, others alone.
+
+        ``order`` has the numbers of the units that ``sizes`` and ``ids`` follow; those with odd characters are left out.
+        """
+        bad = set() if self.odd.isdisjoint(set("".join(units))) else {k for k, p in enumerate(units) if not self.odd.isdisjoint(p)}
+        joined = [k for k, p in enumerate(units) if len(p) > 1 and p[0] == " " and not p[1].isspace() and k not in bad]
+        chosen = set(joined) | bad
+        alone = [k for k in range(len(units)) if k not in chosen]
+        sizes, ids = [], []
         if joined:
-            ids = np.array(self.tokenizer.encode("".join(joined), add_special_tokens=False).ids, np.int32)
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in joined])) + 1
-            self.pool.add(joined, np.diff(ends, prepend=0), ids)
-        alone = list(set(new).difference(joined))
+            ids.append(np.array(self.tokenizer.encode_batch_fast(["".join([units[k] for k in joined])], add_special_tokens=False)[0].ids, np.int32))
+            ends = np.searchsorted(np.cumsum(self.width[ids[0]]), np.cumsum([len(units[k].encode()) for k in joined])) + 1
+            sizes.append(np.diff(ends, prepend=0))
         if alone:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.pool.add(alone, sizes, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum())))
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([units[k] for k in alone], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for x in found for i in x), np.int32, int(sizes[-1].sum())))
+        return joined + alone, np.concatenate(sizes or [np.empty(0, np.int64)]), np.concatenate(ids or [np.empty(0, np.int32)])
+
+    def clear(self, text: str, data: bytes) -> bool:
+        """Whether every stop and white space of the text follows a word, so that units can be cut there."""
+        kinds = data.translate(KINDS)
+        if not data or kinds[:1] == b"." or any(x in kinds for x in UNCLEAR) or any(x in text for x in self.special):
+            return False
+        if not text.isascii():
+            new = set(text).difference(self.letters)
+            self.letters.update(c for c in new if c.isascii() or c.isalpha())
+            return self.letters.issuperset(new)
+        return True
+
+    def encode_clear(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text, mask of the texts that must go elsewhere). Units are cut and looked up as arrays."""
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        whole = np.frombuffer(b"".join(data), np.uint8)
+        ends = np.cumsum(sizes)
+        cut = CUTS[whole]
+        cut[ends - sizes] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(starts, append=len(whole))
+        text_of = np.searchsorted(ends, starts, "right")
+        within = np.arange(len(whole)) - np.repeat(starts, lengths)
+        long = lengths > LONGEST
+        keys = mix64(np.add.reduceat((whole + np.uint64(1)) * FACTORS[np.minimum(within, LONGEST)], starts) + lengths.astype(np.uint64)) | np.uint64(1)
+        slots = self.hashed.find(keys)
+        for attempt in range(2):
+            new, first = np.unique(keys[(slots == -1) & ~long], return_index=True)
+            first = np.flatnonzero((slots == -1) & ~long)[first]
+            if self.hashed.count + len(new) > self.hashed.limit and not attempt:
+                self.hashed.clear()
+                slots = np.full(len(keys), -1, np.int32)
+                continue
+            break
+        if len(new):
+            raw = whole.tobytes()
+            order, found, ids = self.encode_units([raw[a:b].decode() for a, b in zip(starts[first].tolist(), (starts + lengths)[first].tolist())])
+            self.hashed.add(new[order], found, ids)
+            gone = np.flatnonzero(slots == -1)
+            slots[gone] = self.hashed.find(keys[gone])
+        bad = np.zeros(len(data), bool)
+        bad[text_of[(slots == -1) | long]] = True
+        good = ~bad[text_of]
+        ids, counts = self.hashed.runs.gather(slots[good].astype(np.int64))
+        return ids, np.bincount(text_of[good], counts, len(data)).astype(np.int64), bad
+
+    def encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) by the library's own pieces; texts with special or odd strings go whole."""
+        lists = [PIECE.findall(x) for x in texts]
+        bounds = np.cumsum([0, *map(len, lists)])
+
+        def learn(new: list[str]) -> None:
+            order, sizes, ids = self.encode_units(new)
+            self.pool.add([new[k] for k in order], sizes, ids)
+
+        slots = self.pool.resolve([p for x in lists for p in x], learn)
+        odd = np.unique(np.searchsorted(bounds, np.flatnonzero(slots < 0), "right") - 1).tolist()
+        runs = []
+        for k, text in enumerate(texts):
+            if k in odd or any(s in text for s in self.special):
+                runs.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
+            else:
+                runs.append(self.pool.gather(slots[bounds[k] : bounds[k + 1]])[0])
+        return np.concatenate(runs), np.array(list(map(len, runs)), np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each), without end ids."""
-        lists = [PIECE.findall(x) for x in texts]
-        new = self.pool.missing([p for x in lists for p in x])
-        bad = {p for p in new if not self.odd.isdisjoint(p)}
-        whole = {k for k, x in enumerate(texts) if any(s in x for s in self.special) or bad and not bad.isdisjoint(lists[k])}
-        for k in whole:
-            lists[k] = []
-        if new := [p for p in new if p not in bad] if bad else new:
-            self.learn(new)
-        flat = [p for x in lists for p in x]
-        ids, sizes = self.pool.gather(self.pool.slots(flat))
-        counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, lists)])])
-        if whole:
-            runs = np.split(ids, np.cumsum(counts)[:-1])
-            for k in whole:
-                runs[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.int32)
-            ids, counts = np.concatenate(runs), np.array([len(x) for x in runs], np.int64)
-        return ids, counts
+        data = [x.encode() for x in texts]
+        clear = np.array([self.clear(x, d) for x, d in zip(texts, data)], bool)
+        counts, parts = np.zeros(len(texts), np.int64), []
+        place = np.zeros(len(texts), np.int64)
+        if clear.any():
+            which = np.flatnonzero(clear)
+            ids, own, bad = self.encode_clear([data[k] for k in which])
+            counts[which], parts = own, [ids]
+            place[which] = np.cumsum(own) - own
+            clear[which[bad]] = False
+        if not clear.all():
+            which = np.flatnonzero(~clear)
+            ids, own = self.encode_pieces([texts[k] for k in which])
+            counts[which] = own
+            place[which] = sum(map(len, parts)) + np.cumsum(own) - own
+            parts.append(ids)
+        return gather(np.concatenate(parts), place, counts)
 
 
 _WORKER: dict = {}
@@ -128,10 +210,13 @@ def _writer(path: str | None):
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, ranges: int | None = None) -> None:
-    """Write doc_id, ids, range_id and range_start as ORC under ``out``, ascending by doc_id over the files' ranges."""
+    """Write doc_id, ids, range_id and range_start as ORC under ``out``, ascending by doc_id over the files' ranges.
+
+    There are as many ranges as splits of the input, at least one a shuffle partition.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if ranges is None:
-        ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     dealt = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
     (
         dealt.mapInArrow(_writer(tokenizer), STORED)
