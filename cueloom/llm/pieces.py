@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,7 +35,8 @@ from .pools import Pool, gather
 
 MARK = "▁"
 SLICE = 128
-CACHE = 300_000
+#: Words, and pairs of pieces, that a worker remembers.
+CACHE, PAIRS = 250_000, 400_000
 WORD = re.compile(r" *[^ ]+| +")
 
 
@@ -62,11 +64,14 @@ class Codec:
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_sizes = np.array([len(x) for x in shown], np.int64)
         self.shown_starts = np.cumsum(self.shown_sizes) - self.shown_sizes
-        self.longest = max(map(len, self.ids))
+        self.matcher = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.matcher.add_word(piece, (i, len(piece)))
+        self.matcher.make_automaton()  # gives the pieces that end at a place, the longest first
         self.rank = {i: -model.get_score(i) for i in self.ids.values()}
         self.texts = {i: p for p, i in self.ids.items()}
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.stays: dict[tuple[int, int], bool] = {}
+        self.stays: dict[int, bool] = {}
         self.pool = Pool(np.int32, CACHE)
 
     def split(self, piece: int) -> tuple[int, int] | None:
@@ -88,10 +93,7 @@ class Codec:
         Undo the merges on both sides of the seam, latest first: if at any moment a merge across the seam
         would have come before the one undone last, BPE had made it.
         """
-        known = self.stays.get((p, t))
-        if known is not None:
-            return known
-        if len(self.stays) > 2_000_000:
+        if len(self.stays) > PAIRS:
             self.stays.clear()
         a, b, bound, on_left = p, t, float("inf"), True
         while True:
@@ -109,13 +111,13 @@ class Codec:
                 bound, on_left, a = self.rank[a], True, left[1]
             else:
                 bound, on_left, b = self.rank[b], False, right[0]
-        self.stays[p, t] = out
+        self.stays[p << 20 | t] = out
         return out
 
     def encode_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Sorted words, sizes and ids of their encodings, by a depth-first walk of their trie."""
         words = sorted(words)
-        ids, fits, longest = self.ids, self.fits, self.longest
+        fits, known, matches = self.fits, self.stays.get, self.matcher.iter
         last: list[int] = [-1]  # the last piece at each prefix; -1 at the start and behind bytes
         back: list[int] = [0]
         previous = ""
@@ -125,16 +127,26 @@ class Codec:
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
             del last[shared + 1 :], back[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = ids.get(word[start:end])
-                    if piece is not None and (last[start] == -1 or fits(last[start], piece)):
-                        last.append(piece)
-                        back.append(start)
-                        break
-                else:
+            end = shared + 1  # the first prefix without a state
+            for at, (piece, length) in matches(word):
+                if at + 1 < end:
+                    continue
+                while end <= at:  # characters of no piece
                     last.append(-1)
                     back.append(end - 1)
+                    end += 1
+                before = last[at + 1 - length]
+                if before != -1:
+                    stay = known(before << 20 | piece)
+                    if not (fits(before, piece) if stay is None else stay):
+                        continue
+                last.append(piece)
+                back.append(at + 1 - length)
+                end += 1
+            while end <= len(word):
+                last.append(-1)
+                back.append(end - 1)
+                end += 1
             previous = word
             out, end = [], len(word)
             while end:
@@ -161,10 +173,7 @@ class Codec:
             else:
                 lists.append([MARK + w for w in text.split(" ")])
         flat = [w for x in lists for w in x]
-        new = self.pool.missing(flat)
-        if new:
-            self.pool.add(*self.encode_words(new))
-        ids, sizes = self.pool.gather(self.pool.slots(flat))
+        ids, sizes = self.pool.gather(self.pool.resolve(flat, lambda new: self.pool.add(*self.encode_words(new))))
         ends = np.concatenate([[0], np.cumsum(sizes)])
         bounds = np.cumsum([0, *map(len, lists)])
         return ids, np.diff(ends[bounds])
@@ -225,13 +234,21 @@ def piece_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(path)
         for batch in batches:
-            lists = batch.column(1)
-            ids, ends = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
-            texts = codec.decode(ids[ends[0] : ends[-1]], np.diff(ends).astype(np.int64))
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), batch.column(2)],
-                names=["doc_id", "n_pieces", "pieces_crc32", "text_sha256", "lossless"],
-            )
-
-    return encoded(docs, path).mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces_crc32 long, text_sha256 string, lossless boolean")
+            for at in range(0, batch.num_rows, SLICE):
+                texts = [x or "" for x in batch.column(1).slice(at, SLICE).to_pylist()]
+                ids, sizes = codec.encode(texts)
+                back = codec.decode(ids, sizes)
+                ends, stored = np.concatenate([[0], np.cumsum(sizes)]).tolist(), ids.astype("<i4")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, SLICE),
+                        pa.array(sizes, pa.int64()),
+                        pa.array([zlib.crc32(stored[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                        pa.array([a == b.encode() for a, b in zip(back, texts)], pa.bool_()),
+                    ],
+                    names=["doc_id", "n_pieces", "pieces_crc32", "text_sha256", "lossless"],
+                )
+
+    # One pass encodes and decodes: two in a row would be two Python workers a task.
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces_crc32 long, text_sha256 string, lossless boolean")
