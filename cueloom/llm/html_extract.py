@@ -2,10 +2,14 @@
 
 First every page scores its containers: each block of running text gives its
 length without links to the container around it and half of it to the next. The
-best container's path, of tags with their classes, numbers generalised, is the
-page's vote, weighted by the logarithm of its score. Spark sums the votes per
-host and path, and each host's winning path is used to extract all its pages; a
-page without that container uses its own best one.
+best container is widened to the whole it is part of: the outermost article or
+main around it; without one, the container that a section or quotation belongs
+to, or that has text of its own beside it, or else the outermost one below the
+body beside which there are only boilerplate and links. The path of the result, of tags
+with their classes, numbers generalised, is the page's vote, weighted by the
+logarithm of the best score. Spark sums the votes per host and path, and each
+host's winning path is used to extract all its pages, widened in each; a page
+without that container uses its own.
 
 Left out anywhere: scripts, styles, forms, menus, side bars, footers, headers
 outside an article, and elements whose class, id or role names an advert, a
@@ -37,6 +41,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINER = frozenset("article blockquote body div html main section td".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes when it is open with none of its parents between.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -78,7 +83,8 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
         said = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if said and not stack[-1].boiler:
-            blocks.append(([n for n in stack if n.tag in CONTAINER], said, min(links, len(said))))
+            linked = 0 if stack[-1].tag in HEADING else min(links, len(said))
+            blocks.append(([n for n in stack if n.tag in CONTAINER], said, linked))
             weight = len(said) - min(links, len(said))
             for n in reversed(blocks[-1][0]):
                 scores[n.path] = scores.get(n.path, 0.0) + weight
@@ -142,23 +148,62 @@ def best_path(scores: dict[str, float]) -> tuple[str, float]:
     return path, score
 
 
+def whole_path(blocks: list[tuple[list[Node], str, int]], path: str) -> str:
+    """``path``, or that of the container around it that it is only a part of."""
+    own: dict[str, int] = {}
+    parents: dict[str, Node] = {}
+    known: dict[str, Node] = {}
+    for nodes, said, links in blocks:
+        own[nodes[-1].path] = own.get(nodes[-1].path, 0) + len(said) - links
+        for k in range(len(nodes) - 1, -1, -1):
+            if nodes[k].path in known:
+                break
+            known[nodes[k].path] = nodes[k]
+            if k:
+                parents[nodes[k].path] = nodes[k - 1]
+    chain = [known[path]] if path in known else []
+    while chain and chain[-1].path in parents:
+        chain.append(parents[chain[-1].path])
+    around = [n.path for n in chain if n.tag in ("article", "main")]
+    if around or not chain:
+        return around[-1] if around else path
+    held = dict(own)
+    for p in sorted(parents, key=lambda p: -len(p)):  # a path is longer than its parent's
+        held[parents[p].path] = held.get(parents[p].path, 0) + held.get(p, 0)
+    for n, outer in zip(chain, chain[1:]):
+        if n.tag in ("section", "blockquote") or own.get(outer.path):
+            path = outer.path
+        elif n.tag != "body" and held[outer.path] == held[n.path]:
+            path = n.path
+    return path
+
+
 def text_under(blocks: list[tuple[list[Node], str, int]], path: str) -> str:
     return "\n".join(said for nodes, said, _ in blocks if any(n.path == path for n in nodes))
 
 
 def main_text(page: str | None, path: str | None = None) -> str:
-    """The text under ``path``, or under the page's own best container."""
+    """The text of the whole that ``path``, or else the page's own best container, is in."""
     if not page:
         return ""
     blocks, scores = blocks_of(page)
     if path is None or path not in scores:
         path = best_path(scores)[0]
-    return text_under(blocks, path)
+    return text_under(blocks, whole_path(blocks, path))
+
+
+def vote_of(page: str | None) -> tuple[str, float]:
+    """The path that a page votes for, and the score of its best container."""
+    if not page:
+        return "", 0.0
+    blocks, scores = blocks_of(page)
+    path, score = best_path(scores)
+    return whole_path(blocks, path), score
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [best_path(blocks_of(x)[1]) if x else ("", 0.0) for x in batch.column(1).to_pylist()]
+        found = [vote_of(x) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([round(math.log1p(s) * 1000) for _, s in found], pa.int64())], names=["host", "path", "votes"]
         )

@@ -140,3 +140,28 @@ def test_pages_of_the_driver(spark):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1|div)>", body)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+WORDS = "Some running text of the article, with words enough to count as such. "
+NESTED = {
+    "wrapper": ("<article><h1>T</h1><p>Lead.</p><div class=body><p>" + WORDS * 9 + "</p></div><p>End.</p></article>", ["T", "Lead.", WORDS * 9, "End."]),
+    "sections": ("<article><section class=a><p>" + WORDS * 4 + "</p></section><section class=b><p>" + WORDS * 6 + "</p></section></article>", [WORDS * 4, WORDS * 6]),
+    "quote": ("<main><p>Before.</p><blockquote><div><p>" + WORDS * 5 + "</p></div></blockquote><p>After.</p></main>", ["Before.", WORDS * 5, "After."]),
+    "main": ("<main><h1>T</h1><article><div><div><p>" + WORDS * 5 + "</p></div></div></article></main>", ["T", WORDS * 5]),
+    "divs": ("<div class=page><div class=post><h1><a href=x>T</a></h1><div class=in><div class=body><p>" + WORDS * 7 + "</p></div></div><p>End.</p></div></div>", ["T", WORDS * 7, "End."]),
+    "columns": ("<div class=page><div class=one><p>" + WORDS * 4 + "</p></div><div class=two><p>" + WORDS * 6 + "</p></div></div>", [WORDS * 4, WORDS * 6]),
+    "bare sections": ("<section class=a><p>" + WORDS * 4 + "</p></section><section class=b><p>" + WORDS * 6 + "</p></section>", [WORDS * 4, WORDS * 6]),
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_nested_containers(spark, name):
+    """Nothing of an article is lost to the deepest wrapper, alone or by the host's path."""
+    inner, blocks = NESTED[name]
+    page = f"<body><header><h1>Site</h1></header><nav><a href=/>Menu</a></nav>{inner}<aside><p>{WORDS}</p></aside><div class=links><a href=/x>More of it</a></div><footer>End</footer></body>"
+    want = "\n".join(b.strip() for b in blocks)
+    assert html_extract.main_text(page).removesuffix("\nMore of it") == want
+    if name in ("wrapper", "divs"):
+        bare = page.replace("<p>End.</p>", "").replace("<h1>T</h1>", "").replace("<h1><a href=x>T</a></h1>", "").replace("<p>Lead.</p>", "")
+        got = {r.page_id: r.text for r in html_extract.extracted(pages(spark, [(i, f"http://h.org/{i}", page if i == 4 else bare) for i in range(5)])).collect()}
+        assert got == {i: want if i == 4 else (WORDS * (9 if name == "wrapper" else 7)).strip() for i in range(5)}
