@@ -13,7 +13,14 @@ without that container uses its own.
 
 Left out anywhere: scripts, styles, forms, menus, side bars, footers, headers
 outside an article, and elements whose class, id or role names an advert, a
-notice, a menu, sharing, or comments. Character references are decoded, white
+notice, a menu, sharing, or comments. Such a name says nothing of main, nor of an
+article where it is only part of a longer one (``comments-open``), nor of a
+container that is in no article, holds most of the page's running text, and leaves no
+article outside; if the name stands alone, it must hold or be an article for that.
+
+Self-closed elements are empty, and so are textarea, noscript, template, svg and
+iframe without an end tag. Script and style without one reach to the end of the
+page, as all that follows is code. Character references are decoded, white
 space inside a block is one space, blocks are joined by line feeds in page order.
 
 Null and empty pages give an empty text. Hosts that are missing vote as one.
@@ -33,7 +40,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import shared_table
 from .url_filter import host_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|svg|iframe)(?=[\s/>]|\Z)({ATTRIBUTES}|[^>]*>?)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES[:-1]})>|<[!?][^>]*>", re.S | re.I)
+SKIPPED = {t: re.compile(rf"<(/?){t}(?=[\s/>])({ATTRIBUTES}|[^>]*>?)", re.S | re.I) for t in ("textarea", "noscript", "template", "svg", "iframe")}
+CODE = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style")}
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Fixed element sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,30 +63,62 @@ WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "boiler", "in_article", "score", "name")
+    """``boiler`` is by tag, ``named`` the innermost element that a class, id or role names boilerplate."""
+
+    __slots__ = ("tag", "path", "boiler", "named", "plain", "outer", "in_article", "in_main", "kept", "text", "articles", "own_articles")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.score = tag, 0.0
+        self.tag = tag
         names: list[str] = []
-        boiler = tag in DROPPED or (tag == "header" and not (parent and parent.in_article))
+        plain = part = False
         if attributes and "=" in attributes:
             for kind, value in NAMED.findall(attributes):
                 value = value.strip("\"'").lower()
-                boiler = boiler or not BOILER.isdisjoint(WORD.findall(value))
+                part = part or not BOILER.isdisjoint(WORD.findall(value))
+                plain = plain or not BOILER.isdisjoint(value.split())
                 if kind.lower() == "class":
                     names = sorted({re.sub(r"\d+", "#", x) for x in value.split()})
-        self.name = ".".join([tag, *names])
-        self.path = f"{parent.path}/{self.name}" if parent else self.name
-        self.boiler = boiler and tag not in ("html", "body") or bool(parent and parent.boiler)
-        self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
+        name = ".".join([tag, *names])
+        self.path = f"{parent.path}/{name}" if parent else name
+        self.boiler = tag in DROPPED or (tag == "header" and not (parent and parent.in_main)) or bool(parent and parent.boiler)
+        self.outer, self.named, self.plain = parent, parent.named if parent else None, plain
+        if part and tag not in ("html", "body", "main") and (plain or tag != "article"):
+            self.named = self
+            self.kept, self.text, self.articles, self.own_articles = False, 0, 0, 0
+        self.in_main = tag in ("article", "main") or bool(parent and parent.in_main)
+        self.in_article = tag == "article" and self.named is not self or bool(parent and parent.in_article)
+
+
+def outer_named(n: Node) -> Node | None:
+    return n.outer.named if n.outer else None
+
+
+def keep_main(found: list[tuple[list[Node], str, int, Node]], named: list[Node]) -> None:
+    """Keeps what is named boilerplate but holds the page's main text; ``named`` is in page order."""
+    total = articles = 0
+    for _, said, links, n in found:
+        weight, in_article = len(said) - links, n.in_article
+        total, articles = total + weight, articles + weight * in_article
+        if n.named:
+            n.named.text += weight
+            n.named.articles += weight * in_article
+            n.named.own_articles += weight * n.in_main
+    for n in reversed(named):
+        if outer := outer_named(n):
+            outer.text, outer.articles, outer.own_articles = outer.text + n.text, outer.articles + n.articles, outer.own_articles + n.own_articles
+    for n in named:
+        around = n.outer
+        sure = not n.plain or n.tag == "article" or n.own_articles > 0 and not around.in_main
+        n.kept = sure and not around.in_article and 2 * n.text > total and n.articles == articles
+        n.kept = n.kept and (not (outer := outer_named(n)) or outer.kept)
 
 
 def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, float]]:
     """Blocks of text outside boilerplate, as (open nodes, text, characters in links), and the score of each container path."""
     root = Node("html", "", None)
     stack, text, links = [root], [], 0
-    blocks: list[tuple[list[Node], str, int]] = []
-    scores: dict[str, float] = {}
+    found: list[tuple[list[Node], str, int, Node]] = []
+    named: list[Node] = []
 
     def flush() -> None:
         nonlocal links
@@ -84,13 +126,7 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
         text.clear()
         if said and not stack[-1].boiler:
             linked = 0 if stack[-1].tag in HEADING else min(links, len(said))
-            blocks.append(([n for n in stack if n.tag in CONTAINER], said, linked))
-            weight = len(said) - min(links, len(said))
-            for n in reversed(blocks[-1][0]):
-                scores[n.path] = scores.get(n.path, 0.0) + weight
-                weight /= 2
-                if weight < 1:
-                    break
+            found.append(([n for n in stack if n.tag in CONTAINER], said, linked, stack[-1]))
         links = 0
 
     def close(tags, limits) -> None:
@@ -108,11 +144,32 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
             if any(n.tag == "a" for n in stack):
                 links += len(part)
 
+    ends: dict[str, dict[int, int]] = {}
+
+    def end_of(tag: str, start: int, at: int) -> int:
+        """Where an element ends that is left out; ``at`` is the end of its opening tag."""
+        if page[at - 2 : at] == "/>":
+            return at
+        if tag in CODE:
+            return CODE[tag].search(page, at).end()
+        if tag not in ends:
+            opened, ends[tag] = [], {}
+            for x in SKIPPED[tag].finditer(page):
+                if not x[1]:
+                    if not x[2].endswith("/>"):
+                        opened.append(x.start())
+                elif opened:
+                    ends[tag][opened.pop()] = x.end()
+        return ends[tag].get(start, at)
+
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         say(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        if m[1]:
+            at = end_of(m[1].lower(), m.start(), at)
+            continue
+        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
@@ -121,7 +178,7 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
             continue
         if tag in BLOCK:
             flush()
-        if m[2]:
+        if m[3]:
             if tag not in VOID and tag != "html":
                 if any(n.tag == tag for n in stack[1:]):
                     close((tag,), ())
@@ -136,9 +193,22 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
             close(("head",), ())
             if any(n.tag == "body" for n in stack):
                 continue
-        stack.append(Node(tag, m[4], stack[-1]))
+        stack.append(Node(tag, m[5], stack[-1]))
+        if stack[-1].named is stack[-1]:
+            named.append(stack[-1])
     say(page[at:])
     flush()
+    if named:
+        keep_main(found, named)
+    blocks = [(nodes, said, linked) for nodes, said, linked, n in found if not n.named or n.named.kept]
+    scores: dict[str, float] = {}
+    for nodes, said, linked in blocks:
+        weight = len(said) - linked
+        for n in reversed(nodes):
+            scores[n.path] = scores.get(n.path, 0.0) + weight
+            weight /= 2
+            if weight < 1:
+                break
     return blocks, scores
 
 

@@ -165,3 +165,32 @@ def test_nested_containers(spark, name):
         bare = page.replace("<p>End.</p>", "").replace("<h1>T</h1>", "").replace("<h1><a href=x>T</a></h1>", "").replace("<p>Lead.</p>", "")
         got = {r.page_id: r.text for r in html_extract.extracted(pages(spark, [(i, f"http://h.org/{i}", page if i == 4 else bare) for i in range(5)])).collect()}
         assert got == {i: want if i == 4 else (WORDS * (9 if name == "wrapper" else 7)).strip() for i in range(5)}
+
+
+@pytest.mark.parametrize("names", ["page has-sidebar", "post comments-open", "widget-container"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_named_like_boilerplate(tag, names):
+    said = "<p>" + WORDS * 3 + "</p><p>End.</p>"
+    rest = f"<div class='widget'><p>{WORDS}</p></div><div class='cookie-notice'>We use cookies</div>"
+    want = (WORDS * 3).strip() + "\nEnd."
+    assert html_extract.main_text(f"<body><{tag} class='{names}'>{said}{rest}</{tag}>{rest}</body>") == want
+    assert html_extract.main_text(f"<body><div class='{names}'><{tag}>{said}</{tag}></div>{rest}</body>") == want
+
+
+def test_names_of_boilerplate_still_drop():
+    comments = "<div id=comments class=comments-area>" + f"<article class=comment><p>{WORDS * 3}</p></article>" * 9 + "</div>"
+    assert html_extract.main_text(f"<body><main><article class=post><p>{WORDS}</p></article>{comments}</main></body>") == WORDS.strip()
+    assert html_extract.main_text(f"<body><article class=post><p>{WORDS}</p></article><div class=comments-area><p>{WORDS * 3}</p></div></body>") == WORDS.strip()
+    assert html_extract.main_text(f"<body><div class=post><p>{WORDS}</p></div>{comments}</body>") == WORDS.strip()
+    assert html_extract.main_text("<body><div class=cookie>We use cookies</div></body>") == ""
+    page = f"<body><main><article class=a><p>{WORDS}</p></article><article class='b sponsored'><p>{WORDS * 5}</p></article></main></body>"
+    assert html_extract.main_text(page) == WORDS.strip()
+
+
+@pytest.mark.parametrize("tag", ["svg", "iframe", "template"])
+def test_elements_without_end(tag):
+    for gap in (f"<{tag}/>", f"<{tag} a='>' />", f"<{tag} a=1>", f"<{tag}-x></{tag}-x>"):
+        assert html_extract.main_text(f"<article><p>One</p>{gap}<p>Two</p></article>") == "One\nTwo"
+        assert html_extract.main_text(f"<article><p>One</p>{gap}<p>Two</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>Three</p></article>") == "One\nTwo\nThree"
+    assert html_extract.main_text("<p>One</p><script>if (a < b) {</script ><p>Two</p><script>var c = '<p>'") == "One\nTwo"
+    assert html_extract.main_text("<p>One</p><script src=x /><p>Two</p>") == "One\nTwo"
