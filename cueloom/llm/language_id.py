@@ -10,8 +10,10 @@ Words are runs of letters, lower-cased, marked at their start. Letters outside
 the vocabulary have the same small probability everywhere. Words of more than
 LONGEST characters are scored in parts.
 
-Training reads the word counts of a bounded sample: SAMPLE_ROWS labelled rows in
-expectation, chosen by a hash of doc_id over the whole table. Rows with a null
+Training reads the word counts of a bounded sample, chosen by a hash of doc_id
+over the whole table: SAMPLE_ROWS labelled rows in expectation, of each language
+as many, or all it has where that is less, and never under LEAST_ROWS. So a rare
+language is learned however large the table is. Rows with a null
 doc_id, text or lang are not learned from. Predictions see the text alone. A
 text that is null or has no letter is ``und`` with score 0, as is every text if
 nothing could be learned. Ties go to the first language in order. Other columns
@@ -33,6 +35,9 @@ from .common import SLICE, mix64, shared_table
 from .pools import sums
 
 SAMPLE_ROWS = 12_000
+#: Training rows of each language that has them, even if SAMPLE_ROWS is exceeded by that.
+LEAST_ROWS = 100
+HASHES = 1_000_000_000
 ROUNDS = 3
 LONGEST = 40
 SMOOTHING = 0.1
@@ -203,20 +208,33 @@ class Model:
         self.pieces, self.langs, self.table = pieces, langs, table
 
 
+def rows_each(counts: dict[str, int], sample_rows: int) -> float:
+    """How many rows of each language to use at most, so that ``sample_rows`` are used in all; LEAST_ROWS or more."""
+    left = float(sample_rows)
+    for k, n in enumerate(sorted(counts.values())):
+        each = left / (len(counts) - k)
+        if n > each:
+            return max(each, LEAST_ROWS)
+        left -= n
+    return math.inf
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, vocabulary: str | None = None) -> Model:
-    """Fit on (doc_id, text, lang); all languages of the table are learned, from ``sample_rows`` rows in expectation."""
+    """Fit on (doc_id, text, lang); all languages of the table are learned, from ``sample_rows`` rows in expectation, LEAST_ROWS of each or more."""
     spark = labelled.sparkSession
     rows = labelled.where("doc_id is not null and text is not null and lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    counts = dict(rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
+    langs = sorted(counts)
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    total = rows.count()
     pieces = public_pieces(vocabulary)
-    if not total:
+    if not langs:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
-    if total > sample_rows:
-        share = int(sample_rows / total * 1_000_000) + 1
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    each = rows_each(counts, sample_rows)
+    shares = {lang: int(each / n * HASHES) + 1 for lang, n in counts.items() if n > each}
+    if shares:
+        share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.coalesce(share, F.lit(HASHES)))
     words = shared_table(rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     table = np.vstack([np.full((len(pieces), len(langs)), 1 / len(pieces)), np.zeros((1, len(langs)))])
     for _ in range(rounds):

@@ -1,11 +1,13 @@
 """Decontamination, languages, pieces, token files and chats against brute force and their libraries."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.llm import chat_format, decontaminate, language_id, pieces, token_files
 
@@ -114,6 +116,21 @@ def test_language_accuracy(spark):
         assert 0 <= r.score <= 1 and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_language_rare(spark):
+    """Languages with one row each are learned beside one with very many."""
+    some = ["the house and this other thing which", "talo sekä tämä muut asiat jotka", "dom oraz ten inne rzeczy które", "ev ve bu başka şeyler ki", "ház meg ez más dolgok amelyek"]
+    rows = [(5 * i, some[i // 600 if i % 600 == 7 else 0], str(i // 600 if i % 600 == 7 else 0)) for i in range(600, 3000)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=60)
+    assert model.langs == list("01234")
+    assert all(own.max() > 2 * own.min() for own in model.table[:-1].T)
+
+
+def test_language_rows_each():
+    assert language_id.rows_each({"a": 5, "b": 10}, 15) == math.inf
+    assert language_id.rows_each({"a": 50, "b": 10_000, "c": 10**9}, 1050) == 500
+    assert language_id.rows_each({str(i): 10**6 for i in range(1000)}, 12_000) == language_id.LEAST_ROWS
+
+
 def test_language_nothing_to_learn(spark):
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs(spark, [(None, "abc")])).collect()] == [("und", 0.0)]
     assert language_id.identify(docs(spark, [])).count() == 0
