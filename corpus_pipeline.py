@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those whose language is a guess."""
+    """Drops texts without letters and near ties of languages; junk with letters stays."""
     return language_id.drop_unidentified(docs)
 
 

@@ -329,7 +329,11 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with its columns."""
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with its columns.
+
+    The score is the posterior over all words of a text, near 1 for any text of more than a few words. So only texts
+    without letters and near ties are dropped; long junk and texts in languages that were not learned stay.
+    """
     model = fit(docs.where(~held_out()), **options)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     found = predict(docs, model, F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names)]))
