@@ -3,138 +3,100 @@
 Texts are equal when they are identical without ASCII white space. Three
 stages, each of which compares whole normalised texts and not just digests:
 
-1. every input partition removes its own copies (bounded memory, see BUDGET);
+1. every input partition combines its own copies, before anything is shuffled;
 2. the survivors meet by (digest, salt, text), the salt being the partition's;
 3. the winners of the salts meet by (digest, text).
 
 A digest with a third of all rows so reaches stage 2 as one row a partition.
 Documents find their group by digest. Should one digest hold several texts,
-its documents, and only those, are joined by the whole text too.
+its documents, and only those, are joined by the whole text too. All of it is
+columns, so Spark's aggregates bound the memory and spill.
 
 Nulls count as empty text. Rows with equal text and length go to the smallest
 doc_id; a null doc_id sorts after all others. Repeated rows count each. An
-empty table gives an empty result. Other columns are ignored.
+empty table gives an empty result. Other columns are ignored, whatever their
+names; ``drop_copies`` returns them.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from decimal import Decimal
 
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_list, shared_table
+from .common import shared_table
 
-WHITE = bytes([0x20, *range(0x09, 0x0E)])
-#: Bytes of normalised text one partition holds before it passes its winners on.
-BUDGET = 64 << 20
+WHITE = " \t\n\v\f\r"
 SALTS = 64
-
-KEYED = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("norm", pa.string())])
-LOCAL = pa.schema(
-    [("text_sha256", pa.string()), ("salt", pa.int32()), ("norm", pa.string()), ("keep_id", pa.int64()), ("chars", pa.int64()), ("members", pa.int64())]
-)
 NO_ID = (1 << 63) - 1
 
 
-def sha256_hex(norm: bytes) -> str:
-    return hashlib.sha256(norm).hexdigest()
-
-
-def code_points(text: bytes) -> int:
-    return len(text) if text.isascii() else len(text.decode("utf-8", "replace"))
-
-
-def _local_winners(digest: Callable[[bytes], str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        salt = (context.partitionId() if context else 0) % SALTS
-        held: dict[bytes, list[int]] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            norms = list(held)
-            keep, chars, members = zip(*held.values()) if held else ((), (), ())
-            data = [[digest(x) for x in norms], [salt] * len(norms), norms, [None if x == NO_ID else x for x in keep], chars, members]
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.binary()).cast(f.type) if f.name == "norm" else pa.array(x, f.type) for x, f in zip(data, LOCAL)], schema=LOCAL
-            )
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
-                text = text or b""
-                norm, chars, doc_id = text.translate(None, WHITE), code_points(text), NO_ID if doc_id is None else doc_id
-                best = held.get(norm)
-                if best is None:
-                    held[norm] = [doc_id, chars, 1]
-                    size += len(norm) + 200
-                else:
-                    best[2] += 1
-                    if (-chars, doc_id) < (-best[1], best[0]):
-                        best[0], best[1] = doc_id, chars
-            if size > BUDGET:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
-
-    return run
+def normalised(text: Column) -> Column:
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
-def _keyed(digest: Callable[[bytes], str], with_text: bool):
-    schema = KEYED if with_text else pa.schema(list(KEYED)[:2])
+def sha256_hex(norm: Column) -> Column:
+    return F.sha2(norm, 256)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            norms = [(x or b"").translate(None, WHITE) for x in byte_list(batch.column(1))]
-            columns = [batch.column(0).cast(pa.int64()), pa.array([digest(x) for x in norms], pa.string())]
-            if with_text:
-                columns.append(pa.array(norms, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return run
+def keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, text_sha256, norm and chars (of the text as it came) per row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text).alias("norm"), F.length(text).cast("long").alias("chars"))
+    return rows.select("doc_id", digest(F.col("norm")).alias("text_sha256"), "norm", "chars")
 
 
-def combine(docs: DataFrame, digest: Callable[[bytes], str] = sha256_hex) -> DataFrame:
-    """Groups of equal texts: text_sha256, norm, keep_id, group_size."""
+def _merged(df: DataFrame, *keys: str) -> DataFrame:
     rank = F.col("chars").cast("decimal(38,0)") * F.lit(Decimal(1 << 64)) - F.coalesce("keep_id", F.lit(NO_ID)).cast("decimal(20,0)")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _local_winners(digest), "text_sha256 string, salt int, norm string, keep_id long, chars long, members long"
-    )
+    return df.groupBy(*keys).agg(F.max_by("keep_id", rank.cast("decimal(38,0)")).alias("keep_id"), F.max("chars").alias("chars"), F.sum("members").alias("members"))
 
-    def merged(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            F.max_by("keep_id", rank.cast("decimal(38,0)")).alias("keep_id"), F.max("chars").alias("chars"), F.sum("members").alias("members")
-        )
 
-    by_salt = merged(rows, "text_sha256", "salt", "norm")
-    return merged(by_salt, "text_sha256", "norm").select("text_sha256", "norm", "keep_id", F.col("members").alias("group_size"))
+def combine(rows: DataFrame) -> DataFrame:
+    """Groups of equal texts of ``keyed`` rows: text_sha256, norm, keep_id, group_size."""
+    salted = rows.select("text_sha256", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "norm", F.col("doc_id").alias("keep_id"), "chars", F.lit(1).cast("long").alias("members"))
+    # The partial aggregate of the first grouping is stage 1.
+    by_salt = _merged(salted, "text_sha256", "salt", "norm")
+    return _merged(by_salt, "text_sha256", "norm").select("text_sha256", "norm", "keep_id", F.col("members").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[bytes], str] = sha256_hex) -> DataFrame:
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = shared_table(combine(docs, digest).drop("norm"))
+    rows = keyed(docs, digest)
+    found = shared_table(combine(rows).drop("norm"))
     clash = shared_table(found.groupBy("text_sha256").count().where("count > 1").select("text_sha256"))
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    clashing = bool(clash.take(1))
-    if clashing:
-        keyed = plain.mapInArrow(_keyed(digest, True), "doc_id long, text_sha256 string, norm string")
-        whole = combine(docs, digest).join(clash, "text_sha256", "left_semi")
-        exact = keyed.join(clash, "text_sha256", "left_semi").join(whole, ["text_sha256", "norm"]).drop("norm")
-        easy = keyed.drop("norm").join(clash, "text_sha256", "left_anti")
-    else:
-        easy = plain.mapInArrow(_keyed(digest, False), "doc_id long, text_sha256 string")
-    joined = easy.join(found, "text_sha256")
-    if clashing:
-        joined = joined.unionByName(exact)
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    easy, joined = rows.drop("norm", "chars"), []
+    if clash.take(1):
+        whole = combine(rows).join(clash, "text_sha256", "left_semi")
+        joined = [rows.drop("chars").join(clash, "text_sha256", "left_semi").join(whole, ["text_sha256", "norm"]).drop("norm")]
+        easy = easy.join(clash, "text_sha256", "left_anti")
+    out = easy.join(found, "text_sha256")
+    for part in joined:
+        out = out.unionByName(part)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns. Rows that share the doc_id of a row that stays stay too."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep"]), "left_semi")
+    """The rows of ``docs`` that stay, with its columns: one of each group of equal texts.
+
+    Where several rows of a group have the doc_id that stays, one of those with the most code points does: the one that
+    comes first by a hash of all its columns.
+    """
+    groups = shared_table(exact_groups(docs).where("kept").select("doc_id", "text_sha256"))
+    repeated = shared_table(groups.groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], docs["doc_id"].cast("long").alias("_id"), sha256_hex(normalised(text)).alias("_sha"), F.length(text).alias("_chars"))
+
+    def meets(keys: DataFrame) -> Column:
+        return F.col("_id").eqNullSafe(keys["doc_id"]) & (F.col("_sha") == keys["text_sha256"])
+
+    kept = rows.join(groups, meets(groups), "left_semi")
+    if repeated.take(1):
+        several = kept.join(repeated, meets(repeated), "left_semi")
+        order = F.struct(-F.col("_chars"), F.xxhash64(*names), F.xxhash64(F.lit("#"), *names))
+        one = several.groupBy("_id", "_sha").agg(F.min_by(F.struct(*names), order).alias("row")).select("row.*")
+        return kept.join(repeated, meets(repeated), "left_anti").select(*names).unionByName(one).toDF(*docs.columns)
+    return kept.select(*names).toDF(*docs.columns)

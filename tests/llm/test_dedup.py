@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.llm import exact_dedup, line_dedup, near_dedup
 from cueloom.llm.graph import components
@@ -32,7 +33,7 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda b: str(len(b) % 2)])
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda norm: (F.length(norm) % 2).cast("string")])
 def test_exact_groups(spark, digest):
     """The weak digest puts different texts into one group; whole texts tell them apart."""
     got = [tuple(r) for r in exact_dedup.exact_groups(docs(spark, ROWS), digest).collect()]
@@ -49,7 +50,13 @@ def test_exact_empty(spark):
 def test_exact_keeps_columns(spark):
     kept = exact_dedup.drop_copies(docs(spark, ROWS))
     assert kept.columns == ["doc_id", "text", "keep_id", "component_id", "covered"]
-    assert sorted({r.doc_id for r in kept.collect()}) == [3, 6, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 7]
+
+
+def test_exact_one_row_of_a_repeated_id_stays(spark):
+    rows = [(3, "a b"), (3, "ab"), (3, "a b"), (3, "other"), (None, "x"), (None, "x"), (4, "ab ")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs(spark, rows)).collect()))) == sorted(map(str, [(3, "a b"), (3, "other"), (None, "x")]))
+    assert exact_dedup.drop_copies(docs(spark, [])).columns == ["doc_id", "text", "keep_id", "component_id", "covered"]
 
 
 def shingles(text, k):
