@@ -13,8 +13,9 @@ special tokens, or with characters that Python's classes see in another way
 than the library's pattern, go to the library whole.
 
 A document is its ids and one end id. Null texts have the end id alone. Rows of
-a null doc_id come first; repeated rows are written each. Other columns are
-ignored. An empty table writes empty files.
+a null doc_id come first; rows of one doc_id are ordered by a hash of their text,
+then the text; repeated rows are written each. Other columns are ignored. An
+empty table writes empty files.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ from .pools import HashedPool, Pool, gather
 
 END_ID = 0
 SLICE = 128
-CACHE, PIECES = 800_000, 100_000
+CACHE, PIECES = 1_500_000, 100_000
 VOCABULARY = "byte_bpe_50k.json"
-STORED = "doc_id long, ids array<int>, range_id int, range_start long"
+STORED = "doc_id long, ids array<int>, n_ids int, range_id int, range_start long"
+#: Ranges at most, so that their totals, which are broadcast, are of two megabytes at most. At 100 TB one holds a gigabyte.
+MOST_RANGES = 100_000
 
 
 #: The library's pattern in the terms of ``re``; the same on texts without ODD characters.
@@ -48,6 +51,7 @@ PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 KINDS = bytes(0x2E if c in b".," else 0x20 if c == 0x20 or 9 <= c <= 13 or 28 <= c <= 31 else 0x61 if c >= 0x80 or chr(c).isalnum() else 0x21 for c in range(256))
 UNCLEAR = (b"  ", b" .", b"..", b"!.")
 CUTS = np.array([k in (0x20, 0x2E) for k in KINDS])
+SPACES, ODD_SPACES = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", range(28, 32)))
 #: Bytes of a unit that is looked up by its hash; texts with longer ones are cut into pieces.
 LONGEST = 64
 FACTORS = odd_constants(7, LONGEST + 1)
@@ -75,6 +79,16 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
 
+    def encode_joined(self, joined: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of units that stand one after the other in ``joined``, each from white space on; ``ends`` counts bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        return np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0), ids
+
+    def encode_alone(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
+
     def encode_units(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(order, sizes, ids) of distinct units: most go as one text, cut where their bytes end, others alone.
 
@@ -84,16 +98,33 @@ class Encoder:
         joined = [k for k, p in enumerate(units) if len(p) > 1 and p[0] == " " and not p[1].isspace() and k not in bad]
         chosen = set(joined) | bad
         alone = [k for k in range(len(units)) if k not in chosen]
-        sizes, ids = [], []
+        parts = []
         if joined:
-            ids.append(np.array(self.tokenizer.encode_batch_fast(["".join([units[k] for k in joined])], add_special_tokens=False)[0].ids, np.int32))
-            ends = np.searchsorted(np.cumsum(self.width[ids[0]]), np.cumsum([len(units[k].encode()) for k in joined])) + 1
-            sizes.append(np.diff(ends, prepend=0))
+            parts.append(self.encode_joined("".join([units[k] for k in joined]), np.cumsum([len(units[k].encode()) for k in joined])))
         if alone:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([units[k] for k in alone], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((i for x in found for i in x), np.int32, int(sizes[-1].sum())))
-        return joined + alone, np.concatenate(sizes or [np.empty(0, np.int64)]), np.concatenate(ids or [np.empty(0, np.int32)])
+            parts.append(self.encode_alone([units[k] for k in alone]))
+        return joined + alone, *self._after_each_other(parts)
+
+    @staticmethod
+    def _after_each_other(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([x for x, _ in parts] or [np.empty(0, np.int64)]), np.concatenate([x for _, x in parts] or [np.empty(0, np.int32)])
+
+    def encode_cuts(self, whole: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, sizes, ids) of distinct units of clear texts, given by where they are in ``whole``.
+
+        A unit is cut at each white space, so what has more than one byte and starts with it ends in something else,
+        and goes in one text with the others of its kind.
+        """
+        first = whole[starts]
+        joined = np.flatnonzero(SPACES[first] & (lengths > 1))
+        alone = np.flatnonzero(~(SPACES[first] & (lengths > 1)) & ~ODD_SPACES[first])
+        parts = []
+        if len(joined):
+            said, sizes = gather(whole, starts[joined], lengths[joined])
+            parts.append(self.encode_joined(said.tobytes().decode(), np.cumsum(sizes)))
+        if len(alone):
+            parts.append(self.encode_alone([whole[a : a + n].tobytes().decode() for a, n in zip(starts[alone].tolist(), lengths[alone].tolist())]))
+        return np.concatenate([joined, alone]), *self._after_each_other(parts)
 
     def clear(self, text: str, data: bytes) -> bool:
         """Whether every stop and white space of the text follows a word, so that units can be cut there."""
@@ -129,8 +160,7 @@ class Encoder:
                 continue
             break
         if len(new):
-            raw = whole.tobytes()
-            order, found, ids = self.encode_units([raw[a:b].decode() for a, b in zip(starts[first].tolist(), (starts + lengths)[first].tolist())])
+            order, found, ids = self.encode_cuts(whole, starts[first], lengths[first])
             self.hashed.add(new[order], found, ids)
             gone = np.flatnonzero(slots == -1)
             slots[gone] = self.hashed.find(keys[gone])
@@ -199,10 +229,11 @@ def _writer(path: str | None):
                     [
                         batch.column(0).slice(at, SLICE),
                         pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.int32)),
+                        pa.array(np.diff(ends).astype(np.int32)),
                         pa.array(np.full(len(texts), range_id, np.int32)),
                         pa.array(start + ends[:-1]),
                     ],
-                    names=["doc_id", "ids", "range_id", "range_start"],
+                    names=["doc_id", "ids", "n_ids", "range_id", "range_start"],
                 )
                 start += int(ends[-1])
 
@@ -210,14 +241,17 @@ def _writer(path: str | None):
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, ranges: int | None = None) -> None:
-    """Write doc_id, ids, range_id and range_start as ORC under ``out``, ascending by doc_id over the files' ranges.
+    """Write doc_id, ids, n_ids, range_id and range_start as ORC under ``out``, ascending by doc_id over the files' ranges.
 
-    There are as many ranges as splits of the input, at least one a shuffle partition.
+    There are as many ranges as splits of the input, at least one a shuffle partition, MOST_RANGES at most. Rows of one
+    doc_id are dealt and ordered by their texts, so a doc_id of very many rows is no single range, and a task that runs
+    again writes the same offsets.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if ranges is None:
-        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    dealt = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
+        ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
+    keys = "doc_id", F.xxhash64("text")
+    dealt = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys, "text")
     (
         dealt.mapInArrow(_writer(tokenizer), STORED)
         .write.option("orc.bloom.filter.columns", "doc_id")
@@ -231,8 +265,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, ranges
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids, from the files."""
     rows = spark.read.schema(STORED).orc(path)
-    totals = rows.groupBy("range_id").agg(F.sum(F.size("ids")).alias("total"))
-    # One row a range: their number is the writer's parameter, not the corpus's size.
+    totals = rows.groupBy("range_id").agg(F.sum("n_ids").alias("total"))
+    # One row a range, MOST_RANGES at most.
     before = totals.select("range_id", (F.sum("total").over(Window.orderBy("range_id")) - F.col("total")).alias("before"))
     return rows.join(F.broadcast(before), "range_id").select("doc_id", (F.col("before") + F.col("range_start")).alias("start"), "ids")
 
