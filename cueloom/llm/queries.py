@@ -72,24 +72,21 @@ QUERIES = {
 }
 
 def _url_sql() -> str:
-    """The rules and the path-template tree, level by level, as SQL."""
-    levels = "".join(
-        f"""
-b{k} as (select host, t, segs[{k + 1}] seg, sum(n) n, sum(l) l, sum(b) b from t{k} where len(segs) > {k} group by all),
-n{k} as (select host, t, count(*) w, sum(n) wn, sum(l) wl, sum(b) wb from b{k} group by all),
-z{k} as (select host, t, seg, w, wn, abs(b / nullif(l, 0) - (wb - b) / nullif(wl - l, 0)) / nullif(sqrt(wb / nullif(wl, 0) * (1 - wb / nullif(wl, 0)) * (1 / nullif(l, 0) + 1 / nullif(wl - l, 0))), 0) z from b{k} join n{k} using (host, t)),
-m{k} as (select host, t, seg, case when (w >= {url_filter.WIDE} and wn < {url_filter.RECUR} * w) or coalesce(z, 0) < {url_filter.Z} then '*' else seg end as name from z{k}),
-t{k + 1} as (select x.host, path, segs, n, l, b, case when len(segs) > {k} then x.t || '/' || m.name else x.t end t from t{k} x left join m{k} m on m.host = x.host and m.t = x.t and m.seg = x.segs[{k + 1}]),"""
-        for k in range(url_filter.DEPTH)
-    )
+    """The rules and the path-template tree as SQL; one round of the recursion is one level."""
     rules = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES.items())
     return f"""
-with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end u from pages),
+with recursive a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end u from pages),
 p as (select page_id, translate(regexp_extract(u, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) path from a),
 bad as (select doc_id, max(case when toxic = 1 or quality = 0 then 1 else 0 end) bad from labels group by doc_id),
 d as (select host, path, count(*) n, try_cast(nullif(regexp_extract(path, '([0-9]+)[^0-9/]*/?$', 1), '') as bigint) number from p group by host, path),
-t0 as (select host, path, list_filter(string_split(path, '/'), lambda s: s <> '') segs, n, case when bad is null then 0 else 1 end l, coalesce(bad, 0) b, '' t from d left join bad on doc_id = number),{levels}
-f as (select host, path, l, b, case when len(segs) > {url_filter.DEPTH} then t || '/**' else t end as template from t{url_filter.DEPTH}),
+t as (
+  select host, path, list_filter(string_split(path, '/'), lambda s: s <> '') segs, n, case when bad is null then 0 else 1 end l, coalesce(bad, 0) b, '' t, 0 k from d left join bad on doc_id = number
+  union all
+  select host, path, segs, n, l, b, t || '/' || case when (w >= {url_filter.WIDE} and wn < {url_filter.RECUR} * w)
+    or coalesce(abs(sb / nullif(sl, 0) - (wb - sb) / nullif(wl - sl, 0)) / nullif(sqrt(wb / nullif(wl, 0) * (1 - wb / nullif(wl, 0)) * (1 / nullif(sl, 0) + 1 / nullif(wl - sl, 0))), 0), 0) < {url_filter.Z} then '*' else segs[k + 1] end, k + 1
+  from (select *, count(distinct segs[k + 1]) over node w, sum(n) over node wn, sum(l) over node wl, sum(b) over node wb, sum(l) over branch sl, sum(b) over branch sb
+    from t where k < len(segs) window node as (partition by host, t), branch as (partition by host, t, segs[k + 1]))),
+f as (select host, path, l, b, t as template from t where k = len(segs)),
 g as (select sum(b) / sum(l) share from f),
 s as (select host, template, round((sum(b) + {url_filter.PRIOR} * any_value(share)) / (sum(l) + {url_filter.PRIOR}), 9) bad_share from f, g group by host, template),
 r(rule, rhost, rpath, said) as (values {rules}),

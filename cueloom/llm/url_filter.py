@@ -3,21 +3,29 @@
 Rules are ``host/path-prefix``; a rule fits its host and all subdomains if the
 url's path starts with its path, and the longest that fits decides.
 
-Other urls are judged by templates. Level by level, the segments below a node of
-a host's tree are counted. A node with many different segments that hardly
-recur is variable: its segments become ``*``. Of the others, those whose labelled
-share of bad pages does not differ from their siblings' pooled share (a
-two-proportion test at Z) are merged into ``*`` too, and those that differ stay
-branches. What is deeper than DEPTH becomes ``**``. A template is rejected when
-its share of bad pages, smoothed by PRIOR pages of the corpus's share, is REJECT
-or more; without labels that is never so.
+Other urls are judged by templates. Level by level, to the end of the longest
+path, the segments below a node of a host's tree are counted. A node with many
+different segments that hardly recur is variable: its segments become ``*``. Of
+the others, those whose labelled share of bad pages does not differ from their
+siblings' pooled share (a two-proportion test at Z) are merged into ``*`` too, and
+those that differ stay branches. A template is rejected when its share of bad
+pages, smoothed by PRIOR pages of the corpus's share, is REJECT or more; without
+labels that is never so.
+
+The test's value is at most the root of the labelled pages, and nothing where all
+are good or all bad. So a node with fewer than Z * Z labelled pages, or of one
+kind, has wildcards only from there on, and is finished at once. A node with one
+branch goes on where its paths part. Rounds so grow with the branchings that
+labels can tell, not with the length of paths.
 
 All work is on distinct (host, path) with partial sums; a host with a third of
 all rows is dealt by its paths, and joins split on skew.
 
 A null url, or one without ``://``, has an empty host and path and is allowed
 unless a rule says otherwise. Repeated rows are judged each. Null labels and
-labels of other documents count for nothing. Other columns are ignored.
+labels of other documents count for nothing. Empty segments are skipped, and urls
+and paths may be of any length. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +36,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import shared_table
 
-DEPTH = 3
 WIDE, RECUR = 20, 3.0
 Z = 1.96
 PRIOR = 10.0
@@ -64,33 +71,52 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.get(F.array_sort(fitting, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), 0)
 
 
+def _shared_start(a: Column, b: Column) -> Column:
+    """How many segments two paths have in common from their start."""
+    parted = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    return F.when(parted > 0, parted - 1).otherwise(F.size(a)).cast("int")
+
+
 def path_templates(paths: DataFrame) -> DataFrame:
     """host, path, template for (host, path, n, labelled, bad): one row per distinct host and path."""
     segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    now = shared_table(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    for level in range(DEPTH):
-        segment = F.get("segments", level)
-        branches = shared_table(now.where(F.size("segments") > level).groupBy("host", "template", segment.alias("segment")).agg(*sums))
-        nodes = branches.groupBy("host", "template").agg(F.count("*").alias("width"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
+    columns = "host", "path", "n", "labelled", "bad"
+    now = shared_table(paths.select(*columns, segments.alias("segments"), F.lit("").alias("template"), F.lit(0).alias("level")))
+    done = []
+    while True:
+        nodes = now.where("size(segments) > level").groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        told = shared_table(nodes.where(f"all_labelled >= {Z * Z} and all_bad > 0 and all_bad < all_labelled").select("host", "template", F.lit(True).alias("told")))
+        marked = now.join(told, ["host", "template"], "left").withColumn("told", F.col("told").isNotNull() & (F.size("segments") > F.col("level")))
+        done.append(marked.where("not told").select(*columns, F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - F.col("level"))).alias("template")))
+        if not told.take(1):
+            break
+        live = shared_table(marked.where("told").drop("told").withColumn("segment", F.get("segments", F.col("level"))))
+        branches = shared_table(live.groupBy("host", "template", "segment").agg(*sums, F.min("segments").alias("low"), F.max("segments").alias("high")))
+        nodes = branches.groupBy("host", "template").agg(
+            F.count("*").alias("width"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")], _shared_start(F.min("low"), F.max("high")).alias("shared")
+        )
+        nodes = shared_table(nodes)
         variable = (F.col("width") >= WIDE) & (F.col("all_n") < RECUR * F.col("width"))
         others, other_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide("all_bad", "all_labelled")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "labelled") + F.try_divide(F.lit(1.0), others)))
         z = F.abs(F.try_divide("bad", "labelled") - F.try_divide(other_bad, others)) / F.nullif(error, F.lit(0.0))
-        named = branches.join(shared_table(nodes), ["host", "template"]).select(
-            "host", "template", "segment", F.when(variable | (F.coalesce(z, F.lit(0.0)) < Z), F.lit("*")).otherwise(F.col("segment")).alias("name")
-        )
         # Only branches that keep their name are looked up; all others are the wildcard.
-        kept = shared_table(named.where("name = segment"))
+        kept = shared_table(branches.join(nodes.drop("shared"), ["host", "template"]).where(~variable & (z >= Z)).select("host", "template", "segment", F.col("segment").alias("name")))
+        lone = shared_table(nodes.where("width = 1").select("host", "template", "shared"))
+        name = F.concat(F.lit("/"), F.coalesce("name", F.lit("*")))
         now = shared_table(
-            now.withColumn("segment", segment)
-            .join(kept, ["host", "template", "segment"], "left")
-            .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))))
-            .drop("segment", "name")
+            live.join(kept, ["host", "template", "segment"], "left")
+            .join(lone, ["host", "template"], "left")
+            .select(
+                *columns,
+                "segments",
+                F.concat("template", F.when(F.col("shared").isNull(), name).otherwise(F.repeat(F.lit("/*"), F.col("shared") - F.col("level")))).alias("template"),
+                F.coalesce("shared", F.col("level") + 1).alias("level"),
+            )
         )
-    deep = F.when(F.size("segments") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return now.select("host", "path", "n", "labelled", "bad", deep.alias("template"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: dict[str, str]) -> DataFrame:
