@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 #: Texts handled together inside one Arrow batch; bounds the worker's memory.
 SLICE = 256
 #: Entries of a worker's word cache before it starts anew.
@@ -45,6 +48,18 @@ def byte_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, build: Callable[[], T]) -> T:
+    """What ``build`` gives, once a Python worker and key. A worker holds the state of one operator at a time."""
+    if key not in _STATE:
+        _STATE.clear()
+        pa.default_memory_pool().release_unused()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
 class WordHashes(dict):
     """Word bytes -> 64-bit hash, remembered up to CACHE_LIMIT words."""
 

@@ -2,37 +2,48 @@
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A
 window is 10 consecutive words of an item, or the whole item if it has fewer.
-Fingerprints are the minima of 6 consecutive 5-gram hashes, so every run of 10
-words that a document and an item share holds one that both have selected:
-none is missed. Each fingerprint that both have is extended word by word to
-the longest shared run, which counts from 10 words on. Items of fewer words
-are looked up by the hash of all their words.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text on average; only
-a block is ever held by the driver or broadcast, and documents pass one block
-after the other without a shuffle, whatever the number of blocks.
+1. Fingerprints are the minima of 6 consecutive 5-gram hashes, so every run of
+   10 words that a document and an item share holds one that both have
+   selected: none is missed. Items of fewer words have one, of all their words.
+2. Fingerprints of documents meet those of the benchmark in a join. Before it,
+   documents drop what a bit table of the benchmark's fingerprints rules out.
+   The table has 2 ** TABLE_BITS bits whatever the benchmark's size; a large
+   benchmark fills it, and more goes through to the join.
+3. Hits are extended: all windows around them meet the benchmark's windows, word
+   by word, in a second join. A span of hit words is the union of its windows,
+   the same as the longest shared runs of 10 words or more.
+
+The benchmark's side of both joins has one row a key, so no join multiplies rows
+and a frequent passage is dealt to many tasks. Items of a window are one list,
+and lists are united once for each set of lists that occurs, not once for each
+document. What is looked up belongs to a text, known by its sha256: copies are
+looked up once.
 
 Null and empty texts have no words. Items with a null item_id hit words but are
-not listed. Repeated rows are judged one by one. Other columns pass through.
+not listed. Repeated rows are judged one by one. An empty table gives an empty
+result, an empty benchmark hits nothing. Other columns pass through or are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE, WordHashes, byte_list, gram_hashes
+from .common import SLICE, WordHashes, byte_list, gram_hashes, shared_table, worker_state
 
 WINDOW = 10
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
-BLOCK_BYTES = 32 << 20
-#: Bits of the table that tells most foreign hashes at once.
-TABLE_BITS = 20
+#: Bits of the table that tells most foreign fingerprints at once: four megabytes, sent to each executor.
+TABLE_BITS = 25
+PRINT = "struct<m: int, h: bigint, p: int>"
 
 FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -57,120 +68,113 @@ def selected(grams: np.ndarray) -> np.ndarray:
     return mask
 
 
-class Index:
-    """Fingerprints of one block of the benchmark."""
-
-    def __init__(self, rows: list[tuple[str | None, bytes | None]]):
-        hashes = WordHashes()
-        self.ids, self.items = [], []
-        prints, places, self.short = [], [], defaultdict(list)
-        for item_id, text in rows:
+def _item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items -> fingerprints (m, h): m is the size of their windows."""
+    hashes = WordHashes()
+    for batch in batches:
+        for text in byte_list(batch.column(0)):
             words = hashes.array(words_of(text))
-            if not len(words):
-                continue
-            number = len(self.ids)
-            self.ids.append(item_id)
-            self.items.append(words)
-            if len(words) < WINDOW:
-                self.short[len(words)].append((gram_hashes(words, len(words))[0], number))
-            else:
-                grams = gram_hashes(words, GRAM)
-                at = np.flatnonzero(selected(grams))
-                prints.append(grams[at])
-                places += [(number, int(p)) for p in at]
-        prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        order = np.argsort(prints, kind="stable")
-        self.prints = prints[order]
-        self.places = np.array(places, np.int64).reshape(-1, 2)[order]
-        self.table = self._table(self.prints)
-        for m, found in self.short.items():
-            found.sort()
-            keys = np.array([h for h, _ in found], np.uint64)
-            self.short[m] = (keys, [i for _, i in found], self._table(keys))
-        self.short = dict(self.short)
-
-    @staticmethod
-    def _table(keys: np.ndarray) -> np.ndarray:
-        table = np.zeros(1 << TABLE_BITS, bool)
-        table[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        return table
-
-    @staticmethod
-    def _among(grams: np.ndarray, table: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, first, last + 1) of each gram that is among the sorted keys."""
-        at = np.flatnonzero(table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        first, last = np.searchsorted(keys, grams[at], "left"), np.searchsorted(keys, grams[at], "right")
-        there = last > first
-        yield from zip(at[there].tolist(), first[there].tolist(), last[there].tolist())
-
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-        """Document number -> (hit word ranges, item numbers); document d has words[bounds[d]:bounds[d + 1]]."""
-        out: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-
-        def mark(d: int, a: int, b: int, item: int) -> None:
-            ranges, items = out.setdefault(d, ([], set()))
-            ranges.append((a - int(bounds[d]), b - int(bounds[d])))
-            items.add(item)
-
-        def document(p: int) -> int:
-            return int(np.searchsorted(bounds, p, "right")) - 1
-
-        if len(self.prints):
-            grams = gram_hashes(words, GRAM)
-            ends = np.repeat(bounds[1:], np.diff(bounds))[: len(grams)]
-            grams[np.arange(GRAM, GRAM + len(grams)) > ends] = np.uint64(2**64 - 1)
-            picked = np.flatnonzero(selected(grams))
-            reached: dict[tuple[int, int], int] = {}
-            for k, first, last in self._among(grams[picked], self.table, self.prints):
-                p = int(picked[k])
-                d = document(p)
-                start, end = int(bounds[d]), int(bounds[d + 1])
-                for item, q in self.places[first:last].tolist():
-                    if reached.get((item, p - q), -1) >= p:
-                        continue
-                    other = self.items[item]
-                    back = min(p - start, q)
-                    left = words[p - back : p][::-1] != other[q - back : q][::-1]
-                    left = int(left.argmax()) if left.any() else back
-                    on = min(end - p, len(other) - q)
-                    right = words[p : p + on] != other[q : q + on]
-                    right = int(right.argmax()) if right.any() else on
-                    reached[item, p - q] = p + max(right - 1, 0)
-                    if left + right >= WINDOW:
-                        mark(d, p - left, p + right, item)
-        for m, (keys, numbers, table) in self.short.items():
-            for p, first, last in self._among(gram_hashes(words, m), table, keys):
-                d = document(p)
-                if p + m <= bounds[d + 1]:
-                    for item in numbers[first:last]:
-                        if (words[p : p + m] == self.items[item]).all():
-                            mark(d, p, p + m, item)
-        return out
-
-
-def _scan(index, fresh: bool):
-    """One pass over documents; columns: row key columns ..., text, [n_words, spans, items]."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, hashes = index.value, WordHashes()
-        for batch in batches:
-            texts = byte_list(batch.column(1))
-            spans = [[] for _ in texts] if fresh else batch.column(3).to_pylist()
-            items = [[] for _ in texts] if fresh else batch.column(4).to_pylist()
-            counts = []
-            for at in range(0, len(texts), SLICE):
-                split = [words_of(x) for x in texts[at : at + SLICE]]
-                counts += (sizes := [len(x) for x in split])
-                words = hashes.array([w for x in split for w in x])
-                for d, (ranges, numbers) in block.hits(words, np.cumsum([0, *sizes])).items():
-                    spans[at + d] = merge_spans([*map(tuple, spans[at + d]), *ranges])
-                    items[at + d] = sorted({*items[at + d], *(block.ids[i] for i in numbers if block.ids[i] is not None)})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "spans", "items"],
-            )
-
-    return run
+            m = min(len(words), WINDOW)
+            if m:
+                grams = gram_hashes(words, GRAM if m == WINDOW else m)
+                found = np.unique(grams[selected(grams)] if m == WINDOW else grams).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), m, np.int32)), pa.array(found)], names=["m", "h"])
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items -> their distinct windows (m, gram, item_id)."""
+    for batch in batches:
+        for item_id, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
+            words = words_of(text)
+            m = min(len(words), WINDOW)
+            if m:
+                grams = list({b" ".join(words[p : p + m]) for p in range(len(words) - m + 1)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([m] * len(grams), pa.int32()), pa.array(grams, pa.binary()).cast(pa.string()), pa.array([item_id] * len(grams), pa.string())], names=["m", "gram", "item_id"]
+                )
+
+
+class Scan:
+    """Counts words and finds fingerprints that may be the benchmark's."""
+
+    def __init__(self, table: bytes, short: list[int]):
+        self.table, self.short = np.frombuffer(table, np.uint8), short
+        self.shift, self.hashes = np.uint64(64 - (8 * len(table)).bit_length() + 1), WordHashes()
+
+    def known(self, prints: np.ndarray) -> np.ndarray:
+        at = prints >> self.shift
+        return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(words of each text, fingerprints of each, [m, h, p] of all)."""
+        split = [words_of(x) for x in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = self.hashes.array([w for x in split for w in x])
+        text_of, ends = np.repeat(np.arange(len(split)), sizes), np.cumsum(sizes)
+        found = []
+        for m in [WINDOW, *self.short]:
+            k = GRAM if m == WINDOW else m
+            grams = gram_hashes(words, k)
+            whole = np.arange(k, k + len(grams)) <= ends[text_of[: len(grams)]]
+            if m == WINDOW:
+                grams[~whole] = np.uint64(2**64 - 1)
+                whole &= selected(grams)
+            at = np.flatnonzero(whole)
+            at = at[self.known(grams[at])]
+            found.append((np.full(len(at), m, np.int32), grams[at].view(np.int64), at))
+        m, h, at = map(np.concatenate, zip(*found))
+        order = np.argsort(at, kind="stable")
+        m, h, at = m[order], h[order], at[order]
+        owner = text_of[at]
+        return sizes, np.bincount(owner, minlength=len(split)), [m, h, (at - (ends - sizes)[owner]).astype(np.int32)]
+
+
+def scanned(docs: DataFrame, prints: DataFrame) -> Column:
+    """A column of structs (n_words, prints) of the column ``text``, which alone is sent to Python."""
+    bits = prints.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).alias("bit"))
+    # bitmap_bit_position counts from 0 within buckets of 32,768 bits, which count from 1 for the bits from 1 on.
+    parts = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+    table = bytearray(1 << (TABLE_BITS - 3))
+    for bucket, own in parts.collect():  # at most 2 ** (TABLE_BITS - 15) rows of 4 KB
+        table[(bucket - 1) * len(own) : bucket * len(own)] = own
+    short = sorted(r[0] for r in prints.select("m").distinct().collect() if r[0] < WINDOW)
+    spark = docs.sparkSession
+    sent, name = spark.sparkContext.broadcast((bytes(table), short)), hashlib.sha256(bytes(table) + bytes(short)).hexdigest()
+
+    @arrow_udf(f"struct<n_words: bigint, prints: array<{PRINT}>>")
+    def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = worker_state(("benchmark", name), lambda: Scan(*sent.value))
+        for column in columns:
+            parts = [own.read(byte_list(column.slice(at, SLICE))) for at in range(0, len(column), SLICE)] or [own.read([])]
+            counts, sizes = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+            m, h, p = (pa.array(np.concatenate([x[2][k] for x in parts])) for k in range(3))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.StructArray.from_arrays([m, h, p], names=["m", "h", "p"]))
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), lists], names=["n_words", "prints"])
+
+    return scan(F.col("text").cast("string"))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their hit fingerprints -> the windows around them (text_id, m, p, gram)."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words = words_of(byte_list(batch.column(1).slice(row, 1))[0])
+            starts = set()
+            for hit in batch.column(2)[row].as_py():
+                m, p = hit["m"], hit["p"]
+                starts.update((m, s) for s in (range(max(0, p - SPAN + 1), min(p, len(words) - m) + 1) if m == WINDOW else (p,)))
+            starts = sorted(starts)
+            for at in range(0, len(starts), 10_000):
+                part = starts[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column(0)[row].as_py()] * len(part), pa.string()),
+                        pa.array([m for m, _ in part], pa.int32()),
+                        pa.array([s for _, s in part], pa.int32()),
+                        pa.array([b" ".join(words[s : s + m]) for m, s in part], pa.binary()).cast(pa.string()),
+                    ],
+                    names=["text_id", "m", "p", "gram"],
+                )
 
 
 def merge_spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -184,23 +188,58 @@ def merge_spans(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    for b in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
-        yield [(r[0], r[1].encode()) for r in part.collect()]
+def _spans(places: Column) -> Column:
+    @arrow_udf("array<array<int>>")
+    def spans(column: pa.Array) -> pa.Array:
+        return pa.array([merge_spans([(x["p"], x["p"] + x["m"]) for x in row]) for row in column.to_pylist()], pa.list_(pa.list_(pa.int32())))
 
+    return spans(places)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, spans (hit word ranges, half-open) and items (ids of items with a window that occurs), per row."""
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    for k, rows in enumerate(benchmark_blocks(benchmark, block_bytes)):
-        index = docs.sparkSession.sparkContext.broadcast(Index(rows))
-        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, spans array<array<int>>, items array<string>"
-        out = out.mapInArrow(_scan(index, k == 0), schema)
-    return out
+
+def _prints(benchmark: DataFrame) -> DataFrame:
+    return shared_table(_items(benchmark).select("text").mapInArrow(_item_prints, "m int, h long").distinct())
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+
+
+def hit_texts(candidates: DataFrame, prints: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """text_id, spans and items of the texts with a window; candidates: text_id, text, prints, in any number of copies."""
+    places = candidates.select("text_id", F.inline("prints")).distinct().join(prints, ["m", "h"])
+    hits = places.groupBy("text_id").agg(F.collect_list(F.struct("m", "p")).alias("hits"))
+    texts = candidates.select("text_id", "text").dropDuplicates(["text_id"])
+    around = texts.join(hits, "text_id").mapInArrow(_windows, "text_id string, m int, p int, gram string")
+    windows = _items(benchmark).mapInArrow(_item_windows, "m int, gram string, item_id string")
+    lists = windows.groupBy("m", "gram").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    lists = shared_table(lists.withColumn("list_id", F.sha2(F.to_json("items"), 256)))
+    found = shared_table(around.join(lists.drop("items"), ["m", "gram"]).select("text_id", "m", "p", "list_id"))
+    per_text = shared_table(
+        found.groupBy("text_id")
+        .agg(F.collect_list(F.struct("p", "m")).alias("at"), F.array_sort(F.collect_set("list_id")).alias("lists"))
+        .select("text_id", _spans(F.col("at")).alias("spans"), "lists", F.sha2(F.array_join("lists", ","), 256).alias("lists_id"))
+    )
+    # Each set of lists is united once, however many texts have it.
+    sets = per_text.groupBy("lists_id").agg(F.first("lists").alias("lists")).select("lists_id", F.explode("lists").alias("list_id"))
+    items = lists.groupBy("list_id").agg(F.first("items").alias("items"))
+    united = sets.join(items, "list_id").groupBy("lists_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return per_text.join(united, "lists_id").select("text_id", "spans", "items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, spans (hit word ranges, half-open) and items (ids of items with a window that occurs), per row."""
+    prints = _prints(benchmark)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("found", scanned(docs, prints))
+    maybe = F.size("found.prints") > 0
+    rows = shared_table(
+        rows.select("doc_id", "found.n_words", F.when(maybe, F.col("found.prints")).alias("prints"), F.when(maybe, F.col("text")).alias("text"), F.when(maybe, F.sha2("text", 256)).alias("text_id"))
+    )
+    candidates = rows.where("text_id is not null")
+    hit = shared_table(hit_texts(candidates.select("text_id", "text", "prints"), prints, benchmark)).withColumnRenamed("text_id", "hit_id")
+    none = F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items")
+    judged = candidates.join(hit, F.col("text_id") == F.col("hit_id"), "left")
+    judged = judged.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+    return rows.where("text_id is null").select("doc_id", "n_words", *none).unionByName(judged)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,9 +257,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with its columns."""
+    prints = _prints(benchmark)
+    rows = docs.select(F.col("text").cast("string").alias("text")).withColumn("found", scanned(docs, prints)).where(F.size("found.prints") > 0)
+    candidates = shared_table(rows.select(F.sha2("text", 256).alias("text_id"), "text", F.col("found.prints").alias("prints")))
+    hit = shared_table(hit_texts(candidates, prints, benchmark).select(F.col("text_id").alias("_hit")))
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    packed = docs.select(F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names)]).alias("doc_id"), "text")
-    kept = contamination(packed, benchmark).where(F.size("spans") == 0)
-    return kept.select(*[F.col(f"doc_id.{n}").alias(c) for c, n in zip(docs.columns, names)])
-
-
+    text_id = F.sha2(F.col(names[docs.columns.index("text")]).cast("string"), 256)
+    kept = docs.toDF(*names).withColumn("_id", text_id).join(hit, F.col("_id") == F.col("_hit"), "left_anti")
+    return kept.select(*names).toDF(*docs.columns)
