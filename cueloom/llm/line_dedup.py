@@ -3,7 +3,7 @@
 Lines are what stands between line feeds. Three consecutive lines are a window,
 known by two 64-bit hashes with different arguments. Windows that occur more
 than once anywhere are found by one aggregation with map-side sums; every
-occurrence but the first, by (doc_id, position), is later. The positions that
+occurrence but the first, by (doc_id, hash of the whole text, position), is later. The positions that
 later windows cover are merged, and their lines removed, so a repeated passage
 of three lines or more goes as a whole, wherever its windows overlap, and stays
 where it came first.
@@ -13,8 +13,10 @@ rows is dealt to many tasks.
 
 Null texts have no lines and stay null. Texts of fewer than three lines stay as
 they are. A null doc_id comes before all others. Rows with the same doc_id and
-text are one document: they keep or lose the same lines. Other columns are
-ignored.
+text are one document: they keep or lose the same lines. Rows with the same doc_id
+and different texts are different documents, in the order of the texts' hashes.
+An empty table gives an empty result. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -44,9 +46,9 @@ def later_windows(docs: DataFrame) -> DataFrame:
         .select("doc_id", "version", F.inline(F.transform(F.sequence(F.lit(0), F.size("lines") - WIDTH), lambda i: _window(F.col("lines"), i))))
     )
     repeated = shared_table(
-        windows.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "pos")).alias("first")).where("times > 1").select("h1", "h2", "first")
+        windows.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "pos")).alias("first")).where("times > 1").select("h1", "h2", "first")
     )
-    later = windows.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    later = windows.join(repeated, ["h1", "h2"]).where(~F.struct("doc_id", "version", "pos").eqNullSafe(F.col("first")))
     spread = F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + WIDTH - 1)))
     return later.groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(spread)).alias("covered"))
 
