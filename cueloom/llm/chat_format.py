@@ -15,9 +15,17 @@ can occur there and the way back is exact. The loss mask is a run-length list
 over the output's code points: (loss, chars), two runs a turn, what stands
 before its text and its text; loss holds for assistant texts alone.
 
+Reading back cuts the output at its control strings and holds the mask against
+the cuts, run by run: each run has to be as long as what stands at its place, and
+only texts may be trained. So the trained texts are those at the mask's own
+offsets, found without counting code points from the start once a turn. A mask
+that does not fit raises an error.
+
 Work is linear in a conversation's length, which must fit one row, being one
-string. Null texts and roles are empty. Rows of a null conv_id are one
-conversation. Repeated rows are turns of their own. Other columns are ignored.
+string: Spark's limit is 2 GB. Null texts and roles are empty. Rows of a null
+conv_id are one conversation. Repeated rows are turns of their own; turns of the
+same number are ordered by role and text. An empty table gives an empty result.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,22 +83,22 @@ def read_back(rows: DataFrame) -> DataFrame:
     block = F.transform(
         F.slice(blocks, F.lit(1), F.size(blocks) - 1),
         lambda b: F.struct(
-            _role_out(F.substring_index(F.substr(b, F.lit(5)), ":\n", 1)).alias("role"),
+            F.substring_index(F.substr(b, F.lit(5)), ":\n", 1).alias("role"),
             F.split(F.regexp_replace(b, r"(?s)\A### [^:]*:\n", ""), "\n<\\+>\n", -1).alias("texts"),
         ),
     )
-    turns = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), t.alias("text")))))
-    told = rows.select("conv_id", "loss_runs", block.alias("blocks")).select("conv_id", "loss_runs", turns.alias("turns"))
+    head = lambda b, i: F.length(b["role"]) + F.when(i == 0, len("### :\n")).otherwise(len(END + "### :\n"))
+    turn = lambda b, i: lambda t, j: F.struct(b["role"].alias("role"), t.alias("text"), F.when(j == 0, head(b, i)).otherwise(len(MORE)).alias("before"))
+    told = rows.select("conv_id", "loss_runs", block.alias("blocks"))
+    told = told.select("conv_id", "loss_runs", F.flatten(F.transform("blocks", lambda b, i: F.transform(b["texts"], turn(b, i)))).alias("turns"))
+    lengths = F.concat(F.flatten(F.transform("turns", lambda t: F.array(t["before"], F.length(t["text"])))), F.array(F.lit(len(END))))
+    only_texts = F.size(F.filter("loss_runs", lambda r, i: r["loss"] & (i % 2 == 0))) == 0
+    fits = (lengths == F.transform("loss_runs", lambda r: r["chars"])) & only_texts
+    told = told.withColumn("loss_runs", F.when(fits, F.col("loss_runs")).otherwise(F.raise_error(F.lit("the loss mask does not fit the text"))))
     return told.select(
         "conv_id",
-        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), unescaped(t["text"]).alias("text"))).alias("turns"),
-        F.transform(
-            F.filter(
-                F.transform("turns", lambda t, i: F.struct(t["text"].alias("text"), F.get("loss_runs", 2 * i + 1).alias("run"))),
-                lambda x: x["run"]["loss"] & (x["run"]["chars"] == F.length(x["text"])),
-            ),
-            lambda x: unescaped(x["text"]),
-        ).alias("trained"),
+        F.transform("turns", lambda t: F.struct(_role_out(t["role"]).alias("role"), unescaped(t["text"]).alias("text"))).alias("turns"),
+        F.transform(F.filter("turns", lambda t, i: F.get("loss_runs", 2 * i + 1)["loss"]), lambda t: unescaped(t["text"])).alias("trained"),
     )
 
 
