@@ -5,8 +5,10 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import arrow_udf
 
 # Character sets, languages and words that results depend on.
 TRAILING = ",.;:!?，。；：！？、)]}）】」』"
@@ -69,20 +71,31 @@ def content_only(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, f"[^0-9A-Za-z{IDEOGRAPHS}]", ""))
 
 
-@F.pandas_udf(types.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Spark has no normal forms; this is the one Python function of this module, on Arrow batches."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(text: Column) -> Column:
+    """Compatibility composition. Spark has no normal forms, and Arrow's kernel does not compose: a batch goes to Python's in one call.
+
+    ASCII texts are normal already and are left as they are.
+    """
+
+    @arrow_udf("string")
+    def normal(column: pa.Array) -> pa.Array:
+        odd = pc.fill_null(pc.invert(pc.string_is_ascii(column)), False)
+        texts = column.filter(odd).to_pylist()
+        if not texts:
+            return column
+        made = unicodedata.normalize("NFKC", "\0".join(texts)).split("\0")  # nothing composes with U+0000
+        if len(made) != len(texts):
+            made = [unicodedata.normalize("NFKC", x) for x in texts]
+        return pc.replace_with_mask(column, odd, pa.array(made, column.type))
+
+    return normal(text)
 
 
 KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 
 
 def for_alignment(text: Column, language: Column | None = None) -> Column:
-    """NFKC, lower case, letters and digits only; katakana as hiragana where the language is Japanese.
-
-    ASCII texts are normal already and do not leave the JVM's side of the CASE with another result.
-    """
+    """NFKC, lower case, letters and digits only; katakana as hiragana where the language is Japanese."""
     plain = F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}]", "")
     if language is None:
         return plain
@@ -202,7 +215,7 @@ def text_by_mode(mode: str, text: Column, proofread: Column, translation: Column
 
 def without_line_stops(text: Column) -> Column:
     """Each line without the punctuation at its end."""
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)
+    lines = F.split(F.regexp_replace(text, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n"), "\n", -1)
     trimmed = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, f"{char_class(LINE_STOPS)}+$", "")), "\n")
     return F.regexp_replace(trimmed, "\n$", "")
 
@@ -221,6 +234,14 @@ def json_part(reply: Column) -> Column:
     return F.when(F.try_parse_json(plain).isNotNull(), plain).when(F.try_parse_json(span).isNotNull(), span)
 
 
+def sentences(text: Column) -> Column:
+    """Array of the sentences of a text: cut behind terminal marks and the closers that follow, before white space or a wide character."""
+    after = f"{char_class(MAJOR)}+{char_class(CLOSERS)}*"
+    wide = f"[。！？]{char_class(CLOSERS)}*"
+    marked = F.regexp_replace(F.regexp_replace(text, f"({after})(?={SPACE})", "$1\u0000"), f"({wide})(?=[^\u0000\\s。！？{''.join(chr(92) + c for c in CLOSERS)}])", "$1\u0000")
+    return F.filter(F.transform(F.split(marked, "\u0000", -1), strip), lambda x: x != "")
+
+
 def prompt(text: Column, context: Column, must_split: Column) -> Column:
     """Instructions for a model that puts delimiters into a text."""
     return F.concat_ws(

@@ -8,6 +8,8 @@ score + gap * column.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -24,15 +26,15 @@ DIAGONAL, UP, LEFT = 1, 2, 3
 
 
 def band_for(n: int, m: int) -> int | None:
-    """Half-width of the corridor for large inputs; None if none fits."""
-    band, slope = max(BAND_LEAST, int(max(n, m) * BAND_SHARE)), (m + n - 1) // n + 1 if m > n else 0
-    most = max(1, (BAND_CELLS // n - 1) // 2)
-    band = max(band, slope)
-    if band > most:
-        band = most
-        if band < slope:
-            return None
-    return max(1, band)
+    """Half-width of the corridor for large inputs; None if none fits.
+
+    Wished for is BAND_SHARE of the longer side, BAND_LEAST at least. It must hold the next row's centre, which moves
+    m / n columns, and one row has 2 * width + 1 of BAND_CELLS / n cells.
+    """
+    wished = max(BAND_LEAST, math.floor(BAND_SHARE * max(n, m)))
+    needed = -(-m // n) + 1 if m > n else 1
+    room = max(1, (BAND_CELLS // n - 1) // 2)
+    return min(max(wished, needed), room) if needed <= room else None
 
 
 def aligned(ref: str, heard: str) -> np.ndarray:

@@ -59,13 +59,16 @@ def active_only(artifacts: DataFrame, active: DataFrame) -> DataFrame:
 def evicted(artifacts: DataFrame, keep: DataFrame, most: int = MOST_MEDIA) -> DataFrame:
     """media_id of the oldest media (then the smaller id) beyond ``most``, never one of ``keep``; none if ``most`` is not positive.
 
-    Ranking is over media, one row each after a partial maximum; the excess is a top-k, not a global window.
+    Ranking is over media, one row each after a partial maximum. What is sorted out is the few that stay, a top-k of
+    ``most`` at most, not the excess, which grows with the store.
     """
     ages = artifacts.groupBy("media_id").agg(F.max("mtime").alias("mtime"))
     if most <= 0:
         return ages.select("media_id").limit(0)
-    excess = max(0, ages.count() - most)
-    return ages.join(keep.select("media_id").distinct(), "media_id", "left_anti").orderBy("mtime", "media_id").limit(excess).select("media_id")
+    kept = ages.join(keep.select("media_id").distinct(), "media_id", "left_semi")
+    others = ages.join(keep.select("media_id").distinct(), "media_id", "left_anti")
+    newest = others.orderBy(F.desc_nulls_last("mtime"), F.desc("media_id")).limit(max(0, most - kept.count()))
+    return others.join(newest.select("media_id"), "media_id", "left_anti").select("media_id")
 
 
 def retained(artifacts: DataFrame, keep: DataFrame, most: int = MOST_MEDIA) -> DataFrame:

@@ -1,7 +1,8 @@
 """Gap filling and finishing of line spans: window functions only.
 
-A media's lines are one ordered run; each step is a frame over (media_id) by
-line_no, and all of them share one sort.
+A media's lines are one ordered run. What comes before a line is a frame from the
+run's start, what comes after it the same frame in descending order: frames that
+only grow cost one pass, those that shrink would be computed again for each row.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ def filled_spans(lines: DataFrame) -> DataFrame:
     for a second; before the first one half seconds back, not below 0; without anchors 0 to 1.
     """
     order = Window.partitionBy("media_id").orderBy("line_no")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("media_id").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
     good = F.col("end") > F.col("start")
     rows = lines.select("media_id", "line_no", F.when(good, F.col("start")).alias("s"), F.when(good, F.col("end")).alias("e"))
     rows = rows.select(
         "*",
         F.last("e", True).over(before).alias("prev_end"),
-        F.first("s", True).over(after).alias("next_start"),
+        F.last("s", True).over(after).alias("next_start"),
         F.row_number().over(order).alias("rn"),
     )
     known_before = F.coalesce(F.max(F.when(F.col("s").isNotNull(), F.col("rn"))).over(before), F.lit(0))
-    known_after = F.coalesce(F.min(F.when(F.col("s").isNotNull(), F.col("rn"))).over(after), F.max("rn").over(Window.partitionBy("media_id")) + 1)
+    known_after = F.coalesce(F.last(F.when(F.col("s").isNotNull(), F.col("rn")), True).over(after), F.max("rn").over(Window.partitionBy("media_id")) + 1)
     rows = rows.withColumn("k", F.col("rn") - known_before).withColumn("left", known_after - F.col("rn")).withColumn("n", F.col("k") + F.col("left") - 1)
     step = (F.col("next_start") - F.col("prev_end")) / (F.col("n") + 1)
     both, only_prev, only_next = F.col("prev_end").isNotNull() & F.col("next_start").isNotNull(), F.col("prev_end").isNotNull(), F.col("next_start").isNotNull()

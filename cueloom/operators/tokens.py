@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import text as T
 
@@ -67,20 +69,32 @@ def first_language(windows: DataFrame) -> DataFrame:
     return windows.where("language is not null").groupBy("media_id").agg(F.min_by("language", "window_index").alias("language"))
 
 
+SPAN = "struct<start:int,length:int>"
+
+
+def places(words: list[str], context: str) -> list[dict | None]:
+    """Each word's leftmost place in ``context`` after the word before, or None."""
+    at, out = 0, []
+    for w in words:
+        found = context.find(w, at) if w else -1
+        out.append({"start": found, "length": len(w)} if found >= 0 else None)
+        at = found + len(w) if found >= 0 else at
+    return out
+
+
 def context_spans(words: Column, context: Column) -> Column:
     """Array of (start, length), 0-based: each word's leftmost place in ``context`` after the word before; nulls where there is none.
 
-    Both are content_only texts. An empty word has no place and does not move the cursor.
+    Both are content_only texts. An empty word has no place and does not move the cursor. One pass on Arrow batches: a
+    fold of columns would copy its list for each word.
     """
-    span = "struct<start:int,length:int>"
-    def place(acc: Column, w: Column) -> Column:
-        found = F.call_function("locate", w, context, acc["at"])
-        hit = (w != "") & (found > 0)
-        here = F.when(hit, F.struct((found - 1).cast("int").alias("start"), F.length(w).alias("length")))
-        return F.struct(F.when(hit, found + F.length(w)).otherwise(acc["at"]).cast("int").alias("at"), F.concat(acc["spans"], F.array(here)).alias("spans"))
-
-    first = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-    return F.aggregate(words, first, place, lambda acc: acc["spans"])
+
+    @arrow_udf(f"array<{SPAN}>")
+    def spans(words: pa.Array, context: pa.Array) -> pa.Array:
+        found = [None if w is None or c is None else places(w, c) for w, c in zip(words.to_pylist(), context.to_pylist())]
+        return pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
+
+    return spans(words, context)
 
 
 def patched(cues: DataFrame, patches: DataFrame, column: str) -> DataFrame:

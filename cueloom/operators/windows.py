@@ -1,14 +1,20 @@
 """Interval and window planning. Inputs are keyed by ``media_id``; all shuffles are on that key.
 
-Sequential rules that no window frame can say (bin packing) are one fold over a
-media's sorted intervals; everything else is window functions and generators.
+Sequential rules that no window frame can say (bin packing) are one pass over a
+media's sorted intervals, on Arrow batches; everything else is window functions
+and generators, with frames that only grow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import arrow_udf
+
+from ..functions import text as T
 
 
 @dataclass(frozen=True)
@@ -58,24 +64,32 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return kept.select("media_id", F.row_number().over(order).alias("window_index"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
+def _packer(plan: SpeechPlan):
+    """Sorted parts -> windows: a part joins the open window unless it is too far away or makes it too long."""
+    most = min(plan.chunk, plan.hard_chunk)
+
+    def pack(parts: list[dict]) -> Iterator[dict]:
+        start = end = None
+        for p in parts:
+            if start is not None and (p["start"] - end > plan.silence or p["end"] - start > most):
+                yield {"start": start, "end": end}
+                start = None
+            start, end = (p["start"], p["end"]) if start is None else (start, max(end, p["end"]))
+        if start is not None:
+            yield {"start": start, "end": end}
+
+    @arrow_udf("array<struct<start:double,end:double>>")
+    def packed(column: pa.Array) -> pa.Array:
+        return pa.array([list(pack(parts)) for parts in column.to_pylist()], column.type)
+
+    return packed
+
+
 def packed_windows(speech: DataFrame, media: DataFrame, plan: SpeechPlan = SpeechPlan()) -> DataFrame:
     """Greedy packing of speech into windows; media without speech are split by the hard limit."""
     parts = split_intervals(merged_intervals(speech, media, plan.padding), plan.hard_chunk)
     listed = parts.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
-    span = "struct<start:double,end:double>"
-    none = F.lit(None).cast(span)
-
-    def step(acc: Column, p: Column) -> Column:
-        now = acc["now"]
-        far = F.greatest(now["end"], p["end"])
-        flush = (p["start"] - now["end"] > plan.silence) | (p["end"] - now["start"] > min(plan.chunk, plan.hard_chunk))
-        return F.struct(
-            F.when(now.isNotNull() & flush, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
-            F.when(now.isNull() | flush, F.struct(p["start"].alias("start"), p["end"].alias("end"))).otherwise(F.struct(now["start"].alias("start"), far.alias("end"))).alias("now"),
-        )
-
-    first = F.struct(F.array().cast(f"array<{span}>").alias("done"), none.alias("now"))
-    folded = listed.select("media_id", F.aggregate("parts", first, step, lambda acc: F.concat(acc["done"], F.array(acc["now"]))).alias("windows"))
+    folded = listed.select("media_id", _packer(plan)("parts").alias("windows"))
     silent = split_intervals(media.join(listed, "media_id", "left_anti").select("media_id", F.lit(0.0).alias("start"), F.col("duration").alias("end")), plan.hard_chunk)
     return _numbered(folded.select("media_id", F.inline("windows")).unionByName(silent))
 
@@ -101,7 +115,7 @@ def without_overlap_tokens(tokens: DataFrame, windows: DataFrame) -> DataFrame:
     """Tokens (window-local times) on the media's clock; of what overlapping windows both heard, the later one's copy stays."""
     order = Window.partitionBy("media_id").orderBy("window_index")
     ahead = windows.select("media_id", "window_index", F.col("start").alias("at"), F.col("end").alias("until"), F.lead("start").over(order).alias("next"))
-    heard = tokens.where((F.trim("text") != "") & (F.col("end") >= F.col("start"))).join(ahead, ["media_id", "window_index"])
+    heard = tokens.where((T.strip(F.col("text")) != "") & (F.col("end") >= F.col("start"))).join(ahead, ["media_id", "window_index"])
     shifted = heard.withColumn("start", F.col("start") + F.col("at")).withColumn("end", F.col("end") + F.col("at"))
     doubled = (F.col("next") < F.col("until") - 1e-9) & (F.col("start") >= F.col("next") - 1e-9)
     return shifted.where(~F.coalesce(doubled, F.lit(False))).select("media_id", "window_index", "pos", "text", "start", "end")
@@ -140,10 +154,12 @@ def nearest_boundaries(offsets: DataFrame, boundaries: DataFrame, keys: list[str
     both = offsets.select(*keys, F.col("at").alias("x"), F.lit(1).alias("ask"), none.cast("long").alias("b"), none.cast("int").alias("p")).unionByName(
         boundaries.select(*keys, F.col("boundary").alias("x"), F.lit(0).alias("ask"), F.col("boundary").cast("long").alias("b"), F.col("position").cast("int").alias("p"))
     )
-    order = Window.partitionBy(*keys).orderBy("x", "ask")
+    # Of boundaries at one place the smallest position comes last in either order.
+    by = Window.partitionBy(*keys)
+    upto = by.orderBy("x", "ask", F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back = by.orderBy(F.col("x").desc(), F.col("ask").desc(), F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("ask") == 0, F.struct("b", "p"))
-    low = F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(known, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    low, high = F.last(known, True).over(upto), F.last(known, True).over(back)
     asked = both.select(*keys, "x", "ask", low.alias("low"), high.alias("high")).where("ask = 1")
     nearer = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low")).when(F.col("x") - F.col("low.b") <= F.col("high.b") - F.col("x"), F.col("low")).otherwise(F.col("high"))
     found = asked.select(*keys, F.col("x").alias("at"), nearer.alias("n")).where("n is not null")
@@ -160,8 +176,8 @@ def proportional_times(offsets: DataFrame, tokens: DataFrame, keys: list[str]) -
     firsts = ends.groupBy(*keys, "upto").agg(F.min_by(F.struct("before", "length", "start", "end"), "pos").alias("token"))
     none = F.lit(None).cast(firsts.schema["token"].dataType)
     both = offsets.select(*keys, F.col("at").cast("long").alias("x"), F.lit(1).alias("ask"), none.alias("token")).unionByName(firsts.select(*keys, F.col("upto").cast("long").alias("x"), F.lit(0).alias("ask"), "token"))
-    ahead = Window.partitionBy(*keys).orderBy(F.col("x"), F.col("ask").desc()).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("t", F.first("token", True).over(ahead)).where("ask = 1 and t is not null")
+    back = Window.partitionBy(*keys).orderBy(F.col("x").desc(), "ask").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("t", F.last("token", True).over(back)).where("ask = 1 and t is not null")
     ratio = F.when(F.col("t.length") > 0, (F.col("x") - F.col("t.before")) / F.col("t.length")).otherwise(0.5)
     return found.select(*keys, F.col("x").alias("at"), (F.col("t.start") + ratio * (F.col("t.end") - F.col("t.start"))).alias("time"))
 

@@ -126,46 +126,123 @@ def test_segments(spark):
     assert segments(spark, []) == []
 
 
-def brute_split(run, a, b, weak):
-    """Recursion over all cuts with metrics from the texts themselves."""
-    if b - a <= 1 or not run.too_long(a, b):
-        return [(a, b)]
-    at = run.cut(a, b, weak)
-    return [(a, b)] if at is None else brute_split(run, a, at, weak) + brute_split(run, at, b, weak)
+def glued(parts):
+    out = ""
+    for p in parts:
+        tight = not out or out[-1] in "([{（【「『，。；：！？、'" or p[0] in ",.;:!?，。；：！？、)]}）】」』'" or (out[-1].isdigit() and p[0].isdigit()) or any("㐀" <= c <= "鿿" for c in (out[-1], p[0]))
+        out += p if tight else " " + p
+    return out
 
 
-def test_run_metrics_and_search():
+def brute_cues(rows, language, weak, limits=T.Limits()):
+    """Cues of one window by their texts: every candidate is joined and measured anew."""
+    chars, cps = limits.max_lines * dict(limits.chars)[language], dict(limits.cps)[language]
+
+    def size(a, b):
+        text = glued([t for t, _, _ in rows[a:b]])
+        return len(text.replace(" ", "")) if language == "zh" else len(text)
+
+    span = lambda a, b: max(0.001, rows[b - 1][2] - rows[a][1])
+    long = lambda a, b, slack=1.0: span(a, b) > limits.max_duration * slack or size(a, b) > chars
+    last = lambda i: rows[i][0].rstrip("\"'”’)]}）】」』")[-1:]
+
+    def value(a, at, b):
+        pause = max(0.0, rows[at][1] - rows[at - 1][2])
+        marks = [100.0] * (last(at - 1) in tuple(".!?。！？")) + [80.0] * (last(at - 1) in tuple(",;:，；：、")) + [70 + 5 * min(pause, 1.5)] * (pause >= limits.pause)
+        base = max([0.0, *marks, *[45.0] * (language == "en" and rows[at][0] in T.BREAK_BEFORE)])
+        if not base and not (weak and long(a, b, 1.1)):
+            return None
+        out = base + (not base) - 30 * abs(size(a, at) / size(a, b) - 0.5)
+        for x, y in ((a, at), (at, b)):
+            d, n = span(x, y), size(x, y)
+            out -= 35 * max(0.0, (limits.min_duration - d) / limits.min_duration) + 25 * (max(0, d / limits.max_duration - 1) + max(0, n / chars - 1) + max(0, n / d / cps - 1))
+        return out
+
+    def split(a, b):
+        scored = [(round(v, 9), -at) for at in range(a + 1, b) if (v := value(a, at, b)) is not None] if long(a, b) else []
+        return [(a, b)] if not scored else split(a, -max(scored)[1]) + split(-max(scored)[1], b)
+
+    starts = [i for i in range(len(rows)) if not i or rows[i][1] - rows[i - 1][2] >= limits.pause or last(i - 1) in tuple(".!?。！？")]
+    todo, out = [x for a, b in zip(starts, [*starts[1:], len(rows)]) for x in split(a, b)], []
+    several = len(todo) > 1
+    while todo:
+        a, b = todo.pop(0)
+        if several and span(a, b) < limits.min_duration:
+            if todo and not long(a, todo[0][1]):
+                b = todo.pop(0)[1]
+            elif out and not long(out[-1][0], b):
+                a = out.pop()[0]
+        out.append((a, b))
+    return [(rows[a][1], rows[b - 1][2], glued([t for t, _, _ in rows[a:b]])) for a, b in out]
+
+
+@pytest.mark.parametrize("mode", ["soft", "hard"])
+@pytest.mark.parametrize("language", ["en", "zh"])
+def test_search_against_brute_force(spark, mode, language):
     rng = random.Random(2)
-    for language in ("en", "zh"):
-        text = [rng.choice(["word", "and", "(", "x)", "1", "2", "long,", "end.", "好", "it's"]) for _ in range(60)]
-        start = np.cumsum([rng.choice([0.2, 0.3, 1.5]) for _ in text])
-        run = S.Run(text, start, start + 0.2, language, T.Limits())
-        for a in range(0, 60, 7):
-            for b in range(a + 1, 61, 5):
-                joined = text[a]
-                for x, y in zip(text[a:], text[a + 1 : b]):
-                    joined += (" " if S.spaced(x, y) else "") + y
-                want = len(joined) if language == "en" else len(joined.replace(" ", ""))
-                assert run.length(a, b) == want
-        assert run.split([(0, 60)], True) == brute_split(run, 0, 60, True)
-
-
-def test_replies_of_delimiters():
-    atoms = [(i + 1, w, i * 1.0, i + 1.0) for i, w in enumerate("one two three four five six".split())]
-    source = "one two three four five six"
-    assert S.parse_reply("one two three four| five six", source, atoms) == ([4, 6], None, None)
-    assert S.parse_reply("one two 3 four five six", source, atoms)[1] == "text changed outside delimiters"
-    assert S.parse_reply("|", "", []) == ([], "empty output", None)
-    ja = [(1, "こんにちは", 0.0, 1.0), (2, "世界だ", 1.0, 2.0)]
-    ends, error, times = S.parse_reply("こんに|ちは世界だ", "こんにちは世界だ", ja)
-    assert (ends, error) == ([1, 2], None) and times == [pytest.approx(0.6)]
-
-
-def test_context_punctuation():
-    assert S.punctuated(["Hello", "world"], "Hello world!") == ["Hello", "world!"]
-    assert S.punctuated(["Hello."], 'Hello."') == ['Hello."']
-    assert S.punctuated(["a", "zz", "b"], "a, c b.") == ["a", "zz", "b."]
-    assert S.punctuated(["a"], None) == ["a"]
+    tokens, want = [], {}
+    for w in range(25):
+        at, rows = 0.0, []
+        for _ in range(rng.randint(1, 60)):
+            at += rng.choice([0, 0, 0, 0.1, 0.9])
+            rows.append((rng.choice(["word", "and", "(", "x)", "1", "2", "long,", "end.", "好", "it's", "another"]), round(at, 3), round(at + rng.choice([0.2, 0.3, 0.7]), 3)))
+            at = rows[-1][2]
+        tokens += [("m", w, i, *r, language) for i, r in enumerate(rows)]
+        want[w] = brute_cues(rows, language, mode == "hard")
+    given = spark.createDataFrame(tokens, "media_id string, window_index int, pos int, text string, start double, end double, language string")
+    got = {}
+    for r in S.segmented(given.repartition(3), KEYS, mode).orderBy("window_index", "id").collect():
+        got.setdefault(r.window_index, []).append((r.start, r.end, r.text))
+    assert got == want
+
+
+def test_long_runs_take_linear_time_per_level(spark):
+    rows = [(("m", 1, i, "word" + "." * (i % 9 == 8), i * 0.3, i * 0.3 + 0.3, "en")) for i in range(30_000)]
+    given = spark.createDataFrame(rows, "media_id string, window_index int, pos int, text string, start double, end double, language string")
+    assert S.segmented(given, KEYS, "hard").count() == 3334
+
+
+def test_sentence_splitter(spark):
+    said = 'He said "No." Then left... Why? 好。不好！「是」 3.5 is one'
+    assert one(spark, T.sentences(F.lit(said))) == ['He said "No."', "Then left...", "Why?", "好。", "不好！", "「是」 3.5 is one"]
+    rows = [(w, i, i + 0.5) for i, w in enumerate("Mr . Smith went. Then he came".split())]
+    cues = lambda splitter: [r.text for r in S.segmented(words(spark, rows), KEYS, "none", splitter=splitter).orderBy("id").collect()]
+    assert cues(lambda text: F.array(F.lit("Mr. Smith went."), F.lit("Then he came"))) == ["Mr. Smith went.", "Then he came"]
+    assert cues(T.sentences) == ["Mr.", "Smith went.", "Then he came"]
+    for bad in (["Mr. Smi", "th went. Then he came"], ["Mr. Smith went."], ["Mr. Smith went.", "Then she came"]):
+        assert cues(lambda text, bad=bad: F.array(*map(F.lit, bad))) == ["Mr.", "Smith went.", "Then he came"]
+
+
+def replies_of(spark, said, texts):
+    atoms = spark.createDataFrame([("m", 1, i + 1, w, float(i), i + 1.0) for i, w in enumerate(texts)], "media_id string, window_index int, atom_id int, text string, start double, end double")
+    row = S.parsed_replies(spark.createDataFrame([("m", 1, said)], "media_id string, window_index int, reply string"), atoms, KEYS).first()
+    return row.ends, row.error, row.times
+
+
+def test_replies_of_delimiters(spark):
+    six = "one two three four five six".split()
+    assert replies_of(spark, "one two three four| five six", six) == ([4, 6], None, None)
+    assert replies_of(spark, "```\none| two three\nfour |five six\n```", six) == ([1, 4, 6], None, None)
+    assert replies_of(spark, "one two three four five six", six) == ([6], None, None)
+    assert replies_of(spark, "one two 3 four five six", six) == ([], S.CHANGED, None)
+    assert replies_of(spark, None, six) == ([], S.CHANGED, None)
+    assert replies_of(spark, "o|ne", ["one"]) == ([], S.UNMAPPED, None)
+    assert replies_of(spark, "こんに|ちは世界だ", ["こんにちは", "世界だ"]) == ([1, 2], None, [pytest.approx(0.6)])
+    # Two delimiters at one boundary: the first gives the time; one at a boundary is snapped with the others.
+    assert replies_of(spark, "ab|c|d|ef|gh", ["abcd", "ef", "gh"]) == ([1, 2, 3], None, [pytest.approx(0.5), pytest.approx(2.0)])
+
+
+def test_context_punctuation(spark):
+    def punctuated(texts, context):
+        atoms = [("m", 1, i, w, float(i), i + 1.0) for i, w in enumerate(texts)]
+        given = spark.createDataFrame(atoms, "media_id string, window_index int, pos int, text string, start double, end double")
+        said = spark.createDataFrame([("m", 1, context)], "media_id string, window_index int, context string")
+        return [r.text for r in S.with_context_punctuation(given, said, KEYS).orderBy("atom_id").collect()]
+
+    assert punctuated(["Hello", "world"], "Hello world!") == ["Hello", "world!"]
+    assert punctuated(["Hello."], 'Hello."') == ['Hello."']
+    assert punctuated(["a", "zz", "b"], "a, c b.") == ["a", "zz", "b."]
+    assert punctuated(["a"], None) == ["a"]
 
 
 def brute_alignment(ref, heard):
@@ -219,56 +296,50 @@ def test_matched_lines(spark):
     assert [(r.start, r.end) for r in empty] == [(None, None)]
 
 
-def finish(rows, duration):
-    """The finishing passes as loops."""
-    n = len(rows)
-    s = [a if a is not None and b > a else None for a, b in rows]
-    e = [b if a is not None and b > a else None for a, b in rows]
-    known = [i for i in range(n) if s[i] is not None]
-    fs, fe = list(s), list(e)
-    for i in range(n):
-        if s[i] is None:
-            p, q = max((k for k in known if k < i), default=None), min((k for k in known if k > i), default=None)
-            if p is not None and q is not None:
-                step = (s[q] - e[p]) / (q - p)
-                fs[i] = e[p] + step * (i - p)
-                fe[i] = fs[i] + max(0.0, min(step, 1.0))
-            elif p is not None:
-                fs[i] = e[p] + 0.5 * (i - p)
-                fe[i] = fs[i] + 1
-            elif q is not None:
-                fs[i] = max(0.0, s[q] - 0.5 * (q - i))
-                fe[i] = fs[i] + 0.5
-            else:
-                fs[i], fe[i] = 0.0, 1.0
-    rise = lambda: [fs.__setitem__(i, max(fs[i], fs[i - 1])) for i in range(1, n)]
-    rise()
-    for i in range(n):
-        fs[i] = max(0.0, duration - 0.5) if fs[i] >= duration else fs[i]
-        fe[i] = min(fe[i], duration)
-        fe[i] = min(duration, fs[i] + 0.5) if fe[i] <= fs[i] else fe[i]
-    for i in range(1, n):
-        if fs[i] < fs[i - 1]:
-            fs[i] = fs[i - 1]
-            fe[i] = min(duration, fs[i] + 0.5) if fe[i] <= fs[i] else fe[i]
-    for i in range(n - 1):
-        fe[i] = min(fe[i], fs[i + 1])
-    for i in range(n):
-        fe[i] = min(duration, fs[i] + 0.5) if fe[i] <= fs[i] else fe[i]
-    return list(zip(fs, fe))
-
-
 def test_spans(spark):
+    """Filled and finished spans by what they have to be."""
     rng = random.Random(4)
     schema = "media_id string, line_no int, start double, end double"
     cases = [([(0, 1), (None, None), (None, None), (4, 5)], 10), ([(0, 8), (2, 3)], 5), ([(0.3, 0.4)], 0.1), ([(None, None)] * 3, 10)]
     cases += [([(None, None) if rng.random() < 0.4 else (a := rng.uniform(0, 20), a + rng.uniform(-1, 4)) for _ in range(12)], rng.choice([5, 15, 30])) for _ in range(10)]
     rows = [(str(c), i, None if a is None else float(a), None if b is None else float(b)) for c, (own, _) in enumerate(cases) for i, (a, b) in enumerate(own)]
+    given = spark.createDataFrame(rows, schema)
     durations = spark.createDataFrame([(str(c), float(d)) for c, (_, d) in enumerate(cases)], "media_id string, duration double")
-    got = {(r.media_id, r.line_no): (r.start, r.end) for r in spans.finished_spans(spark.createDataFrame(rows, schema), durations).collect()}
-    for c, (own, d) in enumerate(cases):
-        for i, want in enumerate(finish(own, d)):
-            assert got[str(c), i] == pytest.approx(want), (c, i)
+    by = lambda df: {c: [(r.start, r.end) for r in sorted(df_rows, key=lambda r: r.line_no)] for c, df_rows in group(df.collect()).items()}
+
+    def group(found):
+        out = {}
+        for r in found:
+            out.setdefault(int(r.media_id), []).append(r)
+        return out
+
+    filled, finished = by(spans.filled_spans(given)), by(spans.finished_spans(given, durations))
+    assert filled[0] == [(0, 1), (2, 3), (3, 4), (4, 5)] and filled[3] == [(0, 1)] * 3
+    assert finished[1] == [(0, 2), (2, 3)] and finished[2] == [(0, pytest.approx(0.1))]
+    for c, (own, duration) in enumerate(cases):
+        known = [i for i, (a, b) in enumerate(own) if a is not None and b > a]
+        assert all(filled[c][i] == pytest.approx(own[i]) for i in known)  # anchors are kept
+        for p, q in zip(known, known[1:]):  # what is between two anchors is spread evenly from the one's end to the other's start
+            starts = [filled[c][i][0] for i in range(p + 1, q)] + [own[q][0]]
+            assert np.diff([own[p][1], *starts]) == pytest.approx([(own[q][0] - own[p][1]) / (q - p)] * (q - p))
+        got = finished[c]
+        assert all(0 <= a <= b + 1e-9 and b <= duration + 1e-9 for a, b in got)
+        assert all(a <= x for (a, _), (x, _) in zip(got, got[1:]))
+        assert all(b <= x + 1e-9 or b <= a + 0.5 + 1e-9 for (a, b), (x, _) in zip(got, got[1:]))  # overlaps only where a span would have no length
+
+
+def test_frames_are_linear(spark):
+    """Twice the lines of one media take about twice the time, not four times."""
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("'m' media_id", "cast(id as int) line_no", "if(id % 7 = 0, id * 2.0D, null) start", "if(id % 7 = 0, id * 2.0D + 1, null) end")
+        began = time.time()
+        assert spans.filled_spans(rows).where("start is null").count() == 0
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 20
 
 
 def test_replies(spark):
