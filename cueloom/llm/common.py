@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +20,7 @@ T = TypeVar("T")
 #: Texts handled together inside one Arrow batch; bounds the worker's memory.
 SLICE = 256
 #: Entries of a worker's word cache before it starts anew.
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,14 +52,36 @@ def byte_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Rows and bytes of an Arrow batch on its way to or from Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches, where they are higher, so that long texts do not make large ones."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D.*", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def _trim() -> None:
+    """Gives freed memory back, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _STATE: dict = {}
 
 
 def worker_state(key, build: Callable[[], T]) -> T:
     """What ``build`` gives, once a Python worker and key. A worker holds the state of one operator at a time."""
     if key not in _STATE:
-        _STATE.clear()
-        pa.default_memory_pool().release_unused()
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            _trim()
         _STATE[key] = build()
     return _STATE[key]
 

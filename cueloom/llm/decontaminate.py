@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE, WordHashes, byte_list, gram_hashes, shared_table, worker_state
+from .common import SLICE, WordHashes, byte_list, gram_hashes, limit_batches, shared_table, worker_state
 
 WINDOW = 10
 GRAM = 5
@@ -197,6 +197,7 @@ def _spans(places: Column) -> Column:
 
 
 def _prints(benchmark: DataFrame) -> DataFrame:
+    limit_batches(benchmark.sparkSession)
     return shared_table(_items(benchmark).select("text").mapInArrow(_item_prints, "m int, h long").distinct())
 
 

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shared_table
+from .common import limit_batches, shared_table
 from .url_filter import host_of
 
 ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
@@ -288,6 +288,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of ``pages``."""
+    limit_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

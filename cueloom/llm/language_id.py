@@ -6,9 +6,15 @@ into pieces, by the forward algorithm; a text's is the product over its words.
 The probabilities are fitted by expectation maximisation: the expected counts of
 pieces over all segmentations of the training words, then their shares.
 
-Words are runs of letters, lower-cased, marked at their start. Letters outside
-the vocabulary have the same small probability everywhere. Words of more than
-LONGEST characters are scored in parts.
+Words are runs of letters (Unicode's categories L), lower-cased, marked at their
+start. Letters outside the vocabulary have the same small probability
+everywhere. Many words of up to SHORT letters go through the sums together, in
+chunks of bounded size; longer ones one by one in logarithms, with no more than
+the last positions in memory. Both sum over all segmentations of the whole word.
+
+A language's probabilities are one number for all pieces it was not seen with
+and a list of the others, so the model grows with what its training words hold
+and not with languages times pieces.
 
 Training reads the word counts of a bounded sample, chosen by a hash of doc_id
 over the whole table: SAMPLE_ROWS labelled rows in expectation, of each language
@@ -16,40 +22,50 @@ as many, or all it has where that is less, and never under LEAST_ROWS. So a rare
 language is learned however large the table is. Rows with a null
 doc_id, text or lang are not learned from. Predictions see the text alone. A
 text that is null or has no letter is ``und`` with score 0, as is every text if
-nothing could be learned. Ties go to the first language in order. Other columns
-are ignored.
+nothing could be learned. Ties go to the first language in order. Repeated rows
+are judged one by one and count each in training; an empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE, mix64, shared_table
-from .pools import sums
+from .common import SLICE, limit_batches, mix64, shared_table, worker_state
+from .pools import gather, sums
 
 SAMPLE_ROWS = 12_000
 #: Training rows of each language that has them, even if SAMPLE_ROWS is exceeded by that.
 LEAST_ROWS = 100
 HASHES = 1_000_000_000
 ROUNDS = 3
-LONGEST = 40
+#: Letters of the words that are summed together; others one by one.
+SHORT = 40
 SMOOTHING = 0.1
 FLOOR = 1e-7
-CACHE = 300_000
-#: More labels than this are no languages; the model's size is bounded by them.
-MOST_LANGUAGES = 1000
+#: Numbers that a worker holds at once: remembered scores, states of the sums, and the whole table of a model if it has no more.
+CELLS = 1_000_000
+#: Words at most that a worker remembers the scores of.
+KNOWN = 150_000
+#: Languages up to which their shares are broadcast, and not joined.
+MOST_SENT = 100_000
+#: Words that a task counts before it passes the sums on.
+HELD_WORDS = 200_000
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 18
 
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}+")
 NOT_ASCII_LETTER = bytes(c if 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
@@ -67,7 +83,7 @@ def public_pieces(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     found = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    return list(dict.fromkeys(p for p in found if re.fullmatch(rf"{MARK}?[^\W\d_]*", p) and p))
+    return list(dict.fromkeys(p for p in found if regex.fullmatch(rf"{MARK}?\p{{L}}*", p) and p))
 
 
 class Segmenter:
@@ -94,7 +110,7 @@ class Segmenter:
 
     @staticmethod
     def _powers() -> np.ndarray:
-        out = np.ones(LONGEST + 2, np.uint64)
+        out = np.ones(SHORT + 2, np.uint64)
         for i in range(1, len(out)):
             out[i] = int(out[i - 1]) * int(BASE) & 2**64 - 1
         return out
@@ -122,8 +138,8 @@ class Segmenter:
             wrong = wrong[(out[wrong] < self.size) & (self.slot_key[at] != keys[wrong])]
         return out
 
-    def spans(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
-        """(order: word numbers, longest first; their lengths with the mark; [(start, end, pieces)]).
+    def spans(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, int, np.ndarray]]]:
+        """(order: word numbers, longest first; their lengths with the mark; (start, end, pieces) by end).
 
         The pieces of (start, end) are those of the first words of the order, as far as they reach to end.
         """
@@ -132,37 +148,91 @@ class Segmenter:
         sizes = sizes[order]
         most = int(sizes[0])
         codes = np.zeros((len(words), most), np.uint32)
-        codes[np.arange(most) < sizes[:, None]] = np.frombuffer("".join([MARK + words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        prefix = np.zeros((most + 1, len(words)), np.uint64)
-        pairs = []
-        for j in range(1, most + 1):
-            n = int(np.searchsorted(-sizes, -j, "right"))
-            prefix[j, :n] = prefix[j - 1, :n] * BASE + codes[:n, j - 1]
-            for i in range(max(0, j - self.longest), j):
-                pairs.append((i, j, self.find(prefix[j, :n] - prefix[i, :n] * self.powers[j - i])))
-        return order, sizes, pairs
-
-    def scores(self, table: np.ndarray, words: list[str]) -> np.ndarray:
-        """(words, languages) log probabilities; table has a last row of zeros."""
-        out = np.empty((len(words), table.shape[1]))
-        if not len(words):
-            return out
+        codes[np.arange(most) < sizes[:, None]] = _codes("".join([MARK + words[i] for i in order]))
+
+        def pairs() -> Iterator[tuple[int, int, np.ndarray]]:
+            prefix = np.zeros((most + 1, len(words)), np.uint64)
+            for j in range(1, most + 1):
+                n = int(np.searchsorted(-sizes, -j, "right"))
+                prefix[j, :n] = prefix[j - 1, :n] * BASE + codes[:n, j - 1]
+                for i in range(max(0, j - self.longest), j):
+                    yield i, j, self.find(prefix[j, :n] - prefix[i, :n] * self.powers[j - i])
+
+        return order, sizes, pairs()
+
+    def blocks(self, word: str, step: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first end, pieces) of a long word: row k has the pieces of k + 1 characters at each of up to ``step`` ends."""
+        codes = _codes(MARK + word).astype(np.uint64)
+        for first in range(1, len(codes) + 1, step):
+            ends = np.arange(first, min(first + step, len(codes) + 1))
+            keys, out = np.zeros(len(ends), np.uint64), np.full((self.longest, len(ends)), self.size, np.int32)
+            for k in range(self.longest):
+                at = np.flatnonzero(ends > k)
+                keys[at] += codes[ends[at] - k - 1] * self.powers[k]
+                out[k, at] = self.find(keys[at])
+            yield first, out
+
+    def scores(self, model: Model, words: list[str]) -> np.ndarray:
+        """(words, languages) log probabilities."""
+        out = np.empty((len(words), len(model.langs)))
+        order = sorted((i for i in range(len(words)) if len(words[i]) <= SHORT), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            # As many as their states allow, of about one length.
+            end = at + max(1, CELLS // ((len(words[order[at]]) + 8) * max(1, len(model.langs))))
+            chunk = order[at:end]
+            out[chunk] = self._together(model, [words[i] for i in chunk])
+            at = end
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                out[i] = self._alone(model, word)
+        return out
+
+    def _together(self, model: Model, words: list[str]) -> np.ndarray:
         order, sizes, pairs = self.spans(words)
-        alpha = np.zeros((int(sizes[0]) + 1, len(words), table.shape[1]))
-        alpha[0] = 1.0
+        out, kept = np.empty((len(words), len(model.langs))), self.longest + 1
+        # Only the last positions are held; a word's state is read where it ends.
+        alpha = np.zeros((kept, len(words), len(model.langs)))
+        alpha[0], now = 1.0, 0
+        ends = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 2), "right")
         for i, j, found in pairs:
-            p = table[found]
+            if j != now:
+                alpha[j % kept], now = 0.0, j
+            p = model.rows(found)
             if j - i == 1:
                 p[found == self.size] = FLOOR
-            alpha[j, : len(found)] += alpha[i, : len(found)] * p
-        out[order] = np.log(np.maximum(alpha[sizes, np.arange(len(words))], 1e-300))
+            alpha[j % kept, : len(found)] += alpha[i % kept, : len(found)] * p
+            if i == j - 1:
+                over = slice(ends[j + 1], ends[j])
+                out[order[over]] = np.log(np.maximum(alpha[j % kept, over], 1e-300))
         return out
 
-    def expected(self, table: np.ndarray, words: list[str], counts: np.ndarray, langs: np.ndarray) -> np.ndarray:
-        """(pieces, languages) expected piece counts over all segmentations; word w is langs[w]'s, counts[w] times."""
-        width = table.shape[1]
-        if not len(words):
-            return np.zeros((self.size, width))
+    def _alone(self, model: Model, word: str) -> np.ndarray:
+        last = np.full((self.longest, len(model.langs)), -np.inf)  # row k: k + 1 positions back
+        last[0] = 0.0
+        for _, found in self.blocks(word, max(1, CELLS // (self.longest * len(model.langs)))):
+            p = model.rows(found)
+            p[0, found[0] == self.size] = FLOOR
+            with np.errstate(divide="ignore"):
+                p = np.log(p)
+            for j in range(found.shape[1]):
+                own = last + p[:, j]
+                most = own.max(axis=0)
+                last = np.roll(last, 1, axis=0)
+                last[0] = most + np.log(np.exp(own - most).sum(axis=0))
+        return last[0]
+
+    def expected(self, model: Model, words: list[str], counts: np.ndarray, langs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(pieces, languages, expected counts) over all segmentations; word w is langs[w]'s, counts[w] times."""
+        order = sorted((i for i in range(len(words)) if len(words[i]) <= SHORT), key=lambda i: len(words[i]))
+        for at in range(0, len(order), 2000):
+            chunk = np.array(order[at : at + 2000])
+            yield self._expected_together(model, [words[i] for i in chunk], counts[chunk], langs[chunk])
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                yield from self._expected_alone(model, word, counts[i], langs[i])
+
+    def _expected_together(self, model: Model, words: list[str], counts: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order, sizes, pairs = self.spans(words)
         lang, every = langs[order], np.arange(len(words))
         alpha = np.zeros((int(sizes[0]) + 1, len(words)))
@@ -170,42 +240,128 @@ class Segmenter:
         alpha[0] = beta[sizes, every] = 1.0
         chances = []
         for i, j, found in pairs:
-            p = table[found, lang[: len(found)]]
+            p = model.cells(found, lang[: len(found)])
             if j - i == 1:
                 p[found == self.size] = FLOOR
-            chances.append(p)
+            chances.append((i, j, found, p))
             alpha[j, : len(found)] += alpha[i, : len(found)] * p
-        for (i, j, found), p in zip(reversed(pairs), reversed(chances)):
+        for i, j, found, p in reversed(chances):
             beta[i, : len(found)] += p * beta[j, : len(found)]
         scale = counts[order] / np.maximum(alpha[sizes, every], 1e-300)
-        cells, weights = [], []
-        for (i, j, found), p in zip(pairs, chances):
+        cells = []
+        for i, j, found, p in chances:
             n = len(found)
             there = np.flatnonzero(found < self.size)
-            cells.append(found[there].astype(np.int64) * width + lang[there])
-            weights.append((alpha[i, :n] * p * beta[j, :n] * scale[:n])[there])
-        total = np.bincount(np.concatenate(cells), np.concatenate(weights), (self.size + 1) * width)
-        return total.reshape(-1, width)[: self.size]
-
-
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+            cells.append((found[there].astype(np.int64), lang[there], (alpha[i, :n] * p * beta[j, :n] * scale[:n])[there]))
+        return tuple(map(np.concatenate, zip(*cells)))
+
+    def _expected_alone(self, model: Model, word: str, count: float, lang: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same in logarithms, block by block; the states are two numbers a letter."""
+        size, step = len(word) + 1, 1 << 14
+        alpha, beta = (np.full(size + 1 + self.longest, -np.inf) for _ in "ab")  # alpha has ``longest`` places in front, beta behind
+        alpha[self.longest] = beta[size] = 0.0
+
+        def chances(found: np.ndarray) -> np.ndarray:
+            p = model.cells(found, np.full(found.shape, lang))
+            p[0, found[0] == self.size] = FLOOR
+            with np.errstate(divide="ignore"):
+                return np.log(p)
+
+        def total(x: np.ndarray) -> float:
+            most = x.max()
+            return most + math.log(np.exp(x - most).sum()) if most > -np.inf else -np.inf
+
+        blocks = list(self.blocks(word, step))
+        for first, found in blocks:
+            p = chances(found)
+            for j in range(found.shape[1]):
+                end = first + j
+                alpha[self.longest + end] = total(alpha[end : end + self.longest][::-1] + p[:, j])
+        whole = alpha[self.longest + size]
+        for first, found in reversed(blocks):
+            p = chances(found)
+            for j in range(found.shape[1] - 1, -1, -1):
+                end = first + j
+                # From each start that leads here; what ends later has been added to beta[end] before.
+                into = beta[end] + p[:, j]
+                starts = np.arange(end - 1, end - 1 - self.longest, -1)
+                ok = (starts >= 0) & (into > -np.inf)
+                beta[starts[ok]] = np.logaddexp(beta[starts[ok]], into[ok])
+        for first, found in blocks:
+            p, ends = chances(found), first + np.arange(found.shape[1])
+            starts = self.longest + ends - 1 - np.arange(self.longest)[:, None]
+            weight = np.exp(alpha[starts] + p + beta[ends] - whole) * count
+            there = found < self.size
+            yield found[there].astype(np.int64), np.full(int(there.sum()), lang), weight[there]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a part of the rows; what is held stays of bounded size."""
     counts: dict[str, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+        counts.clear()
+
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(p for w in words_of(text) for p in parts(w))
-    for lang, own in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                counts.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, counts.values())) > HELD_WORDS:
+                yield from flush()
+    yield from flush()
 
 
 class Model:
-    """langs, and piece probabilities (pieces + a row of zeros, langs)."""
+    """Piece probabilities: ``base`` of each language, and what single pieces have beyond, sorted by piece.
+
+    ``rows`` and ``cells`` give the probabilities of piece numbers; the number behind the last piece, for what is none,
+    has 0.
+    """
+
+    def __init__(self, pieces: list[str], langs: list[str], base: np.ndarray, piece: np.ndarray, lang: np.ndarray, more: np.ndarray):
+        order = np.lexsort((lang, piece))
+        self.pieces, self.langs, self.base = pieces, langs, base
+        self.lang, self.more = lang[order].astype(np.int32), more[order]
+        self.starts = np.searchsorted(piece[order], np.arange(len(pieces) + 2))
+        self.name = uuid.uuid4().hex
+
+    def _dense(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.tile(self.base, (len(numbers), 1))
+        out[numbers == len(self.pieces)] = 0.0
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        at, _ = gather(np.arange(len(self.lang)), self.starts[numbers], sizes)
+        out[np.repeat(np.arange(len(numbers)), sizes), self.lang[at]] += self.more[at]
+        return out
+
+    def rows(self, found: np.ndarray) -> np.ndarray:
+        """(*found, languages)."""
+        if (len(self.pieces) + 1) * len(self.langs) <= CELLS:
+            if not hasattr(self, "table"):
+                self.table = self._dense(np.arange(len(self.pieces) + 1))
+            return self.table[found]
+        numbers, place = np.unique(found, return_inverse=True)
+        return self._dense(numbers)[place.reshape(found.shape)]
+
+    def cells(self, found: np.ndarray, langs: np.ndarray) -> np.ndarray:
+        """The probability of each piece in the language beside it."""
+        if not hasattr(self, "keys"):
+            self.keys = np.repeat(np.arange(len(self.pieces) + 1), np.diff(self.starts)) * len(self.langs) + self.lang
+        out = np.where(found == len(self.pieces), 0.0, self.base[langs])
+        if len(self.keys):
+            wanted = found.astype(np.int64) * len(self.langs) + langs
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            out += np.where(self.keys[at] == wanted, self.more[at], 0.0)
+        return out
 
-    def __init__(self, pieces: list[str], langs: list[str], table: np.ndarray):
-        self.pieces, self.langs, self.table = pieces, langs, table
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "keys")}
 
 
 def rows_each(counts: dict[str, int], sample_rows: int) -> float:
@@ -222,98 +378,103 @@ def rows_each(counts: dict[str, int], sample_rows: int) -> float:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, vocabulary: str | None = None) -> Model:
     """Fit on (doc_id, text, lang); all languages of the table are learned, from ``sample_rows`` rows in expectation, LEAST_ROWS of each or more."""
     spark = labelled.sparkSession
+    limit_batches(spark)
     rows = labelled.where("doc_id is not null and text is not null and lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = dict(rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
-    langs = sorted(counts)
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    pieces = public_pieces(vocabulary)
+    counts = dict(rows.groupBy("lang").count().collect())
+    langs, pieces = sorted(counts), public_pieces(vocabulary)
+    none = np.empty(0, np.int64)
+    model = Model(pieces, langs, np.full(len(langs), 1 / len(pieces)), none, none, np.empty(0))
     if not langs:
-        return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
+        return model
     each = rows_each(counts, sample_rows)
-    shares = {lang: int(each / n * HASHES) + 1 for lang, n in counts.items() if n > each}
+    shares = [(lang, int(each / n * HASHES) + 1) for lang, n in counts.items() if n > each]
     if shares:
-        share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.coalesce(share, F.lit(HASHES)))
+        share = spark.createDataFrame(shares, "lang string, share long")
+        share = F.broadcast(share) if len(shares) <= MOST_SENT else share
+        rows = rows.join(share, "lang", "left").where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.coalesce("share", F.lit(HASHES)))
     words = shared_table(rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    table = np.vstack([np.full((len(pieces), len(langs)), 1 / len(pieces)), np.zeros((1, len(langs)))])
     for _ in range(rounds):
-        counts = _expect(spark, words, pieces, langs, table)
-        shares = (counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * len(pieces))
-        table = np.vstack([shares, np.zeros((1, len(langs)))])
-    return Model(pieces, langs, table)
+        piece, lang, n = _expect(words, model)
+        sums_each = np.bincount(lang, n, len(langs)) + SMOOTHING * len(pieces)
+        model = Model(pieces, langs, SMOOTHING / sums_each, piece, lang, n / sums_each[lang])
+    return model
 
 
-def _expect(spark: SparkSession, words: DataFrame, pieces: list[str], langs: list[str], table: np.ndarray) -> np.ndarray:
-    """One E step; what returns is bounded by pieces times languages."""
-    sent = spark.sparkContext.broadcast((pieces, {x: i for i, x in enumerate(langs)}, table))
+def _expect(words: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One E step: (pieces, languages, expected counts); as many as pieces occur in a language's sample."""
+    sent, vocabulary = words.sparkSession.sparkContext.broadcast(model), zlib.crc32("\n".join(model.pieces).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_pieces, number, probabilities = sent.value
-        segmenter, total = Segmenter(own_pieces), 0
+        m = sent.value
+        segmenter = worker_state(("segmenter", vocabulary), lambda: Segmenter(m.pieces))
+        number = {x: i for i, x in enumerate(m.langs)}
         for batch in batches:
             lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-            total = total + segmenter.expected(probabilities, batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float), lang)
-        if isinstance(total, np.ndarray):
-            piece, language = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(language), pa.array(total[piece, language])], names=["piece", "lang", "n"])
-
-    found = words.mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((len(pieces), len(langs)))
-    out[found["piece"], found["lang"]] = found["n"]
-    return out
-
-
-_WORKER: dict = {}
-
-
-def _predictor(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        if _WORKER.get("model") is not m:
-            _WORKER.update(model=m, segmenter=Segmenter(m.pieces), known={}, held=np.empty((CACHE + 1, len(m.langs))))
-        segmenter, known, held = _WORKER["segmenter"], _WORKER["known"], _WORKER["held"]
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+            for piece, language, n in segmenter.expected(m, batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float), lang):
+                cells, place = np.unique(piece * len(m.langs) + language, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells // len(m.langs)), pa.array(cells % len(m.langs)), pa.array(np.bincount(place, n, len(cells)))], names=["piece", "lang", "n"])
+
+    found = words.mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+    return tuple(found[c].to_numpy() for c in ("piece", "lang", "n"))
+
+
+class Reader:
+    """Languages of texts; remembers the scores of words."""
+
+    def __init__(self, model: Model):
+        self.model, self.segmenter, self.known = model, Segmenter(model.pieces), {}
+        self.most = min(KNOWN, max(1000, CELLS // max(1, len(model.langs))))
+        self.held = np.empty((self.most, len(model.langs)))
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """(words, languages) log probabilities."""
+        new = list(set(words).difference(self.known))
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = list(set(words))
+        if len(new) > self.most:
+            rows, order = self.segmenter.scores(self.model, new), {w: i for i, w in enumerate(new)}
+            return rows[np.fromiter(map(order.__getitem__, words), np.int64, len(words))]
+        first = len(self.known)
+        self.held[first : first + len(new)] = self.segmenter.scores(self.model, new)
+        self.known.update(zip(new, range(first, first + len(new))))
+        return self.held[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+
+    def read(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        lists = [words_of(x) if x else [] for x in texts]
+        flat, totals = [w for x in lists for w in x], np.zeros((len(lists), len(self.model.langs)))
+        numbers = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        step = max(1000, 2 * self.most)
+        for at in range(0, len(flat) if self.model.langs else 0, step):
+            own = numbers[at : at + step]
+            first, last = int(own[0]), int(own[-1]) + 1
+            totals[first:last] += sums(self.values(flat[at : at + step]), np.bincount(own - first, minlength=last - first))
+        names, scores = [], []
+        for words, row in zip(lists, totals):
+            known = bool(words) and bool(self.model.langs)
+            best = int(row.argmax()) if known else 0
+            names.append(self.model.langs[best] if known else "und")
+            scores.append(min(1.0, 1 / math.fsum(np.exp(row - row[best]))) if known else 0.0)
+        return names, scores
+
+
+def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
+    """A column of structs (lang_pred, score) for ``text``, which alone is sent to Python."""
+    limit_batches(spark)
+    sent, name = spark.sparkContext.broadcast(model), model.name
+
+    @arrow_udf("struct<lang_pred: string, score: double>")
+    def read(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = worker_state(("languages", name), lambda: Reader(sent.value))
+        for column in columns:
             names, scores = [], []
-            for at in range(0, len(texts), SLICE):
-                lists = [words_of(x) if x else [] for x in texts[at : at + SLICE]]
-                for k, words in enumerate(lists):
-                    if any(len(w) > LONGEST for w in words):
-                        lists[k] = [p for w in words for p in parts(w)]
-                counts = np.array([len(x) for x in lists], np.int64)
-                flat = [w for x in lists for w in x]
-                new = list(set(flat).difference(known))
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set(flat))
-                if len(new) > CACHE:  # one slice with very many words
-                    rows, order = segmenter.scores(m.table, new), {w: i for i, w in enumerate(new)}
-                    values = rows[np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))]
-                else:
-                    first = len(known)
-                    if new and m.langs:
-                        held[first : first + len(new)] = segmenter.scores(m.table, new)
-                    known.update(zip(new, range(first, first + len(new))))
-                    values = held[np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))]
-                for n, row in zip(counts.tolist(), sums(values, counts)):
-                    if not n or not m.langs:
-                        names.append("und")
-                        scores.append(0.0)
-                    else:
-                        best = int(row.argmax())
-                        names.append(m.langs[best])
-                        scores.append(min(1.0, 1 / math.fsum(np.exp(row - row[best]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["key", "lang_pred", "score"])
-
-    return run
-
-
-def predict(docs: DataFrame, model: Model, key) -> DataFrame:
-    """(key, lang_pred, score) per row; ``key`` is any column of ``docs``."""
-    chosen = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return chosen.mapInArrow(_predictor(sent), f"key {chosen.schema['key'].dataType.simpleString()}, lang_pred string, score double")
+            for at in range(0, len(column), SLICE):
+                more = reader.read(column.slice(at, SLICE).to_pylist())
+                names += more[0]
+                scores += more[1]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    return read(text.cast("string"))
 
 
 def held_out(doc_id="doc_id"):
@@ -324,8 +485,8 @@ def held_out(doc_id="doc_id"):
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score per row of ``docs``; learned from its rows that are not held out."""
     model = fit(docs.where(~held_out()), **options)
-    found = predict(docs, model, F.struct(F.col("doc_id"), held_out().alias("held_out")))
-    return found.select("key.doc_id", "key.held_out", "lang_pred", "score")
+    found = docs.select("doc_id", held_out().alias("held_out"), predicted(docs.sparkSession, model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
@@ -336,5 +497,5 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5, **options) -> DataFra
     """
     model = fit(docs.where(~held_out()), **options)
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    found = predict(docs, model, F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names)]))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"key.{n}").alias(c) for c, n in zip(docs.columns, names)])
+    found = docs.toDF(*names).withColumn("_found", predicted(docs.sparkSession, model, F.col(names[docs.columns.index("text")])))
+    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).select(*names).toDF(*docs.columns)

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE, WordHashes, byte_list, gram_hashes, mix64, shared_table
+from .common import SLICE, WordHashes, byte_list, gram_hashes, limit_batches, mix64, shared_table
 from .graph import components
 
 BANDS, ROWS = 32, 4
@@ -283,6 +283,7 @@ def _cross_links(live: DataFrame, codes: DataFrame, texts: DataFrame, k: int, pe
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs``; linked from ``percent`` per cent of similarity."""
+    limit_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = shared_table(plain.mapInArrow(_sketcher(k), SKETCHED))
     nodes = shared_table(

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import mix64, odd_constants, shared_dir
+from .common import limit_batches, mix64, odd_constants, shared_dir, worker_state
 from .pools import HashedPool, Pool, gather
 
 END_ID = 0
@@ -210,14 +210,10 @@ class Encoder:
         return gather(np.concatenate(parts), place, counts)
 
 
-_WORKER: dict = {}
-
-
 def _writer(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("path", 0) != path:
-            _WORKER.update(path=path, encoder=Encoder(path))
-        encoder, range_id, start = _WORKER["encoder"], TaskContext.get().partitionId(), 0
+        encoder = worker_state(("tokens", path), lambda: Encoder(path))
+        range_id, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 texts = [x or "" for x in batch.column(1).slice(at, SLICE).to_pylist()]
@@ -247,6 +243,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, ranges
     doc_id are dealt and ordered by their texts, so a doc_id of very many rows is no single range, and a task that runs
     again writes the same offsets.
     """
+    limit_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if ranges is None:
         ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
