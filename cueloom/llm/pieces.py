@@ -1,22 +1,28 @@
-"""SentencePiece encoding and decoding by a shared-prefix search over a trie.
+"""SentencePiece encoding and decoding by shared-prefix Viterbi over a trie.
 
 A text becomes marked words: spaces turn into marks, one mark is put in front,
 and a word starts where a mark follows anything else. No piece of the public
 vocabulary has a mark behind another character, so words are encoded alone.
 
-The distinct words of a slice are sorted, which is a depth-first walk of their
-trie; the states of a common prefix are computed once. The state at a prefix is
-the last piece of its best encoding. The public model is of the BPE kind, where
-the best encoding is not the one of the largest score sum: a piece t may follow
-the encoding of the prefix before it exactly if BPE, given that encoding's last
-piece p and t side by side, would leave both as they are. One piece fits at each
-prefix, so this is a Viterbi walk with one survivor a state, and its results are
-those of the library. Characters outside the vocabulary become their bytes.
+A word's encoding is the segmentation into pieces of the largest sum of the
+model's scores. The distinct words of a slice are sorted, which is a depth-first
+walk of their trie: forward scores, one a prefix, are computed where the trie
+branches off and reused by all words with that prefix. At each prefix, of equal
+sums the one with the longest last piece wins. A character outside the
+vocabulary scores UNKNOWN less than the worst piece and becomes its bytes.
+
+The public model is of the BPE kind, whose library applies merges by rank instead
+of searching the best sum. With ``by="merges"`` the same walk gives the library's
+ids: the state at a prefix is then the last piece of its one encoding, and a
+piece may follow it exactly if BPE, given both side by side, leaves them as they
+are.
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the first.
-The text comes back exactly unless it has a mark of its own.
+The text comes back exactly unless it has a mark of its own; ``lossless`` says so.
 
-Null texts count as empty and give no pieces. Other columns are ignored.
+Null texts count as empty and give no pieces. Very long words are walked once, in
+time of their length. Repeated rows are encoded each; an empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +37,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import limit_batches, worker_state
 from .pools import Pool, gather
 
 MARK = "▁"
 SLICE = 128
 #: Words, and pairs of pieces, that a worker remembers.
 CACHE, PAIRS = 250_000, 400_000
+UNKNOWN = 10
 WORD = re.compile(r" *[^ ]+| +")
 
 
 class Codec:
-    """A BPE SentencePiece model, read from its public file."""
+    """A SentencePiece model, read from its public file; ``by`` is scores or merges."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, by: str = "scores"):
         import public_tokenizers
         import sentencepiece
 
@@ -64,10 +72,15 @@ class Codec:
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_sizes = np.array([len(x) for x in shown], np.int64)
         self.shown_starts = np.cumsum(self.shown_sizes) - self.shown_sizes
+        scores = {i: model.get_score(i) for i in self.ids.values()}
+        self.unknown = min(scores.values()) - UNKNOWN
         self.matcher = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.matcher.add_word(piece, (i, len(piece)))
+            self.matcher.add_word(piece, (i, len(piece), scores[i]))
+        for c in set("".join(self.ids)).difference(self.ids) if by == "scores" else ():
+            self.matcher.add_word(c, (-1, 1, self.unknown))
         self.matcher.make_automaton()  # gives the pieces that end at a place, the longest first
+        self.encode_words = {"scores": self.best_sums, "merges": self.by_merges}[by]
         self.rank = {i: -model.get_score(i) for i in self.ids.values()}
         self.texts = {i: p for p, i in self.ids.items()}
         self.splits: dict[int, tuple[int, int] | None] = {}
@@ -114,9 +127,65 @@ class Codec:
         self.stays[p << 20 | t] = out
         return out
 
-    def encode_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def best_sums(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Sorted words, sizes and ids of their encodings, by a depth-first walk of their trie."""
         words = sorted(words)
+        matches, unknown = self.matcher.iter, self.unknown
+        best: list[float] = [0.0]  # the largest sum at each prefix
+        last: list[int] = [-1]  # its last piece; -1 for a character's bytes
+        back: list[int] = [0]
+        previous = ""
+        sizes, flat = [], []
+        for word in words:
+            shared, most = 0, min(len(word), len(previous))
+            while shared < most and word[shared] == previous[shared]:
+                shared += 1
+            end = shared + 1  # the first prefix without a score
+            del best[end:], last[end:], back[end:]
+            for at, (piece, length, score) in matches(word):
+                if at < shared:
+                    continue
+                while end <= at:  # characters of no piece
+                    best.append(best[-1] + unknown)
+                    last.append(-1)
+                    back.append(end - 1)
+                    end += 1
+                start = at + 1 - length
+                score += best[start]
+                if end == at + 1:
+                    best.append(score)
+                    last.append(piece)
+                    back.append(start)
+                    end += 1
+                elif score > best[-1]:
+                    best[-1], last[-1], back[-1] = score, piece, start
+            while end <= len(word):
+                best.append(best[-1] + unknown)
+                last.append(-1)
+                back.append(end - 1)
+                end += 1
+            previous = word
+            out = self.trace(word, last, back)
+            sizes.append(len(out))
+            flat += out
+        return words, np.array(sizes, np.int64), np.array(flat, np.int32)
+
+    def trace(self, word: str, last: list[int], back: list[int]) -> list[int]:
+        """The ids on the way back from the word's end."""
+        out, end = [], len(word)
+        while end:
+            start = back[end]
+            if last[end] == -1:
+                out += [self.byte_ids[x] for x in reversed(word[start:end].encode("utf-8", "replace"))]
+            else:
+                out.append(last[end])
+            end = start
+        out.reverse()
+        return out
+
+    def by_merges(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Sorted words, sizes and ids of the library's encodings, by the same walk."""
+        words = sorted(words)
         fits, known, matches = self.fits, self.stays.get, self.matcher.iter
         last: list[int] = [-1]  # the last piece at each prefix; -1 at the start and behind bytes
         back: list[int] = [0]
@@ -128,7 +197,7 @@ class Codec:
                 shared += 1
             del last[shared + 1 :], back[shared + 1 :]
             end = shared + 1  # the first prefix without a state
-            for at, (piece, length) in matches(word):
+            for at, (piece, length, _) in matches(word):
                 if at + 1 < end:
                     continue
                 while end <= at:  # characters of no piece
@@ -148,15 +217,7 @@ class Codec:
                 back.append(end - 1)
                 end += 1
             previous = word
-            out, end = [], len(word)
-            while end:
-                start = back[end]
-                if last[end] == -1:
-                    out += [self.byte_ids[x] for x in reversed(word[start:end].encode("utf-8", "replace"))]
-                else:
-                    out.append(last[end])
-                end = start
-            out.reverse()
+            out = self.trace(word, last, back)
             sizes.append(len(out))
             flat += out
         return words, np.array(sizes, np.int64), np.array(flat, np.int32)
@@ -185,21 +246,17 @@ class Codec:
         return [whole[a + (whole[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-_WORKER: dict = {}
-
-
-def worker_codec(path: str | None) -> Codec:
-    if _WORKER.get("path", 0) != path:
-        _WORKER.update(path=path, codec=Codec(path))
-    return _WORKER["codec"]
+def worker_codec(path: str | None, by: str) -> Codec:
+    return worker_state(("pieces", path, by), lambda: Codec(path, by))
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, by: str = "scores") -> DataFrame:
     """doc_id, ids (array of piece ids) and lossless (whether decoding them gives the text), per row."""
+    limit_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(path)
+        codec = worker_codec(path, by)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 texts = [x or "" for x in batch.column(1).slice(at, SLICE).to_pylist()]
@@ -213,10 +270,11 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows of doc_id and ids; null ids give a null text."""
+    limit_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(path)
+        codec = worker_codec(path, "scores")
         for batch in batches:
             lists = batch.column(1)
             sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
@@ -227,12 +285,13 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def piece_report(docs: DataFrame, path: str | None = None) -> DataFrame:
+def piece_report(docs: DataFrame, path: str | None = None, by: str = "scores") -> DataFrame:
     """doc_id, n_pieces, pieces_crc32 (ids as little-endian 32-bit numbers), text_sha256 (of the decoded text), lossless."""
+    limit_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(path)
+        codec = worker_codec(path, by)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 texts = [x or "" for x in batch.column(1).slice(at, SLICE).to_pylist()]

@@ -5,8 +5,12 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
+import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from cueloom.llm import chat_format, decontaminate, language_id, pieces, token_files
@@ -43,8 +47,10 @@ def brute_hits(documents, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("bits", [15, 25])
+def test_contamination(spark, monkeypatch, bits):
+    """With few bits most foreign fingerprints reach the join."""
+    monkeypatch.setattr(decontaminate, "TABLE_BITS", bits)
     rng = random.Random(4)
     word = lambda: rng.choice(["a", "b", "c", "dé", "É", "1", "zz", "ß"])
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 4, 9, 10, 11, 14, 40])))) for i in range(30)]
@@ -59,7 +65,7 @@ def test_contamination(spark, block):
             parts[at:at] = other[a : a + rng.randint(3, 20)]
         rows.append((i, ", ".join(parts).title()))
     rows += [(100, None), (101, ""), (102, "x " * 100_000 + "SECOND text-of.three"), (103, "null item text"), (103, "null item text"), (None, "second text of three")]
-    got = decontaminate.contamination(docs(spark, rows), bench(spark, items), block).select("doc_id", "n_words", "spans", "items").collect()
+    got = decontaminate.contamination(docs(spark, rows), bench(spark, items)).select("doc_id", "n_words", "spans", "items").collect()
     want = brute_hits(rows, items)
     seen = [(r.doc_id, r.n_words, sum(b - a for a, b in r.spans), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r.spans)) for r in got]
     assert sorted(seen, key=str) == want
@@ -74,33 +80,66 @@ def test_contamination_empty(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(2, 0, False)]
 
 
-def brute_forward(segmenter_pieces, table, word, k):
-    marked = "▁" + word
-    alpha = [1.0] + [0.0] * len(marked)
+def brute_forward(number, table, word, k):
+    """Logarithm of the sum over all segmentations, by plain recursion over ends with exact scaling."""
+    marked, most = "▁" + word, max(map(len, number))
+    alpha = [Fraction(1)] + [Fraction(0)] * len(marked) if len(word) < 30 else None
+    logs = [0.0]
     for j in range(1, len(marked) + 1):
-        for i in range(j):
-            if marked[i:j] in segmenter_pieces:
-                alpha[j] += alpha[i] * table[segmenter_pieces[marked[i:j]], k]
-            elif j - i == 1:
-                alpha[j] += alpha[i] * language_id.FLOOR
-    return alpha[-1]
-
-
-def test_forward_sums_all_segmentations():
-    import numpy as np
-
+        terms = []
+        for i in range(max(0, j - most), j):
+            chance = table[number[marked[i:j]], k] if marked[i:j] in number else language_id.FLOOR if j - i == 1 else 0.0
+            if alpha:
+                alpha[j] += alpha[i] * Fraction(chance)
+            if chance:
+                terms.append(logs[i] + math.log(chance))
+        logs.append(max(terms) + math.log(math.fsum(math.exp(x - max(terms)) for x in terms)))
+    return math.log(alpha[-1]) if alpha else logs[-1]
+
+
+def random_model(languages):
     names = language_id.public_pieces()
+    table = np.random.default_rng(0).dirichlet(np.ones(len(names)), languages).T
+    piece, lang = np.nonzero(table)
+    return names, table, language_id.Model(names, [str(k) for k in range(languages)], np.zeros(languages), piece, lang, table[piece, lang])
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    names, table, model = random_model(3)
+    segmenter, number = language_id.Segmenter(names), {p: i for i, p in enumerate(names)}
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghiétß日") for _ in range(5000))
+    some = ["a", "the", "unbelievable", "écoute", "straße", "日本", "x" * 40, "x" * 41, "ǌ", long]
+    want = [[brute_forward(number, table, w, k) for k in range(3)] for w in some]
+    for cells in (language_id.CELLS, 200):  # in blocks and chunks of a few, and with rows made as they are needed
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        assert np.allclose(segmenter.scores(model, some), want, rtol=1e-9)
+        monkeypatch.setattr(language_id, "SHORT", 5)
+        assert np.allclose(segmenter.scores(model, some), want, rtol=1e-9)
+        monkeypatch.undo()
+
+
+def test_expected_counts():
+    names, table, model = random_model(2)
     segmenter = language_id.Segmenter(names)
-    table = np.vstack([np.random.default_rng(0).dirichlet(np.ones(len(names)), 3).T, np.zeros((1, 3))])
-    number = {p: i for i, p in enumerate(names)}
-    some = ["a", "the", "unbelievable", "écoute", "straße", "日本", "x" * 40, "ǌ"]
-    got = segmenter.scores(table, some)
-    for w, row in zip(some, got):
-        for k in range(3):
-            assert row[k] == pytest.approx(np.log(max(brute_forward(number, table, w, k), 1e-300)), rel=1e-9)
-    counts = segmenter.expected(table, ["ab"], np.array([2.0]), np.array([1]))
-    spans = sum(len(names[i].replace("▁", "")) * counts[i, 1] for i in range(len(names)))
-    assert spans == pytest.approx(4, rel=1e-3)
+    some, times, langs = ["ab", "unbelievable", "thethethe" * 300], np.array([2.0, 1.0, 3.0]), np.array([1, 0, 1])
+    total = np.zeros((len(names), 2))
+    for piece, lang, n in segmenter.expected(model, some, times, langs):
+        np.add.at(total, (piece, lang), n)
+    letters = np.array([len(x.replace("▁", "")) for x in names])
+    # Each letter is covered once by the pieces of a segmentation, letters outside the vocabulary apart.
+    assert letters @ total == pytest.approx([12, 4 + 3 * 2700], rel=1e-3)
+    together = np.zeros_like(total)
+    for piece, lang, n in [segmenter._expected_together(model, some[1:2], times[1:2], langs[1:2])]:
+        np.add.at(together, (piece, lang), n)
+    alone = np.zeros_like(total)
+    for piece, lang, n in segmenter._expected_alone(model, some[1], 1.0, 0):
+        np.add.at(alone, (piece, lang), n)
+    assert np.allclose(together, alone)
+
+
+def test_words_are_letters_alone():
+    assert language_id.words_of("²½① x² Ünï-Code 日本語 12 _") == ["x", "ünï", "code", "日本語"]
 
 
 def test_language_accuracy(spark):
@@ -122,7 +161,15 @@ def test_language_rare(spark):
     rows = [(5 * i, some[i // 600 if i % 600 == 7 else 0], str(i // 600 if i % 600 == 7 else 0)) for i in range(600, 3000)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=60)
     assert model.langs == list("01234")
-    assert all(own.max() > 2 * own.min() for own in model.table[:-1].T)
+    own = model.rows(np.arange(len(model.pieces)))
+    assert (own.max(axis=0) > 2 * own.min(axis=0)).all() and np.allclose(own.sum(axis=0), 1)
+
+
+def test_language_two_thousand_labels(spark):
+    rows = [(10 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * 3, f"l{i:04d}") for i in range(2000) for j in range(2)]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=1).collect()
+    right = [r.lang_pred == f"l{r.doc_id // 10:04d}" for r in found if not r.held_out]
+    assert len(found) == 4000 and sum(right) / len(right) > 0.9
 
 
 def test_language_rows_each():
@@ -133,6 +180,10 @@ def test_language_rows_each():
 
 def test_language_nothing_to_learn(spark):
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs(spark, [(None, "abc")])).collect()] == [("und", 0.0)]
+    got = language_id.identify(docs(spark, [(1, "the thing"), (1, "the thing"), (2, "② ½"), (2, None), (3, "the")])).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in got) == [(1, "en"), (1, "en"), (2, "und"), (2, "und"), (3, "en")]
+    kept = language_id.drop_unidentified(docs(spark, [(1, "the thing"), (2, "②"), (3, "thing")]))
+    assert kept.columns == ["doc_id", "text", "lang", "items", "key", "ids"] and sorted(r.doc_id for r in kept.collect()) == [1, 3]
     assert language_id.identify(docs(spark, [])).count() == 0
 
 
@@ -144,25 +195,54 @@ def texts():
     return TEXTS + ["".join(rng.choice("abcdefgh  THE.,-=_/0é\n") for _ in range(120)) for _ in range(200)]
 
 
-def test_pieces_are_the_librarys(spark):
-    import public_tokenizers
-    import sentencepiece
-
+def test_pieces_by_merges_are_the_librarys(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rows = list(enumerate(texts()))
-    encoded = pieces.encoded(docs(spark, [*rows, (999, None), (3, " a")]))
+    encoded = pieces.encoded(docs(spark, [*rows, (999, None), (3, " a")]), by="merges")
     got = [(r.doc_id, r.ids, r.lossless) for r in encoded.collect()]
     want = [(i, library.encode(t), "▁" not in t) for i, t in rows] + [(999, [], True), (3, library.encode(" a"), True)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def brute_viterbi(text):
+    """Ids of the largest sum of scores, word by word, with the piece lengths tried from the longest."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    usual = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    ids, scores = {model.id_to_piece(i): i for i in usual}, {i: model.get_score(i) for i in usual}
+    longest, unknown, out = max(map(len, ids)), min(scores.values()) - 10, []
+    for word in re.findall("▁*[^▁]+|▁+", "▁" + text.replace(" ", "▁")) if text else []:
+        best = [(0.0, [])]
+        for j in range(1, len(word) + 1):
+            options = []
+            for n in range(min(j, longest), 0, -1):
+                piece, (sum_, path) = word[j - n : j], best[j - n]
+                if piece in ids:
+                    options.append((sum_ + scores[ids[piece]], (path, [ids[piece]])))
+                elif n == 1:
+                    options.append((sum_ + unknown, (path, [model.piece_to_id(f"<0x{x:02X}>") for x in piece.encode()])))
+            best.append(max(options, key=lambda x: x[0]))
+        path, parts = best[-1][1], []
+        while path:
+            parts.append(path[1])
+            path = path[0]
+        out += [i for p in reversed(parts) for i in p]
+    return out
+
+
+def test_pieces_have_the_largest_sum(spark):
+    rows = list(enumerate(texts()))
+    encoded = pieces.encoded(docs(spark, [*rows, (999, None), (3, " a"), (3, " a")]))
+    got = [(r.doc_id, r.ids, r.lossless) for r in encoded.collect()]
+    want = [(i, brute_viterbi(t), "▁" not in t) for i, t in rows] + [(999, [], True), *[(3, brute_viterbi(" a"), True)] * 2]
+    assert sorted(got, key=str) == sorted(want, key=str)
     back = {r.doc_id: r.text for r in pieces.decoded(encoded).collect()}
     assert all(back[i] == t for i, t in rows if "▁" not in t)
     assert pieces.piece_report(docs(spark, [])).count() == 0
     report = {r.doc_id: r for r in pieces.piece_report(docs(spark, rows)).collect()}
-    assert all(report[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest() and report[i].n_pieces == len(library.encode(t)) for i, t in rows if "▁" not in t)
+    assert all(report[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest() and report[i].n_pieces == len(brute_viterbi(t)) for i, t in rows if "▁" not in t)
 
 
 def test_token_files(spark):
-    import public_tokenizers
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -212,3 +292,13 @@ def test_chats(spark):
         r = report[c]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat_format.format_report(table.limit(0)).count() == 0
+
+
+def test_chat_mask_that_does_not_fit(spark):
+    laid = chat_format.formatted(spark.createDataFrame([(1, 0, "user", "one two"), (1, 1, "assistant", "three")], "conv_id long, turn long, role string, text string"))
+    moved = F.transform("loss_runs", lambda r, i: F.struct(r["loss"].alias("loss"), (r["chars"] + F.when(i == 0, 1).when(i == 1, -1).otherwise(0)).alias("chars")))
+    marked = F.transform("loss_runs", lambda r, i: F.struct((r["loss"] | (i == 2)).alias("loss"), r["chars"].alias("chars")))
+    for runs in (moved, marked, F.slice("loss_runs", F.lit(1), F.lit(4))):
+        with pytest.raises(Exception, match="mask does not fit"):
+            chat_format.read_back(laid.withColumn("loss_runs", runs)).select("trained").collect()
+    assert chat_format.read_back(laid).first().trained == ["three"]
