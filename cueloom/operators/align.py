@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from ..shared import shared_table
 from . import tokens as tok
 from .spans import finished_spans
 
@@ -122,16 +123,30 @@ def matched_lines(lines: DataFrame, tokens: DataFrame) -> DataFrame:
     return found.where("line_no is not null")
 
 
-def aligned_lines(lines: DataFrame, tokens: DataFrame, media: DataFrame) -> DataFrame:
-    """Finished spans of all lines; isolated tokens are left out unless they are all a media has or alone match."""
-    spans = matched_lines(lines, tok.connected_tokens(tokens))
-    lost = spans.groupBy("media_id").agg(F.count("start").alias("n")).where("n = 0").select("media_id")
-    again = matched_lines(lines.join(lost, "media_id", "left_semi"), tokens.join(lost, "media_id", "left_semi"))
+class AlignmentError(ValueError):
+    pass
+
+
+def aligned_lines(lines: DataFrame, tokens: DataFrame, media: DataFrame, strict: bool = False) -> DataFrame:
+    """Finished spans of all lines; isolated tokens are left out unless they are all a media has or alone match.
+
+    Media of which no line matches get filled spans, or are an error if ``strict``.
+    """
+    spans = shared_table(matched_lines(lines, tok.connected_tokens(tokens)))
+    lost = shared_table(spans.groupBy("media_id").agg(F.count("start").alias("n")).where("n = 0").select("media_id"))
+    again = shared_table(matched_lines(lines.join(lost, "media_id", "left_semi"), tokens.join(lost, "media_id", "left_semi")))
+    if strict and (none := again.groupBy("media_id").agg(F.count("start").alias("n")).where("n = 0").take(1)):
+        raise AlignmentError(f"no heard word matches a line of {none[0][0]}; check the language or the media")
     both = spans.join(lost, "media_id", "left_anti").unionByName(again)
     done = finished_spans(both, media)
     return done.select("media_id", "line_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
+def outer_spans(tokens: DataFrame) -> DataFrame:
+    """media_id, line_no, start of the first and end of the last of a line's tokens with text and length."""
+    return tok.refinable_tokens(tokens).groupBy("media_id", "line_no").agg(F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"))
+
+
 def refined_lines(rough: DataFrame, again: DataFrame, media: DataFrame) -> DataFrame:
     """Rough spans replaced by those of a second pass over each line's own window, clamped to the media, where these have a length."""
     new = again.join(media.select("media_id", "duration"), "media_id").select("media_id", "line_no", F.greatest(F.lit(0.0), "start").alias("s"), F.least("duration", "end").alias("e"))

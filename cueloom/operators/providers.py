@@ -30,14 +30,26 @@ def transcribed(windows: DataFrame, load: Callable[[], Callable[[dict], tuple[st
     return windows.select(*columns).mapInPandas(run, f"{schema}, transcript string, spoken string")
 
 
-def force_aligned(chunks: DataFrame, load: Callable[[], Callable[[str, float, str], list[tuple[str, float, float]]]]) -> DataFrame:
-    """media_id, window_index, tokens of chunks (transcript, start, end, language): empty for a blank transcript; English by default."""
+def force_aligned(chunks: DataFrame, load: Callable[[], Callable[[str, float, str], list[tuple[str, float, float]]]], strict: bool = True) -> DataFrame:
+    """media_id, window_index, tokens of chunks (transcript, start, end, language): empty for a blank transcript; English by default.
+
+    A failure is an error, or gives no tokens if not ``strict``.
+    """
     rows = chunks.select("media_id", "window_index", "transcript", (F.col("end") - F.col("start")).alias("seconds"), F.coalesce("language", F.lit("English")).alias("language"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
+
+        def words(text: str | None, seconds: float, language: str) -> list[dict]:
+            try:
+                return [{"text": t, "start": a, "end": b} for t, a, b in model(text, seconds, language)] if (text or "").strip() else []
+            except Exception:
+                if strict:
+                    raise
+                return []
+
         for part in parts:
-            found = [[{"text": t, "start": a, "end": b} for t, a, b in model(x, s, lang)] if (x or "").strip() else [] for x, s, lang in zip(part["transcript"], part["seconds"], part["language"])]
+            found = [words(*x) for x in zip(part["transcript"], part["seconds"], part["language"])]
             yield part[["media_id", "window_index"]].assign(tokens=found)
 
     return rows.mapInPandas(run, f"media_id string, window_index int, tokens {TOKENS}")

@@ -182,9 +182,10 @@ def proportional_times(offsets: DataFrame, tokens: DataFrame, keys: list[str]) -
     return found.select(*keys, F.col("x").alias("at"), (F.col("t.start") + ratio * (F.col("t.end") - F.col("t.start"))).alias("time"))
 
 
-def apply_boundary_times(cues: DataFrame, times: DataFrame) -> DataFrame:
-    """Cues whose boundary with the next has a time: it ends the one and starts the other. ``times`` has media_id, id (of the first) and time."""
-    order = Window.partitionBy("media_id").orderBy("id")
-    joined = cues.join(times.select("media_id", "id", "time"), ["media_id", "id"], "left")
+def apply_boundary_times(cues: DataFrame, times: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Cues whose boundary with the next has a time: it ends the one and starts the other. ``times`` has keys (media_id by default), id (of the first) and time."""
+    keys = keys or ["media_id"]
+    order = Window.partitionBy(*keys).orderBy("id")
+    joined = cues.join(times.select(*keys, "id", "time"), [*keys, "id"], "left")
     last = F.lead("id").over(order).isNull()
-    return joined.select("media_id", "id", "text", F.coalesce(F.lag("time").over(order), F.col("start")).alias("start"), F.when(last, F.col("end")).otherwise(F.coalesce("time", "end")).alias("end"))
+    return joined.select(*keys, "id", "text", F.coalesce(F.lag("time").over(order), F.col("start")).alias("start"), F.when(last, F.col("end")).otherwise(F.coalesce("time", "end")).alias("end"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators import align, providers, replies, segment, tokens as tok, windows as W
+from ..operators import align, artifacts as A, model_cues, providers, replies, segment, tokens as tok, windows as W
 from ..shared import shared_table
 from ..sources import timed_text
 
@@ -17,43 +17,114 @@ def media_tokens(processed: DataFrame) -> DataFrame:
     return moved.select("media_id", "window_index", F.posexplode("tokens").alias("pos", "t")).select("media_id", "window_index", "pos", "t.text", "t.start", "t.end")
 
 
-def subtitles(speech: DataFrame, media: DataFrame, hear: Callable, place: Callable, mode: str = "hard") -> DataFrame:
+def transcripts(windows: DataFrame, hear: Callable, held: DataFrame | None = None, model_id: str = "") -> tuple[DataFrame, DataFrame | None]:
+    """(windows with transcript and language, the store with what is new). Only windows that the store lacks are transcribed.
+
+    ``windows`` has media_id, window_index, start, end and, if a language is asked for, hint.
+    """
+    asked = windows if "hint" in windows.columns else windows.withColumn("hint", F.lit(None).cast("string"))
+    columns = "media_id", "window_index", "start", "end", "transcript", "language"
+    if held is None:
+        return shared_table(providers.transcribed(asked, hear).withColumnRenamed("spoken", "language").select(*columns)), None
+    found = shared_table(A.with_asr(asked, held, model_id))
+    said = F.from_json("payload", "text string, language string")
+    hits = found.where("payload is not null").withColumn("said", said).select(*columns[:4], F.col("said.text").alias("transcript"), F.col("said.language").alias("language"))
+    new = shared_table(providers.transcribed(found.where("payload is null").drop("payload"), hear))
+    payload = F.to_json(F.struct(F.col("transcript").alias("text"), F.col("spoken").alias("language")))
+    rows = _artifacts(new, "asr", model_id, F.col("hint"), F.lit(None).cast("string"), payload)
+    return hits.unionByName(new.withColumnRenamed("spoken", "language").select(*columns)), A.upserted(held, rows)
+
+
+def placed_words(heard: DataFrame, place: Callable, held: DataFrame | None = None, model_id: str = "") -> tuple[DataFrame, DataFrame | None]:
+    """(media_id, window_index, tokens; the store with what is new). An empty result is stored too."""
+    if held is None:
+        return shared_table(providers.force_aligned(heard, place)), None
+    found = shared_table(A.with_alignment(heard, held, model_id))
+    hits = found.where("payload is not null").select("media_id", "window_index", F.from_json("payload", providers.TOKENS).alias("tokens"))
+    missing = found.where("payload is null").drop("payload")
+    new = shared_table(providers.force_aligned(missing, place))
+    rows = _artifacts(missing.join(new, ["media_id", "window_index"]), "alignment", model_id, F.col("language"), F.sha1("transcript"), F.to_json("tokens"))
+    return hits.unionByName(new), A.upserted(held, rows)
+
+
+def _artifacts(rows: DataFrame, kind: str, model_id: str, language: Column, sha1: Column, payload: Column) -> DataFrame:
+    now = F.unix_micros(F.current_timestamp())
+    return rows.select(
+        "media_id", "window_index", "start", "end", F.lit(A.VERSION).alias("version"), F.lit(model_id).alias("model_id"), now.alias("mtime"), F.lit(kind).alias("kind"),
+        language.alias("language"), sha1.alias("transcript_sha1"), payload.alias("payload"),
+    )
+
+
+def subtitles(
+    speech: DataFrame, media: DataFrame, hear: Callable, place: Callable, mode: str = "hard", ask: Callable | None = None,
+    store: str | None = None, models: tuple[str, str] = ("", ""), most_media: int = A.MOST_MEDIA, splitter=None,
+) -> DataFrame:
     """Media to cues: plan windows, transcribe, place words, put punctuation back, segment, number.
 
-    ``hear`` and ``place`` are provider loaders. What they return is written once and read again.
+    ``hear``, ``place`` and ``ask`` are provider loaders. What they return is written once and read again; with a
+    ``store`` (a folder) it is kept there for later runs, for the windows that are planned now and the latest
+    ``most_media`` media. Modes: none (a cue a window), soft, hard, hybrid and llm, which need ``ask``.
     """
-    windows = W.planned_windows(speech, media)
-    heard = shared_table(providers.transcribed(windows, hear).withColumnRenamed("spoken", "language"))
+    if mode in ("hybrid", "llm") and ask is None:
+        raise ValueError(f"{mode} needs a model")
+    windows, keys = shared_table(W.planned_windows(speech, media)), ["media_id", "window_index"]
+    held = A.read_artifacts(speech.sparkSession, store) if store else None
+    heard, held = transcripts(windows, hear, held, models[0])
     if mode == "none":
-        return segment.transcript_cues(heard.withColumnRenamed("transcript", "text"))
-    placed = shared_table(providers.force_aligned(heard, place))
-    words = media_tokens(placed.join(heard.select("media_id", "window_index", "start"), ["media_id", "window_index"]))
-    said = heard.select("media_id", "window_index", F.col("transcript").alias("context"))
-    marked = segment.with_context_punctuation(words, said, ["media_id", "window_index"]).withColumn("pos", F.col("atom_id"))
-    named = marked.join(heard.select("media_id", "window_index", "language"), ["media_id", "window_index"])
-    cues = segment.segmented(named.drop("atom_id"), ["media_id", "window_index"], mode)
-    order = F.row_number().over(W.Window.partitionBy("media_id").orderBy("window_index", "id"))
-    return cues.select("media_id", order.alias("id"), "start", "end", "text")
-
-
-def aligned_subtitles(files: DataFrame, words: DataFrame, windows: DataFrame, media: DataFrame) -> DataFrame:
-    """Untimed text files and heard words (window-local) to timed lines: media_id, id, start, end, text."""
+        cues = segment.transcript_cues(heard.withColumnRenamed("transcript", "text"))
+    else:
+        placed, held = placed_words(heard, place, held, models[1])
+        words = media_tokens(placed.join(heard.select(*keys, "start"), keys))
+        said = heard.select(*keys, F.col("transcript").alias("context"))
+        marked = segment.with_context_punctuation(words, said, keys).withColumn("pos", F.col("atom_id"))
+        named = marked.join(heard.select(*keys, "language"), keys).drop("atom_id")
+        if mode == "llm":
+            cues, _ = model_cues.model_cues(named, said.withColumn("must_split", F.lit(False)), ask, keys)
+        elif mode == "hybrid":
+            cues, _ = model_cues.hybrid_cues(named, ask, keys, splitter=splitter)
+        else:
+            cues = segment.segmented(named, keys, mode, splitter=splitter)
+        order = F.row_number().over(W.Window.partitionBy("media_id").orderBy("window_index", "id"))
+        cues = cues.select("media_id", order.alias("id"), "start", "end", "text")
+    if store:
+        cues = shared_table(cues)
+        A.replace_artifacts(A.retained(A.active_only(held, windows), media, most_media), store)
+    return cues
+
+
+def aligned_subtitles(files: DataFrame, words: DataFrame, windows: DataFrame, media: DataFrame, place: Callable | None = None) -> DataFrame:
+    """Untimed text files and heard words (window-local) to timed lines: media_id, id, start, end, text.
+
+    With ``place``, each line is aligned again within its own window, and that span taken where it has a length.
+    Media of which no line can be matched, and those without a duration, are errors.
+    """
     _, lines = timed_text.untimed_lines(files)
+    if bad := media.where("duration is null or duration <= 0").select("media_id").take(1):
+        raise align.AlignmentError(f"no usable duration: {bad[0][0]}")
     heard = W.without_overlap_tokens(words, windows)
     order = W.Window.partitionBy("media_id").orderBy("start", "end", "window_index", "pos")
     heard = heard.withColumn("pos", F.row_number().over(order))
-    timed = align.aligned_lines(lines.withColumn("language", F.lit(None).cast("string")), heard, media)
-    return timed.join(lines, ["media_id", "line_no"]).select("media_id", F.col("line_no").alias("id"), "start", "end", "text")
+    said = lines.withColumn("language", F.lit(None).cast("string"))
+    timed = shared_table(align.aligned_lines(said, heard, media, strict=True))
+    if place is not None:
+        own = W.refine_windows(timed, media)
+        parts = own.join(lines, ["media_id", "line_no"]).select("media_id", F.col("line_no").cast("int").alias("window_index"), "start", "end", F.col("text").alias("transcript"), F.lit(None).cast("string").alias("language"))
+        parts = shared_table(parts)
+        again = media_tokens(shared_table(providers.force_aligned(parts, place, strict=False)).join(parts.select("media_id", "window_index", "start"), ["media_id", "window_index"]))
+        timed = align.refined_lines(timed, align.outer_spans(again.withColumnRenamed("window_index", "line_no")), media)
+    return timed.join(lines, ["media_id", "line_no"]).select("media_id", F.col("line_no").alias("id"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
 
 
 def edited(cues: DataFrame, ask: Callable, kind: str, size: int = 40) -> DataFrame:
-    """Cues with proofread or translation texts from a model, batch by batch; an invalid batch is an error."""
+    """Cues with proofread or translation texts from a model, batch by batch; a request error or an invalid batch is an error, with its cause."""
     batches = tok.numbered_batches(cues, ["media_id"], "id", size)
     asked = batches.groupBy("media_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("i"), F.col("text").alias("t")))).alias("items"))
     prompts = asked.select("media_id", "batch_id", F.transform("items", lambda x: x["i"]).alias("ids"), F.concat(F.lit(f"{kind} as JSON, keeping every i: "), F.to_json("items")).alias("prompt"))
     said = shared_table(providers.replied(prompts, ask))
+    if failed := said.where("error is not null").select("media_id", "batch_id", "error").take(1):
+        raise RuntimeError(f"{kind}: request error in batch {failed[0][1]} of {failed[0][0]}: {failed[0][2]}")
     rows = shared_table(replies.checked(said, kind))
-    if rows.where("not valid").take(1):
-        raise ValueError(f"{kind}: a batch of replies is not valid")
+    if bad := rows.where("not valid").take(1):
+        raise ValueError(f"{kind}: the reply for batch {bad[0]['batch_id']} of {bad[0]['media_id']} is not valid")
     patches = replies.accepted(rows)
     return tok.patched(cues, patches, "translation" if kind == "translate" else "proofread")

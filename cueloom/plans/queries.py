@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, timecode as C
-from ..operators import align, artifacts as A, providers, replies as R, segment as S, spans, tokens as K, windows as W
+from ..operators import align, artifacts as A, model_cues, providers, replies as R, segment as S, spans, tokens as K, windows as W
 from ..shared import shared_table
 from ..sinks import render
 from ..sources import timed_text
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None, *given: str, recursive: bool = Fals
         if sql is not None:
             head = ",\n".join(given)
             sep = ",\n" if sql.lstrip().startswith("@") else "\n"
-            ORACLES[name] = (f"with {'recursive ' if recursive else ''}{head}{sep}" if given else "") + sql.lstrip().removeprefix("@")
+            ORACLES[name] = (f"with {'recursive ' if recursive else ''}{head}{sep if given else ''}" if given or recursive else "") + sql.lstrip().removeprefix("@")
         return f
 
     return add
@@ -266,12 +266,21 @@ def snk_lrc(spark, sf):
     return render.render_lrc(cues, tags).withColumn("content", F.md5("content"))
 
 
-@query("snk_json", """select media_id, n, cast(id as bigint) id, round(start, 3) as start, round("end", 3) as "end", t as text from shown""", I.CUES, SHOWN.format("coalesce(nullif(proofread, ''), text)"))
+@query(
+    "snk_json",
+    """select media_id, md5('[' || chr(10) || string_agg('  {' || chr(10) || '    "id": ' || id || ',' || chr(10) || '    "start": ' || round(start, 3) || ',' || chr(10) || '    "end": ' || round("end", 3) || ',' || chr(10) || '    "text": ' || to_json(t) || chr(10) || '  }', ',' || chr(10) order by id) || chr(10) || ']' || chr(10)) as content from shown group by media_id""",
+    I.CUES, SHOWN.format("coalesce(nullif(proofread, ''), text)"),
+)
 def snk_json(spark, sf):
-    """Rendered as JSON and read again."""
-    content = render.render_json(I.cues(spark, sf), "proofread")
-    items = content.select("media_id", F.posexplode(F.from_json("content", "array<struct<id:long,start:double,end:double,text:string>>")).alias("n", "x"))
-    return items.select("media_id", (F.col("n") + 1).cast("long").alias("n"), "x.id", "x.start", "x.end", "x.text")
+    return render.render_json(I.cues(spark, sf), "proofread").withColumn("content", F.md5("content"))
+
+
+@query("snk_json_records", """select media_id, n, cast(id as bigint) id, text, translation, proofread from (select *, row_number() over (partition by media_id order by id) n from cues)""", I.CUES)
+def snk_json_records(spark, sf):
+    """Whole records rendered as JSON and read again."""
+    content = render.render_json(I.cues(spark, sf), "bilingual")
+    items = content.select("media_id", F.posexplode(F.from_json("content", "array<struct<id:long,text:string,translation:string,proofread:string>>")).alias("n", "x"))
+    return items.select("media_id", (F.col("n") + 1).cast("long").alias("n"), "x.id", "x.text", "x.translation", "x.proofread")
 
 
 @query("snk_output_matrix", "select media_id, cast(position as int) as position, media_id || '.' || suffix as name from (select distinct media_id from cues), (values (0, 'original.srt'), (1, 'translation.srt'), (2, 'bilingual.srt'), (3, 'original.json'), (4, 'translation.json'), (5, 'bilingual.json')) f(position, suffix)", I.CUES)
@@ -484,7 +493,7 @@ def win_event_sessions(spark, sf):
 
 
 ENDS = """sized as (select *, length(text) n, sum(length(text)) over (partition by media_id, window_index order by pos) upto from tokens),
-asked as (select distinct media_id, window_index, upto - upto % 13 + 5 as "at" from sized where upto - upto % 13 + 5 < 100000)"""
+asked as (select distinct media_id, window_index, upto - upto % 13 + 5 as "at" from sized)"""
 
 
 def _asked(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -565,7 +574,16 @@ def agg_running_offsets(spark, sf):
     return sized.select(*I.TOKEN_KEYS, "pos", (F.col("upto") - F.col("length")).alias("before"), F.sum("length").over(Window.partitionBy(*I.TOKEN_KEYS)).alias("total"))
 
 
-@query("jn_context_spans")
+@query(
+    "jn_context_spans",
+    """t as (select conv_id, turn, lower(regexp_replace(text, '[^0-9A-Za-z㐀-鿿぀-ヿ가-힯]', '', 'g')) c, regexp_extract_all(text, '[^ \n]+') w from conversations),
+u as (select conv_id, turn, c, lower(regexp_replace(w[p], '[^0-9A-Za-z㐀-鿿぀-ヿ가-힯]', '', 'g')) w, p from t, unnest(range(1, len(w) + 1)) x(p)),
+r(conv_id, turn, p, "at", f, n) as (select conv_id, turn, cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint) from t union all
+  select r.conv_id, r.turn, r.p + 1, case when u.w <> '' and k > 0 then r."at" + k - 1 + length(u.w) else r."at" end, case when u.w <> '' and k > 0 then r."at" + k end, length(u.w)
+  from r join u on u.conv_id = r.conv_id and u.turn = r.turn and u.p = r.p + 1, lateral (select instr(substr(u.c, r."at" + 1), u.w) k))
+select conv_id, turn, cast(p - 1 as int) pos, cast(f - 1 as int) as start, cast(case when f is not null then n end as int) as length from r where p > 0""",
+    recursive=True,
+)
 def jn_context_spans(spark, sf):
     rows = I.table(spark, sf, "conversations").select("conv_id", "turn", T.content_only(F.col("text")).alias("context"), F.transform(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)), T.content_only).alias("words"))
     found = rows.select("conv_id", "turn", F.posexplode(K.context_spans(F.col("words"), F.col("context"))).alias("pos", "span"))
@@ -646,19 +664,68 @@ def seg_transcript_cues(spark, sf):
 
 @query(
     "seg_parsed_replies",
-    """select media_id, window_index, case when window_index % 3 = 2 then 'text changed outside delimiters' end error, case when window_index % 3 = 2 then [] else case when len % 6 = 0 then [x * 6 for x in range(1, len // 6 + 1)] else list_append([x * 6 for x in range(1, len // 6 + 1)], len) end end::int[] ends
-from (select media_id, window_index, count(*) len from tokens group by all)""",
+    """@t as (select media_id, window_index, start, "end", length(text) n, row_number() over w rn, sum(length(text)) over w upto, count(*) over (partition by media_id, window_index) len, sum(length(text)) over (partition by media_id, window_index) total
+  from tokens where window_index % 3 <> 2 window w as (partition by media_id, window_index order by start, "end", pos)),
+cut as (select media_id, window_index, len, total, case when window_index % 3 = 1 then upto - n + 1 else upto end x from t where rn % 6 = 0),
+loose as (select media_id, window_index from cut left join t using (media_id, window_index) group by all having count(*) filter (x = upto) < count(distinct x)),
+near as (select *, row_number() over (partition by media_id, window_index, x order by abs(t.upto - x), t.upto) k from cut join loose using (media_id, window_index) join (select media_id, window_index, rn, upto from t where rn < len) t using (media_id, window_index) where x < total),
+picked as (select media_id, window_index, rn, min(x) x from near where k = 1 group by all),
+timed as (select picked.*, t.start + (x - (upto - n)) / n::double * (t."end" - t.start) tm, row_number() over (partition by media_id, window_index, picked.rn order by t.rn) j from picked join t using (media_id, window_index) where t.upto >= x),
+l as (select media_id, window_index, list(cast(rn as int) order by rn) ends, list(round(tm, 9) order by rn) times from timed where j = 1 group by all),
+e as (select media_id, window_index, list(cast(rn as int) order by rn) ends from t anti join loose using (media_id, window_index) where rn % 6 = 0 and rn < len group by all),
+k as (select media_id, window_index, count(*) len from tokens group by all)
+select media_id, window_index, case when window_index % 3 = 2 then 'text changed outside delimiters' end error,
+  case when window_index % 3 = 2 then []::int[] else list_append(coalesce(l.ends, e.ends, []::int[]), cast(len as int)) end ends, times
+from k left join l using (media_id, window_index) left join e using (media_id, window_index)""",
     I.TOKENS,
 )
 def seg_parsed_replies(spark, sf):
-    """A delimiter after every sixth word; every third reply has changed a word."""
+    """A delimiter after every sixth word, or inside it in every third reply; every other third has changed a word."""
     atoms = K.clean_tokens(I.tokens(spark, sf), I.TOKEN_KEYS)
-    said = F.transform(K.ordered_texts("atom_id"), lambda w, i: F.concat(w, F.when(i % 6 == 5, "|").otherwise(" ")))
-    replies = atoms.groupBy(*I.TOKEN_KEYS).agg(F.array_join(said, "").alias("reply")).withColumn("reply", F.when(F.col("window_index") % 3 == 2, F.concat(F.lit("x"), "reply")).otherwise(F.concat(F.lit("```\n"), "reply", F.lit("\n```"))))
-    return S.parsed_replies(replies, atoms, I.TOKEN_KEYS).select(*I.TOKEN_KEYS, "error", "ends")
+    inside = F.col("window_index") % 3 == 1
+    marked = atoms.withColumn("text", F.when(F.col("atom_id") % 6 != 0, F.concat("text", F.lit(" "))).when(inside, F.concat(F.left("text", F.lit(1)), F.lit("|"), F.substr("text", F.lit(2)), F.lit(" "))).otherwise(F.concat("text", F.lit("|"))))
+    replies = marked.groupBy(*I.TOKEN_KEYS).agg(F.array_join(K.ordered_texts("atom_id"), "").alias("reply")).withColumn("reply", F.when(F.col("window_index") % 3 == 2, F.concat(F.lit("x"), "reply")).otherwise(F.concat(F.lit("```\n"), "reply", F.lit("\n```"))))
+    parsed = S.parsed_replies(replies, atoms, I.TOKEN_KEYS)
+    return parsed.withColumn("times", F.transform("times", lambda t: F.round(t, 9)))
+
+
+@query(
+    "seg_model_cues",
+    """@a as (select *, lag(text) over (partition by media_id, window_index order by atom_id) p from atoms),
+g as (select *, case when p is null or regexp_matches(right(p, 1), '^[(\\[{（【「『，。；：！？、'']$') or regexp_matches(left(text, 1), '^[,.;:!?，。；：！？、)\\]}）】」』'']$') or (regexp_matches(right(p, 1), '[0-9]') and regexp_matches(left(text, 1), '[0-9]')) then text else ' ' || text end piece from a),
+src as (select media_id, window_index, string_agg(piece, '' order by atom_id) s from g group by all),
+v as (select *, case when length(s) % 4 = 2 then 'request error: ReplyError: busy' when length(s) % 4 = 1 or contains(s, '|') then 'invalid output: text changed outside delimiters'
+  when window_index % 2 = 0 and (length(s) % 4 = 3 or not contains(s, '. ')) then 'invalid output: no usable split' end reason from src),
+c as (select g.*, reason, (reason is null and length(s) % 4 = 0 and left(piece, 1) = ' ' and right(p, 1) = '.')::int o from g join v using (media_id, window_index)),
+n as (select *, 1 + sum(o) over (partition by media_id, window_index order by atom_id rows unbounded preceding) group_id from c),
+m as (select media_id, window_index, group_id, any_value(reason) reason, arg_min(start, atom_id) as start, arg_max("end", atom_id) as "end", ltrim(string_agg(piece, '' order by atom_id), ' ') as text from n group by all)
+select media_id, window_index, cast(row_number() over (partition by media_id, window_index order by group_id) as int) id, start, "end", text, reason from m where "end" > start""",
+    I.TOKENS, GROUPED,
+)
+def seg_model_cues(spark, sf):
+    """A stand-in that cuts behind stops, and by the text's length fails, changes it, or leaves it whole; every second window must be split."""
+
+    def load():
+        def ask(prompt):
+            text = prompt.rpartition("\nText: ")[2]
+            if len(text) % 4 == 2:
+                raise providers.ReplyError("busy", final=True)
+            return text + "x" * (len(text) % 4 == 1) if len(text) % 4 else text.replace(". ", ".| ")
+
+        return ask
+
+    words = I.tokens(spark, sf)
+    chunks = words.select(*I.TOKEN_KEYS, F.lit(None).cast("string").alias("context"), (F.col("window_index") % 2 == 0).alias("must_split")).distinct()
+    cues, report = model_cues.model_cues(words, chunks, load, I.TOKEN_KEYS)
+    return cues.join(report, I.TOKEN_KEYS)
 
 
-@query("seg_context_punctuation")
+@query(
+    "seg_context_punctuation",
+    """@n as (select *, regexp_replace(text, '[^0-9A-Za-z㐀-鿿぀-ヿ가-힯]', '', 'g') own, lead(regexp_replace(text, '[^0-9A-Za-z㐀-鿿぀-ヿ가-힯]', '', 'g')) over (partition by media_id, window_index order by atom_id) following from atoms)
+select media_id, window_index, cast(atom_id as int) atom_id, case when regexp_matches(text, '^[0-9A-Za-z]+[,.]+$') and following = '' then regexp_replace(text, '[,.]+$', '') else text end as text from n""",
+    I.TOKENS, GROUPED,
+)
 def seg_context_punctuation(spark, sf):
     """Words without their punctuation get it back from the turn's text."""
     bare = I.tokens(spark, sf).withColumn("text", F.expr("case when text rlike '^[0-9A-Za-z]+[,.]+$' then regexp_replace(text, '[,.]+$', '') else text end"))
@@ -668,16 +735,17 @@ def seg_context_punctuation(spark, sf):
 
 @query("seg_hybrid_cues")
 def seg_hybrid_cues(spark, sf):
-    """Sentences; overlong ones by a stand-in model if they last over nine seconds, by hard splits else."""
+    """Soft groups; overlong ones by a stand-in that cuts behind every eighth word of texts with an odd length, else by the hard search."""
+
+    def load():
+        def ask(prompt):
+            words = prompt.rpartition("\nText: ")[2].split(" ")
+            return " ".join(w + "|" * (i % 8 == 7) for i, w in enumerate(words)) if len(words) % 2 else " ".join(words)
+
+        return ask
+
     words = I.tokens(spark, sf).withColumn("language", F.lit("en"))
-    grouped = shared_table(S.sentence_groups(words, I.TOKEN_KEYS))
-    metrics = shared_table(K.group_metrics(grouped, I.TOKEN_KEYS, F.lit("en")).withColumn("overlong", T.overlong(F.col("duration"), F.col("length"), F.lit("en"))))
-    cues = K.cues_of_groups(grouped, I.TOKEN_KEYS).join(metrics.select(*I.TOKEN_KEYS, "group_id", "overlong"), [*I.TOKEN_KEYS, "group_id"])
-    keys = [*I.TOKEN_KEYS, "group_id"]
-    long = grouped.join(metrics.where("overlong").select(*keys), keys, "left_semi").drop("opens", "atom_id")
-    hard = S.segmented(long.select(*keys, "pos", "text", "start", "end", "language").withColumnRenamed("group_id", "part"), [*I.TOKEN_KEYS, "part"], "hard").withColumnRenamed("part", "group_id")
-    model = K.cues_of_groups(long.join(metrics.where("duration > 9").select(*keys), keys, "left_semi").withColumnRenamed("group_id", "part").withColumn("group_id", F.floor(F.col("pos") / 8)), [*I.TOKEN_KEYS, "part"]).drop("group_id").withColumnRenamed("part", "group_id")
-    return S.chosen_cues(cues, model, hard, I.TOKEN_KEYS)
+    return model_cues.hybrid_cues(words, load, I.TOKEN_KEYS)[0]
 
 
 @query("aln_aligned_lines")
@@ -695,17 +763,17 @@ VALID = """b as (select media_id, id, text, cast((id - 1) // 3 as int) batch_id
 def _batch_replies(spark, sf) -> DataFrame:
     """Batches of three with a model's reply: in order, reversed, fenced, with a number as text, or cut short."""
     rows = K.numbered_batches(I.cues(spark, sf), ["media_id"], "id", 3)
-    asked = rows.groupBy("media_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("i"), F.concat(F.lit(" "), F.left("text", F.lit(5)), F.lit(" ")).alias("t")))).alias("x"))
+    asked = rows.groupBy("media_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("i"), F.concat(F.lit(" "), "text", F.lit(" ok ")).alias("t")))).alias("x"))
     reply = F.expr("case batch_id % 5 when 0 then to_json(x) when 1 then concat('{\"items\":', to_json(reverse(x)), '}') when 2 then concat('```json\n', to_json(x), '\n```') when 3 then replace(to_json(x), '\"i\":', '\"i\":\"x\",\"j\":') else substr(to_json(x), 1, 12) end")
     return asked.select("media_id", "batch_id", F.transform("x", lambda v: v["i"]).alias("ids"), reply.alias("reply"))
 
 
-@query("val_corrections", "select media_id, batch_id, cast(id as bigint) id, trim(left(text, 5), ' ' || chr(10)) as text from b where batch_id % 5 in (0, 1, 2)", I.CUES, VALID)
+@query("val_corrections", "select media_id, batch_id, cast(id as bigint) id, trim(text || ' ok', ' ' || chr(10)) as text from b where batch_id % 5 in (0, 1, 2)", I.CUES, VALID)
 def val_corrections(spark, sf):
     return R.corrections(_batch_replies(spark, sf))
 
 
-@query("val_translations", "select media_id, batch_id, cast(id as bigint) id, trim(left(text, 5), ' ' || chr(10)) as text from b where batch_id % 5 in (0, 2) or (batch_id % 5 = 1 and 1 = (select count(*) from b c where c.media_id = b.media_id and c.batch_id = b.batch_id))", I.CUES, VALID)
+@query("val_translations", "select media_id, batch_id, cast(id as bigint) id, trim(text || ' ok', ' ' || chr(10)) as text from b where batch_id % 5 in (0, 2) or (batch_id % 5 = 1 and 1 = (select count(*) from b c where c.media_id = b.media_id and c.batch_id = b.batch_id))", I.CUES, VALID)
 def val_translations(spark, sf):
     return R.translations(_batch_replies(spark, sf))
 
@@ -713,6 +781,33 @@ def val_translations(spark, sf):
 # --- plans and streams -------------------------------------------------------
 
 
+HEARD = """tiles as (select distinct media_id, window_index, window_index * 29.0::double as start, window_index * 29.0::double + 30.0::double as "end" from tokens),
+heard as (select media_id, window_index, start, "end", i, 'word' || ((window_index + i) % 97) w from tiles, unnest(range(window_index % 7 + 1)) u(i))"""
+
+
+def _hear():
+    return lambda row: (" ".join(f"word{(row['window_index'] + i) % 97}" for i in range(row["window_index"] % 7 + 1)), "English")
+
+
+@query("ext_transcribed", "select media_id, window_index, string_agg(w, ' ' order by i) transcript, 'English' spoken from heard group by media_id, window_index", I.TOKENS, HEARD)
+def ext_transcribed(spark, sf):
+    """Windows through a provider, loaded once a worker."""
+    return providers.transcribed(_tiles(I.tokens(spark, sf)), _hear).select("media_id", "window_index", "transcript", "spoken")
+
+
+@query(
+    "ext_aligned",
+    """@r as (select *, sum(length(w)) over (partition by media_id, window_index order by i) upto, sum(length(w)) over (partition by media_id, window_index) total from heard)
+select media_id, window_index, cast(i as int) pos, w as text, round_even((upto - length(w)) / total::double * 30.0::double, 3) as start, round_even(upto / total::double * 30.0::double, 3) as "end" from r where window_index % 4 > 0""",
+    I.TOKENS, HEARD,
+)
+def ext_aligned(spark, sf):
+    """Transcripts through an aligner; blank ones give no words."""
+    heard = providers.transcribed(_tiles(I.tokens(spark, sf)), _hear).withColumn("transcript", F.when(F.col("window_index") % 4 > 0, F.col("transcript")).otherwise(" "))
+    found = providers.force_aligned(heard.withColumnRenamed("spoken", "language"), lambda: providers.evenly_spoken)
+    return found.select("media_id", "window_index", F.posexplode("tokens").alias("pos", "t")).select("media_id", "window_index", "pos", "t.text", "t.start", "t.end")
+
+
 @query("plan_subtitles")
 def plan_subtitles(spark, sf):
     """Speech to cues with deterministic stand-ins for the models."""
@@ -776,6 +871,15 @@ def str_static_join(spark, sf):
     return E.drained(E.with_static(E.read_events(spark, sf), names, "user_id").select("event_id", "name"))
 
 
-@query("str_gap_groups")
+@query(
+    "str_gap_groups",
+    """@e as (select user_id, epoch_us(ts) / 1e6 x, value v, ts from events),
+w as (select epoch_ms(max(ts)) / 1e3 - 3600 wm from events),
+o as (select user_id, x, v, coalesce(x - max(x + v) over (partition by user_id order by x, v rows between unbounded preceding and 1 preceding) >= 3600, true)::int o from e, w where x <= wm),
+g as (select *, sum(o) over (partition by user_id order by x, v rows unbounded preceding) k from o),
+m as (select user_id, k, min(x) opened, max(x + v) as until, count(*) n, max(k) over (partition by user_id) top from g group by user_id, k)
+select user_id, round(opened, 3) opened, round(until, 3) as until, n from m, w where k < top or until + 3600 <= wm""",
+    "one as (select 1)",
+)
 def str_gap_groups(spark, sf):
     return E.drained(E.gap_groups(E.read_events(spark, sf), 3600.0, "1 hour")).select("user_id", F.round("opened", 3).alias("opened"), F.round("until", 3).alias("until"), "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,17 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder under spark.checkpoint.dir. Where that is unset, a temporary one, but only if all tasks run in this process's machine."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='cueloom-')}"
-        spark.sparkContext.setCheckpointDir(root)
+        known = context._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            root = known.get()
+        elif re.match(r"local(\[|$)", context.master):
+            root = f"file://{tempfile.mkdtemp(prefix='cueloom-')}"
+            context.setCheckpointDir(root)
+        else:
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
     return f"{root.rstrip('/')}/cueloom-{uuid.uuid4().hex}"
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def shared_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors. It is there until the driver ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    removed_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

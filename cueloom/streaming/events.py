@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..shared import shared_dir
+from ..shared import removed_at_exit, shared_dir
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -47,28 +48,35 @@ def with_static(events: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def gap_groups(events: DataFrame, gap: float, late: str) -> DataFrame:
     """Closed groups of each user by the end-to-start rule: a pause of ``gap`` seconds or more starts a new one.
 
-    An event lasts ``value`` seconds. The open group is state; it is closed by the next one or by the watermark.
+    An event lasts ``value`` seconds. Events are held until the watermark has passed them, so those that come late, but
+    not too late, are folded in their place. State is the open group and the events beyond the watermark; a group is
+    closed by the next one, or when the watermark has passed its end and the gap.
     """
-    state = "opened double, until double, n long"
+    state = "opened double, until double, n long, ahead array<struct<at:double,value:double>>"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        done = []
-        if held.hasTimedOut:
-            done.append(held.get)
+        opened, until, n, ahead = held.get if held.exists else (None, None, 0, [])
+        waiting = [(x[0], x[1]) for x in ahead or []]
+        if not held.hasTimedOut:
+            waiting += [x for part in parts for x in zip(part["at"].tolist(), part["value"].tolist())]
+        mark, done = held.getCurrentWatermarkMs() / 1000, []
+        waiting.sort()
+        ready = sum(at <= mark for at, _ in waiting)
+        for at, value in waiting[:ready]:
+            if n and at - until >= gap:
+                done.append((opened, until, n))
+                n = 0
+            opened, until, n = (at, at + value, 1) if not n else (opened, max(until, at + value), n + 1)
+        if n and until + gap <= mark:
+            done.append((opened, until, n))
+            n = 0
+        waiting = waiting[ready:]
+        if n or waiting:
+            held.update((opened if n else None, until if n else None, n, waiting))
+            following = min(([until + gap] if n else []) + [at for at, _ in waiting[:1]])
+            held.setTimeoutTimestamp(max(math.ceil(following * 1000), held.getCurrentWatermarkMs() + 1))
+        elif held.exists:
             held.remove()
-        else:
-            now = list(held.get) if held.exists else None
-            rows = pd.concat(list(parts)).sort_values(["at", "value"])
-            for at, value in zip(rows["at"], rows["value"]):
-                if now is None:
-                    now = [at, at + value, 1]
-                elif at - now[1] >= gap:
-                    done.append(tuple(now))
-                    now = [at, at + value, 1]
-                else:
-                    now = [now[0], max(now[1], at + value), now[2] + 1]
-            held.update(tuple(now))
-            held.setTimeoutTimestamp(max(int((now[1] + gap) * 1000), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *d) for d in done], columns=["user_id", "opened", "until", "n"])
 
     rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").cast("double").alias("micros"), "value")
@@ -81,4 +89,6 @@ def drained(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     out, marks = shared_dir(spark), shared_dir(spark)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    for folder in (out, marks):
+        removed_at_exit(spark, folder)
     return spark.read.schema(stream.schema).parquet(out)
