@@ -1,4 +1,4 @@
-"""Shared helpers: tables cut from their lineage, byte views, word hashing."""
+"""Shared helpers: tables of the driver, bounded batches and worker states, byte views, word hashing."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -16,6 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import removed_at_exit, shared_dir, shared_table  # noqa: F401
+
 T = TypeVar("T")
 #: Texts handled together inside one Arrow batch; bounds the worker's memory.
 SLICE = 256
@@ -23,24 +23,6 @@ SLICE = 256
 CACHE_LIMIT = 250_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else f"file://{tempfile.mkdtemp(prefix='cueloom-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/cueloom-{uuid.uuid4().hex}"
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import limit_batches, mix64, odd_constants, shared_dir, worker_state
+from .common import limit_batches, mix64, odd_constants, removed_at_exit, shared_dir, worker_state
 from .pools import HashedPool, Pool, gather
 
 END_ID = 0
@@ -285,4 +285,5 @@ def stored_report(docs: DataFrame) -> DataFrame:
     """Write ``docs`` to the shared folder and report what the files say."""
     path = shared_dir(docs.sparkSession)
     write_tokens(docs, path)
+    removed_at_exit(docs.sparkSession, path)
     return token_report(docs.sparkSession, path)
