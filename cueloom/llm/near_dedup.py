@@ -16,16 +16,27 @@ Links. Equal sets become one node first, whatever their number. Each bucket
 then compares its nodes with one pivot, by their full shingle sets, and the
 links' components are found. Only buckets that still hold several components
 go on: with other pivots while those join many, at last with all pairs that
-are in different components, inside groups of bounded size and without emitting
-pairs. There, pairs that cannot reach the similarity by their sizes, or whose
-sketches are six standard deviations from it, are passed over; all others are
-compared by their full sets, once, in the first band they share. So a group of
-near copies costs about its size, and no link between components is lost.
+are in different components, without emitting pairs. A bucket that fits one
+group is that group. The nodes of larger buckets, texts that share most of a
+frequent passage and are yet not similar enough, would be compared in the square
+of their number; they are dealt anew by prefix filtering, which loses no link:
+with a node's shingles ordered from the rarest among these nodes, two sets of the
+similarity share one of the first n - ceil(percent * n / 100) + 1 of each. Only
+nodes that share such a rare shingle stand together. In all groups, pairs that
+cannot reach the similarity by their sizes, or whose sketches are six standard
+deviations from it, are passed over; all others are compared by their full sets,
+once, in the first band or rare shingle they share. So a group of near copies
+costs about its size, and no link between components is lost.
+
+Shingles are known by 64-bit hashes, and equal sets, before they become one node,
+by 128 bits of BLAKE2b over these: two different texts of a billion are taken for
+one with a probability of 1e-21.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. A text of
 fewer words than k has one shingle, its words; one without words, or null,
-has none and is linked with nothing. Rows that share a doc_id are one document
-whose texts are all looked at. A row whose doc_id is null follows the component
+has none and is linked with nothing. An empty table gives an empty result; very
+long texts count by their shingles in the size of a group. Rows that share a
+doc_id are one document whose texts are all looked at. A row whose doc_id is null follows the component
 of its set, or stays if there is none. Other columns are ignored.
 """
 
@@ -45,8 +56,8 @@ BANDS, ROWS = 32, 4
 T = BANDS * ROWS
 #: Pivot rounds before all remaining pairs are compared. One is made while more than REST pairs a node remain, if the last left at most SHRINKS of them.
 PIVOT_ROUNDS, REST, SHRINKS = 3, 8, 0.7
-#: Nodes of a bucket that are compared in one group; larger buckets are cut into cells, which meet two by two.
-CELL = 512
+#: Nodes, and shingles of all nodes, that are compared in one group. What is larger is cut into cells, which meet two by two.
+CELL, CELL_SHINGLES = 512, 1_000_000
 CHUNK = 64
 #: Bytes a node is screened by: one of each coordinate, and four of each band's key.
 CODES = T + 4 * BANDS
@@ -194,7 +205,7 @@ class _Screen:
     """Which nodes of a group are to be compared by their sets in this group.
 
     A pair is, if its components differ, its sizes allow the similarity, its codes do not rule it out, and this
-    is the first band that both share, so that each pair is compared once.
+    is the first band, or the rarest shingle of their prefixes, that both share, so that each pair is compared once.
     """
 
     def __init__(self, group: pa.Table, percent: int):
@@ -202,7 +213,8 @@ class _Screen:
         self.nodes, self.sizes, self.components = column("node"), column("n"), column("component")
         codes = np.frombuffer(b"".join(group["codes"].to_pylist()), np.uint8).reshape(-1, CODES)
         self.codes, self.keys = np.ascontiguousarray(codes[:, :T]), np.ascontiguousarray(codes[:, T:]).view(np.uint32)
-        self.cells, self.band = column("cell"), int(group["b"][0].as_py())
+        self.cells, self.band, self.key = column("cell"), int(group["b"][0].as_py()), group["band"][0].as_py()
+        self.prefixes = group["prefix"].combine_chunks()
         self.within = group["x"][0].as_py() == group["y"][0].as_py()
         self.percent = percent
 
@@ -215,11 +227,20 @@ class _Screen:
             fit &= self.cells[rest] != self.cells[i]
         at = np.flatnonzero(fit) + i + 1
         at = at[(self.codes[at] == self.codes[i]).sum(axis=1) >= LEAST_EQUAL] if len(at) else at
+        if self.band < 0:
+            return at[[self.first(i, j) for j in at.tolist()]] if len(at) else at
         if len(at) and self.band:
             at = at[~(self.keys[at, : self.band] == self.keys[i, : self.band]).any(axis=1)]
         return at
 
 
+    def first(self, i: int, j: int) -> bool:
+        """Whether the group's shingle is the first that both prefixes hold; both have the same order."""
+        own = self.prefixes[i].values.to_numpy()
+        both = own[np.isin(own, self.prefixes[j].values.to_numpy())]
+        return both[0] == self.key
+
+
 GROUP = ["band", "x", "y"]
 
 
@@ -266,16 +287,55 @@ def _comparer(k: int, percent: int):
     return run
 
 
+def _shingler(k: int):
+    """Nodes with texts -> (node, shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                nodes = batch.column(0).slice(at, SLICE).to_numpy()
+                sets = shingle_sets(byte_list(batch.column(1).slice(at, SLICE)), k, hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [len(x) for x in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "h"])
+
+    return run
+
+
+def _by_prefix(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Groups (band: a shingle, b: -1) of the nodes (node, n, component) that share one of their rarest shingles, where components differ."""
+    shingles = shared_table(texts.toDF("node", "text").join(nodes.select("node"), "node").mapInArrow(_shingler(k), "node long, h long"))
+    # Only shingles that several nodes have are looked up; the others come first in their node's order and meet nothing.
+    counts = shared_table(shingles.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
+    ordered = shingles.join(counts, "h", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "h"))).alias("all"))
+    length = (F.size("all") - F.ceil(F.size("all") * percent / 100) + 1).cast("int")
+    rare = F.transform(F.filter(F.slice("all", F.lit(1), length), lambda x: x["times"] > 1), lambda x: x["h"])
+    dealt = shared_table(nodes.join(ordered.select("node", rare.alias("prefix")), "node").select("node", "n", "component", "prefix", F.explode("prefix").alias("band")))
+    mixed = dealt.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    return dealt.join(shared_table(mixed), "band").withColumn("b", F.lit(-1))
+
+
+def _in_cells(groups: DataFrame) -> DataFrame:
+    """``groups`` with the cells that their band takes."""
+    sizes = groups.groupBy("band").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
+    return groups.join(shared_table(sizes), "band")
+
+
 def _cross_links(live: DataFrame, codes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components of a bucket, without emitting pairs.
 
     Nodes of a bucket stand together in groups of bounded size; only those with a partner that their codes leave
     possible fetch their texts, and only linked pairs are returned.
     """
-    cut = live.withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("size") / CELL)).cast("int")).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    columns = "band", "b", "node", "n", "component", "prefix", "cells"
+    sized = shared_table(_in_cells(live.withColumn("prefix", F.lit(None).cast("array<long>"))).select(*columns))
+    cut = sized.where("cells = 1")
+    over = shared_table(sized.where("cells > 1").select("node", "n", "component").distinct())
+    if over.take(1):
+        cut = cut.unionByName(_in_cells(_by_prefix(over, texts, k, percent)).select(*columns))
+    cut = cut.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     grid = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("x"), F.greatest("cell", o).alias("y")))
-    coded = cut.join(codes, "node").select("band", "b", "node", "n", "component", "cell", "codes", F.inline(grid))
-    schema = "band long, b int, node long, n long, component long, cell int, codes binary, x int, y int"
+    coded = cut.join(codes, "node").select("band", "b", "node", "n", "component", "cell", "codes", "prefix", F.inline(grid))
+    schema = "band long, b int, node long, n long, component long, cell int, codes binary, prefix array<long>, x int, y int"
     dealt = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
     needed = shared_table(dealt(coded).mapInArrow(_screener(percent), schema))
     return dealt(needed.join(texts.toDF("node", "text"), "node")).mapInArrow(_comparer(k, percent), "u long, v long")

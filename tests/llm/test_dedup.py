@@ -112,6 +112,23 @@ def test_near_components(spark, monkeypatch, k, rest):
     assert len(set(c for _, c in want.values())) < len(want)
 
 
+def test_near_misses_of_one_passage(spark, monkeypatch):
+    """Texts that share most of a long passage are in all its buckets and yet not linked; those that are copies as well, are."""
+    monkeypatch.setattr(near_dedup, "CELL", 16)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        rest = [f"{rng.randrange(10**6)}r{i}" for _ in range(50)]
+        rows.append((i, " ".join(passage + rest)))
+        if i % 40 == 0:
+            rows.append((1000 + i, " ".join(passage + rest[:48] + ["x", "y"])))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs(spark, rows), 4).collect()}
+    want = brute_components(rows, 4)
+    assert got == {i: c for i, (_, c) in want.items()}
+    assert sum(c != i for i, c in got.items()) == 10
+
+
 def test_near_edges(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (2, "A B C D E"), (None, "a b c d e"), (None, "lonely text"), (None, None)]
     got = near_dedup.near_components(docs(spark, rows), 4).collect()
