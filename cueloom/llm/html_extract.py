@@ -13,8 +13,10 @@ without that container uses its own.
 
 Left out anywhere: scripts, styles, forms, menus, side bars, footers, headers
 outside an article, and elements whose class, id or role names an advert, a
-notice, a menu, sharing, or comments. Such a name says nothing of main, nor of an
-article where it is only part of a longer one (``comments-open``), nor of a
+notice, a menu, sharing, or comments. A name does if it has such a word and, besides,
+only words that say where or in what shape something stands (``comments-area``, but
+not ``share-price`` or ``has-sidebar``). Such a name says nothing of main, nor of an
+article where it is only part of a longer one (``banner-2``), nor of a
 container that is in no article, holds most of the page's running text, and leaves no
 article outside; if the name stands alone, it must hold or be an article for that.
 
@@ -23,8 +25,12 @@ iframe without an end tag. Script and style without one reach to the end of the
 page, as all that follows is code. Character references are decoded, white
 space inside a block is one space, blocks are joined by line feeds in page order.
 
+Paths are known by a 128-bit hash of their parent's and their own name, and blocks
+by their innermost container, so memory and time are linear in a page's length,
+however deep it nests. Scores that are equal go to the deeper path, then the larger hash.
+
 Null and empty pages give an empty text. Hosts that are missing vote as one.
-Repeated rows are extracted each. Other columns are ignored.
+Repeated rows are extracted each. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +38,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import limit_batches, shared_table
@@ -52,6 +60,8 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article blockquote body div html main section td".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = HEADING | {"p"}
+HOLDERS = BLOCK - RUNNING
 #: What an opening tag closes when it is open with none of its parents between.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -59,13 +69,22 @@ DROPPED = frozenset("head nav footer aside form menu button select dialog".split
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent cookie cookies disclaimer disqus footer hidden masthead menu nav navbar navigation newsletter notice notices popup promo promoted related respond replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-WORD = re.compile(r"[a-z]+|[0-9]+")
+#: Words that say nothing of what an element holds, beside one of BOILER.
+NEUTRAL = frozenset(
+    "a area bar block body bottom box btn button buttons center col column content container count div feed fixed float form group head header heading icon icons inner item items layer layout left link links list main message messages modal module outer overlay page panel post posts right row section site slot sticky text thread title top unit view wrap wrapper zone".split()
+)
+WORD = re.compile(r"[a-z]+")
+
+
+def names_boilerplate(name: str) -> bool:
+    words = WORD.findall(name)
+    return not BOILER.isdisjoint(words) and all(w in BOILER or w in NEUTRAL for w in words)
 
 
 class Node:
     """``boiler`` is by tag, ``named`` the innermost element that a class, id or role names boilerplate."""
 
-    __slots__ = ("tag", "path", "boiler", "named", "plain", "outer", "in_article", "in_main", "kept", "text", "articles", "own_articles")
+    __slots__ = ("tag", "path", "depth", "container", "boiler", "named", "plain", "outer", "in_article", "in_main", "kept", "text", "articles", "own_articles")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag = tag
@@ -74,12 +93,14 @@ class Node:
         if attributes and "=" in attributes:
             for kind, value in NAMED.findall(attributes):
                 value = value.strip("\"'").lower()
-                part = part or not BOILER.isdisjoint(WORD.findall(value))
+                part = part or any(map(names_boilerplate, value.split()))
                 plain = plain or not BOILER.isdisjoint(value.split())
                 if kind.lower() == "class":
                     names = sorted({re.sub(r"\d+", "#", x) for x in value.split()})
         name = ".".join([tag, *names])
-        self.path = f"{parent.path}/{name}" if parent else name
+        self.path = xxhash.xxh3_128_hexdigest(f"{parent.path if parent else ''}/{name}")
+        self.depth = parent.depth + 1 if parent else 0
+        self.container = self if tag in CONTAINER or parent is None else parent.container
         self.boiler = tag in DROPPED or (tag == "header" and not (parent and parent.in_main)) or bool(parent and parent.boiler)
         self.outer, self.named, self.plain = parent, parent.named if parent else None, plain
         if part and tag not in ("html", "body", "main") and (plain or tag != "article"):
@@ -89,14 +110,19 @@ class Node:
         self.in_article = tag == "article" and self.named is not self or bool(parent and parent.in_article)
 
 
+def above(n: Node) -> Node | None:
+    """The container around a container."""
+    return n.outer.container if n.outer else None
+
+
 def outer_named(n: Node) -> Node | None:
     return n.outer.named if n.outer else None
 
 
-def keep_main(found: list[tuple[list[Node], str, int, Node]], named: list[Node]) -> None:
+def keep_main(found: list[tuple[str, int, Node]], named: list[Node]) -> None:
     """Keeps what is named boilerplate but holds the page's main text; ``named`` is in page order."""
     total = articles = 0
-    for _, said, links, n in found:
+    for said, links, n in found:
         weight, in_article = len(said) - links, n.in_article
         total, articles = total + weight, articles + weight * in_article
         if n.named:
@@ -113,11 +139,12 @@ def keep_main(found: list[tuple[list[Node], str, int, Node]], named: list[Node])
         n.kept = n.kept and (not (outer := outer_named(n)) or outer.kept)
 
 
-def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, float]]:
-    """Blocks of text outside boilerplate, as (open nodes, text, characters in links), and the score of each container path."""
+def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], dict[str, tuple[float, int]]]:
+    """Blocks of text outside boilerplate, as (container, text, characters in links), and (score, depth) of each container path."""
     root = Node("html", "", None)
     stack, text, links = [root], [], 0
-    found: list[tuple[list[Node], str, int, Node]] = []
+    opened: Counter[str] = Counter()
+    found: list[tuple[str, int, Node]] = []
     named: list[Node] = []
 
     def flush() -> None:
@@ -125,13 +152,13 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
         said = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if said and not stack[-1].boiler:
-            linked = 0 if stack[-1].tag in HEADING else min(links, len(said))
-            found.append(([n for n in stack if n.tag in CONTAINER], said, linked, stack[-1]))
+            found.append((said, 0 if stack[-1].tag in HEADING else min(links, len(said)), stack[-1]))
         links = 0
 
     def close(tags, limits) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
+                opened.subtract(n.tag for n in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in limits:
@@ -141,7 +168,7 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
         nonlocal links
         if part:
             text.append(part)
-            if any(n.tag == "a" for n in stack):
+            if opened["a"]:
                 links += len(part)
 
     ends: dict[str, dict[int, int]] = {}
@@ -179,20 +206,20 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
         if tag in BLOCK:
             flush()
         if m[3]:
-            if tag not in VOID and tag != "html":
-                if any(n.tag == tag for n in stack[1:]):
-                    close((tag,), ())
+            if tag not in VOID and opened[tag]:
+                close((tag,), ())
             continue
         if tag in BLOCK and tag not in ("html", "body"):
-            close(("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag != "p" else ("p",), BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"})
+            close(RUNNING if tag != "p" else ("p",), HOLDERS)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in VOID or tag == "html":
             continue
         if tag == "body":
             close(("head",), ())
-            if any(n.tag == "body" for n in stack):
+            if opened["body"]:
                 continue
+        opened[tag] += 1
         stack.append(Node(tag, m[5], stack[-1]))
         if stack[-1].named is stack[-1]:
             named.append(stack[-1])
@@ -200,46 +227,45 @@ def blocks_of(page: str) -> tuple[list[tuple[list[Node], str, int]], dict[str, f
     flush()
     if named:
         keep_main(found, named)
-    blocks = [(nodes, said, linked) for nodes, said, linked, n in found if not n.named or n.named.kept]
-    scores: dict[str, float] = {}
-    for nodes, said, linked in blocks:
+    blocks = [(n.container, said, linked) for said, linked, n in found if not n.named or n.named.kept]
+    scores: dict[str, tuple[float, int]] = {}
+    for n, said, linked in blocks:
         weight = len(said) - linked
-        for n in reversed(nodes):
-            scores[n.path] = scores.get(n.path, 0.0) + weight
+        while n:
+            scores[n.path] = (scores.get(n.path, (0.0,))[0] + weight, n.depth)
             weight /= 2
             if weight < 1:
                 break
+            n = above(n)
     return blocks, scores
 
 
-def best_path(scores: dict[str, float]) -> tuple[str, float]:
-    """The container path of the largest score; the deeper, then the smaller on ties."""
-    path, score = max(scores.items(), key=lambda x: (x[1], x[0].count("/"), x[0]), default=("", 0.0))
+def best_path(scores: dict[str, tuple[float, int]]) -> tuple[str, float]:
+    """The container path of the largest score; the deeper, then the larger hash on ties."""
+    path, (score, _) = max(scores.items(), key=lambda x: (*x[1], x[0]), default=("", (0.0, 0)))
     return path, score
 
 
-def whole_path(blocks: list[tuple[list[Node], str, int]], path: str) -> str:
+def whole_path(blocks: list[tuple[Node, str, int]], path: str) -> str:
     """``path``, or that of the container around it that it is only a part of."""
     own: dict[str, int] = {}
-    parents: dict[str, Node] = {}
     known: dict[str, Node] = {}
-    for nodes, said, links in blocks:
-        own[nodes[-1].path] = own.get(nodes[-1].path, 0) + len(said) - links
-        for k in range(len(nodes) - 1, -1, -1):
-            if nodes[k].path in known:
-                break
-            known[nodes[k].path] = nodes[k]
-            if k:
-                parents[nodes[k].path] = nodes[k - 1]
-    chain = [known[path]] if path in known else []
-    while chain and chain[-1].path in parents:
-        chain.append(parents[chain[-1].path])
+    for n, said, links in blocks:
+        own[n.path] = own.get(n.path, 0) + len(said) - links
+        while n and n.path not in known:
+            known[n.path] = n
+            n = above(n)
+    chain, n = [], known.get(path)
+    while n:
+        chain.append(n)
+        n = above(n)
     around = [n.path for n in chain if n.tag in ("article", "main")]
     if around or not chain:
         return around[-1] if around else path
     held = dict(own)
-    for p in sorted(parents, key=lambda p: -len(p)):  # a path is longer than its parent's
-        held[parents[p].path] = held.get(parents[p].path, 0) + held.get(p, 0)
+    for p in sorted(known, key=lambda p: -known[p].depth):
+        if outer := above(known[p]):
+            held[outer.path] = held.get(outer.path, 0) + held.get(p, 0)
     for n, outer in zip(chain, chain[1:]):
         if n.tag in ("section", "blockquote") or own.get(outer.path):
             path = outer.path
@@ -248,8 +274,19 @@ def whole_path(blocks: list[tuple[list[Node], str, int]], path: str) -> str:
     return path
 
 
-def text_under(blocks: list[tuple[list[Node], str, int]], path: str) -> str:
-    return "\n".join(said for nodes, said, _ in blocks if any(n.path == path for n in nodes))
+def text_under(blocks: list[tuple[Node, str, int]], path: str) -> str:
+    inside: dict[int, bool] = {}
+
+    def is_inside(n: Node | None) -> bool:
+        way = []
+        while n and id(n) not in inside and n.path != path:
+            way.append(n)
+            n = above(n)
+        found = bool(n) and inside.get(id(n), True)
+        inside.update((id(x), found) for x in way)
+        return found
+
+    return "\n".join(said for n, said, _ in blocks if is_inside(n))
 
 
 def main_text(page: str | None, path: str | None = None) -> str:

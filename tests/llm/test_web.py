@@ -199,3 +199,21 @@ def test_elements_without_end(tag):
         assert html_extract.main_text(f"<article><p>One</p>{gap}<p>Two</p><{tag}>x<{tag}>y</{tag}>z</{tag}><p>Three</p></article>") == "One\nTwo\nThree"
     assert html_extract.main_text("<p>One</p><script>if (a < b) {</script ><p>Two</p><script>var c = '<p>'") == "One\nTwo"
     assert html_extract.main_text("<p>One</p><script src=x /><p>Two</p>") == "One\nTwo"
+
+
+@pytest.mark.parametrize("names", ["class=share-price", "class='related-work'", "id=comment-on-the-law", "class='wide has-menu'", "class=ad-hoc"])
+def test_names_that_only_hold_a_word_of_boilerplate(names):
+    assert html_extract.main_text(f"<article><p>One</p><section {names}><p>{WORDS}</p></section></article>") == "One\n" + WORDS.strip()
+    assert html_extract.main_text(f"<article id=banner-2><p>{WORDS}</p></article>") == WORDS.strip()
+
+
+def test_deep_pages_take_linear_time():
+    import resource
+    import time
+
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    deep = 100_000
+    page = "<body><article>" + "<div class=a>x " * deep + f"<p>{WORDS}</p>" + "</div>" * deep + "<p>End.</p></article><div>y</div></body>"
+    said = html_extract.main_text(page)
+    assert said.startswith("x\nx\n") and said.endswith(WORDS.strip() + "\nEnd.") and said.count("x\n") == deep
+    assert time.time() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
