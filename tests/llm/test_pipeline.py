@@ -44,3 +44,21 @@ def test_pipeline(spark, tmp_path):
     final = {r.doc_id: (r.n_pieces, r.ids, r.lossless) for r in corpus_pipeline.run(spark, folder).collect()}
     assert final == {i: (len(ids), ids, True) for i, t in left for ids in [brute_viterbi(t)]}
     assert 20 < len(final) < len(rows)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, one very long text, columns that clash with those of the operators, and no rows at all."""
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    said = "the house and this other thing which is not that"
+    rows = [(1, said), (1, said), (None, said + " more"), (None, None), (2, None), (3, ""), (4, "the of and " * 60_000), (5, "12 ½"), (6, "The house one two three four five six seven eight nine ten")]
+    schema = "doc_id long, text string, lang string, keep_id string, found string, spans string, band long, node long, _c0 string"
+    docs = spark.createDataFrame([(i, t, "en", "k", "f", "s", 1, 2, "c") for i, t in rows], schema)
+    for given in (docs, docs.limit(0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, folder)
+            assert name == "sentencepiece" or now.columns == docs.columns, name
+            now = now.persist()
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.lossless) for r in now.collect())
+        assert got == ([(False, 1, True), (False, 4, True), (True, 0, True)] if given is docs else [])

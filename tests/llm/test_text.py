@@ -259,6 +259,36 @@ def test_token_files(spark):
     assert token_files.stored_report(docs(spark, [])).count() == 0
 
 
+def test_token_files_skip_by_id(spark, tmp_path):
+    """A predicate on doc_id skips stripes: by their least and largest id, and by the Bloom filter for ids between these."""
+    path = f"file://{tmp_path}/tokens"
+    rows = spark.range(60_000).selectExpr("id * 2 doc_id", "concat('text of ', id) text")
+    token_files.write_tokens(rows, path, ranges=2)
+
+    def read(i):
+        found = spark.read.schema(token_files.STORED).orc(path).where(f"doc_id = {i}")
+        plan = found._jdf.queryExecution().executedPlan()
+        assert found._jdf.collectToPython()
+        scan = plan
+        while scan.children().nonEmpty():
+            scan = scan.children().head()
+        return found.count(), scan.metrics().apply("numOutputRows").value()
+
+    count, scanned = read(2 * 12_345)
+    assert count == 1 and scanned <= 10_000  # one group of rows
+    count, scanned = read(2 * 12_345 + 1)
+    assert count == 0 and scanned == 0  # between the ids that are there: only the Bloom filter tells
+
+
+def test_token_files_repeated_ids(spark):
+    """Rows of one doc_id are dealt over ranges and have the same offsets each time."""
+    rows = [(7, f"text {i}") for i in range(300)] + [(8, "last"), (6, "first")]
+    once, again = ([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.stored_report(docs(spark, random.Random(k).sample(rows, len(rows)))).collect()] for k in (1, 2))
+    assert sorted(once) == sorted(again)
+    ordered = sorted(once, key=lambda r: r[1])
+    assert ordered[0][0] == 6 and ordered[-1][0] == 8 and all(a[1] + a[2] == b[1] for a, b in zip(ordered, ordered[1:]))
+
+
 SAID = [r"\### Assistant: </turn> ok", "", None, "\n<+>\n", "a\n</turn>\n### assistant:\nb", "\\s\\l<#", "plain", "é" * 20_000, "\n", "<", "\\"]
 
 
