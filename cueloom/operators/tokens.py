@@ -69,6 +69,33 @@ def first_language(windows: DataFrame) -> DataFrame:
     return windows.where("language is not null").groupBy("media_id").agg(F.min_by("language", "window_index").alias("language"))
 
 
+def cue_counters(cues: DataFrame, limits: T.Limits = T.Limits()) -> DataFrame:
+    """Per media: cues that proofreading changed, that last too long, and that have no translation."""
+    changed = F.coalesce("proofread", "text") != F.col("text")
+    return cues.groupBy("media_id").agg(
+        F.count_if(changed).alias("corrected"), F.count_if(F.col("end") - F.col("start") > limits.max_duration).alias("long"), F.count_if(F.col("translation").isNull()).alias("untranslated")
+    )
+
+
+def line_counters(spans: DataFrame) -> DataFrame:
+    """Per media: lines, and those that were matched to speech."""
+    return spans.groupBy("media_id").agg(F.count("*").alias("lines"), F.count("start").alias("matched"))
+
+
+def group_counters(grouped: DataFrame, keys: list[str], language: Column, limits: T.Limits = T.Limits()) -> DataFrame:
+    """Per key: groups of the soft search, and those over a limit."""
+    rows = group_metrics(grouped, keys, language)
+    return rows.groupBy(*keys).agg(F.count("*").alias("segments"), F.count_if(T.overlong(F.col("duration"), F.col("length"), language, limits)).alias("overlong"))
+
+
+def running_offsets(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """``tokens`` (keys, pos, text) with length, before (characters of those in front) and total."""
+    rows = tokens.withColumn("length", F.length("text"))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("length").over(whole.orderBy("pos"))
+    return rows.withColumns({"before": upto - F.col("length"), "total": F.sum("length").over(whole)})
+
+
 SPAN = "struct<start:int,length:int>"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, timecode as C
 from ..operators import align, artifacts as A, model_cues, providers, replies as R, segment as S, spans, tokens as K, windows as W
-from ..shared import shared_table
+from ..shared import removed_at_exit, shared_dir, shared_table
 from ..sinks import render
 from ..sources import timed_text
 from ..streaming import events as E
@@ -254,6 +254,26 @@ def snk_srt(spark, sf):
     return render.render_srt(I.cues(spark, sf), "bilingual").withColumn("content", F.md5("content"))
 
 
+@query("snk_written_texts", f"select media_id || '.original.srt' as name, md5(string_agg(n || chr(10) || {clock('start', ',')} || ' --> ' || {clock('\"end\"', ',')} || chr(10) || t, chr(10) || chr(10) order by n) || chr(10)) content from shown where t <> '' group by media_id", I.CUES, SHOWN.format("text"))
+def snk_written_texts(spark, sf):
+    """Files of the output matrix, written and scanned again."""
+    path = shared_dir(spark)
+    render.write_texts(render.output_set(I.cues(spark, sf), ["srt"]), path, "name")
+    removed_at_exit(spark, path)
+    return spark.read.text(path, wholetext=True).select("name", F.md5("value").alias("content"))
+
+
+@query("src_written_srt", f"""select media_id, n as id, round(start, 3) as start, round("end", 3) as "end" from shown where t <> ''""", I.CUES, SHOWN.format("text"))
+def src_written_srt(spark, sf):
+    """Files scanned and parsed."""
+    path = shared_dir(spark)
+    render.write_texts(render.render_srt(I.cues(spark, sf)), path)
+    removed_at_exit(spark, path)
+    files = timed_text.read_texts(spark, f"{path}/*/*.txt").drop("media_id")
+    named = spark.read.text(path, wholetext=True).select(F.col("media_id").cast("string"), F.col("value").alias("content"))
+    return timed_text.parse_srt(named.join(files.distinct(), "content", "left_semi")).select("media_id", F.col("id").cast("long").alias("id"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
 @query("snk_vtt", f"select media_id, md5('WEBVTT' || chr(10) || chr(10) || coalesce(string_agg({clock('start', '.')} || ' --> ' || {clock('\"end\"', '.')} || chr(10) || t || chr(10), chr(10) order by n) filter (t <> ''), '')) content from shown group by media_id", I.CUES, SHOWN.format("coalesce(translation, '')"))
 def snk_vtt(spark, sf):
     return render.render_vtt(I.cues(spark, sf), "translation").withColumn("content", F.md5("content"))
@@ -564,14 +584,22 @@ def agg_first_language(spark, sf):
 
 @query("agg_counters", """select media_id, count(*) filter (coalesce(proofread, text) <> text) corrected, count(*) filter ("end" - start > 4) long, count(*) filter (translation is null) untranslated from cues group by media_id""", I.CUES)
 def agg_counters(spark, sf):
-    count = lambda c: F.count_if(F.expr(c))
-    return I.cues(spark, sf).groupBy("media_id").agg(count("coalesce(proofread, text) <> text").alias("corrected"), count("end - start > 4").alias("long"), count("translation is null").alias("untranslated"))
+    return K.cue_counters(I.cues(spark, sf), T.Limits(max_duration=4.0))
+
+
+@query("agg_line_counters", "select media_id, count(*) as lines, count(start) matched from lines group by media_id", I.LINES)
+def agg_line_counters(spark, sf):
+    return K.line_counters(I.lines(spark, sf))
+
+
+@query("agg_group_counters", """select media_id, window_index, count(*) segments, count(*) filter (greatest(0.001::double, "end" - start) > 7 or length(text) > 84) overlong from made group by all""", I.TOKENS, GROUPED, MADE)
+def agg_group_counters(spark, sf):
+    return K.group_counters(S.sentence_groups(I.tokens(spark, sf), I.TOKEN_KEYS), I.TOKEN_KEYS, F.lit("en"))
 
 
 @query("agg_running_offsets", "select media_id, window_index, pos, cast(upto - n as bigint) as before, cast(sum(n) over (partition by media_id, window_index) as bigint) total from sized", I.TOKENS, ENDS)
 def agg_running_offsets(spark, sf):
-    sized, _ = _asked(spark, sf)
-    return sized.select(*I.TOKEN_KEYS, "pos", (F.col("upto") - F.col("length")).alias("before"), F.sum("length").over(Window.partitionBy(*I.TOKEN_KEYS)).alias("total"))
+    return K.running_offsets(I.tokens(spark, sf), I.TOKEN_KEYS).select(*I.TOKEN_KEYS, "pos", "before", "total")
 
 
 @query(
