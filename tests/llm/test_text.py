@@ -5,11 +5,13 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -142,6 +144,60 @@ def test_words_are_letters_alone():
     assert language_id.words_of("²½① x² Ünï-Code 日本語 12 _") == ["x", "ünï", "code", "日本語"]
 
 
+def brute_languages(rows, rounds):
+    """Fit and prediction by plain loops over one word after the other: {doc_id: (language, score)}."""
+    names = language_id.public_pieces()
+    longest, usual = max(map(len, names)), set(names)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    said = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    langs = sorted({lang for i, t, lang in rows if lang is not None and t is not None and not held(i)})
+
+    def spans(word, chance):
+        return [(i, j, word[i:j], chance(word[i:j])) for j in range(1, len(word) + 1) for i in range(max(0, j - longest), j) if word[i:j] in usual or j - i == 1]
+
+    def sums(word, chance):
+        found, alpha, beta = spans(word, chance), [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        for i, j, _, c in found:
+            alpha[j] += alpha[i] * c
+        for i, j, _, c in reversed(found):
+            beta[i] += c * beta[j]
+        return found, alpha, beta
+
+    models = {}
+    for lang in langs:
+        counts = Counter(w for i, t, own in rows if own == lang and t is not None and not held(i) for w in said(t))
+        table = dict.fromkeys(names, 1 / len(names))
+        for _ in range(rounds):
+            total = Counter()
+            for w, n in counts.items():
+                found, alpha, beta = sums("▁" + w, lambda x: table.get(x, language_id.FLOOR))
+                for i, j, piece, c in found:
+                    if piece in usual:
+                        total[piece] += n * alpha[i] * c * beta[j] / alpha[-1]
+            whole = sum(total.values()) + language_id.SMOOTHING * len(names)
+            table = {x: (total[x] + language_id.SMOOTHING) / whole for x in names}
+        models[lang] = table
+    out = {}
+    for i, t, _ in rows:
+        logs = {lang: sum(math.log(sums("▁" + w, lambda x: table.get(x, language_id.FLOOR))[1][-1]) for w in said(t)) for lang, table in models.items()}
+        best = max(langs, key=lambda x: (logs[x], [-ord(c) for c in x]))
+        out[i] = (best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())) if said(t) else ("und", 0.0)
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(12)
+    lists = {"en": "the house and this other thing which café".split(), "de": "das haus und dieses andere ding welches ist".split(), "fi": "talo sekä tämä muut asiat jotka on".split()}
+    rows = [(i, " ".join(rng.choice(lists[lang if rng.random() < 0.7 else "en"]) for _ in range(rng.randint(1, 5))), lang) for i in range(60) for lang in [rng.choice(list(lists))]]
+    rows += [(100, "das 日本 thing ǌǌ", None), (101, None, "en"), (102, "12 ½", "de"), (103, "talo", None)]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=2).collect()
+    want = brute_languages(rows, 2)
+    assert {r.doc_id: r.lang_pred for r in found} == {i: lang for i, (lang, _) in want.items()}
+    for r in found:
+        assert r.score == pytest.approx(want[r.doc_id][1], rel=1e-6)
+    assert len({lang for lang, _ in want.values()}) == 4
+
+
 def test_language_accuracy(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "12 34 !", "en", "s", 0), (None, "the thing", None, "s", 0), (10**6 + 2, "thing " * 50_000, "en", "s", 0)], rows.schema)
