@@ -675,12 +675,49 @@ def seg_sentences(spark, sf):
     return S.segmented(I.tokens(spark, sf).withColumn("language", F.lit(None).cast("string")), I.TOKEN_KEYS, "none")
 
 
-@query("seg_hard_cues")
+TIGHT = """{0} is null or regexp_matches(right({0}, 1), '^[(\\[{{（【「『，。；：！？、'']$') or regexp_matches(left(text, 1), '^[,.;:!?，。；：！？、)\\]}}）】」』'']$') or (regexp_matches(right({0}, 1), '[0-9]') and regexp_matches(left(text, 1), '[0-9]'))"""
+
+# The search by recursion: each round cuts the runs that are too long in two; then a fold over a window's runs joins the short ones.
+SEARCH = f"""§seen as (select media_id, window_index, group_id, atom_id, text w, start, "end", lag(text) over o as p, lag("end") over o le, {TIGHT.format('lag(text) over o')} tight from §source window o as (partition by media_id, window_index order by atom_id)),
+§sized as (select *, length(w) n, (not tight)::int g, sum(length(w) + (not tight)::int) over (partition by media_id, window_index order by atom_id rows unbounded preceding) cum, p as text from §seen),
+§atom as (select media_id, window_index, atom_id, w, start, "end", le, n, g, cum, {SCORE_SQL.replace('nstart', 'start').replace('"end"', 'le').replace('nxt', 'w')} base, tight from §sized),
+§runs(media_id, window_index, a, b, done) as (
+  select media_id, window_index, min(atom_id), max(atom_id), false from §source group by media_id, window_index, group_id
+  union all
+  select media_id, window_index, unnest(case when c is null then [a] else [a, c] end), unnest(case when c is null then [b] else [c - 1, b] end), c is null from (
+    select media_id, window_index, a, b, -max(case when allowed then {{'score': base + case when base <= 0 then 1 else 0 end - abs(ll / greatest(len, 1)::double - 0.5) * 30 - (case when ld < 0.833::double then (0.833::double - ld) / 0.833::double * 35 else 0 end + case when rd < 0.833::double then (0.833::double - rd) / 0.833::double * 35 else 0 end)
+      - ((case when ld > 7 then ld / 7 - 1 else 0 end + case when ll > 84 then ll / 84.0::double - 1 else 0 end + case when ll / ld > 20 then ll / ld / 20 - 1 else 0 end) + (case when rd > 7 then rd / 7 - 1 else 0 end + case when rl > 84 then rl / 84.0::double - 1 else 0 end + case when rl / rd > 20 then rl / rd / 20 - 1 else 0 end)) * 25, 'at': -x}} end).at c
+    from (select r.media_id, r.window_index, r.a, r.b, x.atom_id x, x.base, z.cum - f.cum + f.n len, x.cum - x.n - x.g - f.cum + f.n ll, z.cum - x.cum + x.n rl, greatest(0.001::double, z."end" - f.start) d, greatest(0.001::double, x.le - f.start) ld, greatest(0.001::double, z."end" - x.start) rd,
+        (d > 7 or len > 84) and (x.base > 0 or WEAK) allowed
+      from §runs r join §atom f on f.media_id = r.media_id and f.window_index = r.window_index and f.atom_id = r.a join §atom z on z.media_id = r.media_id and z.window_index = r.window_index and z.atom_id = r.b
+      left join §atom x on x.media_id = r.media_id and x.window_index = r.window_index and x.atom_id > r.a and x.atom_id <= r.b where not r.done)
+    group by media_id, window_index, a, b)),
+§ranked as (select r.*, row_number() over (partition by r.media_id, r.window_index order by a) k, count(*) over (partition by r.media_id, r.window_index) several, f.start, z."end", f.cum - f.n ca, z.cum cb
+  from §runs r join §atom f on f.media_id = r.media_id and f.window_index = r.window_index and f.atom_id = a join §atom z on z.media_id = r.media_id and z.window_index = r.window_index and z.atom_id = b where done),
+§folded(media_id, window_index, k, seg, a, b, start, ca) as (
+  select media_id, window_index, cast(1 as bigint), cast(0 as bigint), cast(null as bigint), cast(null as bigint), cast(null as double), cast(null as hugeint) from §ranked where k = 1
+  union all
+  select m.media_id, m.window_index, m.k + case when ahead then 2 else 1 end, m.seg + case when back then 0 else 1 end, case when back then m.a else t.a end, case when ahead then u.b else t.b end, case when back then m.start else t.start end, case when back then m.ca else t.ca end
+  from §folded m join §ranked t on t.media_id = m.media_id and t.window_index = m.window_index and t.k = m.k left join §ranked u on u.media_id = m.media_id and u.window_index = m.window_index and u.k = m.k + 1,
+    lateral (select t.several > 1 and greatest(0.001::double, t."end" - t.start) < 0.833::double short), lateral (select short and u.b is not null and greatest(0.001::double, u."end" - t.start) <= 7 and u.cb - t.ca <= 84 ahead),
+    lateral (select short and not ahead and m.a is not null and greatest(0.001::double, t."end" - m.start) <= 7 and t.cb - m.ca <= 84 back)),
+§final as (select media_id, window_index, seg, arg_max(a, k) a, arg_max(b, k) b from §folded where seg > 0 group by all),
+§cued as (select f.media_id, f.window_index, seg, arg_min(x.start, x.atom_id) as start, arg_max(x."end", x.atom_id) as "end", string_agg(case when x.atom_id = f.a or x.tight then w else ' ' || w end, '' order by x.atom_id) as text
+  from §final f join §atom x on x.media_id = f.media_id and x.window_index = f.window_index and x.atom_id between f.a and f.b group by all)"""
+CUED = """select media_id, window_index, cast(row_number() over (partition by media_id, window_index order by seg) as int) id, start, "end", text from {0}cued where "end" > start"""
+
+
+def search_sql(name: str, source: str, weak: bool) -> str:
+    """The search over a table of grouped atoms, as common table expressions that start with ``name``."""
+    return SEARCH.replace("WEAK", "d > 7 * 1.1::double or len > 84" if weak else "false").replace("§source", source).replace("§", name)
+
+
+@query("seg_hard_cues", CUED.format("h_"), I.TOKENS, GROUPED, search_sql("h_", "grouped", True), recursive=True)
 def seg_hard_cues(spark, sf):
     return S.segmented(I.tokens(spark, sf).withColumn("language", F.lit("en")), I.TOKEN_KEYS, "hard")
 
 
-@query("seg_soft_cues")
+@query("seg_soft_cues", CUED.format("s_"), I.TOKENS, GROUPED, search_sql("s_", "grouped", False), recursive=True)
 def seg_soft_cues(spark, sf):
     return S.segmented(I.tokens(spark, sf).withColumn("language", F.lit("en")), I.TOKEN_KEYS, "soft")
 
@@ -761,7 +798,25 @@ def seg_context_punctuation(spark, sf):
     return S.with_context_punctuation(bare, said, I.TOKEN_KEYS).select(*I.TOKEN_KEYS, "atom_id", "text")
 
 
-@query("seg_hybrid_cues")
+PARTS = """part as (select *, greatest(0.001::double, "end" - start) > 7 or length(text) > 84 overlong from s_cued),
+member as (select f.media_id, f.window_index, f.seg, x.atom_id, x.w as text, x.start, x."end", x.atom_id = f.a or x.tight tight, sum((x.atom_id > f.a and not x.tight)::int) over (partition by f.media_id, f.window_index, f.seg order by x.atom_id rows unbounded preceding) nth
+  from s_final f join s_atom x on x.media_id = f.media_id and x.window_index = f.window_index and x.atom_id between f.a and f.b join part p on p.media_id = f.media_id and p.window_index = f.window_index and p.seg = f.seg and overlong),
+told as (select media_id, window_index, seg, max(nth) + 1 words from member group by all),
+model as (select media_id, window_index, seg, nth // 8 id, min(start) as start, arg_max("end", atom_id) as "end", ltrim(string_agg(case when tight then text else ' ' || text end, '' order by atom_id), ' ') as text
+  from member join told using (media_id, window_index, seg) where words % 2 = 1 and words > 8 group by all),
+left_over as (select media_id, window_index * 1000 + seg window_index, atom_id, text, start, "end" from member join told using (media_id, window_index, seg) where not (words % 2 = 1 and words > 8)),
+opening as (select *, (coalesce(greatest(0, start - lag("end") over w) >= 0.65::double, false) or coalesce(lag(""" + MAJOR_SQL.replace("{0}", "text") + """) over w, false))::int o from left_over window w as (partition by media_id, window_index order by atom_id)),
+regrouped as (select *, cast(1 + sum(o) over (partition by media_id, window_index order by atom_id rows unbounded preceding) as int) group_id from opening)"""
+
+
+@query(
+    "seg_hybrid_cues",
+    """@every as (select media_id, window_index, seg, 1 id, start, "end", text from part where not overlong
+  union all select media_id, window_index, seg, id, start, "end", text from model
+  union all select media_id, window_index // 1000, window_index % 1000, seg, start, "end", text from h_cued)
+select media_id, cast(window_index as int) window_index, cast(row_number() over (partition by media_id, window_index order by seg, id) as int) id, start, "end", text from every where "end" > start""",
+    I.TOKENS, GROUPED, search_sql("s_", "grouped", False), PARTS, search_sql("h_", "regrouped", True), recursive=True,
+)
 def seg_hybrid_cues(spark, sf):
     """Soft groups; overlong ones by a stand-in that cuts behind every eighth word of texts with an odd length, else by the hard search."""
 
