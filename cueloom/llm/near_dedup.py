@@ -22,7 +22,11 @@ frequent passage and are yet not similar enough, would be compared in the square
 of their number; they are dealt anew by prefix filtering, which loses no link:
 with a node's shingles ordered from the rarest among these nodes, two sets of the
 similarity share one of the first n - ceil(percent * n / 100) + 1 of each. Only
-nodes that share such a rare shingle stand together. In all groups, pairs that
+nodes that share such a rare shingle stand together. That spares variants of one
+text nothing, as all their shingles are frequent: both ways are exact, and the one
+with fewer pairs to look at is taken, buckets cut into cells or, where these hold
+more than FEW pairs a node, rare shingles. In a
+group, rows outside its largest component meet all others. In all groups, pairs that
 cannot reach the similarity by their sizes, or whose sketches are six standard
 deviations from it, are passed over; all others are compared by their full sets,
 once, in the first band or rare shingle they share. So a group of near copies
@@ -58,6 +62,8 @@ T = BANDS * ROWS
 PIVOT_ROUNDS, REST, SHRINKS = 3, 8, 0.7
 #: Nodes, and shingles of all nodes, that are compared in one group. What is larger is cut into cells, which meet two by two.
 CELL, CELL_SHINGLES = 512, 1_000_000
+#: Pairs a node that are screened in about the time that its rare shingles take to be found.
+FEW = 2000
 CHUNK = 64
 #: Bytes a node is screened by: one of each coordinate, and four of each band's key.
 CODES = T + 4 * BANDS
@@ -217,15 +223,19 @@ class _Screen:
         self.prefixes = group["prefix"].combine_chunks()
         self.within = group["x"][0].as_py() == group["y"][0].as_py()
         self.percent = percent
+        names, place, counts = np.unique(self.components, return_inverse=True, return_counts=True)
+        self.main = place == counts.argmax()
+        #: Rows to start from: each pair of different components has one outside the largest.
+        self.starts = np.flatnonzero(~self.main).tolist()
 
     def partners(self, i: int) -> np.ndarray:
-        """Rows after ``i`` that it is compared with."""
-        rest = slice(i + 1, None)
-        low, high = np.minimum(self.sizes[rest], self.sizes[i]), np.maximum(self.sizes[rest], self.sizes[i])
-        fit = (self.components[rest] != self.components[i]) & (100 * low >= self.percent * high) & (self.nodes[rest] != self.nodes[i])
+        """Rows that row ``i`` of ``starts`` is compared with: those of the largest component, and other later ones."""
+        low, high = np.minimum(self.sizes, self.sizes[i]), np.maximum(self.sizes, self.sizes[i])
+        fit = (self.components != self.components[i]) & (100 * low >= self.percent * high) & (self.nodes != self.nodes[i])
+        fit[:i] &= self.main[:i]
         if not self.within:
-            fit &= self.cells[rest] != self.cells[i]
-        at = np.flatnonzero(fit) + i + 1
+            fit &= self.cells != self.cells[i]
+        at = np.flatnonzero(fit)
         at = at[(self.codes[at] == self.codes[i]).sum(axis=1) >= LEAST_EQUAL] if len(at) else at
         if self.band < 0:
             return at[[self.first(i, j) for j in at.tolist()]] if len(at) else at
@@ -248,7 +258,7 @@ def _screener(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, GROUP):
             screen, needed = _Screen(group, percent), np.zeros(group.num_rows, bool)
-            for i in range(group.num_rows - 1):
+            for i in screen.starts:
                 at = screen.partners(i)
                 needed[at] = True
                 needed[i] |= len(at) > 0
@@ -270,7 +280,7 @@ def _comparer(k: int, percent: int):
             sizes = np.array(list(map(len, sets)))
             starts = np.cumsum(sizes) - sizes
             mark, us, vs = np.zeros(len(known), bool), [], []
-            for i in range(group.num_rows - 1):
+            for i in screen.starts:
                 at = screen.partners(i)
                 if not len(at):
                     continue
@@ -314,6 +324,13 @@ def _by_prefix(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return dealt.join(shared_table(mixed), "band").withColumn("b", F.lit(-1))
 
 
+def _pairs(groups: DataFrame) -> float:
+    """Pairs of different components that stand together."""
+    parts = groups.groupBy("band", "component").agg(F.count("*").cast("double").alias("c"))
+    sums = parts.groupBy("band").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("inner"))
+    return sums.agg(F.sum((F.col("size") * F.col("size") - F.col("inner")) / 2)).first()[0] or 0.0
+
+
 def _in_cells(groups: DataFrame) -> DataFrame:
     """``groups`` with the cells that their band takes."""
     sizes = groups.groupBy("band").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
@@ -329,9 +346,13 @@ def _cross_links(live: DataFrame, codes: DataFrame, texts: DataFrame, k: int, pe
     columns = "band", "b", "node", "n", "component", "prefix", "cells"
     sized = shared_table(_in_cells(live.withColumn("prefix", F.lit(None).cast("array<long>"))).select(*columns))
     cut = sized.where("cells = 1")
-    over = shared_table(sized.where("cells > 1").select("node", "n", "component").distinct())
-    if over.take(1):
-        cut = cut.unionByName(_in_cells(_by_prefix(over, texts, k, percent)).select(*columns))
+    large = sized.where("cells > 1")
+    if large.take(1):
+        nodes, pairs = shared_table(large.select("node", "n", "component").distinct()), _pairs(large)
+        if pairs > FEW * nodes.count():
+            rare = shared_table(_in_cells(_by_prefix(nodes, texts, k, percent)).select(*columns))
+            large = rare if _pairs(rare) < pairs else large
+        cut = cut.unionByName(large)
     cut = cut.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     grid = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("x"), F.greatest("cell", o).alias("y")))
     coded = cut.join(codes, "node").select("band", "b", "node", "n", "component", "cell", "codes", "prefix", F.inline(grid))

@@ -104,6 +104,7 @@ def test_near_components(spark, monkeypatch, k, rest):
     """With REST 0 the later pivot rounds run too."""
     monkeypatch.setattr(near_dedup, "REST", rest)
     monkeypatch.setattr(near_dedup, "CELL", 3)
+    monkeypatch.setattr(near_dedup, "FEW", 0 if k == 4 else 2000)
     rows = near_rows()
     found = near_dedup.near_components(docs(spark, rows), k)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
@@ -115,6 +116,7 @@ def test_near_components(spark, monkeypatch, k, rest):
 def test_near_misses_of_one_passage(spark, monkeypatch):
     """Texts that share most of a long passage are in all its buckets and yet not linked; those that are copies as well, are."""
     monkeypatch.setattr(near_dedup, "CELL", 16)
+    monkeypatch.setattr(near_dedup, "FEW", 0)
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(150)]
     rows = []
