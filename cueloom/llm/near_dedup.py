@@ -63,7 +63,7 @@ PIVOT_ROUNDS, REST, SHRINKS = 3, 8, 0.7
 #: Nodes, and shingles of all nodes, that are compared in one group. What is larger is cut into cells, which meet two by two.
 CELL, CELL_SHINGLES = 512, 1_000_000
 #: Pairs a node that are screened in about the time that its rare shingles take to be found.
-FEW = 2000
+FEW = 20_000
 CHUNK = 64
 #: Bytes a node is screened by: one of each coordinate, and four of each band's key.
 CODES = T + 4 * BANDS
