@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, language_id, line_dedup, near_dedup, pieces, token_files, url_filter
+from . import chat_format, decontaminate, divergence, exact_dedup, html_extract, language_id, line_dedup, manifest, near_dedup, pieces, quality, token_files, url_filter
 from .common import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -55,6 +55,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES = {
         op8_language_id,
         op9_sentencepiece,
         op10_exact_dedup,
+        op11_source_divergence,
+        op12_merkle_manifest,
+        op13_quality_classifier,
     )
 }
 
@@ -95,6 +110,40 @@ select p.page_id, p.host, p.path, w.rule, coalesce(said, case when bad_share >=
 from p join f on f.host = p.host and f.path = p.path join s on s.host = f.host and s.template = f.template left join w on w.page_id = p.page_id left join r on r.rule = w.rule"""
 
 
+def _manifest_sql() -> str:
+    """Trees as lists that shrink by recursion, and each leaf's way up through them."""
+
+    def leaf(text: str) -> str:
+        shown = [f"coalesce(octet_length(encode({x})) || ':' || {x}, '-')" for x in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)]
+        return f"sha256({' || '.join(shown)})"
+
+    def up(name: str, start: str) -> str:
+        return f"""{name}(tree, k, nodes) as ({start}
+  union all select tree, k + 1, [sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')) for i in range(0, (len(nodes) + 2) // 3)] from {name} where len(nodes) > 1)"""
+
+    def way(name: str, start: str, levels: str) -> str:
+        return f"""{name}(id, tree, k, pos, now, proof) as ({start}
+  union all select id, w.tree, w.k + 1, pos // 3, sha256(array_to_string(nodes[pos - pos % 3 + 1 : pos], '') || now || array_to_string(nodes[pos + 2 : pos - pos % 3 + 3], '')),
+    proof || array_to_string(nodes[pos - pos % 3 + 1 : pos], '') || array_to_string(nodes[pos + 2 : pos - pos % 3 + 3], '')
+  from {name} w join {levels} l on l.tree is not distinct from w.tree and l.k = w.k where len(nodes) > 1)"""
+
+    # The crc32 of the id as text, bit by bit: a step of 0 or more is a byte, -1 a shift.
+    steps = "flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(cast(doc_id as varchar), '')])"
+    crc = f"xor(list_reduce({steps}, lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end, 4294967295), 4294967295)"
+    return f"""
+with recursive d as (select doc_id, source, row_number() over () id, {crc} crc, {leaf("cast(text as varchar)")} leaf, {leaf("replace(text, chr(10), '')")} sent from documents),
+o as (select *, row_number() over (partition by source order by doc_id, leaf) - 1 pos from d),
+{up("u", "select source, 0, list(leaf order by pos) from o group by source")},
+s as (select tree source, nodes[1] subroot, row_number() over (order by tree nulls first) - 1 pos from u where len(nodes) = 1),
+{up("t", "select 0, 0, list(subroot order by pos) from s having count(*) > 0")},
+{way("w", "select id, source, 0, pos, case when crc % 2 = 0 then sent else leaf end, '' from o", "u")},
+{way("x", "select id, 0, 0, s.pos, now, proof from (select id, arg_max(tree, k) tree, arg_max(now, k) now, arg_max(proof, k) proof from w group by id) b join s on s.source is not distinct from b.tree", "t")},
+f as (select id, arg_max(now, k) folded_root, arg_max(proof, k) proof from x group by id),
+r as (select nodes[1] root from t where len(nodes) = 1)
+select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, folded_root, folded_root = root verified
+from o join f using (id) join s on s.source is not distinct from o.source, r"""
+
+
 ORACLES = {
     "op1_minhash_near_dedup": """
 with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
@@ -146,4 +195,21 @@ select page_id, url, text, cast(length(text) as bigint) n_chars from t""",
 with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') n from documents),
 g as (select doc_id, n, first_value(doc_id) over (partition by n order by length(t) desc, doc_id) keep_id, count(*) over (partition by n) group_size from d)
 select doc_id, keep_id, cast(group_size as bigint) group_size, doc_id = keep_id kept, sha256(n) text_sha256 from g""",
+    "op11_source_divergence": """
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from documents),
+g as (select distinct coalesce(lang, '') lang, coalesce(source, '') source from documents),
+k as (select lang, term from d group by all having count(distinct r) >= 30),
+v as (select lang, count(*) v from k group by lang),
+c as (select lang, source, term, count(*) n from d group by all),
+grid as (select lang, source, term, coalesce(n, 0) n, v from g join k using (lang) join v using (lang) left join c using (lang, source, term)),
+p as (select *, 1 + 1000000000::hugeint * (n + 5) // (sum(n) over (partition by lang, source) + 5 * v) p from grid),
+l as (select lang, term, sum(n) n, any_value(v) v from grid group by all),
+q as (select lang, term, 1 + 1000000000::hugeint * (n + 5) // (sum(n) over (partition by lang) + 5 * v) q from l),
+f as (select a.lang, a.source, 'pair' part, b.source item, coalesce(sum(abs(x.p - y.p)), 0) as value
+    from g a join g b on a.lang = b.lang and a.source <> b.source left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all
+  union all select lang, source, 'term', term, p - q from p join q using (lang, term) where p.n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item) rn from f)
+select lang, source, part, item, cast(value as bigint) as value, cast(rn as int) as rank from o where part = 'pair' or rn <= 50""",
+    "op12_merkle_manifest": _manifest_sql(),
 }
