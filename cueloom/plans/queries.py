@@ -14,7 +14,7 @@ from ..functions import text as T, timecode as C
 from ..operators import align, artifacts as A, model_cues, providers, replies as R, segment as S, spans, tokens as K, windows as W
 from ..shared import removed_at_exit, shared_dir, shared_table
 from ..sinks import render
-from ..sources import timed_text
+from ..sources import cue_files, timed_text
 from ..streaming import events as E
 from . import inputs as I, pipelines
 
@@ -36,6 +36,13 @@ def query(name: str, sql: str | None = None, *given: str, recursive: bool = Fals
     return add
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A folder for files that a query writes and reads again; removed when the driver ends."""
+    path = shared_dir(spark)
+    removed_at_exit(spark, path)
+    return path
+
+
 MS = "cast(round_even({0} * 1000, 0) as bigint)"
 
 
@@ -107,7 +114,7 @@ from near group by conv_id, turn""",
 )
 def fn_joined_parts(spark, sf):
     rows = I.table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(PARTS), F.lit(0)).alias("parts"))
-    return rows.select("conv_id", "turn", T.join_parts(F.col("parts")).alias("joined")).where("joined <> ''")
+    return rows.where(F.size("parts") > 0).select("conv_id", "turn", T.join_parts(F.col("parts")).alias("joined"))
 
 
 @query(
@@ -256,22 +263,44 @@ def snk_srt(spark, sf):
 
 @query("snk_written_texts", f"select media_id || '.original.srt' as name, md5(string_agg(n || chr(10) || {clock('start', ',')} || ' --> ' || {clock('\"end\"', ',')} || chr(10) || t, chr(10) || chr(10) order by n) || chr(10)) content from shown where t <> '' group by media_id", I.CUES, SHOWN.format("text"))
 def snk_written_texts(spark, sf):
-    """Files of the output matrix, written and scanned again."""
-    path = shared_dir(spark)
-    render.write_texts(render.output_set(I.cues(spark, sf), ["srt"]), path, "name")
-    removed_at_exit(spark, path)
-    return spark.read.text(path, wholetext=True).select("name", F.md5("value").alias("content"))
+    """Files of the output matrix under their own names, written and scanned again byte by byte."""
+    path = _scratch(spark)
+    cue_files.write_cues(I.cues(spark, sf), path, "srt", suffix=".original")
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("content"))
 
 
 @query("src_written_srt", f"""select media_id, n as id, round(start, 3) as start, round("end", 3) as "end" from shown where t <> ''""", I.CUES, SHOWN.format("text"))
 def src_written_srt(spark, sf):
-    """Files scanned and parsed."""
-    path = shared_dir(spark)
-    render.write_texts(render.render_srt(I.cues(spark, sf)), path)
-    removed_at_exit(spark, path)
-    files = timed_text.read_texts(spark, f"{path}/*/*.txt").drop("media_id")
-    named = spark.read.text(path, wholetext=True).select(F.col("media_id").cast("string"), F.col("value").alias("content"))
-    return timed_text.parse_srt(named.join(files.distinct(), "content", "left_semi")).select("media_id", F.col("id").cast("long").alias("id"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    """Files written and read as the format, by their names."""
+    path = _scratch(spark)
+    cue_files.write_cues(I.cues(spark, sf), path)
+    return cue_files.read_cues(spark, path).select("media_id", F.col("id").cast("long").alias("id"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query("src_vtt_files", """select media_id, cast(row_number() over (partition by media_id order by n) as int) id, md5(trim(t, ' ' || chr(10))) as text, round(start, 3) as start, round("end", 3) as "end" from shown where t <> '' and starts_with(media_id, '1')""", I.CUES, SHOWN.format("coalesce(translation, '')"))
+def src_vtt_files(spark, sf):
+    """A condition on media_id chooses the files that are opened."""
+    path = _scratch(spark)
+    cue_files.write_cues(I.cues(spark, sf), path, "vtt", "translation")
+    read = cue_files.read_cues(spark, path, "vtt").where(F.col("media_id").startswith("1"))
+    return read.select("media_id", "id", F.md5("text").alias("text"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+LRC_FILES = """said as (select media_id, n, t, round_even(greatest(0, start) * 100, 0) / 100 as start from shown),
+lines as (select media_id, n as at_line, false tag, start, t as text from said union all select distinct media_id, 0, true, null, '[ti:' || media_id || ']' from said)"""
+
+
+@query("src_lrc_files", """select media_id, tag, round(start, 3) as start, md5(text) as text, cast(row_number() over (partition by media_id order by at_line) as int) n from lines""", I.CUES, SHOWN.format("replace(text, chr(10), ' ')"), LRC_FILES)
+def src_lrc_files(spark, sf):
+    """Tag lines and timed lines."""
+    path = _scratch(spark)
+    lines = I.cues(spark, sf).select("media_id", F.col("id").alias("at"), F.lit(False).alias("tag"), "start", F.translate("text", "\n", " ").alias("text"))
+    tags = lines.select("media_id").distinct().select("media_id", F.lit(0).alias("at"), F.lit(True).alias("tag"), F.lit(None).cast("double").alias("start"), F.concat(F.lit("[ti:"), "media_id", F.lit("]")).alias("text"))
+    cue_files.write_rows(lines.unionByName(tags), path, "lrc")
+    read = cue_files.read_cues(spark, path, "lrc")
+    order = F.row_number().over(Window.partitionBy("media_id").orderBy("at")).alias("n")
+    return read.select("media_id", "tag", F.round("start", 3).alias("start"), F.md5("text").alias("text"), order)
 
 
 @query("snk_vtt", f"select media_id, md5('WEBVTT' || chr(10) || chr(10) || coalesce(string_agg({clock('start', '.')} || ' --> ' || {clock('\"end\"', '.')} || chr(10) || t || chr(10), chr(10) order by n) filter (t <> ''), '')) content from shown group by media_id", I.CUES, SHOWN.format("coalesce(translation, '')"))
@@ -798,7 +827,7 @@ def seg_context_punctuation(spark, sf):
     return S.with_context_punctuation(bare, said, I.TOKEN_KEYS).select(*I.TOKEN_KEYS, "atom_id", "text")
 
 
-PARTS = """part as (select *, greatest(0.001::double, "end" - start) > 7 or length(text) > 84 overlong from s_cued),
+HYBRID = """part as (select *, greatest(0.001::double, "end" - start) > 7 or length(text) > 84 overlong from s_cued),
 member as (select f.media_id, f.window_index, f.seg, x.atom_id, x.w as text, x.start, x."end", x.atom_id = f.a or x.tight tight, sum((x.atom_id > f.a and not x.tight)::int) over (partition by f.media_id, f.window_index, f.seg order by x.atom_id rows unbounded preceding) nth
   from s_final f join s_atom x on x.media_id = f.media_id and x.window_index = f.window_index and x.atom_id between f.a and f.b join part p on p.media_id = f.media_id and p.window_index = f.window_index and p.seg = f.seg and overlong),
 told as (select media_id, window_index, seg, max(nth) + 1 words from member group by all),
@@ -815,7 +844,7 @@ regrouped as (select *, cast(1 + sum(o) over (partition by media_id, window_inde
   union all select media_id, window_index, seg, id, start, "end", text from model
   union all select media_id, window_index // 1000, window_index % 1000, seg, start, "end", text from h_cued)
 select media_id, cast(window_index as int) window_index, cast(row_number() over (partition by media_id, window_index order by seg, id) as int) id, start, "end", text from every where "end" > start""",
-    I.TOKENS, GROUPED, search_sql("s_", "grouped", False), PARTS, search_sql("h_", "regrouped", True), recursive=True,
+    I.TOKENS, GROUPED, search_sql("s_", "grouped", False), HYBRID, search_sql("h_", "regrouped", True), recursive=True,
 )
 def seg_hybrid_cues(spark, sf):
     """Soft groups; overlong ones by a stand-in that cuts behind every eighth word of texts with an odd length, else by the hard search."""

@@ -1,9 +1,12 @@
 """Sources, sinks, configuration, plans and streams."""
 
+import ast
 import io
 import json
 import random
 import wave
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -153,14 +156,33 @@ def test_gap_groups(spark, tmp_path, parts):
     assert got == brute_groups(events, first + 50_000.0 - 3600)
 
 
-@pytest.mark.parametrize("name", ["seg_sentences", "src_srt", "win_packed_windows", "an_finished_spans", "val_corrections", "seg_model_cues", "seg_parsed_replies", "str_gap_groups"])
-def test_queries_against_sql(spark, name):
+@pytest.fixture(scope="module")
+def sql():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("conversations", "events", "documents", "labels"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    said = con.sql(queries.ORACLES[name])
+    con.execute("set TimeZone = 'UTC'")
+    for path in Path(SF).glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, sql, name):
+    said = sql.sql(queries.ORACLES[name])
     names = sorted(said.columns)
-    plain = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
-    got = queries.QUERIES[name](spark, SF).select(*names).collect()
-    assert plain(map(tuple, got)) == plain(con.sql(f"select {', '.join(chr(34) + n + chr(34) for n in names)} from said").fetchall())
+    plain = lambda rows: sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == names
+    want = plain(sql.sql(f"select {', '.join(chr(34) + n + chr(34) for n in names)} from said").fetchall())
+    assert want and plain(map(tuple, got.select(*names).collect())) == want
+
+
+@pytest.mark.parametrize("path", sorted(p for p in Path(queries.__file__).parents[1].rglob("*.py") if "llm" not in p.parts), ids=lambda p: p.stem)
+def test_names_are_bound_once(path):
+    """No constant, function or class of a module is bound twice."""
+    bound = Counter()
+    for node in ast.parse(path.read_text()).body:
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+        bound.update(x.id for t in targets for x in ast.walk(t) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store))
+        bound.update([node.name] if isinstance(node, (ast.FunctionDef, ast.ClassDef)) else [])
+    assert [n for n, k in bound.items() if k > 1] == []
