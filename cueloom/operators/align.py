@@ -1,126 +1,69 @@
-"""Character alignment of lines to timed tokens.
-
-The dynamic programme runs once per media as a cogrouped Arrow map. A row of the
-matrix is a few vector operations: a step from the left costs the same
-everywhere, so the best chain of such steps is a running maximum of
-score + gap * column.
-"""
+"""Character alignment of lines to timed tokens: texts joined per media, aligned in blocks, and brought back to lines."""
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import arrow_udf
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
 
 from ..functions import text as T
 from ..shared import shared_table
-from . import tokens as tok
+from . import anchors, overlaps, tokens as tok
+from .align_matrix import aligned, band_for  # noqa: F401
 from .spans import finished_spans
 
-MATCH, MISMATCH, GAP = 2, -1, -2
-FULL_CELLS, BAND_CELLS = 2_000_000, 24_000_000
-BAND_LEAST, BAND_SHARE = 64, 0.05
-LOW = -(1 << 40)
-DIAGONAL, UP, LEFT = 1, 2, 3
 
+def character_places(ref: Column, heard: Column) -> Column:
+    """For each character of ``ref`` its place in ``heard``, -1 where it stands against a gap; null if either is null."""
 
-def band_for(n: int, m: int) -> int | None:
-    """Half-width of the corridor for large inputs; None if none fits.
+    @arrow_udf("array<int>")
+    def places(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else anchors.aligned_in_halves(x, y).tolist() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.list_(pa.int32()))
 
-    Wished for is BAND_SHARE of the longer side, BAND_LEAST at least. It must hold the next row's centre, which moves
-    m / n columns, and one row has 2 * width + 1 of BAND_CELLS / n cells.
-    """
-    wished = max(BAND_LEAST, math.floor(BAND_SHARE * max(n, m)))
-    needed = -(-m // n) + 1 if m > n else 1
-    room = max(1, (BAND_CELLS // n - 1) // 2)
-    return min(max(wished, needed), room) if needed <= room else None
+    return places(ref.cast("string"), heard.cast("string"))
 
 
-def aligned(ref: str, heard: str) -> np.ndarray:
-    """Position in ``heard`` of each character of ``ref``, -1 where it stands against a gap.
+def joined_texts(lines: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts: media_id, ref, heard; lines: media_id, line_no, first, last; words: media_id, start, end, first, last).
 
-    Ties prefer the diagonal, then a gap in ``heard``. A mismatch on the diagonal still maps.
-    """
-    n, m = len(ref), len(heard)
-    if not n or not m:
-        return np.full(n, -1)
-    band = m if n * m <= FULL_CELLS else band_for(n, m)
-    if band is None:
-        return np.full(n, -1)
-    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (ref, heard))
-    centres = (np.arange(n + 1) * m + n // 2) // n
-    lows, highs = np.maximum(0, centres - band), np.minimum(m, centres + band)
-    if band == m:
-        lows, highs = np.zeros(n + 1, np.int64), np.full(n + 1, m)
-    columns = np.arange(m + 1, dtype=np.int64)
-    steps: list[np.ndarray] = []
-    before = GAP * columns[lows[0] : highs[0] + 1]
-    steps.append(np.where(columns[lows[0] : highs[0] + 1] > 0, LEFT, 0).astype(np.uint8))
-    for i in range(1, n + 1):
-        lo, hi, was = int(lows[i]), int(highs[i]), int(lows[i - 1])
-        padded = np.full(hi - lo + 2, LOW, np.int64)  # scores of columns lo - 1 .. hi in the row above
-        first, last = max(lo - 1, was), min(hi, was + len(before) - 1)
-        if first <= last:
-            padded[first - lo + 1 : last - lo + 2] = before[first - was : last - was + 1]
-        same = np.zeros(hi - lo + 1, bool)
-        inner = max(lo, 1)
-        same[inner - lo :] = b[inner - 1 : hi] == a[i - 1]
-        diagonal = padded[:-1] + np.where(same, MATCH, MISMATCH)
-        if lo == 0:
-            diagonal[0] = LOW
-        up = padded[1:] + GAP
-        best = np.maximum(diagonal, up)
-        offset = GAP * columns[lo : hi + 1]
-        now = np.maximum.accumulate(best - offset) + offset
-        left = np.concatenate([[LOW], now[:-1] + GAP])
-        steps.append(np.where((diagonal >= up) & (diagonal >= left), DIAGONAL, np.where(up >= left, UP, LEFT)).astype(np.uint8))
-        before = now
-    out = np.full(n, -1)
-    i, j = n, m
-    while i > 0 or j > 0:
-        if not lows[i] <= j <= highs[i]:
-            return np.full(n, -1)
-        step = steps[i][j - lows[i]]
-        if step == DIAGONAL:
-            i, j = i - 1, j - 1
-            out[i] = j
-        elif step == UP:
-            i -= 1
-        elif step == LEFT:
-            j -= 1
-        else:
-            return np.full(n, -1)
-    return out
-
-
-def matched_lines(lines: DataFrame, tokens: DataFrame) -> DataFrame:
-    """media_id, line_no, start, end: each line's first and last matched token; null without one.
-
-    ``lines`` has media_id, line_no, text and language; ``tokens`` media_id, text, start, end in time order by pos.
+    The texts are all lines and all words of a media without what alignment ignores, joined; first and last are places
+    in them, last is exclusive. Words stand in time order, then by pos.
     """
     left = lines.select("media_id", "line_no", T.for_alignment(F.col("text"), F.col("language")).alias("bare"))
     named = lines.groupBy("media_id").agg(F.first("language", True).alias("language"))
     right = tokens.join(named, "media_id").select("media_id", "pos", "start", "end", T.for_alignment(F.col("text"), F.col("language")).alias("bare"))
+    left, right = shared_table(left), shared_table(right)
+
+    def placed(rows: DataFrame, *order: str) -> DataFrame:
+        last = F.sum(F.length("bare")).over(Window.partitionBy("media_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("last", last).withColumn("first", F.col("last") - F.length("bare")).drop("bare")
 
-    def match(said: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        said, heard = said.sort_values("line_no"), heard.sort_values(["start", "end", "pos"])
-        line_of = np.repeat(np.arange(len(said)), said["bare"].str.len())
-        token_of = np.repeat(np.arange(len(heard)), heard["bare"].str.len().astype(int))
-        places = aligned("".join(said["bare"]), "".join(heard["bare"]))
-        hit = places >= 0
-        found = pd.DataFrame({"line": line_of[hit], "token": token_of[places[hit]] if hit.any() else []}).groupby("line")["token"].agg(["min", "max"])
-        start, end = np.full(len(said), np.nan), np.full(len(said), np.nan)
-        start[found.index.astype(int)] = heard["start"].to_numpy()[found["min"].astype(int)]
-        end[found.index.astype(int)] = heard["end"].to_numpy()[found["max"].astype(int)]
-        none = np.isnan(start)
-        value = lambda x: pd.Series([None if gone else float(v) for v, gone in zip(x, none)], dtype=object)
-        return pd.DataFrame({"media_id": said["media_id"].tolist(), "line_no": said["line_no"].tolist(), "start": value(start), "end": value(end)})
-
-    kinds = f"media_id {lines.schema['media_id'].dataType.simpleString()}, line_no {lines.schema['line_no'].dataType.simpleString()}, start double, end double"
-    found = left.groupBy("media_id").cogroup(right.groupBy("media_id")).applyInPandas(match, kinds)
-    return found.where("line_no is not null")
+    def text(rows: DataFrame, name: str, *order: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(*order, "bare")))
+        return rows.groupBy("media_id").agg(F.array_join(F.transform(listed, lambda x: x["bare"]), "").alias(name))
+
+    by = "start", "end", "pos"
+    texts = text(left, "ref", "line_no").join(text(right, "heard", *by), "media_id", "left").na.fill("", ["heard"])
+    return texts, placed(left, "line_no"), placed(right, *by).drop("pos")
+
+
+def matched_lines(lines: DataFrame, tokens: DataFrame, **blocks) -> DataFrame:
+    """media_id, line_no, start, end: each line's first and last matched token; null without one.
+
+    ``lines`` has media_id, line_no, text and language; ``tokens`` media_id, text, start, end in time order by pos.
+    A line's first matched character gives its start, its last one its end: matches ascend in both texts. Runs meet
+    lines and words where they overlap; ``blocks`` are the options of ``anchors.blocks_of``.
+    """
+    texts, places, words = joined_texts(lines, tokens)
+    runs = shared_table(anchors.matched_runs(anchors.blocks_of(shared_table(texts), **blocks)))
+    met = overlaps.overlapping(places, runs.withColumn("stop", F.col("i") + F.col("n")), ("first", "last"), ("i", "stop"), ["media_id"])
+    bounds = met.select("media_id", "line_no", (F.greatest("first", "i") - F.col("i") + F.col("j")).alias("a"), (F.least("last", "stop") - F.col("i") + F.col("j") - 1).alias("b"))
+    bounds = bounds.groupBy("media_id", "line_no").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    ends = bounds.select("media_id", "line_no", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("at")), F.struct(F.lit("b").alias("side"), F.col("b").alias("at")))))
+    found = overlaps.overlapping(ends.withColumn("upto", F.col("at") + 1), words, ("at", "upto"), ("first", "last"), ["media_id"])
+    times = found.groupBy("media_id", "line_no").agg(F.max(F.when(F.col("side") == "a", F.col("start"))).alias("start"), F.max(F.when(F.col("side") == "b", F.col("end"))).alias("end"))
+    return places.select("media_id", "line_no").join(times, ["media_id", "line_no"], "left")
 
 
 class AlignmentError(ValueError):

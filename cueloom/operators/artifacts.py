@@ -1,16 +1,15 @@
 """Artifact store: lookups, upserts and retention as joins over one table.
 
 An artifact row has media_id, window_index, start, end, kind (asr or alignment),
-version, model_id, language, transcript_sha1, payload and mtime. On disk it is
-Parquet partitioned by media_id, replaced partition by partition.
+version, model_id, language, transcript_sha1, payload and mtime. ``store`` keeps
+such rows on disk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timecode import chunk_stem
-from ..shared import shared_table
 
 VERSION = 1
 KEY = ["media_id", "window_index"]
@@ -83,20 +82,3 @@ def latest(artifacts: DataFrame) -> DataFrame:
 
 
 SCHEMA = "window_index int, start double, end double, version int, model_id string, mtime long, kind string, language string, transcript_sha1 string, payload string, media_id string"
-
-
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """The store in a folder; empty where there is none yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.schema(SCHEMA).parquet(path) if there else spark.createDataFrame([], SCHEMA)
-
-
-def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Replace the partitions of the media in ``artifacts``; the others stay."""
-    shared_table(artifacts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("media_id").parquet(path)
-
-
-def replace_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Make ``artifacts`` the whole store. They may be read from it: they are written elsewhere first."""
-    shared_table(artifacts).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("media_id").parquet(path)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import align, artifacts as A, model_cues, providers, replies, segment, tokens as tok, windows as W
+from ..operators.store import Store
 from ..shared import shared_table
 from ..sources import timed_text
 
@@ -18,7 +20,7 @@ def media_tokens(processed: DataFrame) -> DataFrame:
 
 
 def transcripts(windows: DataFrame, hear: Callable, held: DataFrame | None = None, model_id: str = "") -> tuple[DataFrame, DataFrame | None]:
-    """(windows with transcript and language, the store with what is new). Only windows that the store lacks are transcribed.
+    """(windows with transcript and language, the artifacts that are new). Only windows that the store lacks are transcribed.
 
     ``windows`` has media_id, window_index, start, end and, if a language is asked for, hint.
     """
@@ -32,11 +34,11 @@ def transcripts(windows: DataFrame, hear: Callable, held: DataFrame | None = Non
     new = shared_table(providers.transcribed(found.where("payload is null").drop("payload"), hear))
     payload = F.to_json(F.struct(F.col("transcript").alias("text"), F.col("spoken").alias("language")))
     rows = _artifacts(new, "asr", model_id, F.col("hint"), F.lit(None).cast("string"), payload)
-    return hits.unionByName(new.withColumnRenamed("spoken", "language").select(*columns)), A.upserted(held, rows)
+    return hits.unionByName(new.withColumnRenamed("spoken", "language").select(*columns)), rows
 
 
 def placed_words(heard: DataFrame, place: Callable, held: DataFrame | None = None, model_id: str = "") -> tuple[DataFrame, DataFrame | None]:
-    """(media_id, window_index, tokens; the store with what is new). An empty result is stored too."""
+    """(media_id, window_index, tokens; the artifacts that are new). An empty result is one too."""
     if held is None:
         return shared_table(providers.force_aligned(heard, place)), None
     found = shared_table(A.with_alignment(heard, held, model_id))
@@ -44,7 +46,7 @@ def placed_words(heard: DataFrame, place: Callable, held: DataFrame | None = Non
     missing = found.where("payload is null").drop("payload")
     new = shared_table(providers.force_aligned(missing, place))
     rows = _artifacts(missing.join(new, ["media_id", "window_index"]), "alignment", model_id, F.col("language"), F.sha1("transcript"), F.to_json("tokens"))
-    return hits.unionByName(new), A.upserted(held, rows)
+    return hits.unionByName(new), rows
 
 
 def _artifacts(rows: DataFrame, kind: str, model_id: str, language: Column, sha1: Column, payload: Column) -> DataFrame:
@@ -68,12 +70,15 @@ def subtitles(
     if mode in ("hybrid", "llm") and ask is None:
         raise ValueError(f"{mode} needs a model")
     windows, keys = shared_table(W.planned_windows(speech, media)), ["media_id", "window_index"]
-    held = A.read_artifacts(speech.sparkSession, store) if store else None
-    heard, held = transcripts(windows, hear, held, models[0])
+    kept = Store(speech.sparkSession, store) if store else None
+    held = kept.read() if kept else None
+    heard, said_anew = transcripts(windows, hear, held, models[0])
+    made = [said_anew]
     if mode == "none":
         cues = segment.transcript_cues(heard.withColumnRenamed("transcript", "text"))
     else:
-        placed, held = placed_words(heard, place, held, models[1])
+        placed, placed_anew = placed_words(heard, place, held, models[1])
+        made.append(placed_anew)
         words = media_tokens(placed.join(heard.select(*keys, "start"), keys))
         said = heard.select(*keys, F.col("transcript").alias("context"))
         marked = segment.with_context_punctuation(words, said, keys).withColumn("pos", F.col("atom_id"))
@@ -86,9 +91,10 @@ def subtitles(
             cues = segment.segmented(named, keys, mode, splitter=splitter)
         order = F.row_number().over(W.Window.partitionBy("media_id").orderBy("window_index", "id"))
         cues = cues.select("media_id", order.alias("id"), "start", "end", "text")
-    if store:
+    if kept:
         cues = shared_table(cues)
-        A.replace_artifacts(A.retained(A.active_only(held, windows), media, most_media), store)
+        kept.upsert(reduce(DataFrame.unionByName, made))
+        kept.retain(windows, media, most_media)
     return cues
 
 

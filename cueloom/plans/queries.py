@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, timecode as C
-from ..operators import align, artifacts as A, model_cues, providers, replies as R, segment as S, spans, tokens as K, windows as W
+from ..operators import align, artifacts as A, model_cues, overlaps, providers, replies as R, segment as S, spans, tokens as K, windows as W
+from ..operators.store import Store
 from ..shared import removed_at_exit, shared_dir, shared_table
 from ..sinks import render
 from ..sources import cue_files, timed_text
@@ -357,6 +358,29 @@ def snk_upserted_artifacts(spark, sf):
     return A.upserted(held, _fresh(held)).select("media_id", "window_index", "kind", "mtime", "payload")
 
 
+UPSERTED = ORACLES["snk_upserted_artifacts"].partition("select media_id, window_index, kind, mtime, payload from fresh")
+
+
+@query("snk_stored_artifacts", UPSERTED[1] + UPSERTED[2], I.ARTIFACTS, NEW)
+def snk_stored_artifacts(spark, sf):
+    """The same upsert on the store: two snapshots, and the buckets of the second."""
+    held, kept = I.artifacts(spark, sf), Store(spark, _scratch(spark), 16)
+    kept.upsert(held)
+    kept.upsert(_fresh(held))
+    return kept.read().select("media_id", "window_index", "kind", "mtime", "payload")
+
+
+@query("str_upserted_artifacts", UPSERTED[1] + UPSERTED[2], I.ARTIFACTS, NEW)
+def str_upserted_artifacts(spark, sf):
+    """The store is filled by a stream of what is new, whose batches are taken in once."""
+    held, kept, inbox, marks = I.artifacts(spark, sf), Store(spark, _scratch(spark), 16), _scratch(spark), _scratch(spark)
+    kept.upsert(held)
+    _fresh(held).repartition(2).write.parquet(inbox)
+    stream = spark.readStream.schema(A.SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox)
+    stream.writeStream.foreachBatch(kept.sink("inbox")).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select("media_id", "window_index", "kind", "mtime", "payload")
+
+
 @query(
     "snk_retained_artifacts",
     """@ages as (select media_id, max(mtime) t from artifacts group by media_id),
@@ -860,6 +884,69 @@ def seg_hybrid_cues(spark, sf):
     return model_cues.hybrid_cues(words, load, I.TOKEN_KEYS)[0]
 
 
+# The whole matrix by recursion: one row of scores a round, then the way back. Of equal steps the diagonal comes first, then up.
+MATRIX = """pairs as (select a.p_partkey k, replace(a.p_name, ' ', '') a, replace(b.p_name, ' ', '') b, string_split(a.p_name, ' ') said, string_split(b.p_name, ' ') heard from part a join part b on b.p_partkey = a.p_partkey + 1),
+filled(k, i, scores, steps) as (
+  select k, 0, [-2 * j for j in range(0, length(b) + 1)], [[3 for j in range(0, length(b) + 1)]] from pairs
+  union all
+  select k, i + 1, now, list_append(steps, [case when j > 0 and scores[j] + hit[j] >= scores[j + 1] - 2 and scores[j] + hit[j] >= now[j] - 2 then 1 when j = 0 or scores[j + 1] - 2 >= now[j] - 2 then 2 else 3 end for j in range(0, m + 1)])
+  from (select *, [list_max([best[l + 1] + 2 * l for l in range(0, j + 1)]) - 2 * j for j in range(0, m + 1)] now
+    from (select *, [case when j = 0 then scores[1] - 2 else greatest(scores[j] + hit[j], scores[j + 1] - 2) end for j in range(0, m + 1)] best
+      from (select k, i, scores, steps, length(b) m, [case when a[i + 1] = b[j] then 2 else -1 end for j in range(1, length(b) + 1)] hit from filled join pairs using (k) where i < length(a))))),
+back(k, i, j, steps, places) as (
+  select k, length(a), length(b), steps, cast([] as integer[]) from filled join pairs using (k) where i = length(a)
+  union all
+  select k, case when s = 3 then i else i - 1 end, case when s = 2 then j else j - 1 end, steps, case s when 1 then list_prepend(j - 1, places) when 2 then list_prepend(-1, places) else places end
+  from (select *, case when i = 0 then 3 else steps[i + 1][j + 1] end s from back where i > 0 or j > 0)),
+placed as (select k, places from back where i = 0 and j = 0)"""
+
+
+def _part_names(spark, sf) -> DataFrame:
+    parts = I.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("said"))
+    return parts.join(parts.select((F.col("k") - 1).alias("k"), F.col("said").alias("heard")), "k")
+
+
+@query("aln_characters", "select k p_partkey, array_to_string(places, ',') places from placed", MATRIX, recursive=True)
+def aln_characters(spark, sf):
+    """Each part's name against the next one's."""
+    bare = _part_names(spark, sf).select("k", F.replace("said", F.lit(" "), F.lit("")).alias("ref"), F.replace("heard", F.lit(" "), F.lit("")).alias("heard"))
+    places = F.array_join(align.character_places(F.col("ref"), F.col("heard")).cast("array<string>"), ",")
+    return bare.select(F.col("k").alias("p_partkey"), places.alias("places"))
+
+
+@query(
+    "aln_matched_words",
+    """@c as (select k, unnest(places) j, unnest(range(len(places))) i from placed),
+l as (select k, n, text, sum(length(text)) over (partition by k order by n) upto from (select k, unnest(said) as text, unnest(range(len(said))) n from pairs)),
+t as (select k, n, text, sum(length(text)) over (partition by k order by n) upto from (select k, unnest(heard) as text, unnest(range(len(heard))) n from pairs)),
+m as (select c.k, l.n line_no, t.n word from c join l on l.k = c.k and c.i >= l.upto - length(l.text) and c.i < l.upto join t on t.k = c.k and c.j >= t.upto - length(t.text) and c.j < t.upto)
+select cast(l.k as varchar) media_id, cast(l.n as int) line_no, min(word) * 1.0::double as start, max(word) * 1.0::double + 0.75::double as "end" from l left join m on m.k = l.k and m.line_no = l.n group by l.k, l.n""",
+    MATRIX, recursive=True,
+)
+def aln_matched_words(spark, sf):
+    """Words of each part's name as lines, those of the next one's as heard words, a second each."""
+    rows = _part_names(spark, sf).select(F.col("k").cast("string").alias("media_id"), "said", "heard")
+    lines = rows.select("media_id", F.posexplode(F.split("said", " ")).alias("line_no", "text")).withColumn("language", F.lit("en"))
+    words = rows.select("media_id", F.posexplode(F.split("heard", " ")).alias("pos", "text")).selectExpr("media_id", "pos", "text", "pos * 1.0D start", "pos * 1.0D + 0.75D end")
+    return align.matched_lines(lines, words)
+
+
+@query(
+    "jn_overlapping_speech",
+    f"""@s as (select user_id, event_id, event_type, (epoch_us(ts) - {I.EPOCH_US}) // 600000 / 1000.0::double as a, (epoch_us(ts) - {I.EPOCH_US}) // 600000 / 1000.0::double + 1.0::double + value b from events)
+select x.event_id, y.event_id other_id, round(least(x.b, y.b) - greatest(x.a, y.a), 6) as seconds from s x join s y on x.user_id = y.user_id and x.event_type = 'purchase' and y.event_type <> 'purchase' and x.a < y.b and y.a < x.b where x.b > x.a and y.b > y.a""",
+    "one as (select 1)",
+)
+def jn_overlapping_speech(spark, sf):
+    """Speech of one kind of events with that of the others, in the same media."""
+    at = f"(unix_micros(cast(ts as timestamp)) - {I.EPOCH_US}) div 600000 / 1000.0D"
+    rows = I.table(spark, sf, "events").selectExpr("cast(user_id as string) media_id", "event_id", "event_type", f"{at} a", f"{at} + 1.0D + value b")
+    one = rows.where("event_type = 'purchase'").drop("event_type")
+    others = rows.where("event_type <> 'purchase'").selectExpr("media_id", "event_id other_id", "a c", "b d")
+    pairs = overlaps.overlapping(one, others, ("a", "b"), ("c", "d"), ["media_id"])
+    return pairs.select("event_id", "other_id", F.round(F.least("b", "d") - F.greatest("a", "c"), 6).alias("seconds"))
+
+
 @query("aln_aligned_lines")
 def aln_aligned_lines(spark, sf):
     """Turns as untimed lines against their own words, some of them changed."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..shared import removed_at_exit, shared_dir
 
@@ -45,50 +47,76 @@ def with_static(events: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return events.join(table, key, "left")
 
 
-def gap_groups(events: DataFrame, gap: float, late: str) -> DataFrame:
-    """Closed groups of each user by the end-to-start rule: a pause of ``gap`` seconds or more starts a new one.
+class GapGroups(StatefulProcessor):
+    """Groups of one key by the end-to-start rule.
 
-    An event lasts ``value`` seconds. Events are held until the watermark has passed them, so those that come late, but
-    not too late, are folded in their place. State is the open group and the events beyond the watermark; a group is
-    closed by the next one, or when the watermark has passed its end and the gap.
+    ``ahead`` is a list of the events that the watermark has not passed: new ones are appended to it, and it is read only
+    when a timer says that some are due. ``group`` is the open group. A timer stands for the earliest of what is to come.
     """
-    state = "opened double, until double, n long, ahead array<struct<at:double,value:double>>"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        opened, until, n, ahead = held.get if held.exists else (None, None, 0, [])
-        waiting = [(x[0], x[1]) for x in ahead or []]
-        if not held.hasTimedOut:
-            waiting += [x for part in parts for x in zip(part["at"].tolist(), part["value"].tolist())]
-        mark, done = held.getCurrentWatermarkMs() / 1000, []
-        waiting.sort()
-        ready = sum(at <= mark for at, _ in waiting)
+
+    EVENT = StructType([StructField("at", DoubleType()), StructField("value", DoubleType())])
+    GROUP = StructType([StructField("opened", DoubleType()), StructField("until", DoubleType()), StructField("n", LongType())])
+
+    def __init__(self, gap: float):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.ahead, self.group = handle, handle.getListState("ahead", self.EVENT), handle.getValueState("group", self.GROUP)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [x for part in rows for x in zip(part["at"].tolist(), part["value"].tolist())]
+        self.ahead.appendList(new)
+        self.handle.registerTimer(math.ceil(min(new)[0] * 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, done = timerValues.getCurrentWatermarkInMs() / 1000, []
+        opened, until, n = self.group.get() or (None, None, 0)
+        waiting = sorted((x[0], x[1]) for x in self.ahead.get())
+        ready = bisect_right(waiting, (mark, math.inf))
         for at, value in waiting[:ready]:
-            if n and at - until >= gap:
+            if n and at - until >= self.gap:
                 done.append((opened, until, n))
                 n = 0
             opened, until, n = (at, at + value, 1) if not n else (opened, max(until, at + value), n + 1)
-        if n and until + gap <= mark:
+        if n and until + self.gap <= mark:
             done.append((opened, until, n))
             n = 0
-        waiting = waiting[ready:]
-        if n or waiting:
-            held.update((opened if n else None, until if n else None, n, waiting))
-            following = min(([until + gap] if n else []) + [at for at, _ in waiting[:1]])
-            held.setTimeoutTimestamp(max(math.ceil(following * 1000), held.getCurrentWatermarkMs() + 1))
-        elif held.exists:
-            held.remove()
+        if ready:
+            self.ahead.put(waiting[ready:]) if waiting[ready:] else self.ahead.clear()
+        self.group.update((opened, until, n)) if n else self.group.clear()
+        if n or waiting[ready:]:
+            self.handle.registerTimer(math.ceil(min([until + self.gap] * bool(n) + [at for at, _ in waiting[ready : ready + 1]]) * 1000))
         yield pd.DataFrame([(key[0], *d) for d in done], columns=["user_id", "opened", "until", "n"])
 
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def gap_groups(events: DataFrame, gap: float, late: str) -> DataFrame:
+    """Closed groups of each user by the end-to-start rule: a pause of ``gap`` seconds or more starts a new one.
+
+    An event lasts ``value`` seconds. Events are held until the watermark has passed them, so those that come late, but
+    not too late, are folded in their place. A group is closed by the next one, or when the watermark has passed its end
+    and the gap. State is kept in RocksDB, which the session's streams use from here on.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").cast("double").alias("micros"), "value")
     rows = rows.withColumn("at", F.col("micros") / 1e6)
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, opened double, until double, n long", state, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("user_id").transformWithStateInPandas(GapGroups(gap), "user_id long, opened double, until double, n long", "Append", "EventTime")
+
 
+def drained(stream: DataFrame, out: str | None = None, marks: str | None = None) -> DataFrame:
+    """Everything the stream gives until its input is used up, written by the query's own sink and read back.
 
-def drained(stream: DataFrame) -> DataFrame:
-    """Everything the stream gives until its input is used up, written by the query's own sink and read back."""
+    With folders of its own for the results (``out``) and the checkpoint (``marks``), a later call goes on from there.
+    """
     spark = stream.sparkSession
-    out, marks = shared_dir(spark), shared_dir(spark)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    for folder in (out, marks):
+    for folder in (made := [shared_dir(spark) for x in (out, marks) if x is None]):
         removed_at_exit(spark, folder)
+    out, marks = out or made[0], marks or made[-1]
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

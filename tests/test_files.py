@@ -156,6 +156,22 @@ def test_gap_groups(spark, tmp_path, parts):
     assert got == brute_groups(events, first + 50_000.0 - 3600)
 
 
+def test_gap_groups_go_on_from_a_checkpoint(spark, tmp_path):
+    """Stopped in the middle and started again, the stream gives the groups of one that ran through."""
+    rng = random.Random(8)
+    events = sorted(((u, 1_700_000_000.0 + rng.randrange(0, 100_000), float(rng.choice([1, 60, 2000]))) for u in range(6) for _ in range(30)), key=lambda e: e[1])
+    events.append((99, events[-1][1] + 50_000.0, 1.0))
+    got = None
+    for k, own in enumerate((events[:70], events[70:120], events[120:])):
+        frame = spark.createDataFrame(own, "user_id long, at double, value double").select("user_id", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts"), "value")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(frame.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        got = E.drained(E.gap_groups(stream, 3600.0, "1 hour"), f"{tmp_path}/out", f"{tmp_path}/marks")
+    found = [(r.user_id, r.opened, r.until, r.n) for r in got.collect()]
+    want = brute_groups(events, events[-1][1] - 3600)
+    assert set(found) == want and len(found) == len(want)
+
+
 @pytest.fixture(scope="module")
 def sql():
     duckdb = pytest.importorskip("duckdb")

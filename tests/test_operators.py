@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T, timecode as C
-from cueloom.operators import align, artifacts as A, providers, replies as R, segment as S, spans, tokens as K, windows as W
+from cueloom.operators import align, align_matrix, anchors, overlaps, artifacts as A, providers, replies as R, segment as S, spans, tokens as K, windows as W
 
 
 def one(spark, expression):
@@ -273,12 +273,110 @@ def test_alignment(monkeypatch):
         assert align.aligned(ref, heard).tolist() == brute_alignment(ref, heard)
     same = "ab" * 1200
     assert align.aligned(same, same).tolist() == list(range(2400))
-    monkeypatch.setattr(align, "FULL_CELLS", 1)
+    monkeypatch.setattr(align_matrix, "FULL_CELLS", 1)
     for _ in range(20):
         ref = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 40)))
         assert align.aligned(ref, ref[: len(ref) // 2] + "x" + ref[len(ref) // 2 :]).tolist() == brute_alignment(ref, ref[: len(ref) // 2] + "x" + ref[len(ref) // 2 :])
 
 
+def score_of(ref, heard, places):
+    """Score of an alignment: matches and mismatches, and a gap for each character of either text without a partner."""
+    hits = [(i, j) for i, j in enumerate(places) if j >= 0]
+    assert [j for _, j in hits] == sorted({j for _, j in hits})
+    return sum(2 if ref[i] == heard[j] else -1 for i, j in hits) - 2 * (len(ref) - len(hits)) - 2 * (len(heard) - len(hits))
+
+
+def test_alignment_in_halves(monkeypatch):
+    """Parts of a few cells give the score of the whole matrix."""
+    monkeypatch.setattr(align_matrix, "FULL_CELLS", 30)
+    monkeypatch.setattr(align_matrix, "band_for", lambda n, m: m)
+    rng = random.Random(11)
+    for _ in range(40):
+        ref, heard = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(2))
+        assert score_of(ref, heard, anchors.aligned_in_halves(ref, heard).tolist()) == score_of(ref, heard, brute_alignment(ref, heard))
+
+
+def test_longest_chain():
+    rng = random.Random(12)
+    for _ in range(50):
+        j = rng.sample(range(30), rng.randint(0, 12))
+        i = sorted(rng.sample(range(30), len(j)))
+        chain = anchors.longest_chain(i, j)
+        assert all(i[a] < i[b] and j[a] < j[b] for a, b in zip(chain, chain[1:]))
+        best = [0] * len(j)
+        for b in range(len(j)):
+            best[b] = 1 + max([best[a] for a in range(b) if j[a] < j[b]], default=0)
+        assert len(chain) == max(best, default=0)
+
+
+def noisy(rng, text):
+    """Some characters changed, some left out, some put in."""
+    return "".join(rng.choice("xyz") if (r := rng.random()) < 0.03 else "" if r < 0.05 else c + "q" * (r < 0.07) for c in text)
+
+
+def test_alignment_by_anchors(spark):
+    """Cut at anchors, texts have the alignment of the whole matrix, but for ties within a run of equal characters."""
+    rng = random.Random(13)
+    texts = []
+    for k in range(12):
+        ref = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(300, 600)))
+        heard = noisy(rng, ref)
+        at = rng.randrange(len(ref))
+        texts.append((f"m{k}", ref, heard[: at // 2] + heard[at:] if k % 3 == 0 else heard))
+    texts += [("empty", "", ""), ("deaf", "abc" * 200, ""), ("other", "ab" * 300, "xy" * 300)]
+    given = spark.createDataFrame(texts, "media_id string, ref string, heard string")
+    blocks = anchors.blocks_of(given, gram=8, block=60, full_cells=1000).collect()
+    assert max(len(b.ref) * len(b.heard) for b in blocks if b.media_id.startswith("m")) < 600 * 600 / 2
+    for media_id, ref, heard in texts:  # the blocks are the texts, in order
+        own = sorted((b.ref_at, b.heard_at, b.ref, b.heard) for b in blocks if b.media_id == media_id)
+        assert "".join(b[2] for b in own) == ref and "".join(b[3] for b in own) == heard
+    runs = anchors.matched_runs(spark.createDataFrame(blocks, "media_id string, ref_at int, heard_at int, ref string, heard string")).collect()
+    for media_id, ref, heard in texts:
+        places = [-1] * len(ref)
+        for r in runs:
+            if r.media_id == media_id:
+                places[r.i : r.i + r.n] = range(r.j, r.j + r.n)
+        whole = score_of(ref, heard, align.aligned(ref, heard).tolist())
+        assert whole - 12 <= score_of(ref, heard, places) <= whole
+
+
+def test_long_media_is_aligned_in_blocks(spark):
+    """A hundred thousand characters: the matrix would have ten thousand million cells."""
+    rng = random.Random(14)
+    said = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(18_000)]
+    heard = [w if rng.random() > 0.1 else rng.choice(["zz", "zzzzz"]) for w in said]
+    words = spark.createDataFrame([("m", k, w, float(k), k + 0.5) for k, w in enumerate(heard)], "media_id string, pos int, text string, start double, end double")
+    own = spark.createDataFrame([("m", k, " ".join(said[10 * k : 10 * k + 10]), "en") for k in range(1800)], "media_id string, line_no int, text string, language string")
+    got = {r.line_no: (r.start, r.end) for r in align.matched_lines(own, words).collect()}
+    assert len(got) == 1800
+    near = [k for k in got if got[k][0] is not None and abs(got[k][0] - 10 * k) <= 1 and abs(got[k][1] - (10 * k + 9.5)) <= 1]
+    assert len(near) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("share", [0.9, 0.3])
+def test_overlapping(spark, share):
+    """Every pair once, whatever the lengths: points, hours beside seconds, touching ends, bounds below zero."""
+    rng = random.Random(15)
+    rows = [(rng.choice("ab"), k, float(a := rng.choice([rng.uniform(-50, 50), rng.randint(-50, 50)])), a + float(rng.choice([0, 0.5, 1, 3, -2, rng.expovariate(0.1), 900, 20_000]))) for k in range(160)]
+    rows += [(None, 900, 0.0, 1.0), ("a", 901, None, 1.0), ("a", 902, 0.0, None)]
+    left = spark.createDataFrame(rows[:70] + rows[160:], "k string, x int, a double, b double")
+    right = spark.createDataFrame(rows[70:], "k string, y int, c double, d double")
+    got = [(r.x, r.y) for r in overlaps.overlapping(left, right, ("a", "b"), ("c", "d"), ["k"], share).collect()]
+    want = [(p[1], q[1]) for p in rows[:70] for q in rows[70:160] if p[0] == q[0] and p[3] > p[2] and q[3] > q[2] and p[2] < q[3] and q[2] < p[3]]
+    assert sorted(got) == sorted(want) and len(want) > 500
+    assert overlaps.overlapping(left.limit(0), right, ("a", "b"), ("c", "d"), ["k"]).count() == 0
+
+
+def test_overlaps_of_a_hot_media_are_linear(spark):
+    """One media with twice the intervals at the same density has about twice the rows behind the bins' join, not four times."""
+    def looked_at(n):
+        rows = spark.range(n).selectExpr("'m' k", "id x", "id * 1.0D a", "id + case when id % 100 = 0 then 300 else 2.5D end b")
+        found = overlaps.overlapping(rows, rows.selectExpr("k", "x y", "a c", "b d"), ("a", "b"), ("c", "d"), ["k"])
+        return found.count()
+
+    assert looked_at(40_000) < 2.2 * looked_at(20_000)
+
+
 def lines(spark, texts):
     return spark.createDataFrame([("m", i, t, "en") for i, t in enumerate(texts)], "media_id string, line_no int, text string, language string")
 

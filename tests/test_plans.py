@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
 from cueloom.operators import align, artifacts as A, chat, model_cues, providers
+from cueloom.operators.store import Conflict, Snapshot, Store
 from cueloom.plans import pipelines
 from cueloom.sinks import progress, render
 from cueloom.sources import config, media
@@ -97,11 +98,97 @@ def test_store_spares_the_models(spark, tmp_path):
     assert run() == first and os.path.getsize(calls) == 4
     assert run(models=("h", "other")) == first and os.path.getsize(calls) == 6
     assert len(run(files.where("media_id = 'a'"), ("h", "other"), 1)) == 2 and os.path.getsize(calls) == 6
-    assert {r.media_id for r in A.read_artifacts(spark, store).collect()} == {"a"}
+    assert {r.media_id for r in Store(spark, store).read().collect()} == {"a"}
     assert [r.text for r in pipelines.subtitles(silent, files, hear, None, "none", store=store, models=("h", "p")).orderBy("media_id").collect()] == ["Hello from a. Bye now.", "Hello from b. Bye now."]
     assert os.path.getsize(calls) == 7
 
 
+ARTIFACT = "media_id string, window_index int, start double, end double, version int, model_id string, mtime long, kind string, language string, transcript_sha1 string, payload string"
+
+
+def made(spark, *rows):
+    """Artifacts of (media_id, window_index, kind, mtime, payload)."""
+    return spark.createDataFrame([(m, w, w * 1.0, w + 1.0, 1, "x", t, kind, "en", None, p) for m, w, kind, t, p in rows], ARTIFACT)
+
+
+def held(store, number=None):
+    return sorted((r.media_id, r.window_index, r.kind, r.payload) for r in store.read(None if number is None else store.snapshot(number)).collect())
+
+
+def test_store_writes_the_touched_buckets(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", buckets=8)
+    assert held(store) == [] and store.snapshot().number == 0
+    media = [f"m{k}" for k in range(30)]
+    store.upsert(made(spark, *[(m, 1, "asr", 5, "old") for m in media], ("m0", 1, "alignment", 5, "placed"), ("m1", 1, "alignment", 5, "placed")))
+    before = store.snapshot()
+    after = store.upsert(made(spark, ("m0", 1, "asr", 6, "new"), ("m0", 1, "asr", 7, "newest"), ("m1", 1, "asr", 6, "old"), ("m0", 2, "asr", 6, "more")))
+    assert (before.number, after.number) == (1, 2)
+    moved = {b for b in after.folders if after.folders[b] != before.folders.get(b)}
+    assert 1 <= len(moved) <= 2 < len(before.folders)
+    want = [(m, 1, "asr", "newest" if m == "m0" else "old") for m in media] + [("m0", 2, "asr", "more"), ("m1", 1, "alignment", "placed")]
+    assert held(store) == sorted(want)
+    # A reader of the old snapshot still sees it; a change of nothing publishes nothing.
+    assert len(held(store, 1)) == 32 and ("m0", 1, "asr", "old") in held(store, 1)
+    assert store.upsert(made(spark).limit(0)).number == 2
+    planned = spark.createDataFrame([("m0", 1, 1.0, 2.0)], "media_id string, window_index int, start double, end double")
+    assert store.retain(planned, spark.createDataFrame([("m0",)], "media_id string"), 40).number == 3
+    assert held(store) == sorted(x for x in want if x != ("m0", 2, "asr", "more"))
+    store.retain(planned, spark.createDataFrame([("m0",)], "media_id string"), 3)
+    assert {x[0] for x in held(store)} == {"m0", "m1", "m9"}
+    store.vacuum(1)
+    assert store.numbers() == [4] and {x[0] for x in held(store)} == {"m0", "m1", "m9"}
+    kept = {str(p.parent.relative_to(tmp_path / "s")) for p in (tmp_path / "s/data").rglob("*.parquet")}
+    assert kept == set(store.snapshot().folders.values())
+
+
+def test_a_writer_that_dies_leaves_the_snapshot(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.upsert(made(spark, ("a", 1, "asr", 5, "old")))
+
+    def dies(snapshot):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "publish", dies)
+        with pytest.raises(KeyboardInterrupt):
+            store.upsert(made(spark, ("a", 1, "asr", 6, "new")))
+    again = Store(spark, f"file://{tmp_path}/s")
+    assert held(again) == [("a", 1, "asr", "old")] and again.numbers() == [1]
+    again.upsert(made(spark, ("a", 1, "asr", 6, "new")))
+    assert held(again) == [("a", 1, "asr", "new")]
+    files = len(list((tmp_path / "s/data").rglob("*.parquet")))
+    again.vacuum(1)
+    assert len(list((tmp_path / "s/data").rglob("*.parquet"))) == 1 < files
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """One publishes while the other works: the slower one does its change again on top, and neither's rows are lost."""
+    slow, fast = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    publish = slow.publish
+
+    def late(snapshot):
+        if not fast.numbers():
+            fast.upsert(made(spark, ("a", 1, "asr", 5, "fast")))
+        publish(snapshot)
+
+    monkeypatch.setattr(slow, "publish", late)
+    slow.upsert(made(spark, ("a", 2, "asr", 5, "slow")))
+    assert held(slow) == [("a", 1, "asr", "fast"), ("a", 2, "asr", "slow")] and slow.numbers() == [1, 2]
+    with pytest.raises(Conflict):
+        publish(Snapshot(2))
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    take = store.sink("calls")
+    take(made(spark, ("a", 1, "asr", 5, "one")), 0)
+    take(made(spark, ("a", 1, "asr", 6, "two")), 1)
+    take(made(spark, ("a", 1, "asr", 5, "one")), 0)
+    assert held(store) == [("a", 1, "asr", "two")] and store.numbers() == [1, 2]
+    store.sink("others")(made(spark, ("b", 1, "asr", 5, "x")), 0)
+    assert store.snapshot().batches == {"calls": 1, "others": 0}
+
+
 def test_modes_of_the_plan(spark):
     files = spark.createDataFrame([("m", 12.0)], "media_id string, duration double")
     silent = spark.createDataFrame([], "media_id string, start double, end double")
