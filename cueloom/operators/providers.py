@@ -6,13 +6,21 @@ recomputed stage would call it again.
 
 from __future__ import annotations
 
+import contextlib
+import json
+import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import removed_at_exit, shared_dir, shared_table
+
 TOKENS = "array<struct<text:string,start:double,end:double>>"
 
 
@@ -90,11 +98,52 @@ def final_status(code: int) -> bool:
     return 400 <= code < 500 and code != 429
 
 
-def replied(prompts: DataFrame, load: Callable[[], Callable[[str], str]], concurrency: int = 2, retries: int = 2) -> DataFrame:
-    """``prompts`` with reply and error; rows of a batch are asked side by side and keep their order."""
+#: Prompts of a batch that is asked side by side and then noted.
+ASKED = 64
+
+
+class Ledger:
+    """Replies that a task has had, in the shared folder: an attempt that runs again asks only for the others."""
+
+    def __init__(self, path: str, task: int):
+        self.system, base = fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
+        self.folder = f"{base}/{task}"
+
+    def known(self) -> dict[str, list]:
+        """Prompt -> (reply, error) of what other attempts have noted; errors are not among them, they are asked again."""
+        out: dict[str, list] = {}
+        for info in self.system.get_file_info(fs.FileSelector(self.folder, allow_not_found=True)):
+            with self.system.open_input_stream(info.path) as f:
+                data = f.read()
+            # A note that was cut off is none.
+            with contextlib.suppress(ValueError):
+                out |= {p: [reply, None] for p, reply in json.loads(data)}
+        return out
+
+    def note(self, replies: list[tuple[str, str]]) -> None:
+        self.system.create_dir(self.folder, recursive=True)
+        with self.system.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps(replies).encode())
+
+
+def replied(prompts: DataFrame, load: Callable[[], Callable[[str], str]], concurrency: int = 2, retries: int = 2, tasks: int | None = None) -> DataFrame:
+    """``prompts`` with reply and error; no more than ``concurrency`` requests are under way at any time, in the whole cluster.
+
+    They are asked by ``tasks`` tasks (as many as ``concurrency``, if not said), each with its share of the requests.
+    Prompts are written first: which task has which is the same when one runs again, and that one finds the replies
+    it has had.
+    """
+    concurrency = max(1, concurrency)
+    tasks = max(1, min(concurrency, tasks or concurrency))
+    ledger = shared_dir(prompts.sparkSession)
+    removed_at_exit(prompts.sparkSession, ledger)
+    own = F.pmod(F.xxhash64("prompt", *[c for c in prompts.columns if c != "prompt"]), F.lit(tasks)).cast("int")
+    dealt = shared_table(prompts.withColumn("_task", own)).repartitionById(tasks, F.col("_task"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        task = TaskContext.get().partitionId()
+        model, notes = load(), Ledger(ledger, task)
+        known = notes.known() if TaskContext.get().attemptNumber() else {}
 
         def one(prompt: str) -> tuple[str | None, str | None]:
             try:
@@ -102,10 +151,17 @@ def replied(prompts: DataFrame, load: Callable[[], Callable[[str], str]], concur
             except Exception as e:
                 return None, f"{type(e).__name__}: {e}".removesuffix(": ")
 
-        with ThreadPoolExecutor(max(1, concurrency)) as pool:
-            for part in parts:
-                said = list(pool.map(one, part["prompt"]))
-                yield part.assign(reply=[s[0] for s in said], error=[s[1] for s in said])
+        # Task k of n has the k-th share of the requests; the shares add up to all of them.
+        with ThreadPoolExecutor((concurrency - task + tasks - 1) // tasks) as pool:
+            for whole in parts:
+                for at in range(0, len(whole), ASKED):
+                    part = whole.iloc[at : at + ASKED].drop(columns="_task")
+                    new = [p for p in dict.fromkeys(part["prompt"]) if p not in known]
+                    said = dict(zip(new, pool.map(one, new)))
+                    if good := [(p, r) for p, (r, _) in said.items() if r is not None]:
+                        notes.note(good)
+                    said |= {p: known[p] for p in part["prompt"] if p in known}
+                    yield part.assign(reply=[said[p][0] for p in part["prompt"]], error=[said[p][1] for p in part["prompt"]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInPandas(run, f"{schema}, reply string, error string")
+    return dealt.mapInPandas(run, f"{schema}, reply string, error string")

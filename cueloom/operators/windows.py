@@ -7,7 +7,7 @@ and generators, with frames that only grow.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -64,25 +64,25 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return kept.select("media_id", F.row_number().over(order).alias("window_index"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-def _packer(plan: SpeechPlan):
+def packed(parts: Iterable[tuple[float, float]], plan: SpeechPlan) -> Iterator[tuple[float, float]]:
     """Sorted parts -> windows: a part joins the open window unless it is too far away or makes it too long."""
-    most = min(plan.chunk, plan.hard_chunk)
-
-    def pack(parts: list[dict]) -> Iterator[dict]:
-        start = end = None
-        for p in parts:
-            if start is not None and (p["start"] - end > plan.silence or p["end"] - start > most):
-                yield {"start": start, "end": end}
-                start = None
-            start, end = (p["start"], p["end"]) if start is None else (start, max(end, p["end"]))
-        if start is not None:
-            yield {"start": start, "end": end}
+    most, start, end = min(plan.chunk, plan.hard_chunk), None, None
+    for a, b in parts:
+        if start is not None and (a - end > plan.silence or b - start > most):
+            yield start, end
+            start = None
+        start, end = (a, b) if start is None else (start, max(end, b))
+    if start is not None:
+        yield start, end
+
 
+def _packer(plan: SpeechPlan):
     @arrow_udf("array<struct<start:double,end:double>>")
-    def packed(column: pa.Array) -> pa.Array:
-        return pa.array([list(pack(parts)) for parts in column.to_pylist()], column.type)
+    def windows(column: pa.Array) -> pa.Array:
+        made = ([{"start": a, "end": b} for a, b in packed(((p["start"], p["end"]) for p in parts), plan)] for parts in column.to_pylist())
+        return pa.array(made, column.type)
 
-    return packed
+    return windows
 
 
 def packed_windows(speech: DataFrame, media: DataFrame, plan: SpeechPlan = SpeechPlan()) -> DataFrame:

@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T, timecode as C
-from ..operators import align, artifacts as A, model_cues, overlaps, providers, replies as R, segment as S, spans, tokens as K, windows as W
+from ..operators import align, artifacts as A, model_cues, overlaps, providers, replies as R, segment as S, spans, splitter, tokens as K, windows as W
 from ..operators.store import Store
 from ..shared import removed_at_exit, shared_dir, shared_table
 from ..sinks import render
 from ..sources import cue_files, timed_text
 from ..streaming import events as E
-from . import inputs as I, pipelines
+from . import inputs as I, pipelines, table_functions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -489,6 +489,14 @@ def win_packed_windows(spark, sf):
     return W.packed_windows(I.speech(spark, sf), I.media(spark, sf))
 
 
+@query("win_packed_by_table_function", "select * from packed where media_id in (select media_id from speech)", I.SPEECH, MERGED, PACKED, recursive=True)
+def win_packed_by_table_function(spark, sf):
+    """Media with speech, by SQL."""
+    table_functions.register(spark)
+    parts = W.split_intervals(W.merged_intervals(I.speech(spark, sf), I.media(spark, sf), W.SpeechPlan().padding), W.SpeechPlan().hard_chunk).select("media_id", "start", "end")
+    return spark.sql("select * from packed_windows(table(select * from {parts}) partition by media_id order by start)", parts=parts)
+
+
 @query(
     "win_planned_windows",
     """select * from packed where cast(media_id as int) % 2 = 1 union all select media_id, 1, 0.0, 175.0 from media where cast(media_id as int) % 2 = 0""",
@@ -770,6 +778,47 @@ def seg_hard_cues(spark, sf):
     return S.segmented(I.tokens(spark, sf).withColumn("language", F.lit("en")), I.TOKEN_KEYS, "hard")
 
 
+SENTENCES = r"""list_filter([trim(x, ' ' || chr(10)) for x in string_split(regexp_replace(text, '([.!?]+["\'')\]}]*)[ \n]', '\1' || chr(1), 'g'), chr(1))], lambda x: x <> '')"""
+
+
+@query("seg_split_sentences", f"select doc_id, len(s) n, md5(array_to_string(s, chr(10))) sentences from (select doc_id, {SENTENCES} s from documents)")
+def seg_split_sentences(spark, sf):
+    """The default splitter over whole texts."""
+    rows = I.table(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("sentences"))
+
+
+@query(
+    "seg_split_groups",
+    """@ends as (select *, coalesce(lag(regexp_matches(text, '[.!?]+["'')\]}]*$')) over (partition by media_id, window_index order by atom_id), false)::int o from atoms)
+select media_id, window_index, cast(atom_id as int) atom_id, cast(1 + sum(o) over (partition by media_id, window_index order by atom_id rows unbounded preceding) as int) group_id from ends""",
+    I.TOKENS, GROUPED,
+)
+def seg_split_groups(spark, sf):
+    """Sentences of the joined words, mapped back to them."""
+    return S.split_groups(I.tokens(spark, sf).withColumn("language", F.lit("en")), I.TOKEN_KEYS).select(*I.TOKEN_KEYS, "atom_id", "group_id")
+
+
+@query(
+    "seg_word_stops",
+    """@w as (select doc_id, unnest(x) w, unnest(range(len(x))) k from (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*\.?') x from documents)),
+f as (select lower(regexp_replace(w, '\.$', '')) word, ends_with(w, '.') stop, coalesce(lag(ends_with(w, '.')) over (partition by doc_id order by k), false) later from w)
+select word, count(*) n, count(*) filter (stop) stops, count(*) filter (later) as after from f group by word""",
+    "one as (select 1)",
+)
+def seg_word_stops(spark, sf):
+    """What the learned splitter counts."""
+    return splitter.counted(splitter.word_pairs(I.table(spark, sf, "documents")))
+
+
+@query("seg_cues_by_table_function", CUED.format("h_"), I.TOKENS, GROUPED, search_sql("h_", "grouped", True), recursive=True)
+def seg_cues_by_table_function(spark, sf):
+    """The same cues by SQL."""
+    table_functions.register(spark)
+    tokens = I.tokens(spark, sf).withColumn("language", F.lit("en"))
+    return spark.sql("select * from readable_cues(table(select * from {tokens}) partition by (media_id, window_index) order by (pos), 'hard')", tokens=tokens)
+
+
 @query("seg_soft_cues", CUED.format("s_"), I.TOKENS, GROUPED, search_sql("s_", "grouped", False), recursive=True)
 def seg_soft_cues(spark, sf):
     return S.segmented(I.tokens(spark, sf).withColumn("language", F.lit("en")), I.TOKEN_KEYS, "soft")
