@@ -220,10 +220,11 @@ def hit_texts(candidates: DataFrame, prints: DataFrame, benchmark: DataFrame) ->
         .agg(F.collect_list(F.struct("p", "m")).alias("at"), F.array_sort(F.collect_set("list_id")).alias("lists"))
         .select("text_id", _spans(F.col("at")).alias("spans"), "lists", F.sha2(F.array_join("lists", ","), 256).alias("lists_id"))
     )
-    # Each set of lists is united once, however many texts have it.
+    # Each set of lists is united once, however many texts have it, and each of its items is one row before they are listed.
     sets = per_text.groupBy("lists_id").agg(F.first("lists").alias("lists")).select("lists_id", F.explode("lists").alias("list_id"))
-    items = lists.groupBy("list_id").agg(F.first("items").alias("items"))
-    united = sets.join(items, "list_id").groupBy("lists_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    items = lists.groupBy("list_id").agg(F.first("items").alias("items")).select("list_id", F.explode("items").alias("item"))
+    each = sets.join(items, "list_id").select("lists_id", "item").distinct()
+    united = each.groupBy("lists_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     return per_text.join(united, "lists_id").select("text_id", "spans", "items")
 
 
