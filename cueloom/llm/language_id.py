@@ -61,6 +61,8 @@ KNOWN = 150_000
 MOST_SENT = 100_000
 #: Words that a task counts before it passes the sums on.
 HELD_WORDS = 200_000
+#: Units of a count, and of a logarithm: sums of whole numbers are the same in any order.
+COUNT_UNIT, LOG_UNIT = 1 << 20, 1 << 28
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 18
@@ -395,13 +397,14 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUND
     words = shared_table(rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     for _ in range(rounds):
         piece, lang, n = _expect(words, model)
-        sums_each = np.bincount(lang, n, len(langs)) + SMOOTHING * len(pieces)
+        sums_each = np.bincount(lang, n, len(langs)) / COUNT_UNIT + SMOOTHING * len(pieces)
+        n = n / COUNT_UNIT
         model = Model(pieces, langs, SMOOTHING / sums_each, piece, lang, n / sums_each[lang])
     return model
 
 
 def _expect(words: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One E step: (pieces, languages, expected counts); as many as pieces occur in a language's sample."""
+    """One E step: (pieces, languages, expected counts in COUNT_UNITs); as many as pieces occur in a language's sample."""
     sent, vocabulary = words.sparkSession.sparkContext.broadcast(model), zlib.crc32("\n".join(model.pieces).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,9 +415,10 @@ def _expect(words: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.
             lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             for piece, language, n in segmenter.expected(m, batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float), lang):
                 cells, place = np.unique(piece * len(m.langs) + language, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells // len(m.langs)), pa.array(cells % len(m.langs)), pa.array(np.bincount(place, n, len(cells)))], names=["piece", "lang", "n"])
+                whole = np.bincount(place, np.rint(n * COUNT_UNIT), len(cells)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cells // len(m.langs)), pa.array(cells % len(m.langs)), pa.array(whole)], names=["piece", "lang", "n"])
 
-    found = words.mapInArrow(run, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+    found = words.mapInArrow(run, "piece long, lang long, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
     return tuple(found[c].to_numpy() for c in ("piece", "lang", "n"))
 
 
@@ -424,25 +428,28 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.segmenter, self.known = model, Segmenter(model.pieces), {}
         self.most = min(KNOWN, max(1000, CELLS // max(1, len(model.langs))))
-        self.held = np.empty((self.most, len(model.langs)))
+        self.held = np.empty((self.most, len(model.langs)), np.int64)
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        return np.rint(self.segmenter.scores(self.model, words) * LOG_UNIT).astype(np.int64)
 
     def values(self, words: list[str]) -> np.ndarray:
-        """(words, languages) log probabilities."""
+        """(words, languages) log probabilities in LOG_UNITs."""
         new = list(set(words).difference(self.known))
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = list(set(words))
         if len(new) > self.most:
-            rows, order = self.segmenter.scores(self.model, new), {w: i for i, w in enumerate(new)}
+            rows, order = self._scores(new), {w: i for i, w in enumerate(new)}
             return rows[np.fromiter(map(order.__getitem__, words), np.int64, len(words))]
         first = len(self.known)
-        self.held[first : first + len(new)] = self.segmenter.scores(self.model, new)
+        self.held[first : first + len(new)] = self._scores(new)
         self.known.update(zip(new, range(first, first + len(new))))
         return self.held[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def read(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lists = [words_of(x) if x else [] for x in texts]
-        flat, totals = [w for x in lists for w in x], np.zeros((len(lists), len(self.model.langs)))
+        flat, totals = [w for x in lists for w in x], np.zeros((len(lists), len(self.model.langs)), np.int64)
         numbers = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         step = max(1000, 2 * self.most)
         for at in range(0, len(flat) if self.model.langs else 0, step):
@@ -450,7 +457,7 @@ class Reader:
             first, last = int(own[0]), int(own[-1]) + 1
             totals[first:last] += sums(self.values(flat[at : at + step]), np.bincount(own - first, minlength=last - first))
         names, scores = [], []
-        for words, row in zip(lists, totals):
+        for words, row in zip(lists, totals / LOG_UNIT):
             known = bool(words) and bool(self.model.langs)
             best = int(row.argmax()) if known else 0
             names.append(self.model.langs[best] if known else "und")
