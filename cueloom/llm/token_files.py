@@ -8,9 +8,11 @@ it, so the global offset of a document needs no more than the ranges' totals.
 
 Texts get the ids that the tokenizers library gives them. Its pre-tokenisation
 never goes over a single space, nor from a word over a stop, so each distinct
-word with the space before it is encoded once, by the library, and remembered. Texts with a string of the vocabulary's
-special tokens, or with characters that Python's classes see in another way
-than the library's pattern, go to the library whole.
+word with the space before it is encoded once, by the library, and remembered,
+by two 64-bit hashes: one finds it, the other tells it from a word of the same
+first hash, whose text is then cut and looked up by its characters. Texts with a
+string of the vocabulary's special tokens, or with characters that Python's
+classes see in another way than the library's pattern, go to the library whole.
 
 A document is its ids and one end id. Null texts have the end id alone. Rows of
 a null doc_id come first; rows of one doc_id are ordered by a hash of their text,
@@ -54,7 +56,7 @@ CUTS = np.array([k in (0x20, 0x2E) for k in KINDS])
 SPACES, ODD_SPACES = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", range(28, 32)))
 #: Bytes of a unit that is looked up by its hash; texts with longer ones are cut into pieces.
 LONGEST = 64
-FACTORS = odd_constants(7, LONGEST + 1)
+FACTORS, CHECKS = odd_constants(7, LONGEST + 1), odd_constants(11, LONGEST + 1)
 
 
 def odd_characters() -> frozenset[str]:
@@ -74,6 +76,8 @@ class Encoder:
             self.tokenizer.model._resize_cache(0)  # each unit comes once
         self.odd, self.letters = odd_characters(), set()
         self.pool, self.hashed = Pool(np.int32, PIECES), HashedPool(np.int32, CACHE)
+        #: A second hash of each remembered unit, by slot.
+        self.checks = np.zeros(1 << self.hashed.bits, np.uint64)
         # Bytes that each id stands for: its characters, one a byte.
         self.width = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -150,6 +154,7 @@ class Encoder:
         within = np.arange(len(whole)) - np.repeat(starts, lengths)
         long = lengths > LONGEST
         keys = mix64(np.add.reduceat((whole + np.uint64(1)) * FACTORS[np.minimum(within, LONGEST)], starts) + lengths.astype(np.uint64)) | np.uint64(1)
+        checks = np.add.reduceat((whole + np.uint64(1)) * CHECKS[np.minimum(within, LONGEST)], starts)
         slots = self.hashed.find(keys)
         for attempt in range(2):
             new, first = np.unique(keys[(slots == -1) & ~long], return_index=True)
@@ -161,11 +166,14 @@ class Encoder:
             break
         if len(new):
             order, found, ids = self.encode_cuts(whole, starts[first], lengths[first])
+            self.checks[self.hashed.count : self.hashed.count + len(order)] = checks[first[order]]
             self.hashed.add(new[order], found, ids)
             gone = np.flatnonzero(slots == -1)
             slots[gone] = self.hashed.find(keys[gone])
+        # A unit whose key is another's is told by its check; its text goes elsewhere.
+        slots[(slots >= 0) & (self.checks[np.maximum(slots, 0)] != checks)] = -2
         bad = np.zeros(len(data), bool)
-        bad[text_of[(slots == -1) | long]] = True
+        bad[text_of[(slots < 0) | long]] = True
         good = ~bad[text_of]
         ids, counts = self.hashed.runs.gather(slots[good].astype(np.int64))
         return ids, np.bincount(text_of[good], counts, len(data)).astype(np.int64), bad
