@@ -8,9 +8,11 @@ after at most 2 T rounds, usually two, and the share of equal coordinates
 estimates the Jaccard similarity with Chernoff bounds, as with T independent
 hash functions, in time of about the set's size.
 
-Bands. T coordinates make BANDS bands of ROWS; documents that share a band are
-candidates. At similarity 0.8 a pair has no band in common with probability
-(1 - 0.8 ** 4) ** 32 = 5e-8.
+Bands. T coordinates make bands of 4, 2 or 1, by the similarity that is asked
+for; documents that share a band are candidates. At similarity 0.8 there are 32
+bands of 4, and a pair has none in common with probability (1 - 0.8 ** 4) ** 32 =
+5e-8; at others it is 1e-7 at most. Under LEAST_PERCENT it would be more, and such
+similarities are refused.
 
 Links. Equal sets become one node first, whatever their number. Each bucket
 then compares its nodes with one pivot, by their full shingle sets, and the
@@ -47,6 +49,7 @@ of its set, or stays if there is none. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +59,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import SLICE, WordHashes, byte_list, gram_hashes, limit_batches, mix64, shared_table
 from .graph import components
 
-BANDS, ROWS = 32, 4
-T = BANDS * ROWS
+T = 128
+#: Similarity in per cent from which links can be asked for, and the probability that all bands miss a pair of that similarity.
+LEAST_PERCENT, MISSED = 15, 1e-7
 #: Pivot rounds before all remaining pairs are compared. One is made while more than REST pairs a node remain, if the last left at most SHRINKS of them.
 PIVOT_ROUNDS, REST, SHRINKS = 3, 8, 0.7
 #: Nodes, and shingles of all nodes, that are compared in one group. What is larger is cut into cells, which meet two by two.
@@ -65,11 +69,21 @@ CELL, CELL_SHINGLES = 512, 1_000_000
 #: Pairs a node that are screened in about the time that its rare shingles take to be found.
 FEW = 20_000
 CHUNK = 64
-#: Bytes a node is screened by: one of each coordinate, and four of each band's key.
-CODES = T + 4 * BANDS
-#: Equal coordinates below which a pair is not compared by its sets. At similarity 0.8 their number is 102 with a
-#: standard deviation of 4.5; one pair in a hundred million falls below.
-LEAST_EQUAL = 76
+#: Standard deviations below the expected number of equal coordinates from which a pair is not compared by its sets.
+SPREAD = 5.8
+
+
+def band_rows(percent: int) -> int:
+    """Coordinates of a band: 4, 2 or 1, the most with which all bands miss a pair of the similarity in MISSED of cases."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100: {percent}")
+    return next(r for r in (4, 2, 1) if (1 - (percent / 100) ** r) ** (T // r) <= MISSED or r == 1)
+
+
+def least_equal(percent: int) -> int:
+    """Equal coordinates below which a pair is passed over: 76 of 102 expected ones at 80 per cent."""
+    p = percent / 100
+    return max(0, math.floor(T * p - SPREAD * math.sqrt(T * p * (1 - p))))
 
 
 def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -110,18 +124,22 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return out.reshape(d, T)
 
 
-def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) signed 64-bit keys; the band's number is part of the key."""
-    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(coordinates), BANDS)).copy()
-    for r in range(ROWS):
-        total = mix64(total + coordinates[:, r::ROWS])
+def band_keys(coordinates: np.ndarray, rows: int = 4) -> np.ndarray:
+    """(documents, T / rows) signed 64-bit keys; the band's number is part of the key."""
+    bands = T // rows
+    total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(coordinates), bands)).copy()
+    for r in range(rows):
+        total = mix64(total + coordinates[:, r::rows])
     return total.view(np.int64)
 
 
 SKETCHED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, codes binary"
 
 
-def _sketcher(k: int):
+def _sketcher(k: int, rows: int):
+    """Texts -> SKETCHED; codes are what a node is screened by: a byte of each coordinate, and four of each band's key."""
+    bands = T // rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -130,13 +148,13 @@ def _sketcher(k: int):
                 sets = shingle_sets(texts[at : at + SLICE], k, hashes)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 coordinates = sketch([sets[i] for i in some]) if some else np.empty((0, T), np.uint64)
-                keys = band_keys(coordinates)
-                codes = np.zeros((len(sets), CODES), np.uint8)
+                keys = band_keys(coordinates, rows)
+                codes = np.zeros((len(sets), T + 4 * bands), np.uint8)
                 codes[some, :T] = coordinates.astype(np.uint8)
-                codes[some, T:] = keys.astype(np.uint32).view(np.uint8).reshape(-1, 4 * BANDS)
+                codes[some, T:] = keys.astype(np.uint32).view(np.uint8).reshape(-1, 4 * bands)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 lengths = np.zeros(len(sets), np.int32)
-                lengths[some] = BANDS
+                lengths[some] = bands
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, SLICE).cast(pa.int64()),
@@ -217,12 +235,12 @@ class _Screen:
     def __init__(self, group: pa.Table, percent: int):
         column = lambda name: group[name].to_numpy()
         self.nodes, self.sizes, self.components = column("node"), column("n"), column("component")
-        codes = np.frombuffer(b"".join(group["codes"].to_pylist()), np.uint8).reshape(-1, CODES)
+        codes = np.frombuffer(b"".join(group["codes"].to_pylist()), np.uint8).reshape(group.num_rows, -1)
         self.codes, self.keys = np.ascontiguousarray(codes[:, :T]), np.ascontiguousarray(codes[:, T:]).view(np.uint32)
         self.cells, self.band, self.key = column("cell"), int(group["b"][0].as_py()), group["band"][0].as_py()
         self.prefixes = group["prefix"].combine_chunks()
         self.within = group["x"][0].as_py() == group["y"][0].as_py()
-        self.percent = percent
+        self.percent, self.least = percent, least_equal(percent)
         names, place, counts = np.unique(self.components, return_inverse=True, return_counts=True)
         self.main = place == counts.argmax()
         #: Rows to start from: each pair of different components has one outside the largest.
@@ -236,14 +254,13 @@ class _Screen:
         if not self.within:
             fit &= self.cells != self.cells[i]
         at = np.flatnonzero(fit)
-        at = at[(self.codes[at] == self.codes[i]).sum(axis=1) >= LEAST_EQUAL] if len(at) else at
+        at = at[(self.codes[at] == self.codes[i]).sum(axis=1) >= self.least] if len(at) else at
         if self.band < 0:
             return at[[self.first(i, j) for j in at.tolist()]] if len(at) else at
         if len(at) and self.band:
             at = at[~(self.keys[at, : self.band] == self.keys[i, : self.band]).any(axis=1)]
         return at
 
-
     def first(self, i: int, j: int) -> bool:
         """Whether the group's shingle is the first that both prefixes hold; both have the same order."""
         own = self.prefixes[i].values.to_numpy()
@@ -366,7 +383,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id, kept per row of ``docs``; linked from ``percent`` per cent of similarity."""
     limit_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = shared_table(plain.mapInArrow(_sketcher(k), SKETCHED))
+    sketched = shared_table(plain.mapInArrow(_sketcher(k, band_rows(percent)), SKETCHED))
     nodes = shared_table(
         sketched.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")).where("node is not null")
     )
