@@ -44,8 +44,11 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best sum of scores for each document that is left: doc_id, n_pieces, ids, lossless."""
-    return pieces.encoded(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
+    """The piece ids that the model's own library gives each document that is left: doc_id, n_pieces, ids, lossless.
+
+    The public model is of the BPE kind: by="merges" walks the words' trie with the states of its merges.
+    """
+    return pieces.encoded(docs, by="merges").select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
 STAGES = [
