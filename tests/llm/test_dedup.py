@@ -64,7 +64,7 @@ def shingles(text, k):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
-def brute_components(rows, k):
+def brute_components(rows, k, percent=80):
     sets = {i: shingles(t, k) for i, t in rows}
     root = {i: i for i in sets}
 
@@ -77,7 +77,7 @@ def brute_components(rows, k):
     for a in ids:
         for b in ids:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -131,6 +131,24 @@ def test_near_misses_of_one_passage(spark, monkeypatch):
     assert sum(c != i for i, c in got.items()) == 10
 
 
+def test_near_components_of_other_similarities(spark):
+    """Bands and the screen follow the similarity: no pair of 0.5 to 0.6 is lost, and what cannot be found is refused."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(200):
+        same, a, b = ([f"{side}{k}x{rng.randrange(10**6)}" for _ in range(n)] for side, n in (("s", 130), ("a", 45), ("b", 45)))
+        rows += [(2 * k, " ".join(same + a)), (2 * k + 1, " ".join(same + b))]
+    want = {i: c for i, (_, c) in brute_components(rows, 4, 50).items()}
+    assert sum(c != i for i, c in want.items()) == 200
+    for percent, links in ((50, 200), (65, 0)):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs(spark, rows), 4, percent).collect()}
+        assert sum(c != i for i, c in got.items()) == links
+    assert [near_dedup.band_rows(p) for p in (15, 50, 80, 100)] == [1, 2, 4, 4] and near_dedup.least_equal(80) == 76
+    for bad in (14, 101):
+        with pytest.raises(ValueError, match="percent"):
+            near_dedup.near_components(docs(spark, rows), 4, bad)
+
+
 def test_near_edges(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (2, "A B C D E"), (None, "a b c d e"), (None, "lonely text"), (None, None)]
     got = near_dedup.near_components(docs(spark, rows), 4).collect()

@@ -388,3 +388,40 @@ def test_chat_mask_that_does_not_fit(spark):
         with pytest.raises(Exception, match="mask does not fit"):
             chat_format.read_back(laid.withColumn("loss_runs", runs)).select("trained").collect()
     assert chat_format.read_back(laid).first().trained == ["three"]
+
+
+def test_language_scores_are_the_same_in_any_order(spark):
+    """To the bit: counts and logarithms are summed as whole numbers, in whatever order and batches the rows come."""
+    rng = random.Random(31)
+    lists = {"en": "the of and to that with was for this from have which".split(), "de": "der die und das nicht ein mit auf für ist von werden".split()}
+    rows = [(i, " ".join(rng.choices(lists[lang], k=rng.randint(1, 9)) + rng.choices(lists["en"] + lists["de"], k=rng.randint(1, 9))), lang) for i in range(300) for lang in [rng.choice(["en", "de"])]]
+    found = []
+    for seed, parts in ((1, 1), (2, 7)):
+        given = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string, lang string").repartition(parts)
+        found.append({r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(given).collect()})
+    assert found[0] == found[1] and len({s for _, s in found[0].values()}) > 10
+
+
+def test_token_units_of_one_hash(monkeypatch):
+    """With a first hash that knows only a unit's length, the second tells units apart and the ids stay the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "FACTORS", np.zeros_like(token_files.FACTORS))
+    texts = ["the cat sat on the mat.", "a dog ran to the sea, and so on.", "mat cat sat"] * 2
+    encoder = token_files.Encoder(public_tokenizers.path(token_files.VOCABULARY))
+    library = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    ids, counts = encoder.encode(texts)
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_items_with_one_common_window(spark):
+    """A boilerplate window of many items beside others: each item of a document is one row before they are listed."""
+    common = "this notice stands in every item of the whole benchmark set"
+    items = [(k, f"{common} {' '.join(f'q{k}x{j}' for j in range(12))}") for k in range(3000)]
+    rows = [(1, f"start {items[5][1]} end"), (2, f"x {common} y"), (3, "nothing of it at all in here but some ten words")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_items, r.contaminated) for r in decontaminate.contamination_report(docs, benchmark).collect()}
+    assert got == {1: (3000, True), 2: (3000, True), 3: (0, False)}
