@@ -70,19 +70,39 @@ class AlignmentError(ValueError):
     pass
 
 
-def aligned_lines(lines: DataFrame, tokens: DataFrame, media: DataFrame, strict: bool = False) -> DataFrame:
-    """Finished spans of all lines; isolated tokens are left out unless they are all a media has or alone match.
+def matched_spans(lines: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans of all lines; media_id of the media of which no line matches).
 
-    Media of which no line matches get filled spans, or are an error if ``strict``.
+    Isolated tokens are left out unless they are all a media has or alone match.
     """
     spans = shared_table(matched_lines(lines, tok.connected_tokens(tokens)))
-    lost = shared_table(spans.groupBy("media_id").agg(F.count("start").alias("n")).where("n = 0").select("media_id"))
+    none = lambda df: df.groupBy("media_id").agg(F.count("start").alias("n")).where("n = 0").select("media_id")
+    lost = shared_table(none(spans))
+    if not lost.take(1):
+        return spans, lost
     again = shared_table(matched_lines(lines.join(lost, "media_id", "left_semi"), tokens.join(lost, "media_id", "left_semi")))
-    if strict and (none := again.groupBy("media_id").agg(F.count("start").alias("n")).where("n = 0").take(1)):
-        raise AlignmentError(f"no heard word matches a line of {none[0][0]}; check the language or the media")
-    both = spans.join(lost, "media_id", "left_anti").unionByName(again)
-    done = finished_spans(both, media)
-    return done.select("media_id", "line_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    return spans.join(lost, "media_id", "left_anti").unionByName(again), none(again)
+
+
+def _finished(spans: DataFrame, media: DataFrame) -> DataFrame:
+    return finished_spans(spans, media).select("media_id", "line_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+UNMATCHED = "no heard word matches a line; check the language or the media"
+
+
+def aligned_lines(lines: DataFrame, tokens: DataFrame, media: DataFrame, strict: bool = False) -> DataFrame:
+    """Finished spans of all lines. Media of which no line matches get filled spans, or are an error if ``strict``."""
+    spans, lost = matched_spans(lines, tokens)
+    if strict and (none := lost.take(1)):
+        raise AlignmentError(f"{none[0][0]}: {UNMATCHED}")
+    return _finished(spans, media)
+
+
+def alignable_lines(lines: DataFrame, tokens: DataFrame, media: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(finished spans of the media of which some line matches; media_id and reason of the others)."""
+    spans, lost = matched_spans(lines, tokens)
+    return _finished(spans.join(lost, "media_id", "left_anti"), media), lost.select("media_id", F.lit(UNMATCHED).alias("reason"))
 
 
 def outer_spans(tokens: DataFrame) -> DataFrame:

@@ -98,39 +98,58 @@ def subtitles(
     return cues
 
 
-def aligned_subtitles(files: DataFrame, words: DataFrame, windows: DataFrame, media: DataFrame, place: Callable | None = None) -> DataFrame:
-    """Untimed text files and heard words (window-local) to timed lines: media_id, id, start, end, text.
+def timed_where_possible(files: DataFrame, words: DataFrame, windows: DataFrame, media: DataFrame, place: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """Untimed text files and heard words (window-local) to (timed lines: media_id, id, start, end, text; errors: media_id, reason).
 
     With ``place``, each line is aligned again within its own window, and that span taken where it has a length.
-    Media of which no line can be matched, and those without a duration, are errors.
+    Media of which no line can be matched, and those without a duration, are errors and have no lines.
     """
     _, lines = timed_text.untimed_lines(files)
-    if bad := media.where("duration is null or duration <= 0").select("media_id").take(1):
-        raise align.AlignmentError(f"no usable duration: {bad[0][0]}")
+    unusable = F.coalesce(F.col("duration") <= 0, F.lit(True))
+    timeless = media.where(unusable).select("media_id", F.lit("no usable duration").alias("reason"))
+    media, lines = media.where(~unusable), shared_table(lines.join(timeless, "media_id", "left_anti"))
     heard = W.without_overlap_tokens(words, windows)
     order = W.Window.partitionBy("media_id").orderBy("start", "end", "window_index", "pos")
     heard = heard.withColumn("pos", F.row_number().over(order))
-    said = lines.withColumn("language", F.lit(None).cast("string"))
-    timed = shared_table(align.aligned_lines(said, heard, media, strict=True))
+    timed, lost = align.alignable_lines(lines.withColumn("language", F.lit(None).cast("string")), heard, media)
+    timed = shared_table(timed)
     if place is not None:
         own = W.refine_windows(timed, media)
         parts = own.join(lines, ["media_id", "line_no"]).select("media_id", F.col("line_no").cast("int").alias("window_index"), "start", "end", F.col("text").alias("transcript"), F.lit(None).cast("string").alias("language"))
         parts = shared_table(parts)
         again = media_tokens(shared_table(providers.force_aligned(parts, place, strict=False)).join(parts.select("media_id", "window_index", "start"), ["media_id", "window_index"]))
         timed = align.refined_lines(timed, align.outer_spans(again.withColumnRenamed("window_index", "line_no")), media)
-    return timed.join(lines, ["media_id", "line_no"]).select("media_id", F.col("line_no").alias("id"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
+    found = timed.join(lines, ["media_id", "line_no"]).select("media_id", F.col("line_no").alias("id"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
+    return found, timeless.unionByName(lost)
 
 
-def edited(cues: DataFrame, ask: Callable, kind: str, size: int = 40) -> DataFrame:
-    """Cues with proofread or translation texts from a model, batch by batch; a request error or an invalid batch is an error, with its cause."""
+def aligned_subtitles(files: DataFrame, words: DataFrame, windows: DataFrame, media: DataFrame, place: Callable | None = None) -> DataFrame:
+    """The lines of ``timed_where_possible``; any error of a media is one of the whole."""
+    found, errors = timed_where_possible(files, words, windows, media, place)
+    if bad := errors.orderBy("media_id").take(1):
+        raise align.AlignmentError(f"{bad[0][0]}: {bad[0][1]}")
+    return found
+
+
+def edited_where_valid(cues: DataFrame, ask: Callable, kind: str, size: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(cues with proofread or translation texts from a model, batch by batch; errors: media_id, batch_id, reason).
+
+    A batch whose request fails, or whose reply is not valid, leaves its cues as they are.
+    """
     batches = tok.numbered_batches(cues, ["media_id"], "id", size)
     asked = batches.groupBy("media_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("i"), F.col("text").alias("t")))).alias("items"))
     prompts = asked.select("media_id", "batch_id", F.transform("items", lambda x: x["i"]).alias("ids"), F.concat(F.lit(f"{kind} as JSON, keeping every i: "), F.to_json("items")).alias("prompt"))
     said = shared_table(providers.replied(prompts, ask))
-    if failed := said.where("error is not null").select("media_id", "batch_id", "error").take(1):
-        raise RuntimeError(f"{kind}: request error in batch {failed[0][1]} of {failed[0][0]}: {failed[0][2]}")
-    rows = shared_table(replies.checked(said, kind))
-    if bad := rows.where("not valid").take(1):
-        raise ValueError(f"{kind}: the reply for batch {bad[0]['batch_id']} of {bad[0]['media_id']} is not valid")
-    patches = replies.accepted(rows)
-    return tok.patched(cues, patches, "translation" if kind == "translate" else "proofread")
+    rows = shared_table(replies.checked(said.where("error is null"), kind))
+    failed = said.where("error is not null").select("media_id", "batch_id", F.concat(F.lit("request error: "), "error").alias("reason"))
+    errors = failed.unionByName(rows.where("not valid").select("media_id", "batch_id", F.lit("the reply is not valid").alias("reason")))
+    return tok.patched(cues, replies.accepted(rows), "translation" if kind == "translate" else "proofread"), errors
+
+
+def edited(cues: DataFrame, ask: Callable, kind: str, size: int = 40) -> DataFrame:
+    """The cues of ``edited_where_valid``; any error of a batch is one of the whole."""
+    done, errors = edited_where_valid(cues, ask, kind, size)
+    if bad := errors.orderBy("media_id", "batch_id").take(1):
+        failed = RuntimeError if bad[0]["reason"].startswith("request error") else ValueError
+        raise failed(f"{kind}: {bad[0]['reason']}, batch {bad[0]['batch_id']} of {bad[0]['media_id']}")
+    return done

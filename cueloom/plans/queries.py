@@ -209,6 +209,20 @@ def src_srt(spark, sf):
     return timed_text.parse_srt(files.select("media_id", F.concat(F.lit("﻿"), F.replace("content", F.lit("\n"), F.lit("\r\n"))).alias("content")))
 
 
+@query(
+    "src_srt_errors",
+    """select media_id, case when cast(media_id as bigint) % 3 = 0 then 'duplicate cue id: ' || min(id) else 'timing line does not read' end reason from cues where text <> '' and cast(media_id as bigint) % 3 < 2 group by media_id
+union all select media_id, 'cues: ' || count(*) from cues where text <> '' and cast(media_id as bigint) % 3 = 2 group by media_id""",
+    I.CUES,
+)
+def src_srt_errors(spark, sf):
+    """Two files of three do not read: their first cue comes twice, or a timing line has an arrow too many. The others do."""
+    content = F.expr("case cast(media_id as bigint) % 3 when 0 then concat(content, '\n', split(content, '\n\n')[0], '\n') when 1 then concat(content, '\n99\n00:00:01,000 --> 00:00:02,000 --> 3\nx\n') else content end")
+    tidy = I.cues(spark, sf).withColumn("text", F.regexp_replace("text", "\n{2,}", "\n"))
+    cues, errors = timed_text.readable_srt(render.render_srt(tidy).select("media_id", content.alias("content")))
+    return errors.unionByName(cues.groupBy("media_id").agg(F.concat(F.lit("cues: "), F.count("*")).alias("reason")))
+
+
 def _song(spark, sf) -> DataFrame:
     rows = I.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("media_id"), "lang", "text")
     timed = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(C.lrc_time(i * 2.5), C.lrc_time(i * 3.25), F.lit("<00:01.5>"), x))
@@ -790,7 +804,7 @@ def seg_split_sentences(spark, sf):
 
 @query(
     "seg_split_groups",
-    """@ends as (select *, coalesce(lag(regexp_matches(text, '[.!?]+["'')\]}]*$')) over (partition by media_id, window_index order by atom_id), false)::int o from atoms)
+    r"""@ends as (select *, coalesce(lag(regexp_matches(text, '[.!?]+["'')\]}]*$')) over (partition by media_id, window_index order by atom_id), false)::int o from atoms)
 select media_id, window_index, cast(atom_id as int) atom_id, cast(1 + sum(o) over (partition by media_id, window_index order by atom_id rows unbounded preceding) as int) group_id from ends""",
     I.TOKENS, GROUPED,
 )
@@ -801,7 +815,7 @@ def seg_split_groups(spark, sf):
 
 @query(
     "seg_word_stops",
-    """@w as (select doc_id, unnest(x) w, unnest(range(len(x))) k from (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*\.?') x from documents)),
+    r"""@w as (select doc_id, unnest(x) w, unnest(range(len(x))) k from (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*\.?') x from documents)),
 f as (select lower(regexp_replace(w, '\.$', '')) word, ends_with(w, '.') stop, coalesce(lag(ends_with(w, '.')) over (partition by doc_id order by k), false) later from w)
 select word, count(*) n, count(*) filter (stop) stops, count(*) filter (later) as after from f group by word""",
     "one as (select 1)",
@@ -1064,6 +1078,37 @@ def plan_subtitles(spark, sf):
     return pipelines.subtitles(speech, media, hear, lambda: providers.evenly_spoken)
 
 
+@query(
+    "plan_edited_errors",
+    """@b as (select media_id, id, text, cast((id - 1) // 3 as int) batch_id, (cast(media_id as bigint) + (id - 1) // 3) % 4 k from cues)
+select media_id, batch_id, case k when 0 then 'request error: ReplyError: busy' else 'the reply is not valid' end reason, count(*) n from b where k < 2 group by all
+union all select media_id, batch_id, 'done', count(*) from b where k >= 2 group by all""",
+    I.CUES,
+)
+def plan_edited_errors(spark, sf):
+    """Batches of three: of four, one request fails, one reply lacks an item, and two are taken."""
+
+    def ask():
+        import json
+
+        def reply(prompt):
+            items = json.loads(prompt.partition("every i: ")[2])
+            way = (int(items[0]["t"].partition("|")[0]) + (items[0]["i"] - 1) // 3) % 4
+            if way == 0:
+                raise providers.ReplyError("busy", final=True)
+            return json.dumps([{"i": x["i"], "t": "done"} for x in items[way == 1 :]] + [{"i": -1, "t": ""}] * (way == 1))
+
+        return reply
+
+    cues = I.cues(spark, sf).select("media_id", "id", "start", "end", F.concat("media_id", F.lit("|"), "text").alias("text"), F.lit(None).cast("string").alias("proofread"), F.lit(None).cast("string").alias("translation"))
+    done, errors = pipelines.edited_where_valid(cues, ask, "translate", 3)
+    batch = F.floor((F.col("id") - 1) / 3).cast("int").alias("batch_id")
+    told = errors.withColumn("batch_id", F.col("batch_id").cast("int"))
+    rows = done.select("media_id", batch, "translation").join(told, ["media_id", "batch_id"], "left")
+    reason = F.coalesce("reason", F.when(F.col("translation") == "done", "done"))
+    return rows.groupBy("media_id", "batch_id", reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("plan_translated_cues", "select media_id, id, text, lower(text) translation from cues", I.CUES)
 def plan_translated_cues(spark, sf):
     def ask():

@@ -236,6 +236,21 @@ def test_edits_name_the_cause(spark):
         pipelines.edited(cues, lambda: lambda p: (_ for _ in ()).throw(providers.ReplyError("busy", final=True)), "translate")
 
 
+def test_one_media_does_not_end_the_others(spark):
+    """Media without a duration, and those of which nothing matches, are told with their reason; the rest is aligned."""
+    names = ["good", "mute", "timeless", "none"]
+    files = spark.createDataFrame([(m, ".txt", "hello\nworld") for m in names], "media_id string, suffix string, content string")
+    heard = [("good", "hello", 1.0), ("good", "world", 3.0), ("mute", "...", 1.0), ("timeless", "hello", 1.0)]
+    words = spark.createDataFrame([(m, 1, i, t, a, a + 1) for i, (m, t, a) in enumerate(heard)], "media_id string, window_index int, pos int, text string, start double, end double")
+    windows = spark.createDataFrame([(m, 1, 0.0, 10.0) for m in names], "media_id string, window_index int, start double, end double")
+    media = spark.createDataFrame([(m, None if m == "timeless" else 10.0) for m in names], "media_id string, duration double")
+    found, errors = pipelines.timed_where_possible(files, words, windows, media)
+    assert sorted((r.media_id, r.text, r.start, r.end) for r in found.collect()) == [("good", "hello", 1, 2), ("good", "world", 3, 4)]
+    assert sorted(map(tuple, errors.collect())) == [("mute", align.UNMATCHED), ("none", align.UNMATCHED), ("timeless", "no usable duration")]
+    with pytest.raises(align.AlignmentError, match="mute: no heard word"):
+        pipelines.aligned_subtitles(files, words, windows, media)
+
+
 def test_files_by_name(spark, tmp_path):
     schema = "media_id string, id int, start double, end double, text string, translation string, proofread string"
     cues = spark.createDataFrame([("m", 1, 0.0, 1.5, "Né, \"x\"", None, "Nez."), ("m", 2, 2.0, 3.0, "b", "B", None)], schema)
