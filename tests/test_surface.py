@@ -1,5 +1,6 @@
 """Table functions, the learned splitter and the cap on requests."""
 
+import os
 import random
 import time
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as T
 from cueloom.operators import providers, segment as S, splitter
 from cueloom.plans import table_functions
+from cueloom.shared import scratch, shared_table
 
 KEYS = ["media_id", "window_index"]
 TOKENS = "media_id string, window_index int, pos int, text string, start double, end double, language string"
@@ -142,3 +144,15 @@ def test_equal_prompts_and_errors(spark):
     got = sorted(map(tuple, providers.replied(rows, load, 2).collect()))
     assert got == [(1, "a", "a", None), (2, "a", "a", None), (3, "bad", None, "ReplyError: no"), (4, "", "", None)]
     assert providers.replied(rows.limit(0), load).count() == 0
+
+
+def test_scratch_tables_end_with_their_block(spark):
+    folder = lambda df: df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    kept = folder(shared_table(spark.range(3)))
+    with scratch(spark):
+        outer = folder(shared_table(spark.range(3)))
+        with scratch(spark):
+            inner = folder(shared_table(spark.range(3)))
+            assert all(map(os.path.isdir, (kept, outer, inner)))
+        assert os.path.isdir(outer) and not os.path.exists(inner)
+    assert os.path.isdir(kept) and not os.path.exists(outer)
