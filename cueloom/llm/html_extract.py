@@ -11,6 +11,14 @@ logarithm of the best score. Spark sums the votes per host and path, and each
 host's winning path is used to extract all its pages, widened in each; a page
 without that container uses its own.
 
+What a host's pages show inside their articles and is no part of these is learned
+from them, whatever its names: a block of a container in the article that half
+of the host's articles have word for word (a notice, a cookie bar), and a
+container behind all else of the article that on half of its pages holds form
+fields (reader comments with a reply form). Pages that are copies of each other
+count as one, LEAST_ARTICLES different ones are needed, and text that stands in
+the article itself is never taken for repeated.
+
 Left out anywhere: scripts, styles, forms, menus, side bars, footers, headers
 outside an article, and elements whose class, id or role names an advert, a
 notice, a menu, sharing, or comments. A name does if it has such a word and, besides,
@@ -52,6 +60,8 @@ ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|svg|iframe)(?=[\s/>]|\Z)({ATTRIBUTES}|[^>]*>?)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES[:-1]})>|<[!?][^>]*>", re.S | re.I)
 SKIPPED = {t: re.compile(rf"<(/?){t}(?=[\s/>])({ATTRIBUTES}|[^>]*>?)", re.S | re.I) for t in ("textarea", "noscript", "template", "svg", "iframe")}
 CODE = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style")}
+#: Different articles of a host that must have something, and the share of them, for it to be told as no part of any.
+LEAST_ARTICLES, SHARE = 5, 0.5
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Fixed element sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +75,7 @@ HOLDERS = BLOCK - RUNNING
 #: What an opening tag closes when it is open with none of its parents between.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+ASKING = frozenset("form button select".split())
 DROPPED = frozenset("head nav footer aside form menu button select dialog".split())
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent cookie cookies disclaimer disqus footer hidden masthead menu nav navbar navigation newsletter notice notices popup promo promoted related respond replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
@@ -84,7 +95,7 @@ def names_boilerplate(name: str) -> bool:
 class Node:
     """``boiler`` is by tag, ``named`` the innermost element that a class, id or role names boilerplate."""
 
-    __slots__ = ("tag", "path", "depth", "container", "boiler", "named", "plain", "outer", "in_article", "in_main", "kept", "text", "articles", "own_articles")
+    __slots__ = ("tag", "path", "depth", "container", "boiler", "named", "plain", "outer", "in_article", "in_main", "kept", "text", "articles", "own_articles", "asks")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag = tag
@@ -102,7 +113,9 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
         self.container = self if tag in CONTAINER or parent is None else parent.container
         self.boiler = tag in DROPPED or (tag == "header" and not (parent and parent.in_main)) or bool(parent and parent.boiler)
-        self.outer, self.named, self.plain = parent, parent.named if parent else None, plain
+        self.outer, self.named, self.plain, self.asks = parent, parent.named if parent else None, plain, False
+        if tag in ASKING and parent and not parent.boiler:
+            parent.container.asks = True
         if part and tag not in ("html", "body", "main") and (plain or tag != "article"):
             self.named = self
             self.kept, self.text, self.articles, self.own_articles = False, 0, 0, 0
@@ -274,53 +287,104 @@ def whole_path(blocks: list[tuple[Node, str, int]], path: str) -> str:
     return path
 
 
-def text_under(blocks: list[tuple[Node, str, int]], path: str) -> str:
-    inside: dict[int, bool] = {}
+def inside(blocks: list[tuple[Node, str, int]], path: str, barred: frozenset[str] = frozenset()) -> list[tuple[Node, str]]:
+    """(container, text) of the blocks in containers of ``path``, but for what is in a container of the ``barred`` paths in there."""
+    known: dict[int, bool] = {}
 
     def is_inside(n: Node | None) -> bool:
         way = []
-        while n and id(n) not in inside and n.path != path:
+        while n and id(n) not in known and n.path != path and n.path not in barred:
             way.append(n)
             n = above(n)
-        found = bool(n) and inside.get(id(n), True)
-        inside.update((id(x), found) for x in way)
+        found = bool(n) and known.get(id(n), n.path == path)
+        known.update((id(x), found) for x in way)
         return found
 
-    return "\n".join(said for n, said, _ in blocks if is_inside(n))
+    return [(n, said) for n, said, _ in blocks if is_inside(n)]
+
+
+def block_key(n: Node, said: str) -> str:
+    return xxhash.xxh3_128_hexdigest(f"{n.path}/{said}")
+
 
+def main_text(page: str | None, path: str | None = None, repeated: frozenset[str] = frozenset(), barred: frozenset[str] = frozenset()) -> str:
+    """The text of the whole that ``path``, or else the page's own best container, is in.
 
-def main_text(page: str | None, path: str | None = None) -> str:
-    """The text of the whole that ``path``, or else the page's own best container, is in."""
+    Without blocks of containers in there that are ``repeated`` (by their key), and without containers of ``barred`` paths.
+    """
     if not page:
         return ""
     blocks, scores = blocks_of(page)
     if path is None or path not in scores:
         path = best_path(scores)[0]
-    return text_under(blocks, whole_path(blocks, path))
+    whole = whole_path(blocks, path)
+    return "\n".join(said for n, said in inside(blocks, whole, barred) if n.path == whole or not repeated or block_key(n, said) not in repeated)
 
 
-def vote_of(page: str | None) -> tuple[str, float]:
-    """The path that a page votes for, and the score of its best container."""
+def page_facts(page: str | None) -> tuple[list[tuple[str, str, int]], str]:
+    """(kind, key and votes of what a page says; its article's hash).
+
+    ``whole``: the path that it votes for. ``text``: a block in a container inside that whole. ``path``: such a
+    container. ``asks``: one that holds form fields and stands behind all else of the article.
+    """
     if not page:
-        return "", 0.0
+        return [], ""
     blocks, scores = blocks_of(page)
     path, score = best_path(scores)
-    return whole_path(blocks, path), score
+    whole = whole_path(blocks, path)
+    if not whole:
+        return [], ""
+    found = inside(blocks, whole)
+    facts = {("whole", whole): round(math.log1p(score) * 1000)}
+    first: dict[str, int] = {}
+    held: Counter[str] = Counter()
+    asking = set()
+    for k, (n, said) in enumerate(found):
+        if n.path != whole:
+            facts["text", block_key(n, said)] = 0
+        seen = set()
+        while n and n.path != whole:
+            if n.path not in seen:
+                seen.add(n.path)
+                first.setdefault(n.path, k)
+                held[n.path] += 1
+                asking.update([n.path] * n.asks)
+            n = above(n)
+    for p, k in first.items():
+        facts["path", p] = 0
+        if p in asking and k and held[p] == len(found) - k:
+            facts["asks", p] = 0
+    return [(kind, key, votes) for (kind, key), votes in facts.items()], xxhash.xxh3_128_hexdigest("\n".join(said for n, said in found if n.path == whole) or "\n".join(said for _, said in found))
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [vote_of(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([round(math.log1p(s) * 1000) for _, s in found], pa.int64())], names=["host", "path", "votes"]
-        )
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            facts, article = page_facts(page)
+            rows += [(host, kind, key, votes, article) for kind, key, votes in facts]
+        columns = zip(*rows) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["host", "kind", "key", "votes", "article"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and its winning path; votes are whole numbers, so their sum has no order."""
+    """host, its winning path, repeated (keys of blocks) and barred (paths).
+
+    Votes are whole numbers, so their sum has no order. What is repeated is counted over different articles, so that
+    pages which are copies of each other say no more than one. A key that half of a host's articles have is one of
+    few: there are no more than twice as many as a page has blocks.
+    """
     chosen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = chosen.mapInArrow(_vote, "host string, path string, votes long").where("path <> ''").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    facts = shared_table(chosen.mapInArrow(_facts, "host string, kind string, key string, votes long, article string"))
+    winners = facts.where("kind = 'whole'").groupBy("host", "key").agg(F.sum("votes").alias("votes")).groupBy("host").agg(F.max_by("key", F.struct("votes", "key")).alias("path"))
+    articles = facts.where("kind = 'whole'").select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
+    counts = facts.where("kind <> 'whole'").select("host", "kind", "key", "article").distinct().groupBy("host", "kind", "key").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") >= LEAST_ARTICLES)
+    texts = often.where("kind = 'text'").join(articles, "host").where(F.col("n") >= SHARE * F.col("articles"))
+    seen = counts.where("kind = 'path'").select("host", "key", F.col("n").alias("pages"))
+    asks = often.where("kind = 'asks'").join(seen, ["host", "key"]).where(F.col("n") >= SHARE * F.col("pages"))
+    listed = lambda df, name: df.groupBy("host").agg(F.collect_list("key").alias(name))
+    return winners.join(listed(texts, "repeated"), "host", "left").join(listed(asks, "barred"), "host", "left")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -330,9 +394,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, path) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            sets = ([frozenset(x or ()) for x in batch.column(k).to_pylist()] for k in (4, 5))
+            texts = [main_text(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), *sets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     winners = shared_table(host_paths(pages))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path", "repeated", "barred").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
