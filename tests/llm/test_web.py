@@ -217,3 +217,42 @@ def test_deep_pages_take_linear_time():
     said = html_extract.main_text(page)
     assert said.startswith("x\nx\n") and said.endswith(WORDS.strip() + "\nEnd.") and said.count("x\n") == deep
     assert time.time() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+
+
+def site(spark, parts, n=8, host="h.com"):
+    """Pages of a host: an article of its own text, then what ``parts`` gives for page k."""
+    rng = random.Random(41)
+    own = lambda k, j: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + f" {k} {j}."
+    said = [[own(k, j) for j in range(4)] for k in range(n)]
+    pages = [(k, f"http://{host}/{k}", "<body><article><h1>T</h1>" + "".join(f"<p>{x}</p>" for x in said[k]) + parts(k) + "</article></body>") for k in range(n)]
+    return pages, {k: "\n".join(["T", *said[k]]) for k in range(n)}
+
+
+COMMENT = "<div class=reactions><div class=one><b>reader {0}</b> I think {0} times so.</div><div class=one>And I do not, {0}.</div><form><textarea></textarea><button>Reply</button></form></div>"
+CASES = {
+    "a notice in the same words": (lambda k: "<div class=cookiebar>This site keeps small files. Go on if you like that.</div>", False),
+    "comments with a reply form": (lambda k: COMMENT.format(k), False),
+    "comments without names at all": (lambda k: COMMENT.format(k).replace(" class=reactions", "").replace(" class=one", ""), False),
+    "sections with own text": (lambda k: f"<section class=feedback-thread><p>What readers of chapter {k} should know.</p></section>", True),
+    "a section with a field before its end": (lambda k: f"<div class=poll>Part {k} asks: <form><button>Vote</button></form></div><p>And ends {k}.</p>", True),
+    "the same words in the article itself": (lambda k: "<p>Licensed to all who want to read it.</p>", True),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_what_a_host_repeats_or_asks(spark, name):
+    parts, kept = CASES[name]
+    pages, want = site(spark, parts)
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    alone = {k: html_extract.main_text(page) for k, _, page in pages}
+    assert got == (alone if kept else want)
+    assert all(alone[k] != want[k] for k in want)
+
+
+def test_copies_and_few_pages_tell_nothing(spark):
+    """Eight copies of one page are one article, and four different pages are too few: their nested blocks stay."""
+    parts = CASES["a notice in the same words"][0]
+    copies = [(k, f"http://h.com/{k}", site(spark, parts)[0][0][2]) for k in range(8)]
+    few = [(100 + k, url.replace("h.com", "few.org"), page) for k, url, page in site(spark, parts, 4)[0]]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(copies + few, "page_id long, url string, html string")).collect()}
+    assert got == {k: html_extract.main_text(page) for k, _, page in copies + few}
