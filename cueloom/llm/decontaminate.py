@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import SLICE, WordHashes, byte_list, gram_hashes, limit_batches, shared_table, worker_state
+from .common import SLICE, WordHashes, byte_list, gram_hashes, limit_batches, shared_table, trimmed, worker_state
 
 WINDOW = 10
 GRAM = 5
@@ -198,7 +198,7 @@ def _spans(places: Column) -> Column:
 
 def _prints(benchmark: DataFrame) -> DataFrame:
     limit_batches(benchmark.sparkSession)
-    return shared_table(_items(benchmark).select("text").mapInArrow(_item_prints, "m int, h long").distinct())
+    return shared_table(_items(benchmark).select("text").mapInArrow(trimmed(_item_prints), "m int, h long").distinct())
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -210,8 +210,8 @@ def hit_texts(candidates: DataFrame, prints: DataFrame, benchmark: DataFrame) ->
     places = candidates.select("text_id", F.inline("prints")).distinct().join(prints, ["m", "h"])
     hits = places.groupBy("text_id").agg(F.collect_list(F.struct("m", "p")).alias("hits"))
     texts = candidates.select("text_id", "text").dropDuplicates(["text_id"])
-    around = texts.join(hits, "text_id").mapInArrow(_windows, "text_id string, m int, p int, gram string")
-    windows = _items(benchmark).mapInArrow(_item_windows, "m int, gram string, item_id string")
+    around = texts.join(hits, "text_id").mapInArrow(trimmed(_windows), "text_id string, m int, p int, gram string")
+    windows = _items(benchmark).mapInArrow(trimmed(_item_windows), "m int, gram string, item_id string")
     lists = windows.groupBy("m", "gram").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     lists = shared_table(lists.withColumn("list_id", F.sha2(F.to_json("items"), 256)))
     found = shared_table(around.join(lists.drop("items"), ["m", "gram"]).select("text_id", "m", "p", "list_id"))
@@ -260,8 +260,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with its columns."""
     prints = _prints(benchmark)
-    rows = docs.select(F.col("text").cast("string").alias("text")).withColumn("found", scanned(docs, prints)).where(F.size("found.prints") > 0)
-    candidates = shared_table(rows.select(F.sha2("text", 256).alias("text_id"), "text", F.col("found.prints").alias("prints")))
+    # Behind explode the scan is one column; a condition on it alone would be pushed below and scan all texts twice.
+    rows = docs.select(F.col("text").cast("string").alias("text")).withColumn("found", scanned(docs, prints)).select("text", F.explode(F.array("found.prints")).alias("prints"))
+    candidates = shared_table(rows.where(F.size("prints") > 0).select(F.sha2("text", 256).alias("text_id"), "text", "prints"))
     hit = shared_table(hit_texts(candidates, prints, benchmark).select(F.col("text_id").alias("_hit")))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text_id = F.sha2(F.col(names[docs.columns.index("text")]).cast("string"), 256)

@@ -56,7 +56,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE, WordHashes, byte_list, gram_hashes, limit_batches, mix64, shared_table
+from .common import SLICE, WordHashes, byte_list, gram_hashes, limit_batches, mix64, shared_table, trimmed
 from .graph import components
 
 T = 128
@@ -200,7 +200,7 @@ def _verifier(k: int, percent: int):
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     left, right = texts.toDF("u", "tu"), texts.toDF("v", "tv")
     rows = pairs.join(right, "v").join(left, "u").select("u", "v", "tu", "tv").sortWithinPartitions("u")
-    return rows.mapInArrow(_verifier(k, percent), "u long, v long")
+    return rows.mapInArrow(trimmed(_verifier(k, percent)), "u long, v long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -330,7 +330,7 @@ def _shingler(k: int):
 
 def _by_prefix(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Groups (band: a shingle, b: -1) of the nodes (node, n, component) that share one of their rarest shingles, where components differ."""
-    shingles = shared_table(texts.toDF("node", "text").join(nodes.select("node"), "node").mapInArrow(_shingler(k), "node long, h long"))
+    shingles = shared_table(texts.toDF("node", "text").join(nodes.select("node"), "node").mapInArrow(trimmed(_shingler(k)), "node long, h long"))
     # Only shingles that several nodes have are looked up; the others come first in their node's order and meet nothing.
     counts = shared_table(shingles.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
     ordered = shingles.join(counts, "h", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "h"))).alias("all"))
@@ -375,15 +375,15 @@ def _cross_links(live: DataFrame, codes: DataFrame, texts: DataFrame, k: int, pe
     coded = cut.join(codes, "node").select("band", "b", "node", "n", "component", "cell", "codes", "prefix", F.inline(grid))
     schema = "band long, b int, node long, n long, component long, cell int, codes binary, prefix array<long>, x int, y int"
     dealt = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
-    needed = shared_table(dealt(coded).mapInArrow(_screener(percent), schema))
-    return dealt(needed.join(texts.toDF("node", "text"), "node")).mapInArrow(_comparer(k, percent), "u long, v long")
+    needed = shared_table(dealt(coded).mapInArrow(trimmed(_screener(percent)), schema))
+    return dealt(needed.join(texts.toDF("node", "text"), "node")).mapInArrow(trimmed(_comparer(k, percent)), "u long, v long")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs``; linked from ``percent`` per cent of similarity."""
     limit_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = shared_table(plain.mapInArrow(_sketcher(k, band_rows(percent)), SKETCHED))
+    sketched = shared_table(plain.mapInArrow(trimmed(_sketcher(k, band_rows(percent))), SKETCHED))
     nodes = shared_table(
         sketched.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")).where("node is not null")
     )
