@@ -225,7 +225,9 @@ def hit_texts(candidates: DataFrame, prints: DataFrame, benchmark: DataFrame) ->
     items = lists.groupBy("list_id").agg(F.first("items").alias("items")).select("list_id", F.explode("items").alias("item"))
     each = sets.join(items, "list_id").select("lists_id", "item").distinct()
     united = each.groupBy("lists_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return per_text.join(united, "lists_id").select("text_id", "spans", "items")
+    # Windows of items without an id hit and have no item to name.
+    named = F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    return per_text.join(united, "lists_id", "left").select("text_id", "spans", named)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
