@@ -296,6 +296,33 @@ def test_alignment_in_halves(monkeypatch):
         assert score_of(ref, heard, anchors.aligned_in_halves(ref, heard).tolist()) == score_of(ref, heard, brute_alignment(ref, heard))
 
 
+def test_alignment_in_bands(monkeypatch):
+    """Many pairs side by side have the whole matrix's alignment, ties too, also where the best path leaves the first bands."""
+    monkeypatch.setattr(align_matrix, "BAND_FIRST", 1)
+    rng = random.Random(15)
+    text = lambda chars, n: "".join(rng.choice(chars) for _ in range(rng.randint(0, n)))
+    pairs = [(text("ab", 40), text("abc", 90)) for _ in range(150)] + [(a, noisy(rng, a)) for a in (text("abcdef", 200) for _ in range(50))]
+    pairs += [("abc", "abc" * 30), ("abc" * 30, "abc"), ("xyz" + "a" * 50, "a" * 50 + "xyz"), ("", "a"), ("a", ""), ("", "")]
+    for held in (16_000_000, 3_000):
+        monkeypatch.setattr(align_matrix, "HELD_CELLS", held)
+        found = align_matrix.aligned_many(pairs)
+        assert all(p is None or p.tolist() == align.aligned(*x).tolist() for x, p in zip(pairs, found))
+        assert held == 3_000 or not any(p is None for p in found)
+    assert all(score_of(*x, p.tolist()) == score_of(*x, align.aligned(*x).tolist()) for x, p in zip(pairs, anchors.aligned_pairs(pairs)))
+
+
+def test_anchors_are_found_without_a_row_a_gram(spark):
+    """Nothing is shuffled to find the blocks."""
+    given = spark.createDataFrame([("m", "abcdefghij" * 99, "abcdefghij" * 99)], "media_id string, ref string, heard string")
+    assert "Exchange" not in anchors.blocks_of(given, full_cells=1000)._jdf.queryExecution().executedPlan().toString()
+    rng = random.Random(16)
+    for _ in range(30):
+        ref, heard = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        grams = lambda t: [t[k : k + 4] for k in range(len(t) - 3)]
+        want = [(i, grams(heard).index(g)) for i, g in enumerate(grams(ref)) if grams(ref).count(g) == 1 == grams(heard).count(g)]
+        assert anchors.anchored(ref, heard, 4) == want
+
+
 def test_longest_chain():
     rng = random.Random(12)
     for _ in range(50):
