@@ -311,6 +311,14 @@ def test_alignment_in_bands(monkeypatch):
     assert all(score_of(*x, p.tolist()) == score_of(*x, align.aligned(*x).tolist()) for x, p in zip(pairs, anchors.aligned_pairs(pairs)))
 
 
+def test_places_of_many_names(spark, monkeypatch):
+    """Short pairs go side by side, none of them through a matrix of its own; null and empty ones are told apart."""
+    monkeypatch.setattr(anchors, "aligned", None)
+    assert [p.tolist() for p in anchors.aligned_pairs([("abc", "ac"), ("", "b"), ("b", "")] * 500)][:3] == [[0, -1, 1], [], [-1]]
+    rows = spark.createDataFrame([("abc", "ac"), (None, "b"), ("b", None), ("", "b"), ("b", "")], "ref string, heard string")
+    assert [r[0] for r in rows.select(align.character_places(F.col("ref"), F.col("heard"))).collect()] == [[0, -1, 1], None, None, [], [-1]]
+
+
 def test_anchors_are_found_without_a_row_a_gram(spark):
     """Nothing is shuffled to find the blocks."""
     given = spark.createDataFrame([("m", "abcdefghij" * 99, "abcdefghij" * 99)], "media_id string, ref string, heard string")
@@ -467,6 +475,13 @@ def test_frames_are_linear(spark):
     assert seconds(200_000) < 20
 
 
+def test_best_cuts_of_equal_scores(spark):
+    """Scores that differ in their last bits alone are equal: the first cut is taken."""
+    rows = [("m", 1, k, "あああ、" if k in (3, 7) else "ああああ", g * 12.3 + k * 0.8, g * 12.3 + k * 0.8 + 0.7, g) for g in range(200) for k in range(1, 11)]
+    given = spark.createDataFrame(rows, "media_id string, window_index int, atom_id int, text string, start double, end double, group_id int")
+    assert {r.atom_id for r in S.best_cuts(given, ["media_id", "window_index"], F.lit("en")).collect()} == {4}
+
+
 def test_replies(spark):
     rows = [("m", 0, '[{"i": 1, "t": " a "}, {"i": 2, "t": "b"}]'), ("m", 1, '{"items": [{"i": 2, "t": "b"}]}'), ("m", 2, '[{"i": "1", "t": "a"}]'), ("m", 3, '[{"i": 1, "t": 5}]'), ("m", 4, '[{"i": 1, "t": "a"}, {"i": 1, "t": "b"}]'), ("m", 5, '[{"i": 9, "t": "a"}]'), ("m", 6, "not json"), ("m", 7, "[3]"), ("m", 8, None), ("m", 9, '{"i": 1}')]
     asked = spark.createDataFrame([(*r, [1, 2]) for r in rows], "media_id string, batch_id int, reply string, ids array<int>")
