@@ -477,7 +477,7 @@ def test_frames_are_linear(spark):
 
 def test_best_cuts_of_equal_scores(spark):
     """Scores that differ in their last bits alone are equal: the first cut is taken."""
-    rows = [("m", 1, k, "あああ、" if k in (3, 7) else "ああああ", g * 12.3 + k * 0.8, g * 12.3 + k * 0.8 + 0.7, g) for g in range(200) for k in range(1, 11)]
+    rows = [("m", 1, k, "あああ、" if k in (3, 7) else "ああああ", g * 12.3 + k * 2.0, g * 12.3 + k * 2.0 + 1.9, g) for g in range(200) for k in range(1, 11)]
     given = spark.createDataFrame(rows, "media_id string, window_index int, atom_id int, text string, start double, end double, group_id int")
     assert {r.atom_id for r in S.best_cuts(given, ["media_id", "window_index"], F.lit("en")).collect()} == {4}
 
@@ -509,6 +509,14 @@ def test_artifacts(spark):
     assert sorted((r.media_id, r.window_index) for r in A.active_only(held, asked.where("window_index = 1 and media_id = 'm'")).collect()) == [("m", 1), ("m", 1), ("old", 1)]
 
 
+def test_newest_payloads(spark):
+    """Of equally new artifacts the least payload, in whatever order they come."""
+    rows = [("m", "asr", f"said {k}", 7 if k % 3 else 5) for k in range(40)]
+    for given in (rows, rows[::-1]):
+        (got,) = A.newest_payloads(spark.createDataFrame(given, "media_id string, kind string, payload string, mtime long")).collect()
+        assert tuple(got) == ("m", "asr", "said 1", 7)
+
+
 def test_providers(spark):
     tries = []
 
