@@ -81,4 +81,9 @@ def latest(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
 
 
+def newest_payloads(artifacts: DataFrame) -> DataFrame:
+    """media_id, kind, payload, mtime of the newest row of each media and kind; of equally new ones the least payload, as in ``latest``."""
+    return artifacts.groupBy("media_id", "kind").agg(F.min_by("payload", F.struct(-F.col("mtime"), F.col("payload"))).alias("payload"), F.max("mtime").alias("mtime"))
+
+
 SCHEMA = "window_index int, start double, end double, version int, model_id string, mtime long, kind string, language string, transcript_sha1 string, payload string, media_id string"
