@@ -114,6 +114,32 @@ def segments(spark, rows, mode="hard", limits=T.Limits()):
     return [(r.start, r.end, r.text) for r in S.segmented(words(spark, rows), KEYS, mode, limits).orderBy("id").collect()]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_isolated_media_are_kept_by_one_sort(spark):
+    rows = [("a", k, t, t + 1.0) for k, t in enumerate((0.0, 1.5, 90.0))] + [("b", k, k * 50.0, k * 50.0 + 1) for k in range(3)] + [("c", 0, 0.0, 1.0)]
+    kept = K.connected_or_all(spark.createDataFrame(rows, "media_id string, pos int, start double, end double"))
+    assert sorted((r.media_id, r.pos) for r in kept.collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2), ("c", 0)]
+    assert plan_of(kept).count("Scan") == 1 and "Join" not in plan_of(kept)
+
+
+def test_nearest_boundaries_by_one_sort(spark):
+    """Against all pairs; several boundaries at one place, the smaller place on ties."""
+    rng = random.Random(17)
+    asked = sorted({(k, rng.randrange(30)) for k in range(20) for _ in range(8)})
+    ends = [(k, rng.randrange(30), p) for k in range(19) for p in range(rng.randint(0, 9))]
+    want: dict = {}
+    for k, at in asked:
+        if own := [(abs(b - at), b, p) for e, b, p in ends if e == k]:
+            p = min(own)[2]
+            want[k, p] = min(at, want.get((k, p), 99))
+    found = W.nearest_boundaries(spark.createDataFrame(asked, "k int, at long"), spark.createDataFrame(ends, "k int, boundary long, position int"), ["k"])
+    assert {(r.k, r.position): r.at for r in found.collect()} == want
+    assert len({line[line.index("Window") :].rpartition("], [")[2] for line in plan_of(found).splitlines() if "Window" in line}) == 1
+
+
 def test_segments(spark):
     two = [("Hello", 0, 0.4), ("world.", 0.4, 1), ("Next", 1.2, 1.6), ("one.", 1.6, 2.2)]
     assert segments(spark, two, limits=T.Limits(min_duration=0.2)) == [(0, 1, "Hello world."), (1.2, 2.2, "Next one.")]
