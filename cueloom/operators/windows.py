@@ -154,12 +154,12 @@ def nearest_boundaries(offsets: DataFrame, boundaries: DataFrame, keys: list[str
     both = offsets.select(*keys, F.col("at").alias("x"), F.lit(1).alias("ask"), none.cast("long").alias("b"), none.cast("int").alias("p")).unionByName(
         boundaries.select(*keys, F.col("boundary").alias("x"), F.lit(0).alias("ask"), F.col("boundary").cast("long").alias("b"), F.col("position").cast("int").alias("p"))
     )
-    # Of boundaries at one place the smallest position comes last in either order.
-    by = Window.partitionBy(*keys)
-    upto = by.orderBy("x", "ask", F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    back = by.orderBy(F.col("x").desc(), F.col("ask").desc(), F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col("ask") == 0, F.struct("b", "p"))
-    low, high = F.last(known, True).over(upto), F.last(known, True).over(back)
+    # Of boundaries at one place the first, with the smallest position, is known from both sides.
+    by = Window.partitionBy(*keys).orderBy("x", "ask", "p")
+    opens = (F.col("ask") == 0) & ~F.coalesce(F.lag("x").over(by) == F.col("x"), F.lit(False))
+    both = both.withColumn("known", F.when(opens, F.struct("b", "p")))
+    named = ", ".join(f"`{k}`" for k in keys)
+    low, high = F.last("known", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.expr(f"lead(known) ignore nulls over (partition by {named} order by x, ask, p)")
     asked = both.select(*keys, "x", "ask", low.alias("low"), high.alias("high")).where("ask = 1")
     nearer = F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low")).when(F.col("x") - F.col("low.b") <= F.col("high.b") - F.col("x"), F.col("low")).otherwise(F.col("high"))
     found = asked.select(*keys, F.col("x").alias("at"), nearer.alias("n")).where("n is not null")
