@@ -7,6 +7,7 @@ recomputed stage would call it again.
 from __future__ import annotations
 
 import contextlib
+import itertools
 import json
 import re
 import time
@@ -14,13 +15,19 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..shared import removed_at_exit, shared_dir, shared_table
 
+#: Windows whose tokens are held at once as a batch.
+CALLS = 500
+#: Tasks for each core that rows are dealt to for a model.
+TASKS = 2
 TOKENS = "array<struct<text:string,start:double,end:double>>"
 
 
@@ -35,7 +42,9 @@ def transcribed(windows: DataFrame, load: Callable[[], Callable[[dict], tuple[st
             yield part.assign(transcript=[s[0] for s in said], spoken=[s[1] for s in said])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema)
-    return windows.select(*columns).mapInPandas(run, f"{schema}, transcript string, spoken string")
+    # A row takes a model far longer than its few bytes say: rows are dealt to all cores, whatever their size.
+    dealt = windows.select(*columns).repartition(TASKS * windows.sparkSession.sparkContext.defaultParallelism, "media_id", "window_index")
+    return dealt.mapInPandas(run, f"{schema}, transcript string, spoken string")
 
 
 def force_aligned(chunks: DataFrame, load: Callable[[], Callable[[str, float, str], list[tuple[str, float, float]]]], strict: bool = True) -> DataFrame:
@@ -45,32 +54,36 @@ def force_aligned(chunks: DataFrame, load: Callable[[], Callable[[str, float, st
     """
     rows = chunks.select("media_id", "window_index", "transcript", (F.col("end") - F.col("start")).alias("seconds"), F.coalesce("language", F.lit("English")).alias("language"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
 
-        def words(text: str | None, seconds: float, language: str) -> list[dict]:
+        def words(text: str | None, seconds: float, language: str) -> list[tuple[str, float, float]]:
             try:
-                return [{"text": t, "start": a, "end": b} for t, a, b in model(text, seconds, language)] if (text or "").strip() else []
+                return list(model(text, seconds, language)) if (text or "").strip() else []
             except Exception:
                 if strict:
                     raise
                 return []
 
         for part in parts:
-            found = [words(*x) for x in zip(part["transcript"], part["seconds"], part["language"])]
-            yield part[["media_id", "window_index"]].assign(tokens=found)
+            for at in range(0, part.num_rows, CALLS):
+                some = part.slice(at, CALLS)
+                found = [words(*x) for x in zip(*(some[name].to_pylist() for name in ("transcript", "seconds", "language")))]
+                columns = list(zip(*itertools.chain.from_iterable(found))) or [(), (), ()]
+                struct = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.float64()))], ["text", "start", "end"])
+                tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), struct)
+                yield pa.RecordBatch.from_arrays([some["media_id"], some["window_index"], tokens], ["media_id", "window_index", "tokens"])
 
-    return rows.mapInPandas(run, f"media_id string, window_index int, tokens {TOKENS}")
+    return rows.mapInArrow(run, f"media_id string, window_index int, tokens {TOKENS}")
 
 
 def evenly_spoken(text: str, seconds: float, language: str) -> list[tuple[str, float, float]]:
     """A deterministic aligner for tests: words share the time by their length."""
     words = text.split()
-    total, at, out = sum(map(len, words)) or 1, 0, []
-    for w in words:
-        out.append((w, round(at / total * seconds, 3), round((at + len(w)) / total * seconds, 3)))
-        at += len(w)
-    return out
+    ends = list(itertools.accumulate(map(len, words), initial=0))
+    total = ends[-1] or 1
+    times = [round(at / total * seconds, 3) for at in ends]
+    return list(zip(words, times, times[1:]))
 
 
 class ReplyError(RuntimeError):

@@ -79,16 +79,19 @@ def subtitles(
     else:
         placed, placed_anew = placed_words(heard, place, held, models[1])
         made.append(placed_anew)
-        words = media_tokens(placed.join(heard.select(*keys, "start"), keys))
-        said = heard.select(*keys, F.col("transcript").alias("context"))
-        marked = segment.with_context_punctuation(words, said, keys).withColumn("pos", F.col("atom_id"))
-        named = marked.join(heard.select(*keys, "language"), keys).drop("atom_id")
+        listed = placed.join(heard.select(*keys, "start", "language", F.col("transcript").alias("context")), keys)
+        if mode in ("llm", "hybrid") or splitter:
+            words, said = media_tokens(listed), listed.select(*keys, "context")
+            marked = segment.with_context_punctuation(words, said, keys).withColumn("pos", F.col("atom_id"))
+            named = marked.join(heard.select(*keys, "language"), keys).drop("atom_id")
         if mode == "llm":
             cues, _ = model_cues.model_cues(named, said.withColumn("must_split", F.lit(False)), ask, keys)
         elif mode == "hybrid":
             cues, _ = model_cues.hybrid_cues(named, ask, keys, splitter=splitter)
-        else:
+        elif splitter:
             cues = segment.segmented(named, keys, mode, splitter=splitter)
+        else:
+            cues = segment.segmented_lists(listed, keys, mode)
         order = F.row_number().over(W.Window.partitionBy("media_id").orderBy("window_index", "id"))
         cues = cues.select("media_id", order.alias("id"), "start", "end", "text")
     if kept:

@@ -11,16 +11,17 @@ and are held there, as they are in the DataFrame operators of the same kind.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..operators.segment import Run
+from ..operators.search import Runs, named
 from ..operators.windows import SpeechPlan, packed
 
 LIMITS = T.Limits()
@@ -36,37 +37,6 @@ def _schema(table: AnalyzeArgument, reads: set[str], optional: set[str], *out: S
     return StructType([*(f for f in table.dataType.fields if f.name not in reads | optional), *out])
 
 
-def tight(left: str, right: str) -> bool:
-    """Whether two neighbouring characters of joined parts have no space between them."""
-    wide = lambda c: "㐀" <= c <= "鿿" or "぀" <= c <= "ヿ" or "가" <= c <= "힯"
-    return left in T.LEADING + T.WIDE_STOPS + "'" or right in T.TRAILING + "'" or wide(left) or wide(right) or (left.isdigit() and right.isdigit())
-
-
-def joined(words: list[str]) -> str:
-    return "".join(w if not k or tight(words[k - 1][-1], w[0]) else f" {w}" for k, w in enumerate(words))
-
-
-def ends_with(word: str, marks: str) -> bool:
-    return word.rstrip(T.CLOSERS)[-1:] in tuple(marks)
-
-
-def cut_score(left: str, right: str, pause: float, language: str) -> float:
-    first = re.match("[a-z']+", right.lower())
-    return max(
-        100.0 if ends_with(left, T.MAJOR) else 80.0 if ends_with(left, T.SOFT) else 0.0,
-        70.0 + min(pause, 1.5) * 5.0 if pause >= LIMITS.pause else 0.0,
-        45.0 if language == "en" and first and first[0] in T.BREAK_BEFORE else 0.0,
-    )
-
-
-def language_of(named: str | None, texts: list[str]) -> str:
-    name, text = (named or "").strip(T.SPACES).lower(), "".join(texts)
-    for language, starts in (("ja", T.JA), ("zh", T.ZH), ("en", T.EN)):
-        if name.startswith(starts):
-            return language
-    return "ja" if re.search("[぀-ヿ]", text) else "zh" if re.search("[㐀-鿿]", text) else "en"
-
-
 class ReadableCues:
     """Tokens (pos, text, start, end, and language if there is one) to cues (id, start, end, text): modes none, soft and hard."""
 
@@ -80,37 +50,30 @@ class ReadableCues:
         return AnalyzeResult(_schema(tokens, ReadableCues.READS, ReadableCues.MAY_READ, *out))
 
     def __init__(self):
-        self.rows, self.keys, self.language, self.mode = [], (), None, "hard"
+        self.rows, self.keys, self.mode, self.columns = [], (), "hard", None
 
     def eval(self, tokens: Row, mode: str = "hard") -> None:
-        row = tokens.asDict()
-        self.mode, self.keys = mode, tuple(v for k, v in row.items() if k not in self.READS | self.MAY_READ)
-        word = (row["text"] or "").strip(T.SPACES)
-        if word and row["start"] is not None and row["end"] is not None and row["end"] >= row["start"]:
-            self.rows.append((row["start"], row["end"], row["pos"], word, row.get("language")))
+        if self.columns is None:
+            names = list(tokens.__fields__)
+            self.mode, self.keys = mode, tuple(v for k, v in zip(names, tokens) if k not in self.READS | self.MAY_READ)
+            self.columns = itemgetter(*(names.index(k) for k in ("start", "end", "pos", "text")), names.index("language") if "language" in names else names.index("text"))
+            self.named = "language" in names
+        row = self.columns(tuple(tokens))
+        if row[0] is not None and row[1] is not None and row[1] >= row[0] and row[3] and row[3].strip(T.SPACES):
+            self.rows.append(row)
 
     def terminate(self) -> Iterator[tuple]:
-        self.rows.sort(key=lambda r: r[:3])
-        words, n = [r[3] for r in self.rows], len(self.rows)
-        if not n:
+        if not self.rows:
             return
-        start, end = (np.array([r[k] for r in self.rows], float) for k in (0, 1))
-        language = language_of(next((r[4] for r in self.rows if r[4] is not None), None), words)
-        pauses = np.maximum(0.0, start[1:] - end[:-1]).tolist()
-        opens = [0, *(k for k in range(1, n) if ends_with(words[k - 1], T.MAJOR) or pauses[k - 1] >= LIMITS.pause)]
-        bounds = list(zip(opens, [*opens[1:], n]))
-        if self.mode != "none":
-            dense = language in ("ja", "zh")
-            own = np.array([len(("" if dense else " ").join(w.split())) for w in words])
-            glue = np.array([0] + [int(not dense and not tight(a[-1], b[0])) for a, b in zip(words, words[1:])])
-            cuts = np.array([0.0] + [cut_score(a, b, p, language) for a, b, p in zip(words, words[1:], pauses)])
-            run = Run(own, glue, cuts, start, end, language, LIMITS)
-            bounds = run.merge(run.split(bounds, self.mode == "hard"))
-        number = 0
-        for a, b in bounds:
-            if end[b - 1] > start[a]:
-                number += 1
-                yield (*self.keys, number, float(start[a]), float(end[b - 1]), joined(words[a:b]))
+        self.rows.sort(key=itemgetter(0, 1, 2))
+        start, end, _, texts, languages = zip(*self.rows)
+        language = named(next((x for x in languages if x is not None), None)) if self.named else -1
+        runs = Runs(texts, np.arange(len(texts)), np.array(start, float), np.array(end, float), np.zeros(1, np.int64), np.array([language]), LIMITS)
+        opens = runs.groups(self.mode)
+        pieces = [f" {w}" if spaced else w for w, spaced in zip((t.strip(T.SPACES) for t in texts), runs.spaced.tolist())]
+        bounds = [*opens.tolist(), len(pieces)]
+        for group, _, *cue in zip(*(column.tolist() for column in runs.cues(opens))):
+            yield (*self.keys, *cue, "".join(pieces[bounds[group] : bounds[group + 1]]).lstrip(" "))
 
 
 class PackedWindows:

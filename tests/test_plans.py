@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import urllib.error
 from types import SimpleNamespace
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
-from cueloom.operators import align, artifacts as A, chat, model_cues, providers
+from cueloom.operators import align, artifacts as A, chat, model_cues, providers, segment
 from cueloom.operators.store import Conflict, Snapshot, Store
 from cueloom.plans import pipelines
 from cueloom.sinks import progress, render
@@ -361,3 +362,23 @@ def test_window_files(spark, tmp_path):
     assert out.endswith(f"{media.file_id(source)}.16k-mono.wav") and media.to_wav(str(source), str(tmp_path / "w"), run=run) == out and len(runs) == 1
     media.to_wav(str(source), str(tmp_path / "w"), overwrite=True, run=run)
     assert len(runs) == 2
+
+
+def test_subtitles_keep_words_in_their_windows(spark, tmp_path):
+    """Placed words go to cues as lists of their windows, with the rows of the operators on single tokens."""
+    rng = random.Random(5)
+    rows = []
+    for w in range(30):
+        words = [rng.choice(["one", "two,", "three.", "so", "(x", "7", " ", "漢字", "long" * 7]) for _ in range(rng.randint(0, 60))]
+        times = [(round(k * 0.4 + rng.choice([0, 0.9]), 3), rng.choice([0.3, 0.5, -1.0])) for k in range(len(words))]
+        said = " ".join(x.rstrip(",.") + rng.choice(["", ",", "?!", '."', " -"]) for x in words)
+        rows.append((f"m{w % 4}", w, w * 100.0, rng.choice([None, "English", "ja"]), said if w % 9 else None, [(x, a, a + d) for x, (a, d) in zip(words, times)]))
+    listed = spark.createDataFrame(rows, f"media_id string, window_index int, start double, language string, context string, tokens {providers.TOKENS}")
+    for mode in segment.MODES:
+        got = segment.segmented_lists(listed, KEYS, mode)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange" not in plan
+        marked = segment.with_context_punctuation(pipelines.media_tokens(listed), listed.select(*KEYS, "context"), KEYS).withColumn("pos", F.col("atom_id"))
+        want = segment.segmented(marked.join(listed.select(*KEYS, "language"), KEYS), KEYS, mode)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert segment.followers(["a", "b", "c"], "a, b c.") == {0: ",", 2: "."}
