@@ -38,7 +38,10 @@ def _schema(table: AnalyzeArgument, reads: set[str], optional: set[str], *out: S
 
 
 class ReadableCues:
-    """Tokens (pos, text, start, end, and language if there is one) to cues (id, start, end, text): modes none, soft and hard."""
+    """Tokens (pos, text, start, end, and language if there is one) to cues (id, start, end, text): modes none, soft and hard.
+
+    A row is a token, or has lists of them: a call a row is most of the cost, so a table of a row a window is far quicker.
+    """
 
     READS, MAY_READ = {"pos", "text", "start", "end"}, {"language"}
 
@@ -59,8 +62,9 @@ class ReadableCues:
             self.columns = itemgetter(*(names.index(k) for k in ("start", "end", "pos", "text")), names.index("language") if "language" in names else names.index("text"))
             self.named = "language" in names
         row = self.columns(tuple(tokens))
-        if row[0] is not None and row[1] is not None and row[1] >= row[0] and row[3] and row[3].strip(T.SPACES):
-            self.rows.append(row)
+        for token in zip(*(c if isinstance(c, list) else [c] * len(row[3]) for c in row)) if isinstance(row[3], list) else [row]:
+            if token[0] is not None and token[1] is not None and token[1] >= token[0] and token[3] and token[3].strip(T.SPACES):
+                self.rows.append(token)
 
     def terminate(self) -> Iterator[tuple]:
         if not self.rows:

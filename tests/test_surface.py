@@ -44,6 +44,17 @@ def test_cues_by_sql(spark):
         spark.sql("select * from packed_windows(table(select media_id from {tokens}) partition by media_id)", tokens=tokens)
 
 
+def test_cues_by_sql_of_lists(spark):
+    """A window as one row of lists has the cues of its tokens' rows."""
+    rng = random.Random(22)
+    tokens = spark.createDataFrame([r for k in range(30) for r in spoken(rng, f"m{k % 7}", k, rng.choice(["en", "ja", None]))] + [("x", 1, 0, None, 0.0, 1.0, "en"), ("x", 1, 2, "b", 0.0, None, "en")], TOKENS)
+    table_functions.register(spark)
+    rows = "select * from {tokens}"
+    lists = "select media_id, window_index, w.pos, w.text, w.start, w.end, w.language from (select media_id, window_index, collect_list(struct(pos, text, start, end, language)) w from {tokens} group by media_id, window_index)"
+    one, other = (spark.sql(f"select * from readable_cues(table({x}) partition by (media_id, window_index), 'hard')", tokens=tokens).collect() for x in (rows, lists))
+    assert one and sorted(map(tuple, one)) == sorted(map(tuple, other))
+
+
 def prose(rng, n):
     """Sentences with abbreviations inside, with the true ends."""
     shorts, names = ["Dr.", "approx.", "z.B.", "No."], ["Smith", "Jones", "Marple", "Five"]
