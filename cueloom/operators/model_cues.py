@@ -28,7 +28,7 @@ def model_cues(tokens: DataFrame, chunks: DataFrame, ask: Callable, keys: list[s
     """
     atoms = shared_table(S.with_context_punctuation(tokens, chunks, keys))
     source = atoms.groupBy(*keys).agg(T.join_parts(tok.ordered_texts("atom_id")).alias("source"), F.max("atom_id").cast("int").alias("last"))
-    asked = chunks.join(source, keys).select(*keys, "must_split", "last", T.prompt(F.col("source"), F.col("context"), F.col("must_split")).alias("prompt"))
+    asked = chunks.join(source, keys).select(*keys, "must_split", "last", "source", T.prompt(F.col("source"), F.col("context"), F.col("must_split")).alias("prompt"))
     said = shared_table(providers.replied(asked, ask, concurrency, retries).drop("prompt").withColumnRenamed("error", "failure"))
     parsed = S.parsed_replies(said.where("failure is null"), atoms, keys)
     reason = (
@@ -36,7 +36,7 @@ def model_cues(tokens: DataFrame, chunks: DataFrame, ask: Callable, keys: list[s
         .when(F.col("error").isNotNull(), F.concat(F.lit("invalid output: "), "error"))
         .when(F.col("must_split") & (F.size("ends") == 1), F.lit(f"invalid output: {NO_SPLIT}"))
     )
-    judged = shared_table(said.join(parsed, keys, "left").withColumn("reason", reason))
+    judged = shared_table(said.drop("source").join(parsed, keys, "left").withColumn("reason", reason))
     good = F.col("reason").isNull()
     ends = judged.select(*keys, F.explode(F.when(good, F.col("ends")).otherwise(F.array("last"))).alias("atom_id"), F.lit(1).alias("cut"))
     before = Window.partitionBy(*keys).orderBy("atom_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,6 @@ long, as a few vector operations: lengths and times of any piece come from prefi
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,24 +20,15 @@ from ..functions import text as T
 LANGUAGES = ("en", "ja", "zh")
 
 
-def _wide(c: str) -> bool:
-    return "㐀" <= c <= "鿿" or "぀" <= c <= "ヿ" or "가" <= c <= "힯"
-
-
-def _digit(c: str) -> bool:
-    return c in "0123456789" if c < "\x80" else unicodedata.category(c) == "Nd" or c in "²³¹⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
-
-
 @lru_cache(50_000)
 def features(text: str) -> tuple[float, ...]:
     """Of a word: its length in en and in ja or zh; whether it takes no space behind it, before it, ends and begins with
     a digit, has kana or Han characters; the score of a cut behind its mark, and of one before it in en."""
     word = text.strip(T.SPACES)
     parts, stop = word.split(), word.rstrip(T.CLOSERS)[-1:]
-    head, tail = word[0], word[-1]
     first = re.match("[a-z']+", word.lower())
     return (
-        len(" ".join(parts)), len("".join(parts)), tail in T.LEADING + T.WIDE_STOPS + "'" or _wide(tail), head in T.TRAILING + "'" or _wide(head), _digit(tail), _digit(head),
+        len(" ".join(parts)), len("".join(parts)), *T.joins(word),
         bool(re.search("[぀-ヿ]", word)), bool(re.search("[㐀-鿿]", word)), 100.0 if stop and stop in T.MAJOR else 80.0 if stop and stop in T.SOFT else 0.0, 45.0 if first and first[0] in T.BREAK_BEFORE else 0.0,
     )
 

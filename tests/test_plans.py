@@ -382,3 +382,10 @@ def test_subtitles_keep_words_in_their_windows(spark, tmp_path):
         want = segment.segmented(marked.join(listed.select(*KEYS, "language"), KEYS), KEYS, mode)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
     assert segment.followers(["a", "b", "c"], "a, b c.") == {0: ",", 2: "."}
+
+
+def test_parts_are_joined_by_batches(spark):
+    rows = spark.createDataFrame([(["a", " ", "b,", None, "( c", ")", "1", "2"],), ([],), (None,), (["漢", "x", "'s"],)], "p array<string>")
+    made = rows.select(T.join_parts(F.col("p")).alias("t"))
+    assert "lambda" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [r.t for r in made.collect()] == ["a b, ( c) 12", "", None, "漢x's"]
