@@ -55,9 +55,10 @@ def hybrid_cues(tokens: DataFrame, ask: Callable, keys: list[str], limits: T.Lim
     named = shared_table(tokens.withColumn("language", S.named_language(keys, "pos")).select(*keys, "language").distinct())
     rows = soft.join(named, keys)
     by = [*keys, "group_id"]
-    own = tok.cues_of_groups(soft, keys).drop("id")
-    metrics = tok.group_metrics(rows, [*keys, "language"], F.col("language")).withColumn("overlong", T.overlong(F.col("duration"), F.col("length"), F.col("language"), limits))
-    groups = shared_table(own.join(metrics.select(*by, "overlong"), by))
+    made = rows.groupBy(*by, "language").agg(F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"), tok.ordered_texts().alias("parts"))
+    made = made.select(*by, "language", "start", "end", T.join_parts(F.col("parts")).alias("text")).where((F.col("text") != "") & (F.col("end") > F.col("start")))
+    overlong = T.overlong(F.greatest(F.lit(0.001), F.col("end") - F.col("start")), T.measure(F.col("text"), F.col("language")), F.col("language"), limits)
+    groups = shared_table(made.select(*by, "start", "end", "text", overlong.alias("overlong")))
     long = shared_table(rows.join(groups.where("overlong").select(*by), by, "left_semi"))
     part = long.withColumnRenamed("group_id", "part")
     sub = [*keys, "part"]

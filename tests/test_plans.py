@@ -389,3 +389,10 @@ def test_parts_are_joined_by_batches(spark):
     made = rows.select(T.join_parts(F.col("p")).alias("t"))
     assert "lambda" not in made._jdf.queryExecution().executedPlan().toString()
     assert [r.t for r in made.collect()] == ["a b, ( c) 12", "", None, "漢x's"]
+
+
+def test_groups_take_one_pass(spark):
+    """Sentences, measures and the search are one map over sorted tokens, without windows."""
+    grouped = segment.grouped_tokens(tokens(spark, "Short. Alpha bravo".split()), KEYS, "soft")
+    assert "Window" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert [r.group_id for r in grouped.orderBy("pos").collect()] == [1, 2, 2]
