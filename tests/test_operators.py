@@ -345,6 +345,32 @@ def test_places_of_many_names(spark, monkeypatch):
     assert [r[0] for r in rows.select(align.character_places(F.col("ref"), F.col("heard"))).collect()] == [[0, -1, 1], None, None, [], [-1]]
 
 
+def test_equal_pairs_are_aligned_once(monkeypatch):
+    """What repeats in a batch goes through one matrix and stands at each of its places; nulls do not come here, empty texts do."""
+    seen, many = [], align_matrix.aligned_many
+    monkeypatch.setattr(align_matrix, "aligned_many", lambda pairs: seen.extend(pairs) or many(pairs))
+    pairs = [("abc", "ac"), ("ac", "abc"), ("", "b"), ("abc", "ac"), ("", "b")] * 400
+    assert [p.tolist() for p in anchors.aligned_pairs(pairs)] == [align.aligned(*p).tolist() for p in pairs]
+    assert sorted(seen) == sorted(set(pairs))
+
+
+def test_pairs_of_names_are_dealt_out(spark, tmp_path):
+    """One small file is scanned and joined by one task; its pairs are aligned by as many as a shuffle has."""
+    from cueloom.plans.queries import QUERIES
+
+    names = "large ring", "hot bolt", "old plate", "cold plate"
+    spark.createDataFrame([(k, names[k % 4]) for k in range(101)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = QUERIES["aln_characters"](spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    bare = [n.replace(" ", "") for n in names]
+    want = {k: ",".join(map(str, align.aligned(bare[k % 4], bare[(k + 1) % 4]).tolist())) for k in range(100)}
+    assert {r.p_partkey: r.places for r in rows.collect()} == want
+
+
 def test_anchors_are_found_without_a_row_a_gram(spark):
     """Nothing is shuffled to find the blocks."""
     given = spark.createDataFrame([("m", "abcdefghij" * 99, "abcdefghij" * 99)], "media_id string, ref string, heard string")
