@@ -55,26 +55,31 @@ def force_aligned(chunks: DataFrame, load: Callable[[], Callable[[str, float, st
     rows = chunks.select("media_id", "window_index", "transcript", (F.col("end") - F.col("start")).alias("seconds"), F.coalesce("language", F.lit("English")).alias("language"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
+        for part in with_tokens(parts, load(), strict):
+            yield part.select(["media_id", "window_index", "tokens"])
 
-        def words(text: str | None, seconds: float, language: str) -> list[tuple[str, float, float]]:
-            try:
-                return list(model(text, seconds, language)) if (text or "").strip() else []
-            except Exception:
-                if strict:
-                    raise
-                return []
+    return rows.mapInArrow(run, f"media_id string, window_index int, tokens {TOKENS}")
 
-        for part in parts:
-            for at in range(0, part.num_rows, CALLS):
-                some = part.slice(at, CALLS)
-                found = [words(*x) for x in zip(*(some[name].to_pylist() for name in ("transcript", "seconds", "language")))]
-                columns = list(zip(*itertools.chain.from_iterable(found))) or [(), (), ()]
-                struct = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.float64()))], ["text", "start", "end"])
-                tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), struct)
-                yield pa.RecordBatch.from_arrays([some["media_id"], some["window_index"], tokens], ["media_id", "window_index", "tokens"])
 
-    return rows.mapInArrow(run, f"media_id string, window_index int, tokens {TOKENS}")
+def with_tokens(parts: Iterator[pa.RecordBatch], model: Callable[[str, float, str], list[tuple[str, float, float]]], strict: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches (transcript, seconds, language and others) with the tokens that ``model`` places, ``CALLS`` rows each."""
+
+    def words(text: str | None, seconds: float, language: str) -> list[tuple[str, float, float]]:
+        try:
+            return list(model(text, seconds, language)) if (text or "").strip() else []
+        except Exception:
+            if strict:
+                raise
+            return []
+
+    for part in parts:
+        for at in range(0, part.num_rows, CALLS):
+            some = part.slice(at, CALLS)
+            found = [words(*x) for x in zip(*(some[name].to_pylist() for name in ("transcript", "seconds", "language")))]
+            columns = list(zip(*itertools.chain.from_iterable(found))) or [(), (), ()]
+            struct = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.float64()))], ["text", "start", "end"])
+            tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([*some.columns, tokens], [*some.schema.names, "tokens"])
 
 
 def evenly_spoken(text: str, seconds: float, language: str) -> list[tuple[str, float, float]]:

@@ -192,9 +192,9 @@ def clean(texts: pa.Array, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return pc.fill_null(pc.not_equal(pc.utf8_trim(texts, T.SPACES), ""), False).to_numpy(zero_copy_only=False) & ((end >= start) | np.isnan(end))
 
 
-def edges(table: pa.Table, keys: list[str]) -> np.ndarray:
+def edges(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """Rows that open a run of equal keys."""
-    codes = [table[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]
+    codes = [(table[k].combine_chunks() if isinstance(table, pa.Table) else table[k]).dictionary_encode().indices.fill_null(-1).to_numpy() for k in keys]
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in codes])])[: table.num_rows])
 
 

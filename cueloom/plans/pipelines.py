@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import align, artifacts as A, model_cues, providers, replies, segment, tokens as tok, windows as W
@@ -49,6 +50,30 @@ def placed_words(heard: DataFrame, place: Callable, held: DataFrame | None = Non
     return hits.unionByName(new), rows
 
 
+def placed_cues(heard: DataFrame, place: Callable, mode: str = "hard") -> DataFrame:
+    """The numbered cues of windows with transcripts: placed words go from the aligner to the search within a task and are not written.
+
+    Windows are dealt in the order of their media, so a task counts the cues of its stretch. Cues are written once, as the
+    aligner is not to be asked again where they are used twice; only counts are shuffled after that.
+    """
+    if mode not in segment.MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    keys = ["media_id", "window_index"]
+    spark = heard.sparkSession
+    rows = heard.where("media_id is not null").select(
+        *keys, "start", (F.col("end") - F.col("start")).alias("seconds"), "transcript", F.coalesce("language", F.lit("English")).alias("language"), F.col("language").alias("named"),
+    )
+    tasks = max(providers.TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = (pa.RecordBatch.from_arrays([p[c] for c in (*keys, "start", "named", "transcript", "tokens")], [*keys, "start", "language", "context", "tokens"]) for p in providers.with_tokens(parts, place()))
+        yield from segment.counted(segment.cues_of_lists(told, keys, mode))
+
+    cues = dealt.mapInArrow(run, "media_id string, id int, start double, end double, text string")
+    return segment.renumbered(shared_table(cues.withColumn("task", F.spark_partition_id())))
+
+
 def _artifacts(rows: DataFrame, kind: str, model_id: str, language: Column, sha1: Column, payload: Column) -> DataFrame:
     now = F.unix_micros(F.current_timestamp())
     return rows.select(
@@ -63,8 +88,8 @@ def subtitles(
 ) -> DataFrame:
     """Media to cues: plan windows, transcribe, place words, put punctuation back, segment, number.
 
-    ``hear``, ``place`` and ``ask`` are provider loaders. What they return is written once and read again; with a
-    ``store`` (a folder) it is kept there for later runs, for the windows that are planned now and the latest
+    ``hear``, ``place`` and ``ask`` are provider loaders. What they return is written once and read again, of placed
+    words the cues where nothing else needs them; with a ``store`` (a folder) it is kept there for later runs, for the windows that are planned now and the latest
     ``most_media`` media. Modes: none (a cue a window), soft, hard, hybrid and llm, which need ``ask``.
     """
     if mode in ("hybrid", "llm") and ask is None:
@@ -76,6 +101,8 @@ def subtitles(
     made = [said_anew]
     if mode == "none":
         cues = segment.transcript_cues(heard.withColumnRenamed("transcript", "text"))
+    elif mode in segment.MODES and not (kept or splitter):
+        cues = placed_cues(heard, place, mode)
     else:
         placed, placed_anew = placed_words(heard, place, held, models[1])
         made.append(placed_anew)

@@ -384,6 +384,50 @@ def test_subtitles_keep_words_in_their_windows(spark, tmp_path):
     assert segment.followers(["a", "b", "c"], "a, b c.") == {0: ",", 2: "."}
 
 
+def test_placed_words_are_not_written(spark, tmp_path, monkeypatch):
+    """Words go from the aligner to cues within a task; cues are numbered over their media, though one is dealt to several tasks."""
+    calls, written, real = str(tmp_path / "calls"), [], pipelines.shared_table
+    monkeypatch.setattr(pipelines, "shared_table", lambda df: written.append(df.columns) or real(df))
+
+    def place():
+        def model(*given):
+            with open(calls, "ab") as f:
+                f.write(b".")
+            return providers.evenly_spoken(*given)
+
+        return model
+
+    films = spark.createDataFrame([("b", 20000.0), ("a", 500.0), ("c", 60.0), ("mute", 60.0), (None, 60.0)], "media_id string, duration double")
+    silent = spark.createDataFrame([], "media_id string, start double, end double")
+    hear = lambda: lambda row: (" ".join(f"Part {k} of {row['window_index']}, told." for k in range(int(row["window_index"]) * 7 % 5)) if row["media_id"] != "mute" else " ", "English")
+    for mode in ("soft", "hard"):
+        written.clear()
+        cues = pipelines.subtitles(silent, films, hear, place, mode)
+        asked = os.path.getsize(calls)
+        got = sorted(map(tuple, cues.collect()))
+        assert sorted(map(tuple, cues.collect())) == got and os.path.getsize(calls) == asked
+        assert not [c for c in written if "tokens" in c] and ["media_id", "id", "start", "end", "text", "task"] in written
+        heard = providers.transcribed(pipelines.W.planned_windows(silent, films).withColumn("hint", F.lit(None).cast("string")), hear).withColumnRenamed("spoken", "language")
+        listed = providers.force_aligned(heard, place).join(heard.select(*KEYS, "start", "language", F.col("transcript").alias("context")), KEYS)
+        order = F.row_number().over(pipelines.W.Window.partitionBy("media_id").orderBy("window_index", "id"))
+        want = segment.segmented_lists(listed, KEYS, mode).select("media_id", order.alias("id"), "start", "end", "text")
+        assert got == sorted(map(tuple, want.collect())) and {r[0] for r in got} == {"a", "b", "c"}
+    with pytest.raises(ValueError, match="unknown mode"):
+        pipelines.subtitles(silent, films, hear, place, "odd")
+
+
+def test_cues_are_counted_over_batches(spark):
+    import pyarrow as pa
+
+    batch = lambda media: pa.RecordBatch.from_pydict({"media_id": pa.array(media, pa.string()), "id": [0] * len(media), "start": [0.0] * len(media), "end": [1.0] * len(media), "text": ["x"] * len(media)})
+    parts = [batch(m) for m in (["a", "a"], [], ["a"], ["a", "b", "c", "c"], ["c"], ["d"])]
+    assert [n for b in segment.counted(iter(parts)) for n in b["id"].to_pylist()] == [1, 2, 3, 4, 1, 1, 2, 3, 1]
+    # Tasks 0, 1 and 3 hold the media "b"; its cues go on counting in the later ones.
+    rows = [(0, "a", 1), (0, "b", 1), (0, "b", 2), (1, "b", 1), (3, "b", 1), (3, "b", 2), (3, "c", 1)]
+    cues = spark.createDataFrame([(t, m, n, 0.0, 1.0, "x") for t, m, n in rows], "task int, media_id string, id int, start double, end double, text string")
+    assert sorted((r.media_id, r.id) for r in segment.renumbered(cues).collect()) == [("a", 1), *[("b", n) for n in range(1, 6)], ("c", 1)]
+
+
 def test_parts_are_joined_by_batches(spark):
     rows = spark.createDataFrame([(["a", " ", "b,", None, "( c", ")", "1", "2"],), ([],), (None,), (["漢", "x", "'s"],)], "p array<string>")
     made = rows.select(T.join_parts(F.col("p")).alias("t"))
