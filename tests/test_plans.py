@@ -428,6 +428,31 @@ def test_cues_are_counted_over_batches(spark):
     assert sorted((r.media_id, r.id) for r in segment.renumbered(cues).collect()) == [("a", 1), *[("b", n) for n in range(1, 6)], ("c", 1)]
 
 
+def test_marks_are_looked_up_by_running_lengths(monkeypatch):
+    """Where words say just what their context does no word is searched; the marks are those of the search."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts, opens, contexts = [], [], []
+    for _ in range(300):
+        words = [rng.choice(["one", "Two", "three", "7", "漢字", "don't"]) for _ in range(rng.randint(1, 9))]
+        opens.append(len(texts))
+        texts += words
+        contexts.append(rng.choice(["", " ", "(", ". "]) + "".join(w.upper() + rng.choice([" ", ", ", ".", "?! ", " - ", "  ", '." ']) for w in words))
+    assert segment.standing(" .a, b -c. (d)?!") == ({1: ",", 3: ".", 4: ")?!"}, "abcd") and segment.standing("a b") == ({}, "")
+    asked, real = [], segment.followed
+    monkeypatch.setattr(segment, "followed", lambda words, *x: asked.append(words) or real(words, *x))
+    for said in (contexts, [f"so, {c}" if k % 2 else c for k, c in enumerate(contexts)]):
+        want = list(texts)
+        for a, b, c in zip(opens, [*opens[1:], len(texts)], said):
+            for k, marks in real([w.lower().replace("'", "") for w in texts[a:b]], *segment.standing(c)).items():
+                want[a + k] = segment.append_missing(texts[a + k], marks)
+        assert segment.punctuated(pa.array(texts), np.array(opens), said).to_pylist() == want != texts
+        # Words that are not the context's are still searched, and only they.
+        assert len(asked) == (0 if said is contexts else 150)
+
+
 def test_parts_are_joined_by_batches(spark):
     rows = spark.createDataFrame([(["a", " ", "b,", None, "( c", ")", "1", "2"],), ([],), (None,), (["漢", "x", "'s"],)], "p array<string>")
     made = rows.select(T.join_parts(F.col("p")).alias("t"))
