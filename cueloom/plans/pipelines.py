@@ -50,6 +50,10 @@ def placed_words(heard: DataFrame, place: Callable, held: DataFrame | None = Non
     return hits.unionByName(new), rows
 
 
+#: Windows with their transcripts that a task sorts, about.
+SORTED = 50_000
+
+
 def placed_cues(heard: DataFrame, place: Callable, mode: str = "hard") -> DataFrame:
     """The numbered cues of windows with transcripts: placed words go from the aligner to the search within a task and are not written.
 
@@ -59,11 +63,10 @@ def placed_cues(heard: DataFrame, place: Callable, mode: str = "hard") -> DataFr
     if mode not in segment.MODES:
         raise ValueError(f"unknown mode: {mode}")
     keys = ["media_id", "window_index"]
-    spark = heard.sparkSession
     rows = heard.where("media_id is not null").select(
         *keys, "start", (F.col("end") - F.col("start")).alias("seconds"), "transcript", F.coalesce("language", F.lit("English")).alias("language"), F.col("language").alias("named"),
     )
-    tasks = max(providers.TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(providers.TASKS * heard.sparkSession.sparkContext.defaultParallelism, heard.count() // SORTED)
     dealt = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
